@@ -27,3 +27,102 @@ def register(name: str):
 def q_monthly_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG-1..6, WIN-5, FLT-3/4, SCL-4, ORD-1."""
     return rollup.monthly_rollup(base.daily_from_orders(spark, sf_dir))
+
+
+# --- rollup variant, windows, series -------------------------------------------------
+
+from ..operators import leads as leads_ops  # noqa: E402
+from ..operators import reports, windows  # noqa: E402
+from ..schemas import WON_STAGES  # noqa: E402
+
+# Series labels of the traffic chart.
+TRAFFIC_LABELS = {"ga_visitors": "Besucher", "ga_sessions": "Sessions"}
+TRAILING_COLS = ["date", "ga_visitors", "ga_sessions", "ga_bounce_rate", "zoho_deals_total", "li_impressions",
+                 "auth0_mau", "notion_yearly_consumption_gwh"]
+
+
+@register("monthly_rollup_variant")
+def q_monthly_rollup_variant(spark, sf_dir):
+    """AGG-7, WIN-6."""
+    return rollup.monthly_rollup_variant(base.daily_from_orders(spark, sf_dir))
+
+
+@register("period_sum_delta")
+def q_period_sum_delta(spark, sf_dir):
+    """WIN-1, WIN-2, ORD-3, SCL-13."""
+    return windows.period_sum_delta(base.daily_from_orders(spark, sf_dir), ["ga_visitors", "li_impressions"])
+
+
+@register("trailing_sum_series")
+def q_trailing_sum_series(spark, sf_dir):
+    """WIN-1/2 series form."""
+    return windows.trailing_sum_series(base.daily_from_orders(spark, sf_dir), "ga_visitors", 7)
+
+
+@register("offset_delta")
+def q_offset_delta(spark, sf_dir):
+    """WIN-3."""
+    return windows.offset_delta(base.daily_from_orders(spark, sf_dir), "ga_visitors", 7)
+
+
+@register("last_known_delta")
+def q_last_known_delta(spark, sf_dir):
+    """WIN-4, AGG-3, FLT-4."""
+    return windows.last_known_delta(base.daily_from_orders(spark, sf_dir), "notion_customers_total")
+
+
+@register("trailing_range")
+def q_trailing_range(spark, sf_dir):
+    """FLT-1, AGG-13, RPT-7, RPT-8."""
+    return windows.trailing_range(base.daily_from_orders(spark, sf_dir), 30, cols=TRAILING_COLS)
+
+
+@register("series_long")
+def q_series_long(spark, sf_dir):
+    """RPT-1."""
+    return reports.series_long(base.daily_from_orders(spark, sf_dir), "date", ["ga_visitors", "ga_sessions"],
+                               TRAFFIC_LABELS)
+
+
+@register("kpi_cards")
+def q_kpi_cards(spark, sf_dir):
+    """RPT-2, PRJ-6."""
+    return reports.kpi_cards(base.daily_from_orders(spark, sf_dir), base.leads_from_orders(spark, sf_dir), 30)
+
+
+# --- leads ----------------------------------------------------------------------------
+
+@register("lead_status")
+def q_lead_status(spark, sf_dir):
+    """FLT-6, FLT-8, SCL-9, SCL-18."""
+    return base.leads_from_orders(spark, sf_dir)
+
+
+@register("lead_status_counts")
+def q_lead_status_counts(spark, sf_dir):
+    """AGG-8, AGG-9."""
+    return leads_ops.status_counts(base.leads_from_orders(spark, sf_dir))
+
+
+@register("lead_funnel")
+def q_lead_funnel(spark, sf_dir):
+    """RPT-3, WIN-8."""
+    return leads_ops.lead_funnel(base.leads_from_orders(spark, sf_dir))
+
+
+@register("lead_lists")
+def q_lead_lists(spark, sf_dir):
+    """RPT-4, PRJ-1, FLT-5."""
+    return leads_ops.lead_lists(base.leads_from_orders(spark, sf_dir))
+
+
+@register("won_stage_counts")
+def q_won_stage_counts(spark, sf_dir):
+    """AGG-15, FLT-7."""
+    return leads_ops.won_stage_counts(base.leads_from_orders(spark, sf_dir), WON_STAGES)
+
+
+@register("newest_leads")
+def q_newest_leads(spark, sf_dir):
+    """ORD-4, ORD-5, SCL-11."""
+    return leads_ops.newest_leads(base.leads_from_orders(spark, sf_dir), 5)

@@ -162,3 +162,135 @@ m AS (
 ORACLE: dict[str, str] = {}
 
 ORACLE["monthly_rollup"] = with_ctes(D_CTE, MONTHLY_CTE) + "SELECT * FROM m"
+
+ORACLE["monthly_rollup_variant"] = with_ctes(D_CTE) + """
+SELECT strftime(date, '%Y-%m') AS month,
+  CAST(SUM(ga_visitors) AS BIGINT) AS ga_visitors_sum,
+  CAST(round_even(AVG(ga_visitors), 0) AS BIGINT) AS ga_visitors_avg,
+  CAST(arg_max(notion_customers_total, seq) AS BIGINT) AS notion_customers_end,
+  CAST(arg_max(notion_customers_total, seq) - arg_min(notion_customers_total, seq) AS BIGINT) AS notion_customers_new,
+  arg_max(notion_yearly_consumption_gwh, seq) AS notion_yearly_consumption_gwh,
+  CAST(SUM(zoho_deals_new) AS BIGINT) AS zoho_deals_sum,
+  CAST(SUM(zoho_deals_won) AS BIGINT) AS zoho_deals_won_sum,
+  CAST(SUM(li_impressions) AS BIGINT) AS li_impressions_sum,
+  CAST(SUM(li_views) AS BIGINT) AS li_views_sum
+FROM d GROUP BY 1"""
+
+
+def _pct(cur: str, prev: str) -> str:
+    return (f"CASE WHEN {prev} > 0 THEN (CAST({cur} AS DOUBLE) - CAST({prev} AS DOUBLE)) "
+            f"/ CAST({prev} AS DOUBLE) * 100 END")
+
+
+ORACLE["period_sum_delta"] = with_ctes(D_CTE, """
+r AS (SELECT ga_visitors, li_impressions, ROW_NUMBER() OVER (ORDER BY date DESC, seq DESC) AS rn,
+      COUNT(*) OVER () AS total FROM d),
+p AS (SELECT * FROM (VALUES (7), (14), (30), (90)) v(days)),
+k AS (SELECT * FROM (VALUES ('ga_visitors'), ('li_impressions')) v(kpi)),
+x AS (
+  SELECT p.days, k.kpi,
+    CAST(COALESCE(SUM(CASE WHEN rn <= p.days THEN
+      CASE k.kpi WHEN 'ga_visitors' THEN ga_visitors ELSE li_impressions END END), 0) AS BIGINT) AS current,
+    CAST(CASE WHEN MAX(total) >= 2 * p.days THEN COALESCE(SUM(CASE WHEN rn > p.days AND rn <= 2 * p.days THEN
+      CASE k.kpi WHEN 'ga_visitors' THEN ga_visitors ELSE li_impressions END END), 0) ELSE 0 END AS BIGINT) AS previous
+  FROM r, p, k GROUP BY p.days, k.kpi
+)""") + f"SELECT days, kpi, current, previous, {_pct('current', 'previous')} AS delta_pct FROM x"
+
+ORACLE["trailing_sum_series"] = with_ctes(D_CTE, """
+x AS (
+  SELECT date, ga_visitors AS value,
+    CAST(SUM(ga_visitors) OVER (ORDER BY date, seq ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS BIGINT) AS current,
+    CAST(CASE WHEN COUNT(*) OVER (ORDER BY date, seq ROWS BETWEEN 13 PRECEDING AND CURRENT ROW) = 14
+      THEN SUM(ga_visitors) OVER (ORDER BY date, seq ROWS BETWEEN 13 PRECEDING AND 7 PRECEDING) END AS BIGINT)
+      AS previous
+  FROM d
+)""") + f"SELECT date, value, current, previous, {_pct('current', 'previous')} AS delta_pct FROM x"
+
+ORACLE["offset_delta"] = with_ctes(D_CTE, """
+x AS (SELECT date, ga_visitors AS value, LAG(ga_visitors, 7) OVER (ORDER BY date, seq) AS previous FROM d)""") + """
+SELECT date, value, previous,
+  CASE WHEN previous IS NOT NULL AND previous <> 0 THEN CAST(value AS DOUBLE) - CAST(previous AS DOUBLE)
+       ELSE 0.0 END AS delta_abs,
+  CASE WHEN previous IS NOT NULL AND previous <> 0 THEN
+       (CAST(value AS DOUBLE) - CAST(previous AS DOUBLE)) / CAST(previous AS DOUBLE) * 100 ELSE 0.0 END AS delta_pct
+FROM x"""
+
+ORACLE["last_known_delta"] = with_ctes(D_CTE) + """
+SELECT date, notion_customers_total AS value,
+  LAG(notion_customers_total) OVER (ORDER BY date, seq) AS previous,
+  notion_customers_total - LAG(notion_customers_total) OVER (ORDER BY date, seq) AS delta
+FROM d WHERE notion_customers_total > 0"""
+
+ORACLE["trailing_range"] = with_ctes(D_CTE, "mx AS (SELECT MAX(date) AS m, COUNT(*) AS n FROM d)") + """
+SELECT date, ga_visitors, ga_sessions, ga_bounce_rate, zoho_deals_total, li_impressions, auth0_mau,
+  notion_yearly_consumption_gwh, m AS last_update, n AS n_days
+FROM d, mx WHERE date >= m - 30"""
+
+ORACLE["series_long"] = with_ctes(D_CTE) + """
+SELECT date, 'ga_visitors' AS series, 'Besucher' AS label, CAST(ga_visitors AS DOUBLE) AS value FROM d
+UNION ALL
+SELECT date, 'ga_sessions' AS series, 'Sessions' AS label, CAST(ga_sessions AS DOUBLE) AS value FROM d"""
+
+ORACLE["kpi_cards"] = with_ctes(D_CTE, L_CTE, """
+r AS (SELECT *, ROW_NUMBER() OVER (ORDER BY date DESC, seq DESC) AS rn, MAX(date) OVER () AS maxd,
+      COUNT(*) OVER () AS total FROM d),
+f AS (SELECT *, date >= maxd - 30 AS win FROM r),
+c AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY (win AND notion_customers_total > 0)
+      ORDER BY date DESC, seq DESC) AS crk FROM f),
+a AS (
+  SELECT
+    CAST(COALESCE(SUM(CASE WHEN rn <= 30 AND win THEN ga_visitors END), 0) AS BIGINT) AS visitors,
+    CAST(CASE WHEN MAX(total) >= 60 THEN COALESCE(SUM(CASE WHEN rn > 30 AND rn <= 60 THEN ga_visitors END), 0)
+      ELSE 0 END AS BIGINT) AS visitors_prev,
+    CAST(COALESCE(SUM(CASE WHEN rn <= 30 AND win THEN li_impressions END), 0) AS BIGINT) AS impressions,
+    CAST(CASE WHEN MAX(total) >= 60 THEN COALESCE(SUM(CASE WHEN rn > 30 AND rn <= 60 THEN li_impressions END), 0)
+      ELSE 0 END AS BIGINT) AS impressions_prev,
+    CAST(COALESCE(MAX(CASE WHEN win AND notion_customers_total > 0 AND crk = 1 THEN notion_customers_total END), 0)
+      AS BIGINT) AS customers,
+    CAST(COALESCE(MAX(CASE WHEN win AND notion_customers_total > 0 AND crk = 2 THEN notion_customers_total END), 0)
+      AS BIGINT) AS customers_prev,
+    COALESCE(arg_max(notion_yearly_consumption_gwh, seq) FILTER (WHERE win AND notion_yearly_consumption_gwh > 0),
+      0.0) AS gwh,
+    COALESCE(CAST(round(CAST(arg_max(notion_provision_eur, seq) FILTER (WHERE win AND notion_provision_eur > 0)
+      AS DECIMAL(38,9)), 0) AS DOUBLE), 0.0) AS provision,
+    COALESCE(CAST(round(SUM(CAST(CASE WHEN rn <= 30 AND win THEN manual_license_revenue END AS DECIMAL(38,9))), 0)
+      AS DOUBLE), 0.0) AS license,
+    CAST(COALESCE(arg_max(auth0_mau, seq) FILTER (WHERE win AND auth0_mau > 0), 0) AS BIGINT) AS mau
+  FROM c
+),
+lc AS (SELECT COUNT_IF(status IN ('new', 'active')) AS active_leads, COUNT_IF(status = 'new') AS new_leads FROM l)
+""") + f"""SELECT a.*, {_pct('visitors', 'visitors_prev')} AS visitors_delta_pct,
+  {_pct('impressions', 'impressions_prev')} AS impressions_delta_pct,
+  CASE WHEN customers_prev > 0 THEN customers - customers_prev END AS customers_delta,
+  lc.active_leads, lc.new_leads
+FROM a, lc"""
+
+ORACLE["lead_status"] = with_ctes(L_CTE) + "SELECT * FROM l"
+
+LEAD_COUNTS_SQL = """SELECT COUNT(*) AS total, COUNT_IF(status = 'new') AS "new", COUNT_IF(status = 'active') AS active,
+  COUNT_IF(status = 'won') AS won, COUNT_IF(status = 'lost') AS lost, COUNT_IF(status = 'waiting') AS waiting FROM l"""
+
+ORACLE["lead_status_counts"] = with_ctes(L_CTE) + LEAD_COUNTS_SQL
+
+ORACLE["lead_funnel"] = with_ctes(L_CTE, f"lc AS ({LEAD_COUNTS_SQL})", "s AS (" + " UNION ALL ".join(
+    f"SELECT {i + 1} AS pos, {_q(label)} AS stage, \"{src}\" AS value FROM lc"
+    for i, (label, src) in enumerate(FUNNEL_STAGES)) + ")") + """
+SELECT pos, stage, value,
+  CASE WHEN FIRST_VALUE(value) OVER (ORDER BY pos) > 0
+       THEN CAST(value AS DOUBLE) / CAST(FIRST_VALUE(value) OVER (ORDER BY pos) AS DOUBLE) * 100 END AS pct_of_first
+FROM s"""
+
+ORACLE["lead_lists"] = with_ctes(L_CTE, """
+sel AS (SELECT * FROM l WHERE status IN ('new', 'active')),
+sz AS (SELECT status, COUNT(*) AS list_size FROM sel GROUP BY status)""") + """
+SELECT sel.status, name AS "Name", company AS "Unternehmen", stage AS "Stage", amount AS "Betrag (€)",
+  created_date AS "Erstellt", closing_date AS "Abschluss", list_size
+FROM sel JOIN sz ON sel.status = sz.status"""
+
+ORACLE["won_stage_counts"] = with_ctes(L_CTE) + f"""
+SELECT stage, COUNT(*) AS deals FROM l WHERE stage IN {_in(WON_STAGES)} GROUP BY ROLLUP (stage)"""
+
+ORACLE["newest_leads"] = with_ctes(L_CTE) + """
+SELECT lead_id, name, company, stage, created_date,
+  trim(concat_ws(' ', COALESCE(name, ''), COALESCE(company, ''))) AS display_name
+FROM l ORDER BY created_date DESC, lead_id LIMIT 5"""
