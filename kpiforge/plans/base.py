@@ -150,3 +150,45 @@ def targets_frame(spark: SparkSession) -> DataFrame:
     rows.append((len(rows) + 1, "ga_visitors", 999.0, "Besucher", "Website"))
     schema = "row_pos INT, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in TARGETS_SCHEMA.fields)
     return spark.createDataFrame(rows, schema)
+
+
+# --- planted inputs for the fact-maintenance queries ---------------------------------
+
+def _day_mod(m: int, r: int = 0):
+    return F.dayofmonth("date") % m == r
+
+
+def upsert_inputs(daily: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Existing table and update batch with planted duplicates.
+
+    existing: days with day%4 != 0, plus a second copy (seq + 1e6,
+    visitors + 1) of days with day%7 == 0. updates: days with day%2 == 0
+    (visitors x2, li_views NULL on day%3 == 0, seq + 2e6), plus a later copy
+    of day%10 == 0 days (visitors x3, seq + 3e6).
+    """
+    keep = daily.where(~_day_mod(4))
+    dup = keep.where(_day_mod(7)).withColumn("ga_visitors", F.col("ga_visitors") + 1) \
+        .withColumn("seq", F.col("seq") + 1_000_000)
+    existing = keep.unionByName(dup)
+    nulled = F.when(_day_mod(3), F.lit(None).cast("bigint")).otherwise(F.col("li_views"))
+    u1 = daily.where(_day_mod(2)).withColumn("ga_visitors", F.col("ga_visitors") * 2) \
+        .withColumn("li_views", nulled).withColumn("seq", F.col("seq") + 2_000_000)
+    u2 = daily.where(_day_mod(10)).withColumn("ga_visitors", F.col("ga_visitors") * 3) \
+        .withColumn("li_views", nulled).withColumn("seq", F.col("seq") + 3_000_000)
+    return existing, u1.unionByName(u2)
+
+
+def backfill_inputs(daily: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Existing table without day%3 == 0 days, and an analytics history for
+    every day (visitors and sessions + 1000, bounce rate, date-based seq)."""
+    existing = daily.where(~_day_mod(3))
+    history = daily.select("date", (F.col("ga_visitors") + 1000).alias("ga_visitors"),
+                           (F.col("ga_sessions") + 1000).alias("ga_sessions"), "ga_bounce_rate", "seq")
+    return existing, history
+
+
+def lineitem_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Second KPI source for JON-1: lineitem by ship date."""
+    li = read(spark, sf_dir, "lineitem").select(F.col("l_shipdate").cast("date").alias("date"), "l_returnflag")
+    return li.groupBy("date").agg(F.count(F.lit(1)).alias("li_impressions"),
+                                  F.count_if(F.col("l_returnflag") == "R").alias("li_views"))

@@ -126,3 +126,63 @@ def q_won_stage_counts(spark, sf_dir):
 def q_newest_leads(spark, sf_dir):
     """ORD-4, ORD-5, SCL-11."""
     return leads_ops.newest_leads(base.leads_from_orders(spark, sf_dir), 5)
+
+
+# --- targets --------------------------------------------------------------------------
+
+from ..operators import facts, targets  # noqa: E402
+from ..schemas import DAILY_KPIS  # noqa: E402
+
+
+@register("ytd_values")
+def q_ytd_values(spark, sf_dir):
+    """AGG-14, FLT-2."""
+    return targets.ytd_values(base.daily_from_orders(spark, sf_dir), base.leads_from_orders(spark, sf_dir),
+                              base.YTD_YEAR, DAILY_KPIS)
+
+
+def _scoreboard(spark, sf_dir):
+    return targets.target_scoreboard(base.daily_from_orders(spark, sf_dir), base.leads_from_orders(spark, sf_dir),
+                                     base.targets_frame(spark), base.SCOREBOARD_AS_OF)
+
+
+@register("target_scoreboard")
+def q_target_scoreboard(spark, sf_dir):
+    """RPT-5, JON-2, JON-6, JON-7, SCL-6, SCL-20, SCL-21, WIN-7."""
+    return _scoreboard(spark, sf_dir)
+
+
+@register("progress_record")
+def q_progress_record(spark, sf_dir):
+    """SCL-14, SCL-22."""
+    return targets.progress_records(_scoreboard(spark, sf_dir))
+
+
+@register("month_vs_target")
+def q_month_vs_target(spark, sf_dir):
+    """RPT-6, PRJ-2, PRJ-3, JON-3, SCL-23."""
+    monthly = rollup.monthly_rollup(base.daily_from_orders(spark, sf_dir))
+    return targets.month_vs_target(monthly, base.targets_frame(spark))
+
+
+# --- fact maintenance -----------------------------------------------------------------
+
+@register("upsert_daily")
+def q_upsert_daily(spark, sf_dir):
+    """SNK-1, SNK-4, JON-5, PRJ-4, SET-1, SET-3, STR-2."""
+    existing, updates = base.upsert_inputs(base.daily_from_orders(spark, sf_dir))
+    return facts.upsert(existing, updates, ["date"], "seq")
+
+
+@register("backfill_daily")
+def q_backfill_daily(spark, sf_dir):
+    """SNK-2, JON-4, SET-2, SRC-5."""
+    existing, history = base.backfill_inputs(base.daily_from_orders(spark, sf_dir))
+    return facts.backfill(existing, history, "date")
+
+
+@register("merge_sources")
+def q_merge_sources(spark, sf_dir):
+    """JON-1, PRJ-4."""
+    d = base.daily_from_orders(spark, sf_dir).select("date", "ga_visitors", "ga_sessions", "li_views")
+    return facts.merge_sources([d, base.lineitem_source(spark, sf_dir)], "date")

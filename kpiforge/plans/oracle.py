@@ -294,3 +294,112 @@ ORACLE["newest_leads"] = with_ctes(L_CTE) + """
 SELECT lead_id, name, company, stage, created_date,
   trim(concat_ws(' ', COALESCE(name, ''), COALESCE(company, ''))) AS display_name
 FROM l ORDER BY created_date DESC, lead_id LIMIT 5"""
+
+# --- targets ---------------------------------------------------------------------------
+
+from ..schemas import DAILY_KPIS, DOUBLE_KPIS, LEAD_COUNT_KPIS, MONTHLY_COLUMNS, SNAPSHOT_KPIS  # noqa: E402
+
+
+def _ytd_sql(kpis, y0: int) -> str:
+    parts = []
+    for k in kpis:
+        if k in SNAPSHOT_KPIS:
+            v, kind = f"CAST(arg_max({k}, seq) FILTER (WHERE {k} > 0) AS DOUBLE)", "snapshot"
+        elif k in LEAD_COUNT_KPIS:
+            v, kind = "(SELECT CAST(COUNT(*) AS DOUBLE) FROM l)", "lead_count"
+        elif k in DOUBLE_KPIS:
+            v, kind = f"CAST(SUM(CAST({k} AS DECIMAL(38,9))) AS DOUBLE)", "sum"
+        else:
+            v, kind = f"CAST(SUM({k}) AS DOUBLE)", "sum"
+        src = "" if kind == "lead_count" else " FROM yr"
+        parts.append(f"SELECT '{k}' AS kpi, '{kind}' AS kind, COALESCE({v}, 0.0) AS ytd{src}")
+    return (f"yr AS (SELECT * FROM d WHERE date >= DATE '{y0}-01-01' AND date < DATE '{y0 + 1}-01-01'),\n"
+            f"y AS ({' UNION ALL '.join(parts)})")
+
+
+ORACLE["ytd_values"] = with_ctes(D_CTE, L_CTE, _ytd_sql(DAILY_KPIS, 1998)) + "SELECT * FROM y"
+
+_LAYOUT_KPIS = [k for _g, _p, k in SCOREBOARD_LAYOUT]
+SCOREBOARD_CTE = with_ctes(D_CTE, L_CTE, T_CTE, META_CTE, LAYOUT_CTE, _ytd_sql(_LAYOUT_KPIS, 1998), """
+tf AS (SELECT kpi, target_yearly, unit FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY kpi ORDER BY row_pos) AS rn
+       FROM t) x WHERE rn = 1),
+pg AS (SELECT CAST(dayofyear(DATE '1998-07-01') AS DOUBLE) / dayofyear(DATE '1998-12-31') AS p),
+sb0 AS (
+  SELECT layout.grp, layout.pos, y.kpi, COALESCE(meta.label, y.kpi) AS label, tf.unit, y.ytd,
+    tf.target_yearly AS target, pg.p AS year_progress, tf.target_yearly * pg.p AS prorated_target,
+    CASE WHEN tf.target_yearly > 0 THEN y.ytd / tf.target_yearly * 100 ELSE 0.0 END AS pct,
+    CASE WHEN y.ytd >= tf.target_yearly * pg.p THEN 'on_track'
+         WHEN y.ytd >= tf.target_yearly * pg.p * 0.7 THEN 'slightly_behind'
+         ELSE 'behind' END AS status
+  FROM y JOIN layout ON y.kpi = layout.kpi JOIN tf ON y.kpi = tf.kpi LEFT JOIN meta ON y.kpi = meta.kpi, pg
+),
+sb AS (SELECT *, CASE WHEN pct >= 100 THEN 'success' WHEN pct >= 70 THEN 'warning' ELSE 'danger' END AS band FROM sb0)
+""")
+
+ORACLE["target_scoreboard"] = SCOREBOARD_CTE + "SELECT * FROM sb"
+
+ORACLE["progress_record"] = SCOREBOARD_CTE + """
+SELECT grp, pos, kpi, ytd AS value, target, LEAST(pct, 120.0) AS percentage,
+  CASE WHEN LEAST(pct, 120.0) >= 100 THEN 'success' WHEN LEAST(pct, 120.0) >= 70 THEN 'warning'
+       ELSE 'danger' END AS band
+FROM sb"""
+
+_cmap = dict(MONTHLY_COLUMN_MAP)
+_cmap.setdefault("zoho_deals_new", "zoho_deals_new_end")
+_mcol_case = "CASE kpi " + " ".join(f"WHEN {_q(k)} THEN {_q(v)}" for k, v in _cmap.items()) + " ELSE kpi END"
+ORACLE["month_vs_target"] = with_ctes(D_CTE, MONTHLY_CTE, T_CTE, f"""
+tf AS (SELECT kpi, {_mcol_case} AS mcol, target_yearly / 12 AS target_month
+       FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY kpi ORDER BY row_pos) AS rn FROM t) x WHERE rn = 1),
+ml AS ({' UNION ALL '.join(f"SELECT month, '{c}' AS mcol, CAST({c} AS DOUBLE) AS actual FROM m"
+                           for c in MONTHLY_COLUMNS[1:])})""") + """
+SELECT tf.kpi, ml.month, ml.actual, tf.target_month FROM ml JOIN tf ON ml.mcol = tf.mcol"""
+
+# --- fact maintenance --------------------------------------------------------------------
+
+_KPI_DEFAULT = {k: ("0.0" if k in DOUBLE_KPIS else "0") for k in DAILY_KPIS}
+
+
+def _daily_select(overrides: dict) -> str:
+    cols = ["date"] + list(DAILY_KPIS) + ["seq"]
+    return ", ".join(f"{overrides[c]} AS {c}" if c in overrides else c for c in cols)
+
+
+_nulled = "CASE WHEN day(date) % 3 = 0 THEN NULL ELSE li_views END"
+UPSERT_CTE = with_ctes(D_CTE, f"""
+ex AS (
+  SELECT {_daily_select({})} FROM d WHERE day(date) % 4 <> 0
+  UNION ALL
+  SELECT {_daily_select({'ga_visitors': 'ga_visitors + 1', 'seq': 'seq + 1000000'})}
+  FROM d WHERE day(date) % 4 <> 0 AND day(date) % 7 = 0
+),
+up AS (
+  SELECT {_daily_select({'ga_visitors': 'ga_visitors * 2', 'li_views': _nulled, 'seq': 'seq + 2000000'})}
+  FROM d WHERE day(date) % 2 = 0
+  UNION ALL
+  SELECT {_daily_select({'ga_visitors': 'ga_visitors * 3', 'li_views': _nulled, 'seq': 'seq + 3000000'})}
+  FROM d WHERE day(date) % 10 = 0
+),
+ul AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY date ORDER BY seq DESC) AS rn FROM up) x WHERE rn = 1),
+ef AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY date ORDER BY seq) AS rn FROM ex) x WHERE rn = 1)""")
+
+ORACLE["upsert_daily"] = UPSERT_CTE + "SELECT ul.date, " + ", ".join(
+    f"COALESCE(ul.{k}, ef.{k}, {_KPI_DEFAULT[k]}) AS {k}" for k in DAILY_KPIS) + """, ul.seq
+FROM ul LEFT JOIN ef ON ul.date = ef.date
+UNION ALL
+SELECT * FROM ex WHERE date NOT IN (SELECT date FROM up)"""
+
+ORACLE["backfill_daily"] = with_ctes(D_CTE, f"""
+ex AS (SELECT {_daily_select({})} FROM d WHERE day(date) % 3 <> 0)""") + "SELECT * FROM ex UNION ALL SELECT " + \
+    _daily_select({**{k: _KPI_DEFAULT[k] for k in DAILY_KPIS},
+                   'ga_visitors': 'ga_visitors + 1000', 'ga_sessions': 'ga_sessions + 1000',
+                   'ga_bounce_rate': 'ga_bounce_rate'}) + " FROM d WHERE date NOT IN (SELECT date FROM ex)"
+
+ORACLE["merge_sources"] = with_ctes(D_CTE, """
+s2 AS (SELECT CAST(l_shipdate AS DATE) AS date, COUNT(*) AS li_impressions,
+       COUNT_IF(l_returnflag = 'R') AS li_views FROM lineitem GROUP BY 1)""") + """
+SELECT COALESCE(d.date, s2.date) AS date,
+  CAST(COALESCE(d.ga_visitors, 0) AS BIGINT) AS ga_visitors,
+  CAST(COALESCE(d.ga_sessions, 0) AS BIGINT) AS ga_sessions,
+  CAST(COALESCE(s2.li_views, d.li_views, 0) AS BIGINT) AS li_views,
+  CAST(COALESCE(s2.li_impressions, 0) AS BIGINT) AS li_impressions
+FROM d FULL OUTER JOIN s2 ON d.date = s2.date"""
