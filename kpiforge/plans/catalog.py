@@ -186,3 +186,91 @@ def q_merge_sources(spark, sf_dir):
     """JON-1, PRJ-4."""
     d = base.daily_from_orders(spark, sf_dir).select("date", "ga_visitors", "ga_sessions", "li_views")
     return facts.merge_sources([d, base.lineitem_source(spark, sf_dir)], "date")
+
+
+# --- scalar functions over driver rows ------------------------------------------------
+
+from pyspark.sql import functions as F  # noqa: E402
+
+from .. import functions as fx  # noqa: E402
+from ..sources import events as ev  # noqa: E402
+
+# format name per o_orderkey % 8
+NUMBER_FORMATS = ["en_grouped", "de_grouped", "comma_decimal", "plain", "padded", "currency_suffix",
+                  "commas_only", "null"]
+
+
+def formatted_prices(spark, sf_dir):
+    """Order prices written as text in eight locale shapes (SNK-6 style cells)."""
+    o = base.read(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    p, k = F.col("o_totalprice"), F.col("o_orderkey") % 8
+    plain = F.format_string("%.2f", p)
+    en = F.format_number(p, 2)
+    text = (F.when(k == 0, en)
+            .when(k == 1, F.translate(en, ",.", ".,"))
+            .when(k == 2, F.regexp_replace(plain, r"\.", ","))
+            .when(k == 3, plain)
+            .when(k == 4, F.concat(F.lit(" "), plain, F.lit(" ")))
+            .when(k == 5, F.concat(plain, F.lit(" €")))
+            .when(k == 6, F.format_number(F.floor(p), 0)))
+    fmt = F.element_at(F.array(*[F.lit(n) for n in NUMBER_FORMATS]), (k + 1).cast("int"))
+    return o.select("o_orderkey", fmt.alias("fmt"), text.alias("text"))
+
+
+@register("parse_number_locale")
+def q_parse_number_locale(spark, sf_dir):
+    """SCL-1, UDF-1, SNK-6."""
+    t = formatted_prices(spark, sf_dir)
+    return t.select("o_orderkey", "fmt", fx.parse_number("text").alias("value"))
+
+
+@register("coerce_targets")
+def q_coerce_targets(spark, sf_dir):
+    """SCL-2, SRC-3: plain numeric coercion of target cells (bad -> NULL)."""
+    o = base.read(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    p, k = F.col("o_totalprice"), F.col("o_orderkey") % 4
+    plain = F.format_string("%.2f", p)
+    text = (F.when(k == 0, plain).when(k == 1, F.regexp_replace(plain, r"\.", ","))
+            .when(k == 2, F.concat(F.lit("  "), plain, F.lit(" "))).otherwise(F.lit("n/a")))
+    return o.select(F.concat(F.lit("kpi_"), F.col("o_orderkey").cast("string")).alias("kpi"),
+                    fx.coerce_number(text).alias("target_yearly"))
+
+
+@register("date_keys")
+def q_date_keys(spark, sf_dir):
+    """SCL-3, SCL-5, SCL-6, SCL-7, SCL-8."""
+    d = base.read(spark, sf_dir, "orders").select(F.col("o_orderdate").cast("date").alias("date")).distinct()
+    return d.select(
+        "date",
+        fx.yyyymmdd_to_date(F.date_format("date", "yyyyMMdd")).alias("parsed"),
+        fx.month_key("date").alias("month"),
+        fx.days_before(F.col("date"), 1).alias("yesterday"),
+        fx.days_before(F.col("date"), 14).alias("cutoff_14d"),
+        F.year("date").alias("year"),
+        F.dayofyear("date").alias("day_of_year"),
+        fx.days_in_year("date").alias("days_in_year"),
+        fx.year_progress("date").alias("year_progress"),
+        fx.day_start_ms("date").alias("day_start_ms"),
+        fx.day_end_ms("date").alias("day_end_ms"),
+        fx.weekend_factor("date").alias("weekend_factor"),
+    )
+
+
+# --- event reports ---------------------------------------------------------------------
+
+@register("metric_report_daily")
+def q_metric_report_daily(spark, sf_dir):
+    """SRC-11, SCL-13, ORD-2."""
+    return ev.daily_metrics(base.read(spark, sf_dir, "events")).orderBy("date")
+
+
+@register("metric_report_ranges")
+def q_metric_report_ranges(spark, sf_dir):
+    """SRC-10, SRC-12."""
+    return ev.range_metrics(base.read(spark, sf_dir, "events"), ev.EVENTS_AS_OF, ev.DEFAULT_RANGES)
+
+
+@register("monthly_active_users")
+def q_monthly_active_users(spark, sf_dir):
+    """SRC-14."""
+    return ev.monthly_active_users(base.read(spark, sf_dir, "events"))

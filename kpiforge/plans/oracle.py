@@ -403,3 +403,74 @@ SELECT COALESCE(d.date, s2.date) AS date,
   CAST(COALESCE(s2.li_views, d.li_views, 0) AS BIGINT) AS li_views,
   CAST(COALESCE(s2.li_impressions, 0) AS BIGINT) AS li_impressions
 FROM d FULL OUTER JOIN s2 ON d.date = s2.date"""
+
+# --- scalar functions ----------------------------------------------------------------------
+
+ORACLE["parse_number_locale"] = """
+SELECT o_orderkey,
+  ['en_grouped', 'de_grouped', 'comma_decimal', 'plain', 'padded', 'currency_suffix', 'commas_only',
+   'null'][o_orderkey % 8 + 1] AS fmt,
+  CASE WHEN o_orderkey % 8 IN (0, 1, 2, 3, 4) THEN o_totalprice
+       WHEN o_orderkey % 8 = 6 THEN floor(o_totalprice) / 1000
+       ELSE 0.0 END AS value
+FROM orders"""
+
+ORACLE["coerce_targets"] = """
+SELECT 'kpi_' || CAST(o_orderkey AS VARCHAR) AS kpi,
+  CASE WHEN o_orderkey % 4 IN (0, 2) THEN o_totalprice END AS target_yearly
+FROM orders"""
+
+ORACLE["date_keys"] = """
+WITH x AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS date FROM orders)
+SELECT date,
+  CAST(strptime(strftime(date, '%Y%m%d'), '%Y%m%d') AS DATE) AS parsed,
+  strftime(date, '%Y-%m') AS month,
+  CAST(date - 1 AS DATE) AS yesterday,
+  CAST(date - 14 AS DATE) AS cutoff_14d,
+  CAST(year(date) AS INTEGER) AS year,
+  CAST(dayofyear(date) AS INTEGER) AS day_of_year,
+  CAST(dayofyear(make_date(year(date), 12, 31)) AS INTEGER) AS days_in_year,
+  CAST(dayofyear(date) AS DOUBLE) / dayofyear(make_date(year(date), 12, 31)) AS year_progress,
+  epoch_ms(CAST(date AS TIMESTAMP)) AS day_start_ms,
+  epoch_ms(CAST(date + 1 AS TIMESTAMP)) AS day_end_ms,
+  CASE WHEN isodow(date) >= 6 THEN 0.6 ELSE 1.0 END::DOUBLE AS weekend_factor
+FROM x"""
+
+# --- event reports ---------------------------------------------------------------------------
+
+SESSIONS_CTE = """
+ev AS (
+  SELECT *, LAG(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev_ts,
+         LEAD(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next_ts
+  FROM events
+),
+fl AS (
+  SELECT *, (prev_ts IS NULL OR ts > prev_ts + INTERVAL 30 MINUTE) AS is_start,
+         (next_ts IS NULL OR next_ts > ts + INTERVAL 30 MINUTE) AS is_end
+  FROM ev
+)"""
+
+_METRICS_SQL = """COUNT(DISTINCT user_id) AS visitors, COUNT_IF(is_start) AS sessions,
+  COUNT_IF(is_start AND is_end) AS bounces, COUNT_IF(event_type = 'view') AS pageviews, COUNT(*) AS events"""
+
+_BOUNCE_SQL = "CASE WHEN sessions > 0 THEN CAST(bounces AS DOUBLE) * 100 / CAST(sessions AS DOUBLE) ELSE 0.0 END"
+
+ORACLE["metric_report_daily"] = with_ctes(SESSIONS_CTE, f"""
+x AS (SELECT CAST(ts AS DATE) AS date, {_METRICS_SQL} FROM fl GROUP BY 1)""") + \
+    f"SELECT *, {_BOUNCE_SQL} AS bounce_rate FROM x"
+
+ORACLE["metric_report_ranges"] = with_ctes(SESSIONS_CTE, """
+r AS (SELECT label, pos, DATE '2024-01-31' - s AS rs, DATE '2024-01-31' - e AS re FROM (VALUES
+  ('today', 1, 0, 0), ('yesterday', 2, 1, 1), ('last_7_days', 3, 7, 1), ('last_30_days', 4, 30, 1)) v(label, pos, s, e)),
+x AS (SELECT r.label, r.pos, COUNT(DISTINCT user_id) AS visitors, COALESCE(COUNT_IF(is_start), 0) AS sessions,
+        COALESCE(COUNT_IF(is_start AND is_end), 0) AS bounces,
+        COALESCE(COUNT_IF(event_type = 'view'), 0) AS pageviews, COUNT(event_id) AS events
+      FROM r LEFT JOIN fl ON CAST(fl.ts AS DATE) BETWEEN r.rs AND r.re GROUP BY r.label, r.pos)""") + \
+    f"SELECT *, {_BOUNCE_SQL} AS bounce_rate FROM x"
+
+ORACLE["monthly_active_users"] = """
+WITH ud AS (SELECT DISTINCT user_id, CAST(ts AS DATE) AS a FROM events),
+cal AS (SELECT CAST(unnest(generate_series(MIN(a), MAX(a), INTERVAL 1 DAY)) AS DATE) AS date FROM ud)
+SELECT cal.date, COUNT(DISTINCT ud.user_id) AS mau
+FROM cal LEFT JOIN ud ON ud.a BETWEEN cal.date - 29 AND cal.date
+GROUP BY cal.date"""
