@@ -45,15 +45,20 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def prop_number(p) -> Column:
-    """Numeric value of a property: number, or numeric rollup / formula; else NULL."""
+def prop_number(p, types=("number", "formula", "rollup")) -> Column:
+    """Numeric value of a property: number, or numeric rollup / formula
+    (only the tags listed in ``types``); else NULL."""
     p = _c(p)
     t = p.getField("type")
-    return (F.when(t == "number", p.getField("number"))
-            .when((t == "formula") & (p.getField("formula").getField("type") == "number"),
-                  p.getField("formula").getField("number"))
-            .when((t == "rollup") & (p.getField("rollup").getField("type") == "number"),
-                  p.getField("rollup").getField("number")))
+    out = None
+    for tag in types:
+        if tag == "number":
+            cond, val = t == "number", p.getField("number")
+        else:
+            cond = (t == tag) & (p.getField(tag).getField("type") == "number")
+            val = p.getField(tag).getField("number")
+        out = F.when(cond, val) if out is None else out.when(cond, val)
+    return out
 
 
 def prop_text(p) -> Column:

@@ -274,3 +274,76 @@ def q_metric_report_ranges(spark, sf_dir):
 def q_monthly_active_users(spark, sf_dir):
     """SRC-14."""
     return ev.monthly_active_users(base.read(spark, sf_dir, "events"))
+
+
+# --- landed documents ------------------------------------------------------------------
+
+from ..functions.nested import PAGE_RESPONSE_SCHEMA  # noqa: E402
+from ..functions.numbers import exact_sum  # noqa: E402
+from ..operators import nested as nested_ops  # noqa: E402
+from ..sources import landed  # noqa: E402
+from . import documents  # noqa: E402
+
+_DEC = "decimal(38,9)"
+
+
+@register("paged_json_scan")
+def q_paged_json_scan(spark, sf_dir):
+    """SRC-6, SRC-7, SRC-8, SET-1, PRJ-5, SCL-18: CRM pages -> records, per
+    pipeline plus an all-pages row counted without exploding."""
+    pages = landed.parse_landed(documents.crm_pages(spark, sf_dir), "doc", landed.CRM_PAGE_SCHEMA)
+    recs = landed.crm_records(pages).select(F.col("Pipeline").alias("pipeline"), "Amount",
+                                            fx.name_of("Account_Name").alias("company"))
+    per = recs.groupBy("pipeline").agg(F.count(F.lit(1)).alias("n_records"), exact_sum("Amount", 2).alias("amount"),
+                                       F.count_distinct("company").alias("n_companies"))
+    page_amount = F.aggregate("data", F.lit(0).cast(_DEC), lambda acc, r: (acc + r["Amount"].cast(_DEC)).cast(_DEC))
+    total = pages.agg(F.sum(F.size("data")).cast("bigint").alias("n_records"),
+                      F.round(F.sum(page_amount), 2).cast("double").alias("amount"))
+    n_comp = recs.agg(F.count_distinct("company").alias("n")).select("n").scalar()
+    return per.unionByName(total.select(F.lit("*").alias("pipeline"), "n_records", "amount",
+                                        n_comp.alias("n_companies")))
+
+
+def _lineitem_pages(spark, sf_dir):
+    resp = landed.parse_landed(documents.lineitem_page_responses(spark, sf_dir), "doc", PAGE_RESPONSE_SCHEMA)
+    return landed.page_results(resp)
+
+
+@register("nested_property_sum")
+def q_nested_property_sum(spark, sf_dir):
+    """AGG-10, SCL-15, SCL-16, SCL-17, SCL-19."""
+    pages = _lineitem_pages(spark, sf_dir)
+    status = F.col("properties").getItem("Status").getField("select").getField("name").alias("status")
+    t = nested_ops.positive_property_totals(pages, documents.KWH_NAMES, documents.PROVISION_NAME, by=[status])
+    return t.select("status", "n_pages", "value_pages", F.col("total_converted").alias("total_gwh"),
+                    F.col("formula_total").alias("provision"))
+
+
+@register("nested_array_sum")
+def q_nested_array_sum(spark, sf_dir):
+    """AGG-11, SRC-13."""
+    docs = landed.parse_landed(documents.social_stat_docs(spark, sf_dir), "doc", landed.STATS_SCHEMA)
+    day = F.timestamp_millis(F.col("timeRange.start")).cast("date").alias("date")
+    return nested_ops.element_totals(docs, by=[day])
+
+
+@register("distinct_customers_nested")
+def q_distinct_customers_nested(spark, sf_dir):
+    """AGG-12, SET-4."""
+    resp = landed.parse_landed(documents.order_customer_responses(spark, sf_dir), "doc", PAGE_RESPONSE_SCHEMA)
+    pages = landed.page_results(resp)
+    status = F.col("properties").getItem("Status").getField("select").getField("name").alias("status")
+    return nested_ops.distinct_identities(pages, documents.CUSTOMER_NAMES, by=[status], value_candidates=["kWh"])
+
+
+@register("property_inventory")
+def q_property_inventory(spark, sf_dir):
+    """SRC-17."""
+    return landed.property_inventory(_lineitem_pages(spark, sf_dir))
+
+
+@register("first_data_source")
+def q_first_data_source(spark, sf_dir):
+    """SRC-9."""
+    cats = landed.parse_landed(documents.part_catalogs(spark, sf_dir), "doc", landed.CATALOG_SCHEMA)
+    return landed.first_data_source_id(cats, keep=["id"])

@@ -474,3 +474,63 @@ cal AS (SELECT CAST(unnest(generate_series(MIN(a), MAX(a), INTERVAL 1 DAY)) AS D
 SELECT cal.date, COUNT(DISTINCT ud.user_id) AS mau
 FROM cal LEFT JOIN ud ON ud.a BETWEEN cal.date - 29 AND cal.date
 GROUP BY cal.date"""
+
+# --- landed documents ---------------------------------------------------------------------
+
+ORACLE["paged_json_scan"] = """
+WITH x AS (SELECT c_mktsegment AS pipeline, o_totalprice AS amount,
+             CASE WHEN o_orderkey % 3 IN (0, 1) THEN c_name ELSE '' END AS company
+           FROM orders JOIN customer ON o_custkey = c_custkey)
+SELECT pipeline, COUNT(*) AS n_records, CAST(round(SUM(CAST(amount AS DECIMAL(38,9))), 2) AS DOUBLE) AS amount,
+  COUNT(DISTINCT company) AS n_companies FROM x GROUP BY 1
+UNION ALL
+SELECT '*', COUNT(*), CAST(round(SUM(CAST(amount AS DECIMAL(38,9))), 2) AS DOUBLE), COUNT(DISTINCT company) FROM x"""
+
+ORACLE["nested_property_sum"] = """
+WITH x AS (
+  SELECT l_returnflag AS status,
+    CASE WHEN l_suppkey % 10 = 1 THEN NULL WHEN l_suppkey % 10 = 0 THEN -(l_quantity * 1000)
+         ELSE l_quantity * 1000 END AS v,
+    CASE WHEN l_discount > 0.05 THEN l_extendedprice ELSE -l_extendedprice END AS p
+  FROM lineitem)
+SELECT status, COUNT(*) AS n_pages, COUNT_IF(v > 0) AS value_pages,
+  CAST(round(CAST(COALESCE(CAST(SUM(CASE WHEN v > 0 THEN CAST(v AS DECIMAL(38,9)) END) AS DOUBLE), 0.0) / 1e6
+    AS DECIMAL(38,9)), 2) AS DOUBLE) AS total_gwh,
+  COALESCE(CAST(round(SUM(CASE WHEN p > 0 THEN CAST(p AS DECIMAL(38,9)) END), 2) AS DOUBLE), 0.0) AS provision
+FROM x GROUP BY 1"""
+
+ORACLE["nested_array_sum"] = """
+SELECT CAST(ts AS DATE) AS date, CAST(SUM(event_id % 50 + 1) AS BIGINT) AS impressions,
+  CAST(COALESCE(SUM(CASE WHEN event_type = 'purchase' THEN CAST(value AS DECIMAL(38,9)) END), 0)
+       + COUNT_IF(event_type = 'click') + COUNT_IF(event_type = 'view') AS DOUBLE) AS views
+FROM events GROUP BY 1"""
+
+ORACLE["distinct_customers_nested"] = """
+WITH ids AS (
+  SELECT o_orderstatus AS status, 'cust-' || CAST(o_custkey AS VARCHAR) AS id FROM orders WHERE o_orderkey % 5 IN (0, 1, 3)
+  UNION ALL SELECT o_orderstatus, 'rel-' || CAST(o_custkey AS VARCHAR) FROM orders WHERE o_orderkey % 5 = 2
+  UNION ALL SELECT o_orderstatus, 'rel-' || CAST(o_custkey % 50 AS VARCHAR) FROM orders WHERE o_orderkey % 5 = 2
+),
+pg AS (SELECT o_orderstatus AS status, COUNT(*) AS n_pages,
+         COUNT_IF(o_orderkey % 3 <> 0 AND o_totalprice > 0) AS value_positive FROM orders GROUP BY 1),
+dc AS (SELECT status, COUNT(DISTINCT id) AS n_customers FROM ids GROUP BY 1)
+SELECT pg.status, n_pages, COALESCE(n_customers, 0) AS n_customers, value_positive
+FROM pg LEFT JOIN dc ON pg.status = dc.status"""
+
+ORACLE["property_inventory"] = """
+SELECT name, type, COUNT(*) AS n_pages FROM (
+  SELECT ['JVP (kWh)', 'kWh p.a.', 'kWh', 'JVP'][l_linenumber % 4 + 1] AS name,
+    CASE WHEN l_suppkey % 10 = 1 THEN 'rich_text' WHEN l_suppkey % 10 = 0 THEN 'number'
+         WHEN l_partkey % 3 = 0 THEN 'number' WHEN l_partkey % 3 = 1 THEN 'formula' ELSE 'rollup' END AS type
+  FROM lineitem
+  UNION ALL SELECT 'Provision Gesamt', 'formula' FROM lineitem
+  UNION ALL SELECT 'Status', 'select' FROM lineitem
+  UNION ALL SELECT CASE WHEN l_linenumber % 4 = 0 THEN 'kWh' ELSE 'Notiz' END,
+                   CASE WHEN l_linenumber % 4 = 0 THEN 'number' ELSE 'rich_text' END FROM lineitem
+) x GROUP BY 1, 2"""
+
+ORACLE["first_data_source"] = """
+SELECT 'db-' || CAST(p_partkey AS VARCHAR) AS id,
+  CASE p_partkey % 4 WHEN 0 THEN 'ds-' || CAST(p_partkey AS VARCHAR) WHEN 1 THEN 'dsx-' || CAST(p_partkey AS VARCHAR)
+       WHEN 2 THEN 'ds2-' || CAST(p_partkey AS VARCHAR) END AS first_id
+FROM part"""
