@@ -347,3 +347,50 @@ def q_first_data_source(spark, sf_dir):
     """SRC-9."""
     cats = landed.parse_landed(documents.part_catalogs(spark, sf_dir), "doc", landed.CATALOG_SCHEMA)
     return landed.first_data_source_id(cats, keep=["id"])
+
+
+# --- sinks, streaming, health, generator ---------------------------------------------
+
+from ..schemas import LEADS_SCHEMA  # noqa: E402
+from ..session import scratch_path  # noqa: E402
+from ..sources import synth  # noqa: E402
+from ..streaming import refresh  # noqa: E402
+
+
+@register("snapshot_overwrite")
+def q_snapshot_overwrite(spark, sf_dir):
+    """SNK-3, SNK-5, SNK-6, SRC-1, SRC-2, SRC-4: the lead snapshot is written
+    as text cells, replaced by a second snapshot, and read back typed."""
+    path = scratch_path(spark, "leads_snapshot")
+    leads = base.leads_from_orders(spark, sf_dir).select(*LEADS_SCHEMA.fieldNames())
+    facts.write_snapshot(leads.where(F.col("status") == "won"), path, LEADS_SCHEMA, fmt="csv")
+    facts.write_snapshot(leads, path, LEADS_SCHEMA, fmt="csv")
+    return facts.read_snapshot(spark, path, LEADS_SCHEMA, fmt="csv")
+
+
+@register("stream_refresh")
+def q_stream_refresh(spark, sf_dir):
+    """STR-1, STR-3: daily fact files as a stream, upserted per micro-batch,
+    touched months recomputed; returns the resulting monthly table."""
+    root = scratch_path(spark, "stream_refresh")
+    landing, facts_p, monthly_p, ckpt = (f"{root}/landing", f"{root}/facts", f"{root}/monthly", f"{root}/ckpt")
+    base.daily_from_orders(spark, sf_dir).repartition(6, "date").write.mode("overwrite").parquet(landing)
+    q = refresh.start_refresh(spark, landing, facts_p, monthly_p, ckpt, max_files=2)
+    q.awaitTermination()
+    return refresh.read_monthly(spark, monthly_p)
+
+
+@register("load_health")
+def q_load_health(spark, sf_dir):
+    """AGG-16: expected tables, presence and row counts."""
+    d = base.daily_from_orders(spark, sf_dir)
+    frames = {"kpi_daily": d, "kpi_monthly": rollup.monthly_rollup(d), "kpi_targets": base.targets_frame(spark),
+              "zoho_leads": base.leads_from_orders(spark, sf_dir), "kpi_events": None}
+    return reports.table_counts(frames, ["kpi_daily", "kpi_monthly", "kpi_targets", "zoho_leads", "kpi_events"])
+
+
+@register("synthetic_facts")
+def q_synthetic_facts(spark, sf_dir):
+    """SRC-15 (SRC-16 literal targets live in ``schemas.default_targets``):
+    90 synthetic days for every customer as a tenant."""
+    return synth.synthetic_daily(base.read(spark, sf_dir, "customer"), "c_custkey", 90)

@@ -534,3 +534,59 @@ SELECT 'db-' || CAST(p_partkey AS VARCHAR) AS id,
   CASE p_partkey % 4 WHEN 0 THEN 'ds-' || CAST(p_partkey AS VARCHAR) WHEN 1 THEN 'dsx-' || CAST(p_partkey AS VARCHAR)
        WHEN 2 THEN 'ds2-' || CAST(p_partkey AS VARCHAR) END AS first_id
 FROM part"""
+
+# --- sinks, streaming, health, generator ----------------------------------------------------
+
+ORACLE["snapshot_overwrite"] = with_ctes(L_CTE) + \
+    "SELECT name, company, stage, status, amount, created_date, closing_date FROM l"
+
+ORACLE["stream_refresh"] = ORACLE["monthly_rollup"]
+
+ORACLE["load_health"] = with_ctes(D_CTE, MONTHLY_CTE, L_CTE, T_CTE, """
+c AS (SELECT 'kpi_daily' AS table_name, COUNT(*) AS n FROM d
+      UNION ALL SELECT 'kpi_monthly', COUNT(*) FROM m
+      UNION ALL SELECT 'kpi_targets', COUNT(*) FROM t
+      UNION ALL SELECT 'zoho_leads', COUNT(*) FROM l),
+e AS (SELECT * FROM (VALUES ('kpi_daily', 1), ('kpi_monthly', 2), ('kpi_targets', 3), ('zoho_leads', 4),
+      ('kpi_events', 5)) v(table_name, pos))""") + """
+SELECT e.table_name, e.pos, c.n IS NOT NULL AS present, CAST(COALESCE(c.n, 0) AS BIGINT) AS n_rows
+FROM e LEFT JOIN c ON e.table_name = c.table_name"""
+
+
+def _u(k: int) -> str:
+    return (f"(CAST((c_custkey * 7919 + i * 104729 + {(k + 42) * 15485863}) % 1000003 AS DOUBLE) "
+            f"/ CAST(1000003 AS DOUBLE))")
+
+
+_SYN_DATE = "CAST(DATE '2024-01-31' - 89 + CAST(i AS INTEGER) AS DATE)"
+_WF = f"(CASE WHEN isodow({_SYN_DATE}) >= 6 THEN 0.6::DOUBLE ELSE 1.0::DOUBLE END)"
+_GROWTH = "(1 + i * 0.003::DOUBLE)"
+
+ORACLE["synthetic_facts"] = f"""
+WITH b AS (SELECT c_custkey, CAST(r.i AS INTEGER) AS i FROM customer, range(0, 90) AS r(i)),
+x AS (
+  SELECT c_custkey AS tenant, {_SYN_DATE} AS date,
+    CAST(floor(250 * {_GROWTH} * {_WF} * (0.8::DOUBLE + 0.5::DOUBLE * {_u(1)})) AS BIGINT) AS ga_visitors,
+    CAST(round(CAST(35 + 20 * {_u(3)} AS DECIMAL(38,9)), 1) AS DOUBLE) AS ga_bounce_rate,
+    CAST(72 + i // 5 AS BIGINT) AS notion_customers_total,
+    CAST(round(CAST(1.2::DOUBLE + i * 0.015::DOUBLE + (-0.1::DOUBLE + 0.2::DOUBLE * {_u(4)}) AS DECIMAL(38,9)), 2)
+      AS DOUBLE) AS notion_yearly_consumption_gwh,
+    0.0::DOUBLE AS manual_license_revenue,
+    CAST(30 + i // 3 AS BIGINT) AS zoho_deals_total,
+    CAST(floor((2 + 13 * {_u(6)}) * {_WF}) AS BIGINT) AS zoho_deals_new,
+    CAST(NULL AS BIGINT) AS zoho_deals_active,
+    CAST(floor(4 * {_u(7)}) AS BIGINT) AS zoho_deals_won,
+    CAST(NULL AS BIGINT) AS zoho_deals_lost,
+    CAST(NULL AS BIGINT) AS zoho_deals_waiting,
+    CAST(floor(10 + i * 0.5::DOUBLE + (-2 + 4 * {_u(5)})) AS BIGINT) AS auth0_mau,
+    CAST(floor((800 + 1700 * {_u(8)}) * {_GROWTH}) AS BIGINT) AS li_impressions,
+    CAST(i AS BIGINT) AS seq, {_u(2)} AS u2, {_u(9)} AS u9
+  FROM b)
+SELECT tenant, date, ga_visitors,
+  CAST(floor(ga_visitors * (1.2::DOUBLE + 0.6::DOUBLE * u2)) AS BIGINT) AS ga_sessions,
+  ga_bounce_rate, notion_customers_total, notion_yearly_consumption_gwh,
+  CAST(round(CAST(notion_yearly_consumption_gwh * 8000 AS DECIMAL(38,9)), 0) AS DOUBLE) AS notion_provision_eur,
+  manual_license_revenue, zoho_deals_total, zoho_deals_new, zoho_deals_active, zoho_deals_won, zoho_deals_lost,
+  zoho_deals_waiting, auth0_mau, li_impressions,
+  CAST(floor(li_impressions * (0.1::DOUBLE + 0.1::DOUBLE * u9)) AS BIGINT) AS li_views, seq
+FROM x"""

@@ -1,0 +1,72 @@
+"""Synthetic daily facts (SRC-15) and literal targets (SRC-16).
+
+The generator follows the shape of the reference's demo data: a growth
+trend ``1 + 0.003 i``, a weekend factor of 0.6 and uniform noise, here for
+every tenant of a given tenant table (so its size grows with that table)
+and with deterministic arithmetic noise instead of a random stream. The
+noise values therefore differ from the reference's by design; the
+formulas and ranges are the same.
+"""
+
+from __future__ import annotations
+
+import datetime as dt
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.dates import as_date_lit, weekend_factor
+from ..functions.numbers import round_half_up
+from ..schemas import default_targets  # noqa: F401  (SRC-16)
+
+NOISE_MOD = 1000003
+
+
+def noise(tenant: Column, i: Column, k: int, seed: int = 42) -> Column:
+    """Deterministic uniform value in [0, 1) for (tenant, day index, draw k)."""
+    mixed = tenant * 7919 + i * 104729 + F.lit((k + seed) * 15485863)
+    return (mixed % NOISE_MOD).cast("double") / F.lit(float(NOISE_MOD))
+
+
+def synthetic_daily(tenants: DataFrame, tenant_col: str, days: int = 90, as_of=dt.date(2024, 1, 31),
+                    seed: int = 42) -> DataFrame:
+    """``days`` daily fact rows ending at ``as_of`` for every tenant.
+
+    Each tenant row is expanded in place with ``explode(sequence(...))``
+    (a bounded multiplier of ``days``), so generation is partitioned like
+    the tenant table and needs no join.
+    """
+    t = F.col(tenant_col)
+    base = tenants.select(t.alias("tenant"), F.explode(F.sequence(F.lit(0), F.lit(days - 1))).alias("i"))
+    i, tn = F.col("i"), F.col("tenant")
+    date = F.date_add(F.date_sub(as_date_lit(as_of), days - 1), i)
+
+    def u(k):
+        return noise(tn, i, k, seed)
+
+    wf = weekend_factor(date)
+    growth = F.lit(1) + i * F.lit(0.003)
+    visitors = F.floor(F.lit(250) * growth * wf * (F.lit(0.8) + F.lit(0.5) * u(1)))
+    gwh = round_half_up(F.lit(1.2) + i * F.lit(0.015) + (F.lit(-0.1) + F.lit(0.2) * u(4)), 2)
+    impressions = F.floor((F.lit(800) + F.lit(1700) * u(8)) * growth)
+    return base.select(
+        "tenant",
+        date.alias("date"),
+        visitors.alias("ga_visitors"),
+        F.floor(visitors * (F.lit(1.2) + F.lit(0.6) * u(2))).alias("ga_sessions"),
+        round_half_up(F.lit(35) + F.lit(20) * u(3), 1).alias("ga_bounce_rate"),
+        (F.lit(72) + F.floor(i / 5)).cast("bigint").alias("notion_customers_total"),
+        gwh.alias("notion_yearly_consumption_gwh"),
+        round_half_up(gwh * F.lit(8000), 0).alias("notion_provision_eur"),
+        F.lit(0.0).alias("manual_license_revenue"),
+        (F.lit(30) + F.floor(i / 3)).cast("bigint").alias("zoho_deals_total"),
+        F.floor((F.lit(2) + F.lit(13) * u(6)) * wf).alias("zoho_deals_new"),
+        F.lit(None).cast("bigint").alias("zoho_deals_active"),
+        F.floor(F.lit(4) * u(7)).alias("zoho_deals_won"),
+        F.lit(None).cast("bigint").alias("zoho_deals_lost"),
+        F.lit(None).cast("bigint").alias("zoho_deals_waiting"),
+        F.floor(F.lit(10) + i * F.lit(0.5) + (F.lit(-2) + F.lit(4) * u(5))).alias("auth0_mau"),
+        impressions.alias("li_impressions"),
+        F.floor(impressions * (F.lit(0.1) + F.lit(0.1) * u(9))).alias("li_views"),
+        i.cast("bigint").alias("seq"),
+    )

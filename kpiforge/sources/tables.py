@@ -17,7 +17,8 @@ from ..schemas import DAILY_SCHEMA, LEADS_SCHEMA, MONTHLY_SCHEMA, TARGETS_SCHEMA
 
 def typed_from_text(raw: DataFrame, schema: T.StructType, on_bad: str = "zero") -> DataFrame:
     """Text columns -> ``schema``: dates with ``to_date``, numbers with
-    ``parse_number`` (bad -> 0 or NULL), strings unchanged."""
+    ``parse_number`` (bad -> 0 or NULL), strings as text where an empty cell
+    is the empty string (text tables have no NULL, as in a sheet)."""
     out = []
     for f in schema.fields:
         if f.name not in raw.columns:
@@ -30,6 +31,8 @@ def typed_from_text(raw: DataFrame, schema: T.StructType, on_bad: str = "zero")
             out.append(parse_number(c, on_bad).cast(f.dataType).alias(f.name))
         elif isinstance(f.dataType, (T.DoubleType, T.FloatType)):
             out.append(parse_number(c, on_bad).cast(f.dataType).alias(f.name))
+        elif isinstance(f.dataType, T.StringType):
+            out.append(F.coalesce(c, F.lit("")).alias(f.name))
         else:
             out.append(c.cast(f.dataType).alias(f.name))
     return raw.select(*out)
