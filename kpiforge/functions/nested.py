@@ -65,7 +65,7 @@ def prop_text(p) -> Column:
     """SCL-16: readable text value of a property over the nine tags."""
     p = _c(p)
     t = p.getField("type")
-    first_text = lambda f: F.coalesce(p.getField(f).getItem(0).getField("plain_text"), F.lit(""))
+    first_text = lambda f: F.coalesce(F.get(p.getField(f), 0).getField("plain_text"), F.lit(""))
     rels = p.getField("relation")
     return (F.when(t == "number", p.getField("number").cast("string"))
             .when(t == "title", first_text("title"))
@@ -89,7 +89,7 @@ def prop_ids(p) -> Column:
     """
     p = _c(p)
     t = p.getField("type")
-    first_text = lambda f: p.getField(f).getItem(0).getField("plain_text")
+    first_text = lambda f: F.get(p.getField(f), 0).getField("plain_text")
     one = lambda v: F.when(v.isNotNull(), F.array(v)).otherwise(F.array().cast("array<string>"))
     return (F.when(t == "title", one(F.when(F.size(p.getField("title")) > 0, F.coalesce(first_text("title"), F.lit("")))))
             .when(t == "rich_text", one(F.when(F.size(p.getField("rich_text")) > 0,

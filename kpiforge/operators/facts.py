@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.dates import month_key
-from ..session import checkpoint_root
+from ..session import checkpoint_root, ensure_runtime_conf
 from .windows import first_per_key, last_per_key
 
 
@@ -89,6 +89,7 @@ def upsert(existing: DataFrame, updates: DataFrame, keys: Sequence[str], order:
     aggregates, so hot keys are reduced map-side; the anti join and the
     lookup join are equi-joins on the key.
     """
+    ensure_runtime_conf(existing.sparkSession)
     keys = list(keys)
     cols = existing.columns
     missing = [c for c in cols if c not in updates.columns]
@@ -114,6 +115,7 @@ def upsert(existing: DataFrame, updates: DataFrame, keys: Sequence[str], order:
 def backfill(existing: DataFrame, history: DataFrame, key: str = "date", defaults: Mapping | None = None) -> DataFrame:
     """SNK-2 / JON-4 / SET-2: append only keys that are not present yet;
     columns the history lacks get their defaults (name-based, SURVEY Q9)."""
+    ensure_runtime_conf(existing.sparkSession)
     new = history.join(existing.select(key).distinct(), key, "left_anti")
     types = {f.name: f.dataType for f in existing.schema.fields}
     new = new.select(*[F.col(c) if c in new.columns else F.lit(None).cast(types[c]).alias(c) for c in existing.columns])
@@ -198,8 +200,6 @@ def read_snapshot(spark: SparkSession, path: str, schema: T.StructType, fmt: str
     if not _exists(spark, path):
         return spark.createDataFrame([], schema)
     if fmt == "csv":
-        from ..sources.tables import typed_from_text
-        raw = spark.read.option("header", True).schema(
-            T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])).csv(path)
-        return typed_from_text(raw, schema)
+        from ..sources.tables import read_text_table, typed_from_text
+        return typed_from_text(read_text_table(spark, path, schema, "csv"), schema)
     return spark.read.schema(schema).parquet(path)

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import rollup
+from ..session import ensure_runtime_conf
 from . import base
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,8 +19,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 def register(name: str):
     def deco(fn):
-        QUERIES[name] = fn
-        return fn
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ensure_runtime_conf(spark)
+            return fn(spark, sf_dir)
+        run.__name__, run.__doc__ = fn.__name__, fn.__doc__
+        QUERIES[name] = run
+        return run
     return deco
 
 

@@ -16,8 +16,23 @@ DEFAULT_CONF = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # Spark 4.1 lets a union of key-partitioned inputs report that partitioning;
+    # with adaptive execution this can leave a later keyed join with inputs of
+    # different partition counts ("Can't zip RDDs with unequal numbers of
+    # partitions"). Upserts join unions of fact rows on the key, so it is off.
+    "spark.sql.unionOutputPartitioning": "false",
 }
 
+RUNTIME_CONF = {"spark.sql.unionOutputPartitioning": "false"}
+
+
+def ensure_runtime_conf(spark: SparkSession) -> None:
+    """Apply the runtime SQL settings the operators rely on to a session the
+    caller built (see ``DEFAULT_CONF`` for why)."""
+    for k, v in RUNTIME_CONF.items():
+        if spark.conf.get(k, None) != v:
+            spark.conf.set(k, v)
+
 
 def get_session(master: str | None = None, app: str = "kpiforge", shuffle_partitions: int | None = None,
                 extra: dict | None = None) -> SparkSession:

@@ -43,10 +43,11 @@ def _text_schema(schema: T.StructType) -> T.StructType:
 
 
 def read_text_table(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "csv") -> DataFrame:
-    reader = spark.read.schema(_text_schema(schema))
+    """Read a text table; CSV columns are matched by header name, not by
+    position (all cells are text, so no type inference runs)."""
     if fmt == "csv":
-        return reader.option("header", True).csv(path)
-    return reader.format(fmt).load(path)
+        return spark.read.option("header", True).option("inferSchema", False).csv(path)
+    return spark.read.schema(_text_schema(schema)).format(fmt).load(path)
 
 
 def load_daily(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
