@@ -46,7 +46,7 @@ def crm_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.substring(core, F.lit(1), F.length(core) - 1), F.lit(',"Account_Name":'), acct, F.lit("}")))
     pages = deals.select((k / CRM_PAGE_SIZE).cast("bigint").alias("page"), rec.alias("rec"))
     g = pages.groupBy("page").agg(F.array_join(F.collect_list("rec"), ",").alias("recs"))
-    last = g.agg(F.max("page").alias("m")).select("m").scalar()
+    last = pages.agg(F.max("page").alias("m")).select("m").scalar()   # key column only, no documents
     more = F.when(F.col("page") < last, F.lit("true")).otherwise(F.lit("false"))
     doc = F.concat(F.lit('{"data":['), F.col("recs"), F.lit('],"info":{"more_records":'), more,
                    F.lit(',"page":'), F.col("page").cast("string"), F.lit("}}"))
@@ -75,8 +75,9 @@ def _typed_number(v: Column) -> Column:
 
 
 def _responses(pages: DataFrame, group: Column) -> DataFrame:
-    g = pages.groupBy(group.alias("grp")).agg(F.collect_list("page").alias("results"))
-    last = g.agg(F.max("grp").alias("m")).select("m").scalar()
+    keyed = pages.select(group.alias("grp"), "page")
+    g = keyed.groupBy("grp").agg(F.collect_list("page").alias("results"))
+    last = keyed.agg(F.max("grp").alias("m")).select("m").scalar()   # key column only, no documents
     more = F.col("grp") < last
     doc = F.to_json(F.struct("results", more.alias("has_more"),
                              F.when(more, F.concat(F.lit("c"), (F.col("grp") + 1).cast("string"))).alias("next_cursor")))
