@@ -9,11 +9,12 @@ size or skew.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dates import day_end_ms, day_start_ms
-from ..functions.nested import PROPERTY_TYPE
 from . import base
 
 CRM_PAGE_SIZE = 200
@@ -53,61 +54,83 @@ def crm_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("page", doc.alias("doc"))
 
 
-def prop(kind: str, **fields) -> Column:
-    """A tagged-union property value with the full property struct shape."""
-    parts = []
-    for f in PROPERTY_TYPE.fields:
-        if f.name == "type":
-            parts.append(F.lit(kind).alias("type"))
-        elif f.name in fields:
-            parts.append(fields[f.name].cast(f.dataType).alias(f.name))
-        else:
-            parts.append(F.lit(None).cast(f.dataType).alias(f.name))
-    return F.struct(*parts)
+def _jkey(name: str) -> str:
+    return json.dumps(name) + ":"
+
+
+def _jnum(v: Column) -> Column:
+    """A double as JSON number text (round-trips exactly)."""
+    return v.cast("double").cast("string")
+
+
+def _jtyped(kind: str, inner: Column | None = None) -> Column:
+    """``{"type": kind, kind: inner}`` as text; ``inner`` is JSON text."""
+    if inner is None:
+        return F.lit('{"type":' + json.dumps(kind) + "}")
+    return F.concat(F.lit('{"type":' + json.dumps(kind) + "," + _jkey(kind)), inner, F.lit("}"))
 
 
-def _text(c: Column) -> Column:
-    return F.array(F.struct(c.alias("plain_text")))
+def _jnumber_prop(v: Column) -> Column:
+    return F.concat(F.lit('{"type":"number","number":'), _jnum(v), F.lit("}"))
 
 
-def _typed_number(v: Column) -> Column:
-    return F.struct(F.lit("number").alias("type"), v.cast("double").alias("number"))
+def _jtyped_number(kind: str, v: Column) -> Column:
+    return _jtyped(kind, F.concat(F.lit('{"type":"number","number":'), _jnum(v), F.lit("}")))
 
 
-def _responses(pages: DataFrame, group: Column) -> DataFrame:
+def _jtext(kind: str, text: Column) -> Column:
+    return _jtyped(kind, F.concat(F.lit('[{"plain_text":'), _json_string(text), F.lit("}]")))
+
+
+def _jobject(pairs: list[tuple[Column, Column]]) -> Column:
+    """JSON object text from (key JSON text incl. colon, value JSON text) pairs."""
+    parts = []
+    for i, (k, v) in enumerate(pairs):
+        parts += ([F.lit(",")] if i else []) + [k, v]
+    return F.concat(F.lit("{"), *parts, F.lit("}"))
+
+
+def _text_responses(pages: DataFrame, group: Column) -> DataFrame:
+    """Cursor responses ``{"results": [...], "has_more", "next_cursor"}`` from
+    page JSON texts grouped by ``group`` (bounded group size)."""
     keyed = pages.select(group.alias("grp"), "page")
-    g = keyed.groupBy("grp").agg(F.collect_list("page").alias("results"))
+    g = keyed.groupBy("grp").agg(F.array_join(F.collect_list("page"), ",").alias("results"))
     last = keyed.agg(F.max("grp").alias("m")).select("m").scalar()   # key column only, no documents
     more = F.col("grp") < last
-    doc = F.to_json(F.struct("results", more.alias("has_more"),
-                             F.when(more, F.concat(F.lit("c"), (F.col("grp") + 1).cast("string"))).alias("next_cursor")))
+    doc = F.concat(F.lit('{"results":['), F.col("results"), F.lit('],"has_more":'),
+                   F.when(more, F.lit("true")).otherwise(F.lit("false")),
+                   F.when(more, F.concat(F.lit(',"next_cursor":"c'), (F.col("grp") + 1).cast("string"), F.lit('"')))
+                   .otherwise(F.lit("")), F.lit("}"))
     return g.select("grp", doc.alias("doc"))
 
 
 def lineitem_page_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page-database cursor pages: one page per line item with a kWh
     property under one of four names and tags (number, formula, rollup,
-    text, negative), a provision formula, a status select and a decoy."""
+    text, negative), a provision formula, a status select and a decoy.
+
+    Pages are written as JSON text directly (the shape an API returns), which
+    is much cheaper than serialising a generic tagged-union struct."""
     li = base.read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
                                                      "l_quantity", "l_extendedprice", "l_discount", "l_returnflag")
     ln, pk, sk = F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey")
     kwh = F.col("l_quantity") * 1000
-    name1 = F.element_at(F.array(*[F.lit(n) for n in KWH_NAMES]), (ln % 4 + 1).cast("int"))
-    p1 = (F.when(sk % 10 == 1, prop("rich_text", rich_text=_text(F.lit("n/a"))))
-          .when(sk % 10 == 0, prop("number", number=-kwh))
-          .when(pk % 3 == 0, prop("number", number=kwh))
-          .when(pk % 3 == 1, prop("formula", formula=_typed_number(kwh)))
-          .otherwise(prop("rollup", rollup=_typed_number(kwh))))
+    name1 = F.element_at(F.array(*[F.lit(_jkey(n)) for n in KWH_NAMES]), (ln % 4 + 1).cast("int"))
+    p1 = (F.when(sk % 10 == 1, _jtext("rich_text", F.lit("n/a")))
+          .when(sk % 10 == 0, _jnumber_prop(-kwh))
+          .when(pk % 3 == 0, _jnumber_prop(kwh))
+          .when(pk % 3 == 1, _jtyped_number("formula", kwh))
+          .otherwise(_jtyped_number("rollup", kwh)))
     prov_v = F.when(F.col("l_discount") > 0.05, F.col("l_extendedprice")).otherwise(-F.col("l_extendedprice"))
-    p2 = prop("formula", formula=_typed_number(prov_v))
-    p3 = prop("select", select=F.struct(F.col("l_returnflag").alias("name")))
-    decoy_k = F.when(ln % 4 == 0, F.lit("kWh")).otherwise(F.lit("Notiz"))
-    decoy_v = F.when(ln % 4 == 0, prop("number", number=F.lit(1.0))).otherwise(
-        prop("rich_text", rich_text=_text(F.lit("x"))))
-    props = F.create_map(name1, p1, F.lit(PROVISION_NAME), p2, F.lit("Status"), p3, decoy_k, decoy_v)
-    page = F.struct(F.concat_ws("-", F.lit("p"), F.col("l_orderkey"), ln).alias("id"), props.alias("properties"))
+    p3 = _jtyped("select", F.concat(F.lit('{"name":'), _json_string(F.col("l_returnflag")), F.lit("}")))
+    decoy_k = F.when(ln % 4 == 0, F.lit(_jkey("kWh"))).otherwise(F.lit(_jkey("Notiz")))
+    decoy_v = F.when(ln % 4 == 0, _jnumber_prop(F.lit(1.0))).otherwise(_jtext("rich_text", F.lit("x")))
+    props = _jobject([(name1, p1), (F.lit(_jkey(PROVISION_NAME)), _jtyped_number("formula", prov_v)),
+                      (F.lit(_jkey("Status")), p3), (decoy_k, decoy_v)])
+    page_id = F.concat_ws("-", F.lit("p"), F.col("l_orderkey"), ln)
+    page = F.concat(F.lit('{"id":'), _json_string(page_id), F.lit(',"properties":'), props, F.lit("}"))
     pages = li.select("l_orderkey", page.alias("page"))
-    return _responses(pages, (F.col("l_orderkey") / ORDERS_PER_RESPONSE).cast("bigint"))
+    return _text_responses(pages, (F.col("l_orderkey") / ORDERS_PER_RESPONSE).cast("bigint"))
 
 
 def order_customer_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,20 +140,20 @@ def order_customer_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, ck = F.col("o_orderkey"), F.col("o_custkey")
     name = F.concat(F.lit("cust-"), ck.cast("string"))
     t = k % 5
-    kunde = (F.when(t == 0, prop("title", title=_text(name)))
-             .when(t == 1, prop("rich_text", rich_text=_text(name)))
-             .when(t == 2, prop("relation", relation=F.array(
-                 F.struct(F.concat(F.lit("rel-"), ck.cast("string")).alias("id")),
-                 F.struct(F.concat(F.lit("rel-"), (ck % 50).cast("string")).alias("id")))))
-             .when(t == 3, prop("select", select=F.struct(name.alias("name"))))
-             .otherwise(prop("title", title=F.array().cast("array<struct<plain_text:string>>"))))
-    key = F.when(k % 2 == 0, F.lit("Kunde")).otherwise(F.lit("Customer"))
-    kwh = prop("number", number=F.when(k % 3 == 0, F.lit(0.0)).otherwise(F.col("o_totalprice")))
-    status = prop("select", select=F.struct(F.col("o_orderstatus").alias("name")))
-    props = F.create_map(key, kunde, F.lit("kWh"), kwh, F.lit("Status"), status)
-    page = F.struct(F.concat(F.lit("o-"), k.cast("string")).alias("id"), props.alias("properties"))
+    rel = F.concat(F.lit('[{"id":"rel-'), ck.cast("string"), F.lit('"},{"id":"rel-'), (ck % 50).cast("string"),
+                   F.lit('"}]'))
+    kunde = (F.when(t == 0, _jtext("title", name))
+             .when(t == 1, _jtext("rich_text", name))
+             .when(t == 2, _jtyped("relation", rel))
+             .when(t == 3, _jtyped("select", F.concat(F.lit('{"name":'), _json_string(name), F.lit("}"))))
+             .otherwise(_jtyped("title", F.lit("[]"))))
+    key = F.when(k % 2 == 0, F.lit(_jkey("Kunde"))).otherwise(F.lit(_jkey("Customer")))
+    kwh = _jnumber_prop(F.when(k % 3 == 0, F.lit(0.0)).otherwise(F.col("o_totalprice")))
+    status = _jtyped("select", F.concat(F.lit('{"name":'), _json_string(F.col("o_orderstatus")), F.lit("}")))
+    props = _jobject([(key, kunde), (F.lit(_jkey("kWh")), kwh), (F.lit(_jkey("Status")), status)])
+    page = F.concat(F.lit('{"id":"o-'), k.cast("string"), F.lit('","properties":'), props, F.lit("}"))
     pages = o.select(page.alias("page"), k)
-    return _responses(pages, (k / CUSTOMER_PAGES_PER_RESPONSE).cast("bigint"))
+    return _text_responses(pages, (k / CUSTOMER_PAGES_PER_RESPONSE).cast("bigint"))
 
 
 def social_stat_docs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,10 +32,19 @@ def recompute_months(spark: SparkSession, facts_path: str, monthly_path: str, to
 
 
 def refresh_batch(batch: DataFrame, facts_path: str, monthly_path: str, schema: T.StructType = DAILY_SCHEMA) -> None:
-    """One micro-batch: keyed upsert of the daily rows, then monthly recompute."""
+    """One micro-batch: keyed upsert of the daily rows, then monthly recompute.
+
+    The batch is read several times (touched months, merge, recompute), so it
+    is cached for the duration of the batch (a micro-batch is bounded by the
+    trigger's file limit) and released afterwards.
+    """
     spark = batch.sparkSession
-    touched = upsert_table(spark, facts_path, batch, ["date"], "seq", schema=schema)
-    recompute_months(spark, facts_path, monthly_path, touched, schema)
+    batch = batch.persist()
+    try:
+        touched = upsert_table(spark, facts_path, batch, ["date"], "seq", schema=schema)
+        recompute_months(spark, facts_path, monthly_path, touched, schema)
+    finally:
+        batch.unpersist()
 
 
 def start_refresh(spark: SparkSession, landing_path: str, facts_path: str, monthly_path: str, checkpoint_path: str,
