@@ -90,8 +90,10 @@ def kpi_cards(daily: DataFrame, leads: DataFrame | None, days: int = 30, by: Seq
     lc = leads.groupBy(*by).agg(F.count_if(F.col("status").isin("new", "active")).alias("active_leads"),
                                 F.count_if(F.col("status") == "new").alias("new_leads"))
     if not by:
-        return a.select("*", F.coalesce(lc.select("active_leads").scalar(), F.lit(0)).alias("active_leads"),
-                        F.coalesce(lc.select("new_leads").scalar(), F.lit(0)).alias("new_leads"))
+        # one scalar subquery (both counts in a struct): the lead scan runs once
+        c = lc.select(F.struct("active_leads", "new_leads").alias("c")).scalar()
+        return a.select("*", F.coalesce(c.getField("active_leads"), F.lit(0)).alias("active_leads"),
+                        F.coalesce(c.getField("new_leads"), F.lit(0)).alias("new_leads"))
     j = a.join(lc, by, "left")
     return j.fillna(0, ["active_leads", "new_leads"])
 

@@ -114,9 +114,8 @@ def trailing_range(daily: DataFrame, days: int, by: Sequence[str] = (), date_col
     by = list(by)
     keep = list(cols) if cols is not None else [c for c in daily.columns if c not in by]
     if not by:
-        stats = daily.agg(F.max(date_col).alias("m"), F.count(F.lit(1)).alias("n"))
-        last = stats.select("m").scalar()
-        n_days = stats.select("n").scalar()
+        stats = daily.agg(F.struct(F.max(date_col).alias("m"), F.count(F.lit(1)).alias("n")).alias("s")).scalar()
+        last, n_days = stats.getField("m"), stats.getField("n")
         return (daily.where(F.col(date_col) >= F.date_sub(last, days))
                 .select(*keep, last.alias("last_update"), n_days.alias("n_days")))
     m = max_date(daily, date_col, by)

@@ -42,6 +42,8 @@ def sessionize(events: DataFrame, user: str = "user_id", ts: str = "ts", tiebrea
     e = events.withColumn("_b", F.date_trunc(bucket, F.col(ts)))
     w = Window.partitionBy(user, "_b").orderBy(*order)
     e = e.withColumn("_prev_in", F.lag(ts).over(w)).withColumn("_next_in", F.lead(ts).over(w))
+    # first/last event per (user, bucket); it aggregates partially before its
+    # shuffle, so only one row per (user, bucket) and map task moves
     edges = e.groupBy(user, "_b").agg(F.min(ts).alias("_first"), F.max(ts).alias("_last"))
     wb = Window.partitionBy(user).orderBy("_b")
     edges = edges.select(user, "_b", F.lag("_last").over(wb).alias("_prev_b"),
@@ -54,6 +56,11 @@ def sessionize(events: DataFrame, user: str = "user_id", ts: str = "ts", tiebrea
     return j.select(*events.columns, is_start.alias("is_start"), is_end.alias("is_end"))
 
 
+def t_type(df: DataFrame, col: str) -> str:
+    """Simple type name of a column (timestamp or timestamp_ntz)."""
+    return df.schema[col].dataType.simpleString()
+
+
 def _metric_aggs(user: str, kind: str, pageview: str) -> list[Column]:
     sessions = F.count_if("is_start")
     bounces = F.count_if(F.col("is_start") & F.col("is_end"))
@@ -92,9 +99,17 @@ def range_metrics(events: DataFrame, as_of, ranges: Sequence[tuple[str, int, int
     ranges is needed for the aggregation; the literal range list is joined
     afterwards so that empty ranges report zeros.
     """
+    if gap_minutes > 1440:
+        raise ValueError("gap_minutes above one day is not supported by the range prefilter")
     a = as_date_lit(as_of)
     spec = F.array(*[F.struct(F.lit(lbl).alias("label"), F.date_sub(a, s).alias("start"),
                               F.date_sub(a, e).alias("end")) for lbl, s, e in ranges])
+    # only events within a day of the requested ranges can affect them (the
+    # session gap is at most a day); the bound is pushed into the scan
+    lo = F.date_sub(a, max(s for _l, s, _e in ranges) + 1)
+    hi = F.date_sub(a, min(e for _l, _s, e in ranges) - 2)
+    t = F.col(ts)
+    events = events.where((t >= lo.cast(t_type(events, ts))) & (t < hi.cast(t_type(events, ts))))
     flagged = sessionize(events, user, ts, gap_minutes=gap_minutes)
     day = F.col(ts).cast("date")
     tagged = flagged.select("*", F.explode(F.filter(spec, lambda r: (day >= r["start"]) & (day <= r["end"])))
