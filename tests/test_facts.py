@@ -95,3 +95,31 @@ def test_text_table_round_trip(spark):
     src.select(*[F.col(c).cast("string") for c in src.columns]).write.option("header", True).csv(path)
     back = rows(load_daily(spark, path))[0]
     assert back["ga_visitors"] == 1234 and back["ga_bounce_rate"] == 41.5 and back["li_views"] == 0
+
+
+def test_monthly_upsert_keyed_by_month(spark):
+    # SNK-4: the same first-match/dedupe rule keyed by month
+    old = spark.createDataFrame([("2026-01", 10, 1), ("2026-01", 11, 2), ("2026-02", 5, 3)],
+                                "month string, ga_visitors_sum bigint, seq bigint")
+    new = spark.createDataFrame([("2026-01", 99, 9)], "month string, ga_visitors_sum bigint, seq bigint")
+    out = sorted((r.month, r.ga_visitors_sum) for r in facts.upsert(old, new, ["month"]).collect())
+    assert out == [("2026-01", 99), ("2026-02", 5)]
+
+
+def test_load_monthly_text(spark):
+    from kpiforge.sources.tables import load_monthly
+    path = scratch_path(spark, "monthly-csv")
+    spark.createDataFrame([("2026-01", "1.234,5", "12")], "month string, notion_provision_eur string, ga_visitors_sum string") \
+        .write.option("header", True).csv(path)
+    r = rows(load_monthly(spark, path))[0]
+    assert r["month"] == "2026-01" and r["notion_provision_eur"] == 1234.5 and r["ga_visitors_sum"] == 12
+    assert r["li_views_sum"] is None      # absent column -> typed NULL (PRJ-6); an empty cell parses as 0
+
+
+def test_kpis_collected_and_table_counts(spark):
+    from kpiforge.operators.reports import kpis_collected, table_counts
+    d = daily(spark, [{"date": D(2026, 1, 1), "ga_visitors": 1, "li_views": None},
+                      {"date": D(2026, 1, 2), "ga_visitors": 2, "li_views": 3}])
+    assert rows(kpis_collected(d, ["ga_visitors", "li_views", "auth0_mau"])) == [{"kpis_collected": 2}]
+    out = rows(table_counts({"a": d, "b": None}, ["a", "b"]), ["pos"])
+    assert [(r["table_name"], r["present"], r["n_rows"]) for r in out] == [("a", True, 2), ("b", False, 0)]

@@ -142,3 +142,13 @@ def test_prop_ids(spark):
     p = F.col("p")
     r = df.select(*[fx.prop_ids(p[k]).alias(k) for k in "abcd"]).first()
     assert (r.a, r.b, r.c, r.d) == (["x", "y"], [], ["S"], [])
+
+
+def test_clean_key_clamp_and_gauge_edges(spark):
+    df = spark.createDataFrame([(" 2026-01-01 ", -5.0, 130.0, 100.0)], "k string, a double, b double, t double")
+    r = df.select(fx.clean_key("k").alias("k"), fx.clamp("a", low=0).alias("a"), fx.clamp("b", high=120).alias("b"),
+                  *fx.gauge_edges("t")).first()
+    assert (r.k, r.a, r.b) == ("2026-01-01", 0.0, 120.0)
+    assert (r.edge_warning, r.edge_success, r.edge_max) == (70.0, 100.0, 120.0)
+    assert spark.range(1).select(fx.month_share(F.lit(1200.0)).alias("m")).first().m == 100.0
+    assert spark.range(1).select(fx.kwh_to_gwh(F.lit(2_500_000.0)).alias("g")).first().g == 2.5
