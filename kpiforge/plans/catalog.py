@@ -399,3 +399,11 @@ def q_synthetic_facts(spark, sf_dir):
     """SRC-15 (SRC-16 literal targets live in ``schemas.default_targets``):
     90 synthetic days for every customer as a tenant."""
     return synth.synthetic_daily(base.read(spark, sf_dir, "customer"), "c_custkey", 90)
+
+
+@register("tenant_monthly_rollup")
+def q_tenant_monthly_rollup(spark, sf_dir):
+    """AGG-6 + WIN-5 with grouping keys: the monthly rollup of synthetic daily
+    facts for every customer as a tenant (windows partitioned by tenant)."""
+    daily = synth.synthetic_daily(base.read(spark, sf_dir, "customer"), "c_custkey", 90)
+    return rollup.monthly_rollup(daily, by=["tenant"])

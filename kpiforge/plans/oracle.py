@@ -115,9 +115,13 @@ def with_ctes(*ctes: str) -> str:
     return "WITH " + ",\n".join(c.strip() for c in ctes) + "\n"
 
 
-MONTHLY_CTE = """
-m0_ AS (
-  SELECT strftime(date, '%Y-%m') AS month,
+def monthly_cte(src: str = "d", by: str = "", name: str = "m") -> str:
+    """Monthly rollup (AGG-6 + WIN-5) of daily facts ``src`` per ``by`` (comma list) and month."""
+    keys = f"{by}, " if by else ""
+    part = f"PARTITION BY {by} " if by else ""
+    return f"""
+{name}0_ AS (
+  SELECT {keys}strftime(date, '%Y-%m') AS month,
     CAST(SUM(ga_visitors) AS BIGINT) AS ga_visitors_sum,
     CAST(trunc(AVG(ga_visitors)) AS BIGINT) AS ga_visitors_avg,
     arg_max(notion_customers_total, seq) FILTER (WHERE notion_customers_total > 0) AS cust_end,
@@ -135,10 +139,10 @@ m0_ AS (
     MAX(auth0_mau) AS mau,
     CAST(SUM(li_impressions) AS BIGINT) AS li_impressions_sum,
     CAST(SUM(li_views) AS BIGINT) AS li_views_sum
-  FROM d GROUP BY 1
+  FROM {src} GROUP BY ALL
 ),
-m AS (
-  SELECT month, ga_visitors_sum, ga_visitors_avg,
+{name} AS (
+  SELECT {keys}month, ga_visitors_sum, ga_visitors_avg,
     CAST(COALESCE(cust_end, 0) AS BIGINT) AS notion_customers_end,
     CAST(CASE WHEN cust_end IS NULL THEN 0
       WHEN prev_end IS NULL THEN cust_end
@@ -154,11 +158,14 @@ m AS (
     CAST(COALESCE(waiting_end, 0) AS BIGINT) AS zoho_deals_waiting_end,
     CAST(COALESCE(mau, 0) AS BIGINT) AS auth0_mau_end,
     li_impressions_sum, li_views_sum
-  FROM (SELECT *, LAST_VALUE(cust_end IGNORE NULLS) OVER (ORDER BY month
-          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev_end FROM m0_) x
+  FROM (SELECT *, LAST_VALUE(cust_end IGNORE NULLS) OVER ({part}ORDER BY month
+          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev_end FROM {name}0_) x
 )"""
 
 
+MONTHLY_CTE = monthly_cte()
+
+
 ORACLE: dict[str, str] = {}
 
 ORACLE["monthly_rollup"] = with_ctes(D_CTE, MONTHLY_CTE) + "SELECT * FROM m"
@@ -562,8 +569,8 @@ _SYN_DATE = "CAST(DATE '2024-01-31' - 89 + CAST(i AS INTEGER) AS DATE)"
 _WF = f"(CASE WHEN isodow({_SYN_DATE}) >= 6 THEN 0.6::DOUBLE ELSE 1.0::DOUBLE END)"
 _GROWTH = "(1 + i * 0.003::DOUBLE)"
 
-ORACLE["synthetic_facts"] = f"""
-WITH b AS (SELECT c_custkey, CAST(r.i AS INTEGER) AS i FROM customer, range(0, 90) AS r(i)),
+SYNTH_CTE = f"""
+b AS (SELECT c_custkey, CAST(r.i AS INTEGER) AS i FROM customer, range(0, 90) AS r(i)),
 x AS (
   SELECT c_custkey AS tenant, {_SYN_DATE} AS date,
     CAST(floor(250 * {_GROWTH} * {_WF} * (0.8::DOUBLE + 0.5::DOUBLE * {_u(1)})) AS BIGINT) AS ga_visitors,
@@ -581,7 +588,8 @@ x AS (
     CAST(floor(10 + i * 0.5::DOUBLE + (-2 + 4 * {_u(5)})) AS BIGINT) AS auth0_mau,
     CAST(floor((800 + 1700 * {_u(8)}) * {_GROWTH}) AS BIGINT) AS li_impressions,
     CAST(i AS BIGINT) AS seq, {_u(2)} AS u2, {_u(9)} AS u9
-  FROM b)
+  FROM b),
+sy AS (
 SELECT tenant, date, ga_visitors,
   CAST(floor(ga_visitors * (1.2::DOUBLE + 0.6::DOUBLE * u2)) AS BIGINT) AS ga_sessions,
   ga_bounce_rate, notion_customers_total, notion_yearly_consumption_gwh,
@@ -589,4 +597,8 @@ SELECT tenant, date, ga_visitors,
   manual_license_revenue, zoho_deals_total, zoho_deals_new, zoho_deals_active, zoho_deals_won, zoho_deals_lost,
   zoho_deals_waiting, auth0_mau, li_impressions,
   CAST(floor(li_impressions * (0.1::DOUBLE + 0.1::DOUBLE * u9)) AS BIGINT) AS li_views, seq
-FROM x"""
+FROM x)"""
+
+ORACLE["synthetic_facts"] = with_ctes(SYNTH_CTE) + "SELECT * FROM sy"
+
+ORACLE["tenant_monthly_rollup"] = with_ctes(SYNTH_CTE, monthly_cte("sy", "tenant", "tm")) + "SELECT * FROM tm"
