@@ -138,17 +138,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def write_partitioned(df: DataFrame, path: str, partition_col: str = "month", mode: str = "overwrite",
-                      spread: Sequence[str] = ("date",)) -> None:
+def write_partitioned(df: DataFrame, path: str, partition_col: str = "month", mode: str = "overwrite") -> None:
     """Write with dynamic partition overwrite: only partitions present in
     ``df`` are replaced; other partitions stay untouched.
 
-    Rows are hash-partitioned by the partition column plus ``spread``
-    columns (the day), so a month that holds a large share of the rows is
-    written by several tasks instead of one.
+    Rows are rebalanced by the partition column (``REBALANCE`` hint): adaptive
+    execution keeps each partition in few files but splits a partition that
+    holds a large share of the rows over several tasks, so neither a hot
+    month nor many small files hurt.
     """
-    keys = [partition_col] + [c for c in spread if c in df.columns]
-    (df.repartition(*keys).write.mode(mode)
+    (df.hint("rebalance", partition_col).write.mode(mode)
      .option("partitionOverwriteMode", "dynamic")
      .partitionBy(partition_col).parquet(path))
 
@@ -169,9 +168,12 @@ def upsert_table(spark: SparkSession, path: str, updates: DataFrame, keys: Seque
         current = reader.parquet(path)
         touched_rows = current.join(touched, "month", "left_semi")
         merged = upsert(touched_rows.drop("month"), upd.drop("month"), keys, order, keep_existing_on_null)
+        # the merge reads the partitions it is about to replace: cut lineage first
+        merged = cut_lineage(merged.withColumn("month", month_key(F.col(date_col))))
     else:
-        merged = upd.drop("month")
-    merged = cut_lineage(merged.withColumn("month", month_key(F.col(date_col))))
+        # first write: only the batch's own duplicates to resolve (latest wins);
+        # nothing is read from the target, so no checkpoint is needed
+        merged = last_per_key(upd, keys, order)
     write_partitioned(merged, path, "month")
     return touched
 

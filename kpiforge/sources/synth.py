@@ -33,11 +33,15 @@ def synthetic_daily(tenants: DataFrame, tenant_col: str, days: int = 90, as_of=d
     """``days`` daily fact rows ending at ``as_of`` for every tenant.
 
     Each tenant row is expanded in place with ``explode(sequence(...))``
-    (a bounded multiplier of ``days``), so generation is partitioned like
-    the tenant table and needs no join.
+    (a bounded multiplier of ``days``) after the tenant list is spread over
+    the default parallelism; no join is needed.
     """
     t = F.col(tenant_col)
-    base = tenants.select(t.alias("tenant"), F.explode(F.sequence(F.lit(0), F.lit(days - 1))).alias("i"))
+    # the output is ``days`` times the tenant list: spread the (small) list over
+    # the cluster first; a fixed partition count is kept by adaptive execution
+    spread = tenants.select(t.alias("tenant")).repartition(tenants.sparkSession.sparkContext.defaultParallelism,
+                                                           "tenant")
+    base = spread.select("tenant", F.explode(F.sequence(F.lit(0), F.lit(days - 1))).alias("i"))
     i, tn = F.col("i"), F.col("tenant")
     date = F.date_add(F.date_sub(as_date_lit(as_of), days - 1), i)
 

@@ -28,7 +28,7 @@ def recompute_months(spark: SparkSession, facts_path: str, monthly_path: str, to
     facts = spark.read.schema(schema_with_month(schema)).parquet(facts_path).drop("month")
     first = touched.agg(F.min("month").alias("m")).select("m").scalar()
     monthly = monthly_rollup(facts).where(F.col("month") >= first)
-    write_partitioned(monthly, monthly_path, "month", spread=())
+    write_partitioned(monthly, monthly_path, "month")
 
 
 def refresh_batch(batch: DataFrame, facts_path: str, monthly_path: str, schema: T.StructType = DAILY_SCHEMA) -> None:
