@@ -407,3 +407,16 @@ def q_tenant_monthly_rollup(spark, sf_dir):
     facts for every customer as a tenant (windows partitioned by tenant)."""
     daily = synth.synthetic_daily(base.read(spark, sf_dir, "customer"), "c_custkey", 90)
     return rollup.monthly_rollup(daily, by=["tenant"])
+
+
+@register("stream_event_windows")
+def q_stream_event_windows(spark, sf_dir):
+    """STR-1, STR-3, SRC-11 streaming form: event files as a stream, one-day
+    tumbling windows in update mode, upserted by date per micro-batch."""
+    from ..streaming import events as sev
+    root = scratch_path(spark, "stream_events")
+    landing, table, ckpt = f"{root}/landing", f"{root}/daily_events", f"{root}/ckpt"
+    base.read(spark, sf_dir, "events").repartition(4).write.mode("overwrite").parquet(landing)
+    q = sev.start_event_windows(spark, landing, table, ckpt, max_files=1)
+    q.awaitTermination()
+    return sev.read_daily_events(spark, table)

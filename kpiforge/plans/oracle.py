@@ -602,3 +602,10 @@ FROM x)"""
 ORACLE["synthetic_facts"] = with_ctes(SYNTH_CTE) + "SELECT * FROM sy"
 
 ORACLE["tenant_monthly_rollup"] = with_ctes(SYNTH_CTE, monthly_cte("sy", "tenant", "tm")) + "SELECT * FROM tm"
+
+ORACLE["stream_event_windows"] = """
+SELECT CAST(ts AS DATE) AS date, COUNT(*) AS events, COUNT_IF(event_type = 'view') AS pageviews,
+  COUNT_IF(event_type = 'purchase') AS purchases,
+  COALESCE(CAST(round(SUM(CASE WHEN event_type = 'purchase' THEN CAST(value AS DECIMAL(38,9)) END), 2) AS DOUBLE),
+           0.0) AS purchase_value
+FROM events GROUP BY 1"""

@@ -20,3 +20,29 @@ def test_stream_equals_batch_and_replay_is_harmless(spark, sf_small):
     q.awaitTermination()
     again = sorted(tuple(r) for r in refresh.read_monthly(spark, f"{root}/monthly").collect())
     assert again == want
+
+
+def test_event_windows_watermark_drops_only_too_late_rows(spark):
+    import datetime as dt
+    import time
+
+    from kpiforge.streaming import events as sev
+    root = scratch_path(spark, "stream-events-test")
+    landing = f"{root}/landing"
+
+    def land(rows_, name):
+        df = spark.createDataFrame(rows_, sev.EVENTS_SCHEMA)
+        df.coalesce(1).write.mode("append").parquet(landing)
+        time.sleep(1.1)   # distinct modification times keep arrival order
+
+    t = dt.datetime
+    land([(1, t(2024, 1, 1, 10), 1, "view", 1.0, None), (2, t(2024, 1, 1, 11), 2, "purchase", 2.5, None)], "a")
+    land([(3, t(2024, 1, 3, 9), 1, "view", 1.0, None)], "b")
+    land([(5, t(2024, 1, 3, 10), 2, "purchase", 1.25, None)], "c")
+    # 2 days late, after the watermark (max seen - 1 day) has passed the day's end: dropped
+    land([(4, t(2024, 1, 1, 12), 3, "view", 1.0, None)], "d")
+    q = sev.start_event_windows(spark, landing, f"{root}/t", f"{root}/ck", allowed_lateness="1 day", max_files=1)
+    q.awaitTermination()
+    got = {r.date: (r.events, r.pageviews, r.purchases, r.purchase_value)
+           for r in sev.read_daily_events(spark, f"{root}/t").collect()}
+    assert got == {dt.date(2024, 1, 1): (2, 1, 1, 2.5), dt.date(2024, 1, 3): (2, 1, 1, 1.25)}
