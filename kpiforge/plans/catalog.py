@@ -420,3 +420,28 @@ def q_stream_event_windows(spark, sf_dir):
     q = sev.start_event_windows(spark, landing, table, ckpt, max_files=1)
     q.awaitTermination()
     return sev.read_daily_events(spark, table)
+
+
+def tenant_upsert_inputs(daily):
+    """Existing and update frames keyed by (tenant, date) with planted duplicates.
+
+    existing: day index (seq) % 4 != 0, plus a second copy (seq + 1000,
+    visitors + 1) of tenant % 7 == 0 and seq % 5 == 0 rows. updates: seq % 3
+    == 0 with visitors x2 and li_views NULL for even tenants (seq + 2000).
+    """
+    keep = daily.where(F.col("seq") % 4 != 0)
+    dup = keep.where((F.col("tenant") % 7 == 0) & (F.col("seq") % 5 == 0)) \
+        .withColumn("ga_visitors", F.col("ga_visitors") + 1).withColumn("seq", F.col("seq") + 1000)
+    upd = daily.where(F.col("seq") % 3 == 0).withColumn("ga_visitors", F.col("ga_visitors") * 2) \
+        .withColumn("li_views", F.when(F.col("tenant") % 2 == 0, F.lit(None).cast("bigint")).otherwise(F.col("li_views"))) \
+        .withColumn("seq", F.col("seq") + 2000)
+    return keep.unionByName(dup), upd
+
+
+@register("tenant_upsert")
+def q_tenant_upsert(spark, sf_dir):
+    """SNK-1, JON-5, SET-3, PRJ-4 with composite keys: keyed upsert of
+    synthetic daily facts of every customer as a tenant."""
+    daily = synth.synthetic_daily(base.read(spark, sf_dir, "customer"), "c_custkey", 90)
+    existing, updates = tenant_upsert_inputs(daily)
+    return facts.upsert(existing, updates, ["tenant", "date"], "seq")

@@ -609,3 +609,33 @@ SELECT CAST(ts AS DATE) AS date, COUNT(*) AS events, COUNT_IF(event_type = 'view
   COALESCE(CAST(round(SUM(CASE WHEN event_type = 'purchase' THEN CAST(value AS DECIMAL(38,9)) END), 2) AS DOUBLE),
            0.0) AS purchase_value
 FROM events GROUP BY 1"""
+
+_SY_COLS = ["tenant", "date"] + list(DAILY_KPIS) + ["seq"]
+
+
+def _sy_select(overrides: dict) -> str:
+    return ", ".join(f"{overrides[c]} AS {c}" if c in overrides else c for c in _SY_COLS)
+
+
+_KPI_FILL = {k: ("0.0" if k in DOUBLE_KPIS else "0") for k in DAILY_KPIS}
+
+ORACLE["tenant_upsert"] = with_ctes(SYNTH_CTE, f"""
+ex AS (
+  SELECT {_sy_select({})} FROM sy WHERE seq % 4 <> 0
+  UNION ALL
+  SELECT {_sy_select({'ga_visitors': 'ga_visitors + 1', 'seq': 'seq + 1000'})}
+  FROM sy WHERE seq % 4 <> 0 AND tenant % 7 = 0 AND seq % 5 = 0
+),
+up AS (
+  SELECT {_sy_select({'ga_visitors': 'ga_visitors * 2',
+                      'li_views': 'CASE WHEN tenant % 2 = 0 THEN NULL ELSE li_views END', 'seq': 'seq + 2000'})}
+  FROM sy WHERE seq % 3 = 0
+),
+ul AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY tenant, date ORDER BY seq DESC) AS rn FROM up) x
+       WHERE rn = 1),
+ef AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY tenant, date ORDER BY seq) AS rn FROM ex) x
+       WHERE rn = 1)""") + "SELECT ul.tenant, ul.date, " + ", ".join(
+    f"COALESCE(ul.{k}, ef.{k}, {_KPI_FILL[k]}) AS {k}" for k in DAILY_KPIS) + """, ul.seq
+FROM ul LEFT JOIN ef ON ul.tenant = ef.tenant AND ul.date = ef.date
+UNION ALL
+SELECT * FROM ex WHERE NOT EXISTS (SELECT 1 FROM up WHERE up.tenant = ex.tenant AND up.date = ex.date)"""
