@@ -60,11 +60,6 @@ d AS (
   FROM a_
 )"""
 
-DAILY_COLS = ("date, ga_visitors, ga_sessions, ga_bounce_rate, notion_customers_total, "
-              "notion_yearly_consumption_gwh, notion_provision_eur, manual_license_revenue, zoho_deals_total, "
-              "zoho_deals_new, zoho_deals_active, zoho_deals_won, zoho_deals_lost, zoho_deals_waiting, auth0_mau, "
-              "li_impressions, li_views, seq")
-
 STAGES_SQL = f"""CASE
       WHEN o_orderstatus = 'F' AND o_orderpriority = '1-URGENT' THEN {_q(WON_STAGES[0])}
       WHEN o_orderstatus = 'F' AND o_orderpriority = '2-HIGH' AND o_orderkey % 2 = 0 THEN {_q(WON_STAGES[1])}
