@@ -4,7 +4,7 @@ from .dates import (as_date_lit, day_end_ms, day_start_ms, days_before, days_in_
                     iso_date_prefix, month_key, weekend_factor, year_progress, yyyymmdd_to_date)
 from .nested import (PAGE_RESPONSE_SCHEMA, PAGE_TYPE, PROPERTY_TYPE, first_present, nested_or, prop_ids,
                      prop_number, prop_text)
-from .numbers import (clamp, coerce_number, exact_sum, kwh_to_gwh, normalize_number_text, parse_number,
+from .numbers import (bounce_with_fallback, clamp, coerce_number, exact_sum, kwh_to_gwh, normalize_number_text, parse_number,
                       pct_change, round_half_even, round_half_up, safe_ratio_pct)
 from .status import (attainment_band, attainment_pct, gauge_edges, lead_status, month_share,
                      on_track_status, progress_record)

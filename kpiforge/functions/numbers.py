@@ -90,6 +90,12 @@ def safe_ratio_pct(num, den) -> Column:
     return F.when(den > 0, num / den * 100).otherwise(F.lit(0.0))
 
 
+def bounce_with_fallback(bounce_pct, engagement_pct) -> Column:
+    """SRC-12: bounce rate, or ``100 - engagement rate`` when the bounce rate
+    is missing (both in percent)."""
+    return F.coalesce(_c(bounce_pct).cast("double"), F.lit(100.0) - _c(engagement_pct).cast("double"))
+
+
 def clamp(c, low=None, high=None) -> Column:
     """SCL-14: greatest(low, least(high, c))."""
     out = _c(c)

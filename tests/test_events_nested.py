@@ -117,3 +117,14 @@ def test_first_data_source_and_picklists(spark):
                                 '{"api_name":"Amount","data_type":"currency"}]}',)], "doc string")
     pv = landed.picklist_values(landed.parse_landed(f, "doc", landed.FIELDS_SCHEMA), ["Stage"])
     assert [r.actual_value for r in pv.collect()] == ["a", "b"]
+
+
+def test_approx_mau_close_to_exact(spark):
+    rnd = random.Random(11)
+    recs = [(rnd.randint(0, 60) * 1440 + rnd.randint(0, 1000), rnd.randint(1, 3000), "view") for _ in range(20000)]
+    df = _events(spark, recs)
+    exact = {r["date"]: r["mau"] for r in rows(ev.monthly_active_users(df))}
+    approx = {r["date"]: r["mau_approx"] for r in rows(ev.approx_monthly_active_users(df))}
+    assert set(exact) == set(approx)
+    for d, v in exact.items():
+        assert abs(approx[d] - v) <= max(5, 0.05 * v), (d, v, approx[d])

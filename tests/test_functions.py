@@ -152,3 +152,8 @@ def test_clean_key_clamp_and_gauge_edges(spark):
     assert (r.edge_warning, r.edge_success, r.edge_max) == (70.0, 100.0, 120.0)
     assert spark.range(1).select(fx.month_share(F.lit(1200.0)).alias("m")).first().m == 100.0
     assert spark.range(1).select(fx.kwh_to_gwh(F.lit(2_500_000.0)).alias("g")).first().g == 2.5
+
+
+def test_bounce_with_fallback(spark):
+    df = spark.createDataFrame([(40.0, 70.0), (None, 70.0), (None, None)], "b double, e double")
+    assert [r.v for r in df.select(fx.bounce_with_fallback("b", "e").alias("v")).collect()] == [40.0, 30.0, None]
