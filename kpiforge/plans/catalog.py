@@ -427,12 +427,15 @@ def tenant_upsert_inputs(daily):
 
     existing: day index (seq) % 4 != 0, plus a second copy (seq + 1000,
     visitors + 1) of tenant % 7 == 0 and seq % 5 == 0 rows. updates: seq % 3
-    == 0 with visitors x2 and li_views NULL for even tenants (seq + 2000).
+    == 0 or seq % 4 == 0 with visitors x2 and li_views NULL for even tenants
+    (seq + 2000). Every generated row is in the existing table, the updates
+    or both.
     """
     keep = daily.where(F.col("seq") % 4 != 0)
     dup = keep.where((F.col("tenant") % 7 == 0) & (F.col("seq") % 5 == 0)) \
         .withColumn("ga_visitors", F.col("ga_visitors") + 1).withColumn("seq", F.col("seq") + 1000)
-    upd = daily.where(F.col("seq") % 3 == 0).withColumn("ga_visitors", F.col("ga_visitors") * 2) \
+    upd = daily.where((F.col("seq") % 3 == 0) | (F.col("seq") % 4 == 0)) \
+        .withColumn("ga_visitors", F.col("ga_visitors") * 2) \
         .withColumn("li_views", F.when(F.col("tenant") % 2 == 0, F.lit(None).cast("bigint")).otherwise(F.col("li_views"))) \
         .withColumn("seq", F.col("seq") + 2000)
     return keep.unionByName(dup), upd

@@ -624,7 +624,7 @@ ex AS (
 up AS (
   SELECT {_sy_select({'ga_visitors': 'ga_visitors * 2',
                       'li_views': 'CASE WHEN tenant % 2 = 0 THEN NULL ELSE li_views END', 'seq': 'seq + 2000'})}
-  FROM sy WHERE seq % 3 = 0
+  FROM sy WHERE seq % 3 = 0 OR seq % 4 = 0
 ),
 ul AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY tenant, date ORDER BY seq DESC) AS rn FROM up) x
        WHERE rn = 1),
