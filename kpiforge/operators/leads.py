@@ -56,6 +56,7 @@ def lead_lists(leads: DataFrame, statuses: Sequence[str] = ("new", "active"), by
     sel = leads.where(F.col("status").isin(*statuses))
     sizes = sel.groupBy(*by, "status").agg(F.count(F.lit(1)).alias("list_size"))
     shown = sel.select(*by, "status", *[F.col(src).alias(dst) for src, dst in LEAD_DISPLAY_LABELS])
+    # without groups, ``sizes`` has at most len(statuses) rows: safe to broadcast
     return shown.join(F.broadcast(sizes) if not by else sizes, [*by, "status"], "inner")
 
 
