@@ -16,6 +16,8 @@ DEFAULT_CONF = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # remove reliable-checkpoint files once the checkpointed data is no longer referenced
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # Spark 4.1 lets a union of key-partitioned inputs report that partitioning;
     # with adaptive execution this can leave a later keyed join with inputs of
     # different partition counts ("Can't zip RDDs with unequal numbers of

@@ -128,3 +128,20 @@ def test_approx_mau_close_to_exact(spark):
     assert set(exact) == set(approx)
     for d, v in exact.items():
         assert abs(approx[d] - v) <= max(5, 0.05 * v), (d, v, approx[d])
+
+
+def test_hot_user_third_of_events(spark):
+    # one user holds a third of all events, spread over many hour buckets
+    rnd = random.Random(5)
+    recs = []
+    for _ in range(900):
+        recs.append((rnd.randint(0, 4 * 1440), 1, rnd.choice(["view", "click"])))
+    for _ in range(1800):
+        recs.append((rnd.randint(0, 4 * 1440), rnd.randint(2, 60), rnd.choice(["view", "click"])))
+    recs = list({(m, u): (m, u, k) for m, u, k in recs}.values())
+    df = _events(spark, recs)
+    got = {r["date"]: (r["visitors"], r["sessions"], r["bounces"], r["pageviews"], r["events"])
+           for r in rows(ev.daily_metrics(df))}
+    assert got == _brute_daily(recs)
+    exact = {r["date"]: r["mau"] for r in rows(ev.monthly_active_users(df))}
+    assert max(exact.values()) == len({u for _m, u, _k in recs})
