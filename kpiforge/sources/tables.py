@@ -18,8 +18,10 @@ from ..schemas import DAILY_SCHEMA, LEADS_SCHEMA, MONTHLY_SCHEMA, TARGETS_SCHEMA
 def typed_from_text(raw: DataFrame, schema: T.StructType, on_bad: str = "zero") -> DataFrame:
     """Text columns -> ``schema``: dates with ``to_date``, numbers with
     ``parse_number`` (bad -> 0 or NULL), strings as text where an empty cell
-    is the empty string (text tables have no NULL, as in a sheet)."""
-    out = []
+    is the empty string (text tables have no NULL, as in a sheet). Columns
+    outside the schema (grouping keys such as a tenant) pass through first."""
+    known = set(schema.fieldNames())
+    out = [F.col(c) for c in raw.columns if c not in known]
     for f in schema.fields:
         if f.name not in raw.columns:
             out.append(F.lit(None).cast(f.dataType).alias(f.name))

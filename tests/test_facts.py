@@ -123,3 +123,11 @@ def test_kpis_collected_and_table_counts(spark):
     assert rows(kpis_collected(d, ["ga_visitors", "li_views", "auth0_mau"])) == [{"kpis_collected": 2}]
     out = rows(table_counts({"a": d, "b": None}, ["a", "b"]), ["pos"])
     assert [(r["table_name"], r["present"], r["n_rows"]) for r in out] == [("a", True, 2), ("b", False, 0)]
+
+
+def test_text_table_keeps_group_keys(spark):
+    path = scratch_path(spark, "daily-csv-tenant")
+    spark.createDataFrame([("t1", "2026-01-01", "5")], "tenant string, date string, ga_visitors string") \
+        .write.option("header", True).csv(path)
+    r = rows(load_daily(spark, path))[0]
+    assert r["tenant"] == "t1" and r["ga_visitors"] == 5 and r["date"] == D(2026, 1, 1)
