@@ -75,7 +75,7 @@ def new_since_previous(end_col: str, by: Sequence[str], order_col: str) -> Colum
 
 
 def monthly_rollup(daily: DataFrame, by: Sequence[str] = (), date_col: str = "date",
-                   month: str | None = None, known=None) -> DataFrame:
+                   month: str | None = None, known=None, seed: DataFrame | None = None) -> DataFrame:
     """AGG-6: daily facts -> one row per month (and per ``by`` group).
 
     Sums (visitors, impressions, views), truncated mean of visitors, last
@@ -84,6 +84,10 @@ def monthly_rollup(daily: DataFrame, by: Sequence[str] = (), date_col: str = "da
     the last known earlier month. ``month='yyyy-MM'`` restricts the output
     to one month (the reference's current-month behaviour); new customers
     still look at every earlier month.
+
+    ``seed`` (columns ``by..., month, notion_customers_end``) supplies known
+    month ends from before the daily rows, e.g. the stored monthly table, so
+    an incremental recompute does not need to re-read older daily history.
     """
     by = list(by)
     d = with_missing(daily, DAILY_SCHEMA).withColumn("month", month_key(F.col(date_col)))
@@ -107,9 +111,15 @@ def monthly_rollup(daily: DataFrame, by: Sequence[str] = (), date_col: str = "da
         F.sum("li_impressions").cast("bigint").alias("li_impressions_sum"),
         F.sum("li_views").cast("bigint").alias("li_views_sum"),
     )
+    if seed is not None:
+        seeded = seed.where(F.col("notion_customers_end") > 0).select(
+            *by, "month", F.col("notion_customers_end").cast("bigint").alias("_cust_end"),
+            F.lit(True).alias("_seed"))
+        agg = agg.withColumn("_seed", F.lit(False)).unionByName(seeded, allowMissingColumns=True)
     out = agg.select(
         *by,
         "month",
+        *(["_seed"] if seed is not None else []),
         "ga_visitors_sum",
         "ga_visitors_avg",
         F.coalesce("_cust_end", F.lit(0)).cast("bigint").alias("notion_customers_end"),
@@ -124,6 +134,8 @@ def monthly_rollup(daily: DataFrame, by: Sequence[str] = (), date_col: str = "da
         F.coalesce("li_impressions_sum", F.lit(0)).alias("li_impressions_sum"),
         F.coalesce("li_views_sum", F.lit(0)).alias("li_views_sum"),
     )
+    if seed is not None:
+        out = out.where(~F.col("_seed")).drop("_seed")
     if month is not None:
         out = out.where(F.col("month") == month)
     return out

@@ -24,10 +24,21 @@ from ..schemas import DAILY_SCHEMA, MONTHLY_SCHEMA
 
 def recompute_months(spark: SparkSession, facts_path: str, monthly_path: str, touched: DataFrame,
                      schema: T.StructType = DAILY_SCHEMA) -> None:
-    """STR-3: rewrite monthly rows from the earliest touched month onward."""
-    facts = spark.read.schema(schema_with_month(schema)).parquet(facts_path).drop("month")
-    first = touched.agg(F.min("month").alias("m")).select("m").scalar()
-    monthly = monthly_rollup(facts).where(F.col("month") >= first)
+    """STR-3: rewrite monthly rows from the earliest touched month onward.
+
+    Only fact partitions from that month on are read (partition pruning);
+    new-customer counts of the first recomputed month are seeded with the
+    known month ends already stored for earlier months, so the work does not
+    grow with the length of the history.
+    """
+    first = touched.agg(F.min("month").alias("m")).first()["m"]   # one scalar, drives partition pruning
+    facts = (spark.read.schema(schema_with_month(schema)).parquet(facts_path)
+             .where(F.col("month") >= F.lit(first)).drop("month"))
+    seed = None
+    if _exists(spark, monthly_path):
+        seed = (spark.read.schema(MONTHLY_SCHEMA).parquet(monthly_path)
+                .where(F.col("month") < F.lit(first)).select("month", "notion_customers_end"))
+    monthly = monthly_rollup(facts, seed=seed)
     write_partitioned(monthly, monthly_path, "month")
 
 
