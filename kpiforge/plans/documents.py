@@ -90,10 +90,22 @@ def _jobject(pairs: list[tuple[Column, Column]]) -> Column:
     return F.concat(F.lit("{"), *parts, F.lit("}"))
 
 
+def _by_page(df: DataFrame, group: Column) -> DataFrame:
+    """Hash-partition raw rows by their page key before documents are built.
+
+    The page grouping needs this shuffle anyway; doing it on the narrow raw
+    columns means the JSON text is built after the shuffle, in parallel, and
+    the grouping below needs no second exchange. A fixed partition count keeps
+    adaptive execution from collapsing the build into one task.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.withColumn("grp", group).repartition(n, "grp")
+
+
 def _text_responses(pages: DataFrame, group: Column) -> DataFrame:
     """Cursor responses ``{"results": [...], "has_more", "next_cursor"}`` from
     page JSON texts grouped by ``group`` (bounded group size)."""
-    keyed = pages.select(group.alias("grp"), "page")
+    keyed = pages.select(group.alias("grp"), "page") if "grp" not in pages.columns else pages.select("grp", "page")
     g = keyed.groupBy("grp").agg(F.array_join(F.collect_list("page"), ",").alias("results"))
     last = keyed.agg(F.max("grp").alias("m")).select("m").scalar()   # key column only, no documents
     more = F.col("grp") < last
@@ -113,6 +125,7 @@ def lineitem_page_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     is much cheaper than serialising a generic tagged-union struct."""
     li = base.read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
                                                      "l_quantity", "l_extendedprice", "l_discount", "l_returnflag")
+    li = _by_page(li, (F.col("l_orderkey") / ORDERS_PER_RESPONSE).cast("bigint"))
     ln, pk, sk = F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey")
     kwh = F.col("l_quantity") * 1000
     name1 = F.element_at(F.array(*[F.lit(_jkey(n)) for n in KWH_NAMES]), (ln % 4 + 1).cast("int"))
@@ -129,14 +142,15 @@ def lineitem_page_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
                       (F.lit(_jkey("Status")), p3), (decoy_k, decoy_v)])
     page_id = F.concat_ws("-", F.lit("p"), F.col("l_orderkey"), ln)
     page = F.concat(F.lit('{"id":'), _json_string(page_id), F.lit(',"properties":'), props, F.lit("}"))
-    pages = li.select("l_orderkey", page.alias("page"))
-    return _text_responses(pages, (F.col("l_orderkey") / ORDERS_PER_RESPONSE).cast("bigint"))
+    pages = li.select("grp", page.alias("page"))
+    return _text_responses(pages, F.col("grp"))
 
 
 def order_customer_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page-database pages with a heterogeneous customer property
     (title, rich text, relation list, select, empty title) and a kWh number."""
     o = base.read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    o = _by_page(o, (F.col("o_orderkey") / CUSTOMER_PAGES_PER_RESPONSE).cast("bigint"))
     k, ck = F.col("o_orderkey"), F.col("o_custkey")
     name = F.concat(F.lit("cust-"), ck.cast("string"))
     t = k % 5
@@ -152,8 +166,8 @@ def order_customer_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = _jtyped("select", F.concat(F.lit('{"name":'), _json_string(F.col("o_orderstatus")), F.lit("}")))
     props = _jobject([(key, kunde), (F.lit(_jkey("kWh")), kwh), (F.lit(_jkey("Status")), status)])
     page = F.concat(F.lit('{"id":"o-'), k.cast("string"), F.lit('","properties":'), props, F.lit("}"))
-    pages = o.select(page.alias("page"), k)
-    return _text_responses(pages, (k / CUSTOMER_PAGES_PER_RESPONSE).cast("bigint"))
+    pages = o.select("grp", page.alias("page"))
+    return _text_responses(pages, F.col("grp"))
 
 
 def social_stat_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
