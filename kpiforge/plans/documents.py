@@ -174,6 +174,7 @@ def social_stat_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Social statistics documents: per day and block of event ids, an
     ``elements[]`` array (missing counters absent) and an epoch-ms interval."""
     e = base.read(spark, sf_dir, "events").select("event_id", "ts", "event_type", "value")
+    e = _by_page(e, (F.col("event_id") / EVENTS_PER_DOC).cast("bigint"))
     et = F.col("event_type")
     el = F.struct(
         F.struct((F.col("event_id") % 50 + 1).alias("impressionCount"),
@@ -181,8 +182,7 @@ def social_stat_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
                  F.when(et == "purchase", F.col("value")).alias("engagement")).alias("totalShareStatistics"),
         F.when(et == "view", F.struct(F.struct(F.struct(F.lit(1).alias("pageViews")).alias("allPageViews"))
                                       .alias("views"))).alias("pageStatistics"))
-    d = e.select(F.col("ts").cast("date").alias("day"), (F.col("event_id") / EVENTS_PER_DOC).cast("bigint")
-                 .alias("blk"), el.alias("el"))
+    d = e.select(F.col("ts").cast("date").alias("day"), F.col("grp").alias("blk"), el.alias("el"))
     g = d.groupBy("day", "blk").agg(F.collect_list("el").alias("elements"))
     doc = F.to_json(F.struct("elements", F.struct(day_start_ms("day").alias("start"),
                                                   day_end_ms("day").alias("end")).alias("timeRange")))
