@@ -88,3 +88,25 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     if "://" not in path:
         os.makedirs(os.path.dirname(path), exist_ok=True)
     return path
+
+
+def size_partitions(spark: SparkSession, input_bytes: int, target_bytes: int = 128 * 1024 * 1024,
+                    min_partitions: int | None = None) -> int:
+    """Size shuffles and file splits for an input of ``input_bytes``.
+
+    Sets ``spark.sql.shuffle.partitions`` (and the adaptive initial partition
+    count) so that a shuffle partition holds about ``target_bytes`` of input,
+    never fewer than the cluster's default parallelism; adaptive execution then
+    coalesces small partitions at run time (``advisoryPartitionSizeInBytes``)
+    and splits skewed ones. File splits use the same target. Returns the count.
+    """
+    floor = min_partitions or spark.sparkContext.defaultParallelism
+    n = max(floor, -(-int(input_bytes) // int(target_bytes)))
+    for k, v in {
+        "spark.sql.shuffle.partitions": str(n),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(n),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(int(target_bytes)),
+        "spark.sql.files.maxPartitionBytes": str(int(target_bytes)),
+    }.items():
+        spark.conf.set(k, v)
+    return n

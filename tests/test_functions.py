@@ -157,3 +157,17 @@ def test_clean_key_clamp_and_gauge_edges(spark):
 def test_bounce_with_fallback(spark):
     df = spark.createDataFrame([(40.0, 70.0), (None, 70.0), (None, None)], "b double, e double")
     assert [r.v for r in df.select(fx.bounce_with_fallback("b", "e").alias("v")).collect()] == [40.0, 30.0, None]
+
+
+def test_size_partitions(spark):
+    from kpiforge.session import size_partitions
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        n = size_partitions(spark, 100 * 1024**4)          # 100 TiB at 128 MiB per partition
+        assert n == 819200 and spark.conf.get("spark.sql.shuffle.partitions") == "819200"
+        assert size_partitions(spark, 10) == spark.sparkContext.defaultParallelism
+    finally:
+        for k in ["spark.sql.adaptive.coalescePartitions.initialPartitionNum",
+                  "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.files.maxPartitionBytes"]:
+            spark.conf.unset(k)
+        spark.conf.set("spark.sql.shuffle.partitions", old)
