@@ -417,7 +417,7 @@ def q_stream_event_windows(spark, sf_dir):
     root = scratch_path(spark, "stream_events")
     landing, table, ckpt = f"{root}/landing", f"{root}/daily_events", f"{root}/ckpt"
     base.read(spark, sf_dir, "events").repartition(4).write.mode("overwrite").parquet(landing)
-    q = sev.start_event_windows(spark, landing, table, ckpt, max_files=1)
+    q = sev.start_event_windows(spark, landing, table, ckpt, max_files=2)
     q.awaitTermination()
     return sev.read_daily_events(spark, table)
 
