@@ -9,10 +9,21 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-
-from ..operators import rollup
-from ..session import ensure_runtime_conf
-from . import base
+from pyspark.sql import functions as F
+
+from .. import functions as fx
+from ..functions.nested import PAGE_RESPONSE_SCHEMA
+from ..functions.numbers import exact_sum
+from ..operators import facts, reports, rollup, targets, windows
+from ..operators import leads as leads_ops
+from ..operators import nested as nested_ops
+from ..schemas import DAILY_KPIS, LEADS_SCHEMA, WON_STAGES
+from ..session import ensure_runtime_conf, scratch_path
+from ..sources import events as ev
+from ..sources import landed, synth
+from ..streaming import events as sev
+from ..streaming import refresh
+from . import base, documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -36,9 +47,6 @@ def q_monthly_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- rollup variant, windows, series -------------------------------------------------
 
-from ..operators import leads as leads_ops  # noqa: E402
-from ..operators import reports, windows  # noqa: E402
-from ..schemas import WON_STAGES  # noqa: E402
 
 # Series labels of the traffic chart.
 TRAFFIC_LABELS = {"ga_visitors": "Besucher", "ga_sessions": "Sessions"}
@@ -135,9 +143,6 @@ def q_newest_leads(spark, sf_dir):
 
 # --- targets --------------------------------------------------------------------------
 
-from ..operators import facts, targets  # noqa: E402
-from ..schemas import DAILY_KPIS  # noqa: E402
-
 
 @register("ytd_values")
 def q_ytd_values(spark, sf_dir):
@@ -195,10 +200,6 @@ def q_merge_sources(spark, sf_dir):
 
 # --- scalar functions over driver rows ------------------------------------------------
 
-from pyspark.sql import functions as F  # noqa: E402
-
-from .. import functions as fx  # noqa: E402
-from ..sources import events as ev  # noqa: E402
 
 # format name per o_orderkey % 8
 NUMBER_FORMATS = ["en_grouped", "de_grouped", "comma_decimal", "plain", "padded", "currency_suffix",
@@ -283,11 +284,6 @@ def q_monthly_active_users(spark, sf_dir):
 
 # --- landed documents ------------------------------------------------------------------
 
-from ..functions.nested import PAGE_RESPONSE_SCHEMA  # noqa: E402
-from ..functions.numbers import exact_sum  # noqa: E402
-from ..operators import nested as nested_ops  # noqa: E402
-from ..sources import landed  # noqa: E402
-from . import documents  # noqa: E402
 
 _DEC = "decimal(38,9)"
 
@@ -356,11 +352,6 @@ def q_first_data_source(spark, sf_dir):
 
 # --- sinks, streaming, health, generator ---------------------------------------------
 
-from ..schemas import LEADS_SCHEMA  # noqa: E402
-from ..session import scratch_path  # noqa: E402
-from ..sources import synth  # noqa: E402
-from ..streaming import refresh  # noqa: E402
-
 
 @register("snapshot_overwrite")
 def q_snapshot_overwrite(spark, sf_dir):
@@ -413,7 +404,6 @@ def q_tenant_monthly_rollup(spark, sf_dir):
 def q_stream_event_windows(spark, sf_dir):
     """STR-1, STR-3, SRC-11 streaming form: event files as a stream, one-day
     tumbling windows in update mode, upserted by date per micro-batch."""
-    from ..streaming import events as sev
     root = scratch_path(spark, "stream_events")
     landing, table, ckpt = f"{root}/landing", f"{root}/daily_events", f"{root}/ckpt"
     base.read(spark, sf_dir, "events").repartition(4).write.mode("overwrite").parquet(landing)

@@ -7,8 +7,9 @@ CTE fragments; each query appends its own CTEs and final SELECT.
 
 from __future__ import annotations
 
-from ..schemas import (FUNNEL_STAGES, KPI_META_ROWS, LOST_STAGES, MONTHLY_COLUMN_MAP, SCOREBOARD_LAYOUT,
-                       TARGET_ROWS, WAITING_STAGES, WON_STAGES)
+from ..schemas import (DAILY_KPIS, DOUBLE_KPIS, FUNNEL_STAGES, KPI_META_ROWS, LEAD_COUNT_KPIS, LOST_STAGES,
+                       MONTHLY_COLUMN_MAP, MONTHLY_COLUMNS, SCOREBOARD_LAYOUT, SNAPSHOT_KPIS, TARGET_ROWS,
+                       WAITING_STAGES, WON_STAGES)
 
 
 def _q(s: str) -> str:
@@ -299,8 +300,6 @@ FROM l ORDER BY created_date DESC, lead_id LIMIT 5"""
 
 # --- targets ---------------------------------------------------------------------------
 
-from ..schemas import DAILY_KPIS, DOUBLE_KPIS, LEAD_COUNT_KPIS, MONTHLY_COLUMNS, SNAPSHOT_KPIS  # noqa: E402
-
 
 def _ytd_sql(kpis, y0: int) -> str:
     parts = []
