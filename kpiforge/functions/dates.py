@@ -61,14 +61,34 @@ def year_progress(c) -> Column:
     return F.dayofyear(d).cast("double") / days_in_year(d)
 
 
+MS_PER_DAY = 86_400_000
+
+
 def day_start_ms(c) -> Column:
-    """SCL-7: epoch milliseconds of the day start (session time zone)."""
-    return F.unix_millis(F.to_timestamp(_c(c).cast("date")))
+    """SCL-7: epoch milliseconds of the (UTC) day start; independent of the
+    session time zone."""
+    return F.unix_date(_c(c).cast("date")).cast("bigint") * MS_PER_DAY
 
 
 def day_end_ms(c) -> Column:
-    """SCL-7: epoch milliseconds of the next day start."""
-    return F.unix_millis(F.to_timestamp(F.date_add(_c(c).cast("date"), 1)))
+    """SCL-7: epoch milliseconds of the next (UTC) day start."""
+    return (F.unix_date(_c(c).cast("date")).cast("bigint") + 1) * MS_PER_DAY
+
+
+def date_of_ms(c) -> Column:
+    """The UTC date of an epoch-milliseconds value (inverse of ``day_start_ms``)."""
+    return F.date_from_unix_date(F.floor(_c(c) / MS_PER_DAY).cast("int"))
+
+
+def utc_instant(c) -> Column:
+    """A ``timestamp_ntz`` wall clock as the TIMESTAMP instant with that wall
+    clock in UTC, independent of the session time zone (needed where Spark
+    requires a TIMESTAMP, e.g. watermarks)."""
+    t = _c(c)
+    micros = (F.unix_date(t.cast("date")).cast("bigint") * 86_400_000_000
+              + F.hour(t).cast("bigint") * 3_600_000_000 + F.minute(t).cast("bigint") * 60_000_000
+              + (F.date_part(F.lit("SECOND"), t) * 1_000_000).cast("bigint"))
+    return F.timestamp_micros(micros)
 
 
 def weekend_factor(c, weekend: float = 0.6, weekday: float = 1.0) -> Column:

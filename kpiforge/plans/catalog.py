@@ -324,7 +324,7 @@ def q_nested_property_sum(spark, sf_dir):
 def q_nested_array_sum(spark, sf_dir):
     """AGG-11, SRC-13."""
     docs = landed.parse_landed(documents.social_stat_docs(spark, sf_dir), "doc", landed.STATS_SCHEMA)
-    day = F.timestamp_millis(F.col("timeRange.start")).cast("date").alias("date")
+    day = fx.date_of_ms(F.col("timeRange.start")).alias("date")
     return nested_ops.element_totals(docs, by=[day])
 
 

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.dates import date_of_ms, utc_instant
 from ..operators.facts import _exists, schema_with_month, upsert_table
 
 EVENTS_SCHEMA = T.StructType([
@@ -43,8 +44,12 @@ DAILY_EVENTS_SCHEMA = T.StructType([
 
 def daily_event_windows(stream: DataFrame, ts: str = "ts", kind: str = "event_type",
                         allowed_lateness: str | None = None) -> DataFrame:
-    """Tumbling one-day windows over an event stream (running totals)."""
-    t = F.col(ts).cast("timestamp")
+    """Tumbling one-day windows over an event stream (running totals).
+
+    Days are UTC days of the event wall clock, whatever the session time
+    zone: the event time is turned into its UTC instant before windowing."""
+    ts_type = stream.schema[ts].dataType.simpleString()
+    t = utc_instant(F.col(ts)) if ts_type == "timestamp_ntz" else F.col(ts)
     s = stream.withColumn("_t", t)
     if allowed_lateness:
         s = s.withWatermark("_t", allowed_lateness)
@@ -55,7 +60,7 @@ def daily_event_windows(stream: DataFrame, ts: str = "ts", kind: str = "event_ty
         F.count_if(k == "purchase").alias("purchases"),
         F.sum(F.when(k == "purchase", F.col("value").cast("decimal(38,9)"))).alias("_pv"),
     )
-    return agg.select(F.col("w.start").cast("date").alias("date"), "events", "pageviews", "purchases",
+    return agg.select(date_of_ms(F.unix_millis("w.start")).alias("date"), "events", "pageviews", "purchases",
                       F.coalesce(F.round("_pv", 2), F.lit(0)).cast("double").alias("purchase_value"))
 
 

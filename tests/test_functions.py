@@ -171,3 +171,22 @@ def test_size_partitions(spark):
                   "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.files.maxPartitionBytes"]:
             spark.conf.unset(k)
         spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def test_day_bounds_and_utc_instant_ignore_session_zone(spark):
+    import datetime as _dt
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        out = []
+        for tz in ("UTC", "America/Los_Angeles", "Asia/Kolkata"):
+            spark.conf.set("spark.sql.session.timeZone", tz)
+            df = spark.createDataFrame([(_dt.datetime(2024, 3, 10, 23, 30, 15, 250000),)], "ts timestamp_ntz")
+            r = df.select(fx.day_start_ms(F.col("ts").cast("date")).alias("s"), fx.day_end_ms(F.col("ts").cast("date")).alias("e"),
+                          F.unix_micros(fx.utc_instant("ts")).alias("u"),
+                          fx.date_of_ms(fx.day_start_ms(F.col("ts").cast("date"))).alias("d")).first()
+            out.append(tuple(r))
+        assert out[0] == out[1] == out[2]
+        assert out[0][0] == 19792 * 86_400_000 and out[0][3] == _dt.date(2024, 3, 10)
+        assert out[0][2] == 19792 * 86_400_000_000 + (23 * 3600 + 30 * 60 + 15) * 1_000_000 + 250_000
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
