@@ -370,7 +370,8 @@ def q_stream_refresh(spark, sf_dir):
     touched months recomputed; returns the resulting monthly table."""
     root = scratch_path(spark, "stream_refresh")
     landing, facts_p, monthly_p, ckpt = (f"{root}/landing", f"{root}/facts", f"{root}/monthly", f"{root}/ckpt")
-    base.daily_from_orders(spark, sf_dir).repartition(4, "date").write.mode("overwrite").parquet(landing)
+    # landed in date ranges, as daily files arrive; a later batch then touches only later months
+    base.daily_from_orders(spark, sf_dir).repartitionByRange(4, "date").write.mode("overwrite").parquet(landing)
     q = refresh.start_refresh(spark, landing, facts_p, monthly_p, ckpt, max_files=2)
     q.awaitTermination()
     return refresh.read_monthly(spark, monthly_p)
