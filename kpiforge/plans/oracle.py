@@ -27,16 +27,16 @@ o_ AS (
 ),
 a_ AS (
   SELECT date, COUNT(*) AS n, COUNT(DISTINCT o_custkey) AS cust,
-    COUNT_IF(o_orderpriority = '5-LOW') AS low,
+    CAST(COUNT_IF(o_orderpriority = '5-LOW') AS BIGINT) AS low,
     SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS price,
     SUM(CASE WHEN o_orderstatus = 'P' THEN CAST(o_totalprice AS DECIMAL(18,2)) END) AS price_p,
-    COUNT_IF(o_orderstatus = 'O') AS n_o,
-    COUNT_IF(o_orderstatus = 'P') AS n_p,
-    COUNT_IF(o_orderstatus = 'F' AND o_orderpriority IN ('1-URGENT', '2-HIGH')) AS won,
-    COUNT_IF(o_orderstatus = 'F' AND o_orderpriority NOT IN ('1-URGENT', '2-HIGH')) AS lost,
-    COUNT_IF(o_orderstatus = 'P' AND o_orderpriority = '5-LOW') AS waiting,
+    CAST(COUNT_IF(o_orderstatus = 'O') AS BIGINT) AS n_o,
+    CAST(COUNT_IF(o_orderstatus = 'P') AS BIGINT) AS n_p,
+    CAST(COUNT_IF(o_orderstatus = 'F' AND o_orderpriority IN ('1-URGENT', '2-HIGH')) AS BIGINT) AS won,
+    CAST(COUNT_IF(o_orderstatus = 'F' AND o_orderpriority NOT IN ('1-URGENT', '2-HIGH')) AS BIGINT) AS lost,
+    CAST(COUNT_IF(o_orderstatus = 'P' AND o_orderpriority = '5-LOW') AS BIGINT) AS waiting,
     SUM(o_custkey % 97) AS imp,
-    COUNT_IF(o_orderpriority IN ('1-URGENT', '2-HIGH')) AS views
+    CAST(COUNT_IF(o_orderpriority IN ('1-URGENT', '2-HIGH')) AS BIGINT) AS views
   FROM o_ GROUP BY date
 ),
 d AS (
@@ -261,7 +261,7 @@ a AS (
     CAST(COALESCE(arg_max(auth0_mau, seq) FILTER (WHERE win AND auth0_mau > 0), 0) AS BIGINT) AS mau
   FROM c
 ),
-lc AS (SELECT COUNT_IF(status IN ('new', 'active')) AS active_leads, COUNT_IF(status = 'new') AS new_leads FROM l)
+lc AS (SELECT CAST(COUNT_IF(status IN ('new', 'active')) AS BIGINT) AS active_leads, CAST(COUNT_IF(status = 'new') AS BIGINT) AS new_leads FROM l)
 """) + f"""SELECT a.*, {_pct('visitors', 'visitors_prev')} AS visitors_delta_pct,
   {_pct('impressions', 'impressions_prev')} AS impressions_delta_pct,
   CASE WHEN customers_prev > 0 THEN customers - customers_prev END AS customers_delta,
@@ -270,8 +270,8 @@ FROM a, lc"""
 
 ORACLE["lead_status"] = with_ctes(L_CTE) + "SELECT * FROM l"
 
-LEAD_COUNTS_SQL = """SELECT COUNT(*) AS total, COUNT_IF(status = 'new') AS "new", COUNT_IF(status = 'active') AS active,
-  COUNT_IF(status = 'won') AS won, COUNT_IF(status = 'lost') AS lost, COUNT_IF(status = 'waiting') AS waiting FROM l"""
+LEAD_COUNTS_SQL = """SELECT COUNT(*) AS total, CAST(COUNT_IF(status = 'new') AS BIGINT) AS "new", CAST(COUNT_IF(status = 'active') AS BIGINT) AS active,
+  CAST(COUNT_IF(status = 'won') AS BIGINT) AS won, CAST(COUNT_IF(status = 'lost') AS BIGINT) AS lost, CAST(COUNT_IF(status = 'waiting') AS BIGINT) AS waiting FROM l"""
 
 ORACLE["lead_status_counts"] = with_ctes(L_CTE) + LEAD_COUNTS_SQL
 
@@ -397,7 +397,7 @@ ex AS (SELECT {_daily_select({})} FROM d WHERE day(date) % 3 <> 0)""") + "SELECT
 
 ORACLE["merge_sources"] = with_ctes(D_CTE, """
 s2 AS (SELECT CAST(l_shipdate AS DATE) AS date, COUNT(*) AS li_impressions,
-       COUNT_IF(l_returnflag = 'R') AS li_views FROM lineitem GROUP BY 1)""") + """
+       CAST(COUNT_IF(l_returnflag = 'R') AS BIGINT) AS li_views FROM lineitem GROUP BY 1)""") + """
 SELECT COALESCE(d.date, s2.date) AS date,
   CAST(COALESCE(d.ga_visitors, 0) AS BIGINT) AS ga_visitors,
   CAST(COALESCE(d.ga_sessions, 0) AS BIGINT) AS ga_sessions,
@@ -451,8 +451,8 @@ fl AS (
   FROM ev
 )"""
 
-_METRICS_SQL = """COUNT(DISTINCT user_id) AS visitors, COUNT_IF(is_start) AS sessions,
-  COUNT_IF(is_start AND is_end) AS bounces, COUNT_IF(event_type = 'view') AS pageviews, COUNT(*) AS events"""
+_METRICS_SQL = """COUNT(DISTINCT user_id) AS visitors, CAST(COUNT_IF(is_start) AS BIGINT) AS sessions,
+  CAST(COUNT_IF(is_start AND is_end) AS BIGINT) AS bounces, CAST(COUNT_IF(event_type = 'view') AS BIGINT) AS pageviews, COUNT(*) AS events"""
 
 _BOUNCE_SQL = "CASE WHEN sessions > 0 THEN CAST(bounces AS DOUBLE) * 100 / CAST(sessions AS DOUBLE) ELSE 0.0 END"
 
@@ -463,9 +463,9 @@ x AS (SELECT CAST(ts AS DATE) AS date, {_METRICS_SQL} FROM fl GROUP BY 1)""") +
 ORACLE["metric_report_ranges"] = with_ctes(SESSIONS_CTE, """
 r AS (SELECT label, pos, DATE '2024-01-31' - s AS rs, DATE '2024-01-31' - e AS re FROM (VALUES
   ('today', 1, 0, 0), ('yesterday', 2, 1, 1), ('last_7_days', 3, 7, 1), ('last_30_days', 4, 30, 1)) v(label, pos, s, e)),
-x AS (SELECT r.label, r.pos, COUNT(DISTINCT user_id) AS visitors, COALESCE(COUNT_IF(is_start), 0) AS sessions,
-        COALESCE(COUNT_IF(is_start AND is_end), 0) AS bounces,
-        COALESCE(COUNT_IF(event_type = 'view'), 0) AS pageviews, COUNT(event_id) AS events
+x AS (SELECT r.label, r.pos, COUNT(DISTINCT user_id) AS visitors, COALESCE(CAST(COUNT_IF(is_start) AS BIGINT), 0) AS sessions,
+        COALESCE(CAST(COUNT_IF(is_start AND is_end) AS BIGINT), 0) AS bounces,
+        COALESCE(CAST(COUNT_IF(event_type = 'view') AS BIGINT), 0) AS pageviews, COUNT(event_id) AS events
       FROM r LEFT JOIN fl ON CAST(fl.ts AS DATE) BETWEEN r.rs AND r.re GROUP BY r.label, r.pos)""") + \
     f"SELECT *, {_BOUNCE_SQL} AS bounce_rate FROM x"
 
@@ -494,7 +494,7 @@ WITH x AS (
          ELSE l_quantity * 1000 END AS v,
     CASE WHEN l_discount > 0.05 THEN l_extendedprice ELSE -l_extendedprice END AS p
   FROM lineitem)
-SELECT status, COUNT(*) AS n_pages, COUNT_IF(v > 0) AS value_pages,
+SELECT status, COUNT(*) AS n_pages, CAST(COUNT_IF(v > 0) AS BIGINT) AS value_pages,
   CAST(round(CAST(COALESCE(CAST(SUM(CASE WHEN v > 0 THEN CAST(v AS DECIMAL(38,9)) END) AS DOUBLE), 0.0) / 1e6
     AS DECIMAL(38,9)), 2) AS DOUBLE) AS total_gwh,
   COALESCE(CAST(round(SUM(CASE WHEN p > 0 THEN CAST(p AS DECIMAL(38,9)) END), 2) AS DOUBLE), 0.0) AS provision
@@ -503,7 +503,7 @@ FROM x GROUP BY 1"""
 ORACLE["nested_array_sum"] = """
 SELECT CAST(ts AS DATE) AS date, CAST(SUM(event_id % 50 + 1) AS BIGINT) AS impressions,
   CAST(COALESCE(SUM(CASE WHEN event_type = 'purchase' THEN CAST(value AS DECIMAL(38,9)) END), 0)
-       + COUNT_IF(event_type = 'click') + COUNT_IF(event_type = 'view') AS DOUBLE) AS views
+       + CAST(COUNT_IF(event_type = 'click') AS BIGINT) + CAST(COUNT_IF(event_type = 'view') AS BIGINT) AS DOUBLE) AS views
 FROM events GROUP BY 1"""
 
 ORACLE["distinct_customers_nested"] = """
@@ -513,7 +513,7 @@ WITH ids AS (
   UNION ALL SELECT o_orderstatus, 'rel-' || CAST(o_custkey % 50 AS VARCHAR) FROM orders WHERE o_orderkey % 5 = 2
 ),
 pg AS (SELECT o_orderstatus AS status, COUNT(*) AS n_pages,
-         COUNT_IF(o_orderkey % 3 <> 0 AND o_totalprice > 0) AS value_positive FROM orders GROUP BY 1),
+         CAST(COUNT_IF(o_orderkey % 3 <> 0 AND o_totalprice > 0) AS BIGINT) AS value_positive FROM orders GROUP BY 1),
 dc AS (SELECT status, COUNT(DISTINCT id) AS n_customers FROM ids GROUP BY 1)
 SELECT pg.status, n_pages, COALESCE(n_customers, 0) AS n_customers, value_positive
 FROM pg LEFT JOIN dc ON pg.status = dc.status"""
@@ -598,8 +598,8 @@ ORACLE["synthetic_facts"] = with_ctes(SYNTH_CTE) + "SELECT * FROM sy"
 ORACLE["tenant_monthly_rollup"] = with_ctes(SYNTH_CTE, monthly_cte("sy", "tenant", "tm")) + "SELECT * FROM tm"
 
 ORACLE["stream_event_windows"] = """
-SELECT CAST(ts AS DATE) AS date, COUNT(*) AS events, COUNT_IF(event_type = 'view') AS pageviews,
-  COUNT_IF(event_type = 'purchase') AS purchases,
+SELECT CAST(ts AS DATE) AS date, COUNT(*) AS events, CAST(COUNT_IF(event_type = 'view') AS BIGINT) AS pageviews,
+  CAST(COUNT_IF(event_type = 'purchase') AS BIGINT) AS purchases,
   COALESCE(CAST(round(SUM(CASE WHEN event_type = 'purchase' THEN CAST(value AS DECIMAL(38,9)) END), 2) AS DOUBLE),
            0.0) AS purchase_value
 FROM events GROUP BY 1"""

@@ -47,12 +47,20 @@ def test_every_query_has_oracle():
     assert not missing
 
 
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE",
+                 "boolean": "BOOLEAN"}
+
+
 @pytest.mark.parametrize("name", sorted(entry_mod.queries()))
 def test_query_matches_oracle(spark, duck, sf_small, name):
     sdf = entry_mod.queries()[name](spark, sf_small)
     scols = sdf.columns
+    stypes = {f.name: SPARK_TO_DUCK.get(f.dataType.simpleString()) for f in sdf.schema.fields}
     srows = [tuple(r) for r in sdf.collect()]
-    rel = duck.execute(entry_mod.oracle_sql()[name])
+    sql = entry_mod.oracle_sql()[name]
+    dtypes = dict(zip(duck.sql(sql).columns, (str(t) for t in duck.sql(sql).types)))
+    rel = duck.execute(sql)
     dcols = [d[0] for d in rel.description]
     assert sorted(scols) == sorted(dcols)
+    assert stypes == dtypes            # same column types, not only values
     assert _canon(scols, srows) == _canon(dcols, rel.fetchall())
