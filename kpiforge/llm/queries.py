@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from kpiforge.llm.licenses import ORACLE_SQL as LICENSES_SQL
+from kpiforge.llm.licenses import op8_license_scans
 from kpiforge.llm.lines import op10_line_dedup
+from kpiforge.llm.packing import op6_best_fit_packing
 from kpiforge.llm.repetition import op7_quality_rules
 
 QUERIES = {
+    "op6_best_fit_packing": op6_best_fit_packing,
     "op7_quality_rules": op7_quality_rules,
+    "op8_license_scans": op8_license_scans,
     "op10_line_dedup": op10_line_dedup,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op8_license_scans": LICENSES_SQL}
