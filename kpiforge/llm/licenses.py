@@ -116,7 +116,8 @@ def canonical(text: Column) -> Column:
 
 
 def known_licenses(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(KNOWN_LICENSES.items()), "license string, text string")
+    rows = F.array(*[F.struct(F.lit(k).alias("license"), F.lit(v).alias("text")) for k, v in KNOWN_LICENSES.items()])
+    return spark.range(1).select(F.inline(rows))
 
 
 def license_digests(known: DataFrame, name: str = "license", text: str = "text") -> DataFrame:

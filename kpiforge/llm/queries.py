@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from kpiforge.llm.decontaminate import op9_benchmark_decontamination
 from kpiforge.llm.licenses import ORACLE_SQL as LICENSES_SQL
 from kpiforge.llm.licenses import op8_license_scans
 from kpiforge.llm.lines import op10_line_dedup
@@ -12,6 +13,7 @@ QUERIES = {
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_quality_rules": op7_quality_rules,
     "op8_license_scans": op8_license_scans,
+    "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_line_dedup": op10_line_dedup,
 }
 
