@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from kpiforge.llm.chat import op2_chat_formatting
 from kpiforge.llm.decontaminate import op9_benchmark_decontamination
+from kpiforge.llm.langid import op1_language_id
 from kpiforge.llm.licenses import ORACLE_SQL as LICENSES_SQL
 from kpiforge.llm.licenses import op8_license_scans
 from kpiforge.llm.lines import op10_line_dedup
@@ -10,6 +12,8 @@ from kpiforge.llm.packing import op6_best_fit_packing
 from kpiforge.llm.repetition import op7_quality_rules
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
+    "op2_chat_formatting": op2_chat_formatting,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_quality_rules": op7_quality_rules,
     "op8_license_scans": op8_license_scans,
