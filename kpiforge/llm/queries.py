@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from kpiforge.llm.chat import op2_chat_formatting
 from kpiforge.llm.decontaminate import op9_benchmark_decontamination
+from kpiforge.llm.jaccard import op3_ngram_jaccard_join
 from kpiforge.llm.langid import op1_language_id
 from kpiforge.llm.licenses import ORACLE_SQL as LICENSES_SQL
 from kpiforge.llm.licenses import op8_license_scans
@@ -14,6 +15,7 @@ from kpiforge.llm.repetition import op7_quality_rules
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_chat_formatting": op2_chat_formatting,
+    "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_quality_rules": op7_quality_rules,
     "op8_license_scans": op8_license_scans,
