@@ -59,6 +59,22 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def store_split(df: DataFrame, name: str, column: str, values: list[str]) -> list[DataFrame]:
+    """Write ``df`` once, in a folder per value of ``column``; one table per value, to be discarded on its own."""
+    spark = df.sparkSession
+    path = f"{shared_root(spark)}/llm/{name}-{uuid.uuid4().hex}"
+    df.write.partitionBy(column).option("compression", "zstd").parquet(path)
+    kind = df.drop(column).schema
+    made = {f.split(f"{column}=")[-1] for f in _folders(spark, path)}
+    return [spark.read.schema(kind).parquet(f"{path}/{column}={v}") if v in made else spark.createDataFrame([], kind) for v in values]
+
+
+def _folders(spark: SparkSession, path: str) -> list[str]:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return [s.getPath().getName() for s in p.getFileSystem(conf).listStatus(p)]
+
+
 def discard(*stored: DataFrame) -> None:
     """Delete tables that ``store`` wrote and that nothing reads any more."""
     for df in stored:

@@ -9,6 +9,7 @@ from kpiforge.llm.langid import op1_language_id
 from kpiforge.llm.licenses import ORACLE_SQL as LICENSES_SQL
 from kpiforge.llm.licenses import op8_license_scans
 from kpiforge.llm.lines import op10_line_dedup
+from kpiforge.llm.ngram_lm import op5_lm_scoring
 from kpiforge.llm.packing import op6_best_fit_packing
 from kpiforge.llm.repetition import op7_quality_rules
 
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_chat_formatting": op2_chat_formatting,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
+    "op5_lm_scoring": op5_lm_scoring,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_quality_rules": op7_quality_rules,
     "op8_license_scans": op8_license_scans,
