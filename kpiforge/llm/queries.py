@@ -12,11 +12,13 @@ from kpiforge.llm.lines import op10_line_dedup
 from kpiforge.llm.ngram_lm import op5_lm_scoring
 from kpiforge.llm.packing import op6_best_fit_packing
 from kpiforge.llm.repetition import op7_quality_rules
+from kpiforge.llm.suffixes import op4_suffix_array_dedup
 
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_chat_formatting": op2_chat_formatting,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
+    "op4_suffix_array_dedup": op4_suffix_array_dedup,
     "op5_lm_scoring": op5_lm_scoring,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_quality_rules": op7_quality_rules,
