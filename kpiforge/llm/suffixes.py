@@ -170,8 +170,7 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
     new = np.ones(n, bool)
     new[1:] = s[1:] != s[:-1]
     group_start = np.flatnonzero(new)
-    rank = np.empty(n + 1, np.int64)
-    rank[n] = -1
+    rank = np.empty(n, np.int64)
     rank[order] = group_start[np.cumsum(new) - 1]       # a group's number is where it starts
     done = 8
     while True:
@@ -180,8 +179,10 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
         if not len(at):
             return order
         member = order[at]
-        own, following = rank[member], rank[np.minimum(member + done, n)] + 1
-        again = np.argsort(own * np.int64(n + 2) + following, kind="stable")
+        ahead = member + done
+        # past the end of the text the shorter suffix comes first
+        own, following = rank[member], np.where(ahead < n, rank[np.minimum(ahead, n - 1)], n - 1 - ahead)
+        again = np.argsort(own * np.int64(n + done + 1) + following + done, kind="stable")
         member, own, following = member[again], own[again], following[again]
         order[at] = member
         split = np.ones(len(at), bool)
