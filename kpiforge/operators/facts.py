@@ -4,8 +4,8 @@ The pure operators return DataFrames (merge, upsert, backfill, dedupe);
 the ``*_table`` functions persist them:
 
 * keyed upsert into a month-partitioned Parquet table: only partitions
-  (months) touched by the update are read, merged and rewritten, with
-  ``partitionOverwriteMode=dynamic`` set per write;
+  between the batch's first and last month are read, and only touched months
+  rewritten, with ``partitionOverwriteMode=dynamic`` set per write;
 * lineage is cut with a reliable ``checkpoint()`` (into the shared
   ``spark.checkpoint.dir``) before a path that is being read is overwritten,
   so a lost executor can never recompute from files that are being replaced.
@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,30 +44,26 @@ def fill_defaults(df: DataFrame, cols: Sequence[str] | None = None, defaults: Ma
     return df.select(*out)
 
 
-def merge_sources(frames: Sequence[DataFrame], key: str = "date", defaults: Mapping | None = None,
+def merge_sources(frames: Sequence[DataFrame], key: str | Sequence[str] = "date", defaults: Mapping | None = None,
                   fill: bool = True) -> DataFrame:
-    """JON-1: merge per-source records on ``key``; a later source wins on a
+    """JON-1: merge per-source records on ``key`` (one column or several); a later source wins on a
     shared column; a source absent for a key leaves NULL (or the default).
 
-    A chain of full outer joins on the key, each side one row per key.
+    One union and one aggregation: per key and column the last non-NULL value
+    in source order, so a key that repeats inside a source still gives one row
+    (of equal sources the larger value, so the result does not depend on row order).
     """
     if not frames:
         raise ValueError("no sources")
-    merged = frames[0]
-    for nxt in frames[1:]:
-        left, right = merged.alias("l"), nxt.alias("r")
-        shared = [c for c in nxt.columns if c in merged.columns and c != key]
-        j = left.join(right, on=key, how="full_outer")
-        cols = [F.col(key)]
-        for c in merged.columns:
-            if c == key:
-                continue
-            cols.append(F.coalesce(F.col(f"r.{c}"), F.col(f"l.{c}")).alias(c) if c in shared else F.col(f"l.{c}"))
-        cols += [F.col(f"r.{c}") for c in nxt.columns if c != key and c not in shared]
-        merged = j.select(*cols)
-    if fill:
-        merged = fill_defaults(merged, [c for c in merged.columns if c != key], defaults)
-    return merged
+    keys = [key] if isinstance(key, str) else list(key)
+    union = None
+    for rank, f in enumerate(frames):
+        f = f.withColumn("_rank", F.lit(rank))
+        union = f if union is None else union.unionByName(f, allowMissingColumns=True)
+    cols = [c for c in union.columns if c not in (*keys, "_rank")]
+    last = [F.max(F.when(F.col(c).isNotNull(), F.struct("_rank", c))).getField(c).alias(c) for c in cols]
+    merged = union.groupBy(*keys).agg(*last) if last else union.select(*keys).distinct()
+    return fill_defaults(merged, cols, defaults) if fill else merged
 
 
 def dedupe_first(df: DataFrame, keys: Sequence[str], order: str = "seq") -> DataFrame:
@@ -75,6 +71,12 @@ def dedupe_first(df: DataFrame, keys: Sequence[str], order: str = "seq") -> Data
     return first_per_key(df, keys, order)
 
 
+def required_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Fail the job on a NULL key: it would match nothing and be added again by every replay."""
+    return df.withColumns({k: F.when(F.col(k).isNull(), F.raise_error(F.lit(f"NULL in key column {k}"))).otherwise(F.col(k))
+                           for k in keys})
+
+
 def upsert(existing: DataFrame, updates: DataFrame, keys: Sequence[str], order: str = "seq",
            keep_existing_on_null: bool = True, defaults: Mapping | None = None) -> DataFrame:
     """SNK-1 / SNK-4 / JON-5 / SET-3 / STR-2: keyed upsert.
@@ -84,45 +86,59 @@ def upsert(existing: DataFrame, updates: DataFrame, keys: Sequence[str], order:
     of the first existing row of that key, then falls back to the column
     default (PRJ-4). Keys not updated keep all their existing rows. Running
     it twice with the same updates gives the same table (idempotent).
+    ``updates`` must have the order column; in it NULL sorts first. A NULL key
+    in ``updates`` fails the job; existing rows with a NULL key stay.
 
-    Both "latest update" and "first existing" are ``max_by``/``min_by``
-    aggregates, so hot keys are reduced map-side; the anti join and the
-    lookup join are equi-joins on the key.
+    The updates are reduced to one row per key map-side; then one outer join
+    reads either side once. The rank of a key's existing rows is a window on
+    the join keys, so it uses the join's shuffle and sort.
     """
     ensure_runtime_conf(existing.sparkSession)
-    keys = list(keys)
-    cols = existing.columns
+    keys, cols = list(keys), existing.columns
+    if order not in updates.columns:
+        raise ValueError(f"updates need the order column {order!r}")
+    types = {f.name: f.dataType for f in existing.schema.fields}
     missing = [c for c in cols if c not in updates.columns]
-    if missing:
-        types = {f.name: f.dataType for f in existing.schema.fields}
-        updates = updates.select("*", *[F.lit(None).cast(types[c]).alias(c) for c in missing])
-    updates = updates.select(*cols)
-    latest = last_per_key(updates, keys, order)
-    kept = existing.join(updates.select(*keys).distinct(), keys, "left_anti")
-    if keep_existing_on_null:
-        first_old = first_per_key(existing.join(latest.select(*keys), keys, "left_semi"), keys, order)
-        n, o = latest.alias("n"), first_old.alias("o")
-        j = n.join(o, keys, "left")
-        merged = j.select(*[F.col(c) if c in keys else
-                            (F.col(f"n.{c}") if c == order else F.coalesce(F.col(f"n.{c}"), F.col(f"o.{c}")).alias(c))
-                            for c in cols])
-    else:
-        merged = latest
-    merged = fill_defaults(merged, [c for c in cols if c not in keys and c != order], defaults)
-    return kept.unionByName(merged)
-
-
-def backfill(existing: DataFrame, history: DataFrame, key: str = "date", defaults: Mapping | None = None) -> DataFrame:
+    updates = updates.select(*[F.lit(None).cast(types[c]).alias(c) if c in missing else F.col(c) for c in cols])
+    rest = [c for c in cols if c not in keys]
+    latest = last_per_key(required_keys(updates, keys), keys, order).select(*keys, F.struct(*rest).alias("_new"))
+    w = Window.partitionBy(*keys).orderBy(F.col(order).asc_nulls_first())
+    j = existing.withColumn("_rank", F.row_number().over(w)).join(latest, keys, "full_outer")
+    updated = F.col("_new").isNotNull()
+    j = j.where(~updated | F.coalesce(F.col("_rank") == 1, F.lit(True)))
+
+    def merged(c: str) -> Column:
+        new = F.col("_new").getField(c)
+        if c == order:
+            return new
+        d = dict(defaults or {}).get(c, _default_for(types[c]))
+        options = [new, *([F.col(c)] if keep_existing_on_null else []), *([F.lit(d).cast(types[c])] if d is not None else [])]
+        return F.coalesce(*options)
+
+    return j.select(*[F.col(c) if c in keys else F.when(updated, merged(c)).otherwise(F.col(c)).alias(c) for c in cols])
+
+
+def backfill(existing: DataFrame, history: DataFrame, key: str | Sequence[str] = "date",
+             defaults: Mapping | None = None, order: str = "seq") -> DataFrame:
     """SNK-2 / JON-4 / SET-2: append only keys that are not present yet;
-    columns the history lacks get their defaults (name-based, SURVEY Q9)."""
+    columns the history lacks get their defaults (name-based, SURVEY Q9). A key
+    that repeats in the history is appended once: its last row by ``order``,
+    or any one without that column."""
     ensure_runtime_conf(existing.sparkSession)
-    new = history.join(existing.select(key).distinct(), key, "left_anti")
+    keys = [key] if isinstance(key, str) else list(key)
+    new = one_per_key(history, keys, order).join(existing.select(*keys).distinct(), keys, "left_anti")
     types = {f.name: f.dataType for f in existing.schema.fields}
     new = new.select(*[F.col(c) if c in new.columns else F.lit(None).cast(types[c]).alias(c) for c in existing.columns])
-    new = fill_defaults(new, [c for c in existing.columns if c != key and c not in history.columns], defaults)
+    new = fill_defaults(new, [c for c in existing.columns if c not in keys and c not in history.columns], defaults)
     return existing.unionByName(new)
 
 
+def one_per_key(df: DataFrame, keys: Sequence[str], order: str = "seq") -> DataFrame:
+    """One row per key, which must not be NULL: the last by ``order`` where that column exists."""
+    df = required_keys(df, keys)
+    return last_per_key(df, keys, order).select(*df.columns) if order in df.columns else df.dropDuplicates(list(keys))
+
+
 # --- persistence -------------------------------------------------------------------------
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -152,28 +168,45 @@ def write_partitioned(df: DataFrame, path: str, partition_col: str = "month", mo
      .partitionBy(partition_col).parquet(path))
 
 
+def month_bounds(df: DataFrame) -> tuple[str, str] | None:
+    """Smallest and largest ``month`` (one scalar row); None for an empty frame."""
+    r = df.agg(F.min("month").alias("lo"), F.max("month").alias("hi")).first()
+    return (r["lo"], r["hi"]) if r["lo"] is not None else None
+
+
+def read_months(spark: SparkSession, path: str, lo: str, hi: str | None = None,
+                schema: T.StructType | None = None) -> DataFrame:
+    """The table's rows from month ``lo`` to ``hi`` (or the end): literal bounds, so other partitions are not read."""
+    reader = spark.read.schema(schema_with_month(schema)) if schema is not None else spark.read
+    df = reader.parquet(path).where(F.col("month") >= F.lit(lo))
+    return df if hi is None else df.where(F.col("month") <= F.lit(hi))
+
+
 def upsert_table(spark: SparkSession, path: str, updates: DataFrame, keys: Sequence[str] = ("date",),
                  order: str = "seq", date_col: str = "date", schema: T.StructType | None = None,
                  keep_existing_on_null: bool = True) -> DataFrame:
     """SNK-1 on a month-partitioned table; returns the touched months.
 
-    Reads only the partitions of months present in ``updates`` (partition
-    pruning through the semi join), merges, checkpoints and rewrites those
-    partitions.
+    Reads only partitions between the batch's first and last month (literal
+    bounds), of these the rows of touched months, merges, checkpoints and
+    rewrites the touched months. The first write is the same merge, with an
+    empty table, so a replay of the batch changes nothing.
     """
-    upd = updates.withColumn("month", month_key(F.col(date_col)))
+    upd = required_keys(updates, [date_col]).withColumn("month", month_key(F.col(date_col)))
     touched = upd.select("month").distinct()
+    bounds = month_bounds(touched)
+    if bounds is None:
+        return touched
     if _exists(spark, path):
-        reader = spark.read.schema(schema_with_month(schema)) if schema is not None else spark.read
-        current = reader.parquet(path)
-        touched_rows = current.join(touched, "month", "left_semi")
-        merged = upsert(touched_rows.drop("month"), upd.drop("month"), keys, order, keep_existing_on_null)
-        # the merge reads the partitions it is about to replace: cut lineage first
-        merged = cut_lineage(merged.withColumn("month", month_key(F.col(date_col))))
+        current = read_months(spark, path, *bounds, schema=schema)
+        existing = current.join(touched, "month", "left_semi").drop("month")
     else:
-        # first write: only the batch's own duplicates to resolve (latest wins);
-        # nothing is read from the target, so no checkpoint is needed
-        merged = last_per_key(upd, keys, order)
+        existing = spark.createDataFrame([], schema or updates.schema)
+    merged = upsert(existing, upd.drop("month"), keys, order, keep_existing_on_null)
+    merged = merged.withColumn("month", month_key(F.col(date_col)))
+    if _exists(spark, path):
+        # the merge reads the partitions it is about to replace: cut lineage first
+        merged = cut_lineage(merged)
     write_partitioned(merged, path, "month")
     return touched
 

@@ -123,8 +123,15 @@ def trailing_range(daily: DataFrame, days: int, by: Sequence[str] = (), date_col
     return j.where(F.col(date_col) >= F.date_sub("last_update", days)).select(*by, *keep, "last_update", "n_days")
 
 
+def _null_first(order: str | Column) -> Column:
+    """An order that is never NULL: rows with a NULL ``order`` come first. (``min_by`` and ``max_by``
+    skip rows whose order is NULL, which would lose a key that has no other row.)"""
+    o = F.col(order) if isinstance(order, str) else order
+    return F.struct(o.isNotNull(), o)
+
+
 def first_per_key(df: DataFrame, keys: Sequence[str], order: str | Column) -> DataFrame:
-    """WIN-7 / SET-3: the first row per key by ``order``.
+    """WIN-7 / SET-3: the first row per key by ``order`` (NULL first).
 
     Written as ``min_by(struct(*), order)`` so it partially aggregates: a key
     with a third of all rows is reduced map-side instead of landing in one
@@ -132,17 +139,15 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: str | Column) -> Da
     """
     keys = list(keys)
     rest = [c for c in df.columns if c not in keys]
-    o = F.col(order) if isinstance(order, str) else order
-    picked = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), o).alias("_first"))
+    picked = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), _null_first(order)).alias("_first"))
     return picked.select(*keys, *[F.col("_first").getField(c).alias(c) for c in rest])
 
 
 def last_per_key(df: DataFrame, keys: Sequence[str], order: str | Column) -> DataFrame:
-    """Counterpart of ``first_per_key``: the last row per key."""
+    """Counterpart of ``first_per_key``: the last row per key (NULL first, so a NULL order loses to any other)."""
     keys = list(keys)
     rest = [c for c in df.columns if c not in keys]
-    o = F.col(order) if isinstance(order, str) else order
-    picked = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), o).alias("_last"))
+    picked = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), _null_first(order)).alias("_last"))
     return picked.select(*keys, *[F.col("_last").getField(c).alias(c) for c in rest])
 
 

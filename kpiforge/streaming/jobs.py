@@ -20,43 +20,46 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.dates import month_key
-from ..operators.facts import _exists, cut_lineage, fill_defaults, merge_sources, schema_with_month
+from ..operators.facts import (_exists, cut_lineage, fill_defaults, merge_sources, month_bounds, one_per_key,
+                               read_months)
 from ..schemas import DAILY_SCHEMA, with_missing
 from .refresh import recompute_months, refresh_batch
 
 
 def refresh_once(spark: SparkSession, sources: Sequence[DataFrame], facts_path: str, monthly_path: str,
-                 seq: int, schema: T.StructType = DAILY_SCHEMA) -> None:
+                 seq: int, schema: T.StructType = DAILY_SCHEMA, by: Sequence[str] = ()) -> None:
     """Merge today's per-source frames and apply them to the fact tables.
 
     ``seq`` orders this run's rows after earlier runs (arrival order); a
     source missing a KPI leaves NULL, which keeps the stored value.
     """
-    merged = merge_sources(list(sources), "date", fill=False)
+    merged = merge_sources(list(sources), [*by, "date"], fill=False)
     rows = with_missing(merged, schema).select(*[F.col(f.name).cast(f.dataType) for f in schema.fields if f.name != "seq"],
                                                F.lit(seq).cast("bigint").alias("seq"))
-    refresh_batch(rows, facts_path, monthly_path, schema)
+    refresh_batch(rows, facts_path, monthly_path, schema, by)
 
 
 def backfill_table(spark: SparkSession, facts_path: str, monthly_path: str, history: DataFrame,
-                   seq: int, schema: T.StructType = DAILY_SCHEMA) -> DataFrame:
-    """Append history rows for days not in the fact table (other KPIs get
-    their defaults); returns the months that received rows.
+                   seq: int, schema: T.StructType = DAILY_SCHEMA, by: Sequence[str] = ()) -> DataFrame:
+    """Append history rows for days (per ``by``) not in the fact table, each key
+    once (other KPIs get their defaults); returns the months that received rows.
 
-    Only the ``date`` column of the existing table is read for the key check
-    (column pruning). The new rows are checkpointed before they are appended
-    to the table they were checked against.
+    Only the key columns of the history's months are read for the check
+    (column and partition pruning). The new rows are checkpointed before they
+    are appended to the table they were checked against.
     """
-    hist = with_missing(history, schema).select(
+    keys = [*by, "date"]
+    hist = one_per_key(with_missing(history, schema), keys).select(
         *[F.col(f.name).cast(f.dataType) for f in schema.fields if f.name != "seq"],
-        F.lit(seq).cast("bigint").alias("seq"))
-    if _exists(spark, facts_path):
-        keys = spark.read.schema(schema_with_month(schema)).parquet(facts_path).select("date").distinct()
-        hist = hist.join(keys, "date", "left_anti")
-    new = fill_defaults(hist, [f.name for f in schema.fields if f.name not in ("date", "seq")])
-    new = cut_lineage(new.withColumn("month", month_key(F.col("date"))))
+        F.lit(seq).cast("bigint").alias("seq")).withColumn("month", month_key(F.col("date")))
+    bounds = month_bounds(hist)
+    if bounds is not None and _exists(spark, facts_path):
+        there = read_months(spark, facts_path, *bounds, schema=schema).select(*keys).distinct()
+        hist = hist.join(there, keys, "left_anti").select(*hist.columns)
+    new = fill_defaults(hist, [f.name for f in schema.fields if f.name not in (*keys, "seq")])
+    new = cut_lineage(new)
     new.hint("rebalance", "month").write.mode("append").partitionBy("month").parquet(facts_path)
     touched = new.select("month").distinct()
     if not touched.isEmpty():
-        recompute_months(spark, facts_path, monthly_path, touched, schema)
+        recompute_months(spark, facts_path, monthly_path, touched, schema, by)
     return touched

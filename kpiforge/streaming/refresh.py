@@ -13,17 +13,19 @@ processing-time interval keeps running (the scheduler form).
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.facts import _exists, schema_with_month, upsert_table, write_partitioned
+from ..operators.facts import _exists, read_months, upsert_table, write_partitioned
 from ..operators.rollup import monthly_rollup
 from ..schemas import DAILY_SCHEMA, MONTHLY_SCHEMA
 
 
 def recompute_months(spark: SparkSession, facts_path: str, monthly_path: str, touched: DataFrame,
-                     schema: T.StructType = DAILY_SCHEMA) -> None:
+                     schema: T.StructType = DAILY_SCHEMA, by: Sequence[str] = ()) -> None:
     """STR-3: rewrite monthly rows from the earliest touched month onward.
 
     Only fact partitions from that month on are read (partition pruning);
@@ -32,18 +34,26 @@ def recompute_months(spark: SparkSession, facts_path: str, monthly_path: str, to
     grow with the length of the history.
     """
     first = touched.agg(F.min("month").alias("m")).first()["m"]   # one scalar, drives partition pruning
-    facts = (spark.read.schema(schema_with_month(schema)).parquet(facts_path)
-             .where(F.col("month") >= F.lit(first)).drop("month"))
+    if first is None:
+        return
+    by = list(by)
+    facts = read_months(spark, facts_path, first, schema=schema).drop("month")
     seed = None
     if _exists(spark, monthly_path):
-        seed = (spark.read.schema(MONTHLY_SCHEMA).parquet(monthly_path)
-                .where(F.col("month") < F.lit(first)).select("month", "notion_customers_end"))
-    monthly = monthly_rollup(facts, seed=seed)
+        seed = (spark.read.schema(monthly_schema(schema, by)).parquet(monthly_path)
+                .where(F.col("month") < F.lit(first)).select(*by, "month", "notion_customers_end"))
+    monthly = monthly_rollup(facts, by=by, seed=seed)
     write_partitioned(monthly, monthly_path, "month")
 
 
-def refresh_batch(batch: DataFrame, facts_path: str, monthly_path: str, schema: T.StructType = DAILY_SCHEMA) -> None:
-    """One micro-batch: keyed upsert of the daily rows, then monthly recompute.
+def monthly_schema(schema: T.StructType = DAILY_SCHEMA, by: Sequence[str] = ()) -> T.StructType:
+    """Schema of the monthly table: the grouping keys as in the daily schema, then the monthly columns."""
+    return T.StructType([schema[b] for b in by] + MONTHLY_SCHEMA.fields)
+
+
+def refresh_batch(batch: DataFrame, facts_path: str, monthly_path: str, schema: T.StructType = DAILY_SCHEMA,
+                  by: Sequence[str] = ()) -> None:
+    """One micro-batch: upsert of the daily rows keyed on ``by`` and date, then monthly recompute per ``by``.
 
     The batch is read several times (touched months, merge, recompute), so it
     is cached for the duration of the batch (a micro-batch is bounded by the
@@ -52,27 +62,30 @@ def refresh_batch(batch: DataFrame, facts_path: str, monthly_path: str, schema:
     spark = batch.sparkSession
     batch = batch.persist()
     try:
-        touched = upsert_table(spark, facts_path, batch, ["date"], "seq", schema=schema)
-        recompute_months(spark, facts_path, monthly_path, touched, schema)
+        touched = upsert_table(spark, facts_path, batch, [*by, "date"], "seq", schema=schema)
+        recompute_months(spark, facts_path, monthly_path, touched, schema, by)
     finally:
         batch.unpersist()
 
 
 def start_refresh(spark: SparkSession, landing_path: str, facts_path: str, monthly_path: str, checkpoint_path: str,
-                  schema: T.StructType = DAILY_SCHEMA, trigger: str = "availableNow", max_files: int | None = None):
-    """Start the refresh stream; returns the ``StreamingQuery``."""
+                  schema: T.StructType = DAILY_SCHEMA, trigger: str = "availableNow", max_files: int | None = None,
+                  by: Sequence[str] = ()):
+    """Start the refresh stream; returns the ``StreamingQuery``. ``by``: grouping keys in ``schema``, e.g. a tenant."""
     reader = spark.readStream.schema(schema)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     stream = reader.parquet(landing_path)
     writer = (stream.writeStream
-              .foreachBatch(lambda df, _epoch: refresh_batch(df, facts_path, monthly_path, schema))
+              .foreachBatch(lambda df, _epoch: refresh_batch(df, facts_path, monthly_path, schema, by))
               .option("checkpointLocation", checkpoint_path))
     writer = writer.trigger(availableNow=True) if trigger == "availableNow" else writer.trigger(processingTime=trigger)
     return writer.start()
 
 
-def read_monthly(spark: SparkSession, monthly_path: str) -> DataFrame:
+def read_monthly(spark: SparkSession, monthly_path: str, schema: T.StructType = DAILY_SCHEMA,
+                 by: Sequence[str] = ()) -> DataFrame:
+    kind = monthly_schema(schema, by)
     if not _exists(spark, monthly_path):
-        return spark.createDataFrame([], MONTHLY_SCHEMA)
-    return spark.read.schema(MONTHLY_SCHEMA).parquet(monthly_path).select(*MONTHLY_SCHEMA.fieldNames())
+        return spark.createDataFrame([], kind)
+    return spark.read.schema(kind).parquet(monthly_path).select(*kind.fieldNames())
