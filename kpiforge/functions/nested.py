@@ -13,7 +13,14 @@ from pyspark.sql import types as T
 
 _TEXT = T.ArrayType(T.StructType([T.StructField("plain_text", T.StringType())]))
 _NAMED = T.StructType([T.StructField("name", T.StringType())])
-_TYPED_NUMBER = T.StructType([T.StructField("type", T.StringType()), T.StructField("number", T.DoubleType())])
+_DATE = T.StructType([T.StructField("start", T.StringType())])
+# a computed value: a number, or one of the other kinds
+_COMPUTED = T.StructType([T.StructField("type", T.StringType()), T.StructField("number", T.DoubleType()),
+                          T.StructField("string", T.StringType()), T.StructField("boolean", T.BooleanType()),
+                          T.StructField("date", _DATE)])
+COMPUTED_TEXT_LENGTH = 80
+# Fixed value: the text of a relation is its count followed by this.
+RELATION_TEXT = " Verknüpfung(en)"
 
 PROPERTY_TYPE = T.StructType([
     T.StructField("type", T.StringType()),
@@ -22,9 +29,9 @@ PROPERTY_TYPE = T.StructType([
     T.StructField("rich_text", _TEXT),
     T.StructField("select", _NAMED),
     T.StructField("status", _NAMED),
-    T.StructField("rollup", _TYPED_NUMBER),
-    T.StructField("formula", _TYPED_NUMBER),
-    T.StructField("date", T.StructType([T.StructField("start", T.StringType())])),
+    T.StructField("rollup", _COMPUTED),
+    T.StructField("formula", _COMPUTED),
+    T.StructField("date", _DATE),
     T.StructField("relation", T.ArrayType(T.StructType([T.StructField("id", T.StringType())]))),
 ])
 
@@ -62,21 +69,29 @@ def prop_number(p, types=("number", "formula", "rollup")) -> Column:
 
 
 def prop_text(p) -> Column:
-    """SCL-16: readable text value of a property over the nine tags."""
+    """SCL-16: readable text value of a property over the nine tags. A rollup or
+    formula that is not a number gives its JSON text, cut to 80 characters."""
     p = _c(p)
     t = p.getField("type")
     first_text = lambda f: F.coalesce(F.get(p.getField(f), 0).getField("plain_text"), F.lit(""))
     rels = p.getField("relation")
+
+    def computed(tag: str) -> Column:
+        v = p.getField(tag)
+        return F.when(v.getField("type") == "number", v.getField("number").cast("string")).otherwise(
+            F.substring(F.to_json(v), 1, COMPUTED_TEXT_LENGTH))
+
     return (F.when(t == "number", p.getField("number").cast("string"))
             .when(t == "title", first_text("title"))
             .when(t == "rich_text", first_text("rich_text"))
             .when(t == "select", p.getField("select").getField("name"))
             .when(t == "status", p.getField("status").getField("name"))
-            .when(t.isin("rollup", "formula"), prop_number(p).cast("string"))
+            .when(t == "rollup", computed("rollup"))
+            .when(t == "formula", computed("formula"))
             .when(t == "date", p.getField("date").getField("start"))
             .when(t == "relation",
                   F.when(F.coalesce(F.size(rels), F.lit(0)) > 0,
-                         F.concat(F.size(rels).cast("string"), F.lit(" Verknüpfung(en)")))
+                         F.concat(F.size(rels).cast("string"), F.lit(RELATION_TEXT)))
                   .otherwise(F.lit("0")))
             .otherwise(F.concat(F.lit("("), F.coalesce(t, F.lit("")), F.lit(")"))))
 
@@ -110,8 +125,3 @@ def first_present(props, names: list[str]) -> Column:
     """
     m = _c(props)
     return F.coalesce(*[m.getItem(n) for n in names])
-
-
-def nested_or(c, default) -> Column:
-    """SCL-19: nested lookup with a default for any missing level."""
-    return F.coalesce(_c(c), F.lit(default))

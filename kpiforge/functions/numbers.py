@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 # A plain decimal number after separators are normalised. Python's float()
 # also takes "inf", "nan" and "1_000"; those are treated as bad values here.
 _PLAIN_NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+_DEC = "decimal(38,9)"
 _EDGE_SPACE = r"^[\s ]+|[\s ]+$"
 
 
@@ -61,8 +62,11 @@ def coerce_number(c) -> Column:
 
 
 def round_half_up(c, digits: int = 2) -> Column:
-    """SCL-12: decimal half-up rounding of a double, reproducible across engines."""
-    return F.round(_c(c).cast("decimal(38,9)"), digits).cast("double")
+    """SCL-12: decimal half-up rounding of a double, reproducible across engines
+    (to at most 9 digits). NaN, infinities and values beyond DECIMAL(38,9) stay as they are."""
+    if digits > 9:
+        raise ValueError("at most 9 digits")
+    return F.coalesce(F.round(_c(c).try_cast(_DEC), digits).cast("double"), _c(c).cast("double"))
 
 
 def round_half_even(c, digits: int = 0) -> Column:
@@ -71,11 +75,23 @@ def round_half_even(c, digits: int = 0) -> Column:
 
 
 def exact_sum(c, digits: int | None = None) -> Column:
-    """Sum of a double column through DECIMAL, so totals do not depend on order."""
-    s = F.sum(_c(c).cast("decimal(38,9)"))
+    """Sum of a double column through DECIMAL, so totals do not depend on order.
+
+    Two decimals cover 9 digits each: what the first cuts off (below 1e-9) is
+    scaled and summed by the second. A NaN makes the sum NaN, as an infinity
+    makes it infinite; with one of these, or a value beyond 1e28, the plain
+    double sum is given.
+    """
+    x = _c(c).cast("double")
+    head = x.try_cast(_DEC)
+    tail = ((x - head.cast("double")) * F.lit(1e18)).try_cast(_DEC)
+    outside = F.max(x.isNotNull() & head.isNull())
+    rest = F.sum(tail).cast("double") / F.lit(1e18)
     if digits is not None:
-        s = F.round(s, digits)
-    return s.cast("double")
+        exact = F.round((F.sum(head) + rest.cast(_DEC)).cast(_DEC), digits).cast("double")
+    else:
+        exact = F.sum(head).cast("double") + rest
+    return F.when(outside, F.sum(x)).otherwise(exact)
 
 
 def pct_change(cur, prev) -> Column:
@@ -84,12 +100,6 @@ def pct_change(cur, prev) -> Column:
     return F.when(prev > 0, (cur - prev) / prev * 100)
 
 
-def safe_ratio_pct(num, den) -> Column:
-    """SCL-13: num / den * 100, 0 when den is not positive."""
-    num, den = _c(num).cast("double"), _c(den).cast("double")
-    return F.when(den > 0, num / den * 100).otherwise(F.lit(0.0))
-
-
 def bounce_with_fallback(bounce_pct, engagement_pct) -> Column:
     """SRC-12: bounce rate, or ``100 - engagement rate`` when the bounce rate
     is missing (both in percent)."""

@@ -56,14 +56,23 @@ def element_totals(docs: DataFrame, by: Sequence[Column | str] = ()) -> DataFram
     imp = total(lambda e: e["totalShareStatistics"]["impressionCount"])
     clicks = total(lambda e: e["totalShareStatistics"]["clickCount"])
     pviews = total(lambda e: e["pageStatistics"]["views"]["allPageViews"]["pageViews"])
-    eng = F.aggregate(el, F.lit(0).cast(_DEC),
-                      lambda acc, e: (acc + F.coalesce(e["totalShareStatistics"]["engagement"].cast(_DEC),
-                                                       F.lit(0).cast(_DEC))).cast(_DEC))
+    # engagement in two parts: through DECIMAL, so sums do not depend on order, and what that cuts off (or NaN)
+    zero = F.lit(0).cast(_DEC)
+
+    def head(e):
+        return e["totalShareStatistics"]["engagement"].try_cast(_DEC)
+
+    def tail(e):
+        x = e["totalShareStatistics"]["engagement"]
+        return F.coalesce(x - head(e).cast("double"), x, F.lit(0.0))
+
+    eng = F.aggregate(el, zero, lambda acc, e: (acc + F.coalesce(head(e), zero)).cast(_DEC))
+    cut = F.aggregate(el, F.lit(0.0), lambda acc, e: acc + tail(e))
     docs, by = _with_keys(docs, by)
-    per_doc = docs.select(*by, imp.alias("_imp"), clicks.alias("_clk"), pviews.alias("_pv"), eng.alias("_eng"))
+    per_doc = docs.select(*by, imp.alias("_imp"), clicks.alias("_clk"), pviews.alias("_pv"), eng.alias("_eng"), cut.alias("_cut"))
     return per_doc.groupBy(*by).agg(
         F.sum("_imp").cast("bigint").alias("impressions"),
-        (F.sum("_eng") + F.sum("_clk") + F.sum("_pv")).cast("double").alias("views"),
+        ((F.sum("_eng") + F.sum("_clk") + F.sum("_pv")).cast("double") + F.sum("_cut")).alias("views"),
     )
 
 

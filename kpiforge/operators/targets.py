@@ -38,19 +38,28 @@ def ytd_values(daily: DataFrame, leads: DataFrame | None, year: int, kpis: Seque
 
     snapshot -> last known (> 0) value in the year; lead_count -> number of
     all leads (AGG-9, as the reference does); sum -> year sum. A year without
-    rows gives 0. Output ``(by..., kpi, kind, ytd DOUBLE)``.
+    rows gives 0, for every group that has rows in any year. Output
+    ``(by..., kpi, kind, ytd DOUBLE)``.
+
+    Without groups the year is a filter that prunes the scan; with groups it is
+    a condition inside the aggregates, so that no group is lost in one scan.
     """
     by = list(by)
     kpis = [k for k in (kpis or DAILY_KPIS) if k in daily.columns or kpi_kind(k) == "lead_count"]
-    y = daily.where(in_year(F.col(date_col), year))
+    inside = in_year(F.col(date_col), year)
+    y = daily if by else daily.where(inside)
     o = order_key(daily, date_col)
+
+    def of_year(k: str):
+        return F.when(inside, F.col(k)) if by else F.col(k)
+
     aggs = []
     for k in kpis:
         kind = kpi_kind(k)
         if kind == "snapshot":
-            aggs.append(last_known(k, o).cast("double").alias(k))
+            aggs.append(last_known(of_year(k), o).cast("double").alias(k))
         elif kind == "sum":
-            aggs.append((exact_sum(k) if k in DOUBLE_KPIS else F.sum(k).cast("double")).alias(k))
+            aggs.append((exact_sum(of_year(k)) if k in DOUBLE_KPIS else F.sum(of_year(k)).cast("double")).alias(k))
     wide = y.groupBy(*by).agg(*aggs) if aggs else y.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
     lead_kpis = [k for k in kpis if kpi_kind(k) == "lead_count"]
     if lead_kpis:
@@ -69,9 +78,9 @@ def ytd_values(daily: DataFrame, leads: DataFrame | None, year: int, kpis: Seque
 
 
 def first_targets(targets: DataFrame, order: str = "row_pos") -> DataFrame:
-    """WIN-7 / JON-2: first target row per KPI (in table order)."""
+    """WIN-7 / JON-2: first target row per KPI, by the column ``order``."""
     if order not in targets.columns:
-        targets = targets.withColumn(order, F.monotonically_increasing_id())
+        raise ValueError(f"targets need the order column {order!r}")
     return first_per_key(targets, ["kpi"], order)
 
 

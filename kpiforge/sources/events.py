@@ -9,12 +9,15 @@ not contain. Our documented choices:
 * monthly active users on day d: distinct users with an event in
   ``[d - 29, d]``.
 
-Scale notes. Sessionisation needs each event's predecessor per user; a
-window partitioned by user alone would put a heavy user (say a third of
-all events) into one task. Instead events are windowed per (user, time
-bucket) and only the bucket edges are stitched together through a small
-per-(user, bucket) table. MAU uses disjoint coverage intervals and a
-difference array, so its work is linear in distinct (user, day) pairs
+Events without a user (NULL) count as events and pageviews, on every report;
+they belong to no session and are neither visitors nor active users.
+
+Scale notes. Sessions need each event's predecessor per user, but two events
+of a user in one bucket no wider than the session gap are never split, so a
+session can start only at a bucket's first event. Events are reduced map-side
+to one row per (group, user, day, bucket), whatever a user's share of them,
+and only these rows meet in a window. MAU uses disjoint coverage intervals and
+a difference array, so its work is linear in distinct (user, day) pairs
 instead of 30 times that.
 """
 
@@ -29,31 +32,31 @@ from pyspark.sql import functions as F
 from ..functions.dates import as_date_lit
 
 
-def sessionize(events: DataFrame, user: str = "user_id", ts: str = "ts", tiebreak: str | None = "event_id",
-               gap_minutes: int = 30, bucket: str = "hour") -> DataFrame:
-    """Flag session starts and ends: adds ``is_start`` and ``is_end``.
+def session_buckets(events: DataFrame, user: str = "user_id", ts: str = "ts", kind: str = "event_type",
+                    pageview: str = "view", gap_minutes: int = 30, by: Sequence[str] = ()) -> DataFrame:
+    """One row per (``by``, user, day, bucket of the gap's width): first and
+    last time, events, pageviews, and whether a session starts there
+    (``is_start``) and is a single event (``is_bounce``).
 
-    A new session starts when the user's previous event is absent or more
-    than ``gap_minutes`` earlier; a session ends when the next event is
-    absent or more than ``gap_minutes`` later.
+    A new session starts when the user's previous event in the group is absent
+    or more than ``gap_minutes`` earlier.
     """
-    gap = F.expr(f"INTERVAL {int(gap_minutes)} MINUTES")
-    order = [F.col(ts)] + ([F.col(tiebreak)] if tiebreak else [])
-    e = events.withColumn("_b", F.date_trunc(bucket, F.col(ts)))
-    w = Window.partitionBy(user, "_b").orderBy(*order)
-    e = e.withColumn("_prev_in", F.lag(ts).over(w)).withColumn("_next_in", F.lead(ts).over(w))
-    # first/last event per (user, bucket); it aggregates partially before its
-    # shuffle, so only one row per (user, bucket) and map task moves
-    edges = e.groupBy(user, "_b").agg(F.min(ts).alias("_first"), F.max(ts).alias("_last"))
-    wb = Window.partitionBy(user).orderBy("_b")
-    edges = edges.select(user, "_b", F.lag("_last").over(wb).alias("_prev_b"),
-                         F.lead("_first").over(wb).alias("_next_b"))
-    j = e.join(edges, [user, "_b"], "inner")
-    prev = F.coalesce(F.col("_prev_in"), F.col("_prev_b"))
-    nxt = F.coalesce(F.col("_next_in"), F.col("_next_b"))
-    is_start = prev.isNull() | (F.col(ts) > prev + gap)
-    is_end = nxt.isNull() | (nxt > F.col(ts) + gap)
-    return j.select(*events.columns, is_start.alias("is_start"), is_end.alias("is_end"))
+    if gap_minutes < 1:
+        raise ValueError("gap_minutes must be at least 1")
+    by, gap = list(by), F.expr(f"INTERVAL {int(gap_minutes)} MINUTES")
+    t = F.col(ts)
+    bucket = F.floor(F.unix_seconds(t.cast("timestamp")) / (60 * int(gap_minutes)))
+    b = events.groupBy(*by, F.col(user).alias("_u"), t.cast("date").alias("date"), bucket.alias("_b")).agg(
+        F.min(t).alias("_first"), F.max(t).alias("_last"), F.count(F.lit(1)).alias("events"),
+        F.count_if(F.col(kind) == pageview).alias("pageviews"))
+    known = F.col("_u").isNotNull()
+    # events without a user have no neighbours; by bucket, their rows don't meet in one task
+    w = Window.partitionBy(*by, "_u", F.when(~known, F.col("_b"))).orderBy("_first")
+    prev, nxt = F.lag("_last").over(w), F.lead("_first").over(w)
+    b = b.withColumns({"_prev": prev, "_next": nxt})
+    start = known & (F.col("_prev").isNull() | (F.col("_first") > F.col("_prev") + gap))
+    ends = F.col("_next").isNull() | (F.col("_next") > F.col("_last") + gap)
+    return b.withColumns({"is_start": start, "is_bounce": start & (F.col("events") == 1) & ends}).drop("_prev", "_next")
 
 
 def t_type(df: DataFrame, col: str) -> str:
@@ -61,15 +64,13 @@ def t_type(df: DataFrame, col: str) -> str:
     return df.schema[col].dataType.simpleString()
 
 
-def _metric_aggs(user: str, kind: str, pageview: str) -> list[Column]:
-    sessions = F.count_if("is_start")
-    bounces = F.count_if(F.col("is_start") & F.col("is_end"))
+def _metric_aggs() -> list[Column]:
     return [
-        F.count_distinct(user).alias("visitors"),
-        sessions.alias("sessions"),
-        bounces.alias("bounces"),
-        F.count_if(F.col(kind) == pageview).alias("pageviews"),
-        F.count(F.lit(1)).alias("events"),
+        F.count_distinct("_u").alias("visitors"),
+        F.count_if("is_start").alias("sessions"),
+        F.count_if("is_bounce").alias("bounces"),
+        F.sum("pageviews").alias("pageviews"),
+        F.sum("events").alias("events"),
     ]
 
 
@@ -82,9 +83,8 @@ def _rates(df: DataFrame) -> DataFrame:
 def daily_metrics(events: DataFrame, user: str = "user_id", ts: str = "ts", kind: str = "event_type",
                   pageview: str = "view", gap_minutes: int = 30, by: Sequence[str] = ()) -> DataFrame:
     """SRC-11: one metric row per day (sessions counted on their start day)."""
-    flagged = sessionize(events, user, ts, gap_minutes=gap_minutes)
-    d = flagged.withColumn("date", F.col(ts).cast("date"))
-    return _rates(d.groupBy(*by, "date").agg(*_metric_aggs(user, kind, pageview)))
+    b = session_buckets(events, user, ts, kind, pageview, gap_minutes, by)
+    return _rates(b.groupBy(*by, "date").agg(*_metric_aggs()))
 
 
 def range_metrics(events: DataFrame, as_of, ranges: Sequence[tuple[str, int, int]], user: str = "user_id",
@@ -93,28 +93,27 @@ def range_metrics(events: DataFrame, as_of, ranges: Sequence[tuple[str, int, int
     """SRC-10 / SRC-12: totals for several relative ranges side by side.
 
     ``ranges`` holds ``(label, days_back_start, days_back_end)`` relative to
-    ``as_of`` (``("yesterday", 1, 1)``, ``("last_7_days", 7, 1)``). Each event
-    is tagged with the ranges containing its day through an in-row filtered
+    ``as_of`` (``("yesterday", 1, 1)``, ``("last_7_days", 7, 1)``). Each bucket
+    row is tagged with the ranges containing its day through an in-row filtered
     array and exploded (at most ``len(ranges)`` copies), so no join with the
     ranges is needed for the aggregation; the literal range list is joined
     afterwards so that empty ranges report zeros.
     """
-    if gap_minutes > 1440:
-        raise ValueError("gap_minutes above one day is not supported by the range prefilter")
     a = as_date_lit(as_of)
     spec = F.array(*[F.struct(F.lit(lbl).alias("label"), F.date_sub(a, s).alias("start"),
                               F.date_sub(a, e).alias("end")) for lbl, s, e in ranges])
-    # only events within a day of the requested ranges can affect them (the
-    # session gap is at most a day); the bound is pushed into the scan
-    lo = F.date_sub(a, max(s for _l, s, _e in ranges) + 1)
-    hi = F.date_sub(a, min(e for _l, _s, e in ranges) - 2)
+    # only events within a session gap of the requested ranges can affect them;
+    # the bound is pushed into the scan
+    margin = -(-int(gap_minutes) // 1440)
+    lo = F.date_sub(a, max(s for _l, s, _e in ranges) + margin)
+    hi = F.date_sub(a, min(e for _l, _s, e in ranges) - margin - 1)
     t = F.col(ts)
     events = events.where((t >= lo.cast(t_type(events, ts))) & (t < hi.cast(t_type(events, ts))))
-    flagged = sessionize(events, user, ts, gap_minutes=gap_minutes)
-    day = F.col(ts).cast("date")
-    tagged = flagged.select("*", F.explode(F.filter(spec, lambda r: (day >= r["start"]) & (day <= r["end"])))
-                            .alias("_r")).select("*", F.col("_r.label").alias("label"))
-    agg = tagged.groupBy("label").agg(*_metric_aggs(user, kind, pageview))
+    b = session_buckets(events, user, ts, kind, pageview, gap_minutes)
+    day = F.col("date")
+    tagged = b.select("*", F.explode(F.filter(spec, lambda r: (day >= r["start"]) & (day <= r["end"])))
+                      .alias("_r")).select("*", F.col("_r.label").alias("label"))
+    agg = tagged.groupBy("label").agg(*_metric_aggs())
     spark = events.sparkSession
     labels = F.broadcast(spark.createDataFrame([(lbl, i + 1) for i, (lbl, _s, _e) in enumerate(ranges)],
                                                "label string, pos int"))
@@ -126,28 +125,31 @@ def range_metrics(events: DataFrame, as_of, ranges: Sequence[tuple[str, int, int
 def monthly_active_users(events: DataFrame, user: str = "user_id", ts: str = "ts", window_days: int = 30,
                          by: Sequence[str] = ()) -> DataFrame:
     """SRC-14: distinct active users in the trailing ``window_days`` days, for
-    every day between the first and last event day.
+    every day between the first and last day with a known user.
 
     Each (user, active day a) covers days ``[a, min(a + window_days - 1,
     next active day - 1)]``; these intervals are disjoint per user, so the
-    count on day d is a running sum of +1/-1 interval edges. The only
-    windows run over one user's distinct active days and over the calendar.
+    count on day d is a running sum of +1/-1 interval edges. Both edges come
+    from one explode, and days without an edge are filled from the row before,
+    so events are scanned once and nothing is joined. The windows run over
+    one user's distinct active days and over the calendar.
     """
     by = list(by)
-    ud = events.select(*by, F.col(user).alias("_u"), F.col(ts).cast("date").alias("_a")).distinct()
-    w = Window.partitionBy(*by, "_u").orderBy("_a")
-    nxt = F.lead("_a").over(w)
-    cover_end = F.least(F.date_add("_a", window_days - 1), F.coalesce(F.date_sub(nxt, 1),
-                                                                       F.date_add("_a", window_days - 1)))
-    iv = ud.select(*by, "_a", cover_end.alias("_e"))
-    deltas = iv.select(*by, F.col("_a").alias("date"), F.lit(1).alias("d")).unionByName(
-        iv.select(*by, F.date_add("_e", 1).alias("date"), F.lit(-1).alias("d")))
-    per_day = deltas.groupBy(*by, "date").agg(F.sum("d").alias("d"))
-    span = ud.groupBy(*by).agg(F.min("_a").alias("_lo"), F.max("_a").alias("_hi"))
-    cal = span.select(*by, F.explode(F.sequence("_lo", "_hi")).alias("date"))
-    j = cal.join(per_day, [*by, "date"], "left")
-    wc = Window.partitionBy(*by).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    return j.select(*by, "date", F.sum(F.coalesce("d", F.lit(0))).over(wc).cast("bigint").alias("mau"))
+    ud = events.where(F.col(user).isNotNull()).select(
+        *by, F.col(user).alias("_u"), F.col(ts).cast("date").alias("_a")).distinct()
+    full = F.date_add("_a", window_days)
+    nxt = F.lead("_a").over(Window.partitionBy(*by, "_u").orderBy("_a"))
+    iv = ud.select(*by, "_a", F.least(full, F.coalesce(nxt, full)).alias("_e"))
+    edges = F.array(F.struct(F.col("_a").alias("date"), F.lit(1).alias("d"), F.col("_a").alias("active")),
+                    F.struct(F.col("_e").alias("date"), F.lit(-1).alias("d"), F.lit(None).cast("date").alias("active")))
+    per_day = iv.select(*by, F.explode(edges).alias("x")).groupBy(*by, "x.date").agg(
+        F.sum("x.d").alias("d"), F.max("x.active").alias("active"))
+    order = Window.partitionBy(*by).orderBy("date")
+    running = F.sum("d").over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("bigint")
+    last = F.max("active").over(Window.partitionBy(*by))
+    days = per_day.select(*by, "date", running.alias("mau"), F.lead("date").over(order).alias("_next"), last.alias("_hi"))
+    until = F.least(F.date_sub(F.coalesce("_next", F.date_add("_hi", 1)), 1), F.col("_hi"))
+    return days.where(F.col("date") <= F.col("_hi")).select(*by, F.explode(F.sequence("date", until)).alias("date"), "mau")
 
 
 def approx_monthly_active_users(events: DataFrame, user: str = "user_id", ts: str = "ts", window_days: int = 30,
@@ -162,7 +164,8 @@ def approx_monthly_active_users(events: DataFrame, user: str = "user_id", ts: st
     """
     by = list(by)
     day = F.col(ts).cast("date")
-    per_day = events.groupBy(*by, day.alias("date")).agg(F.hll_sketch_agg(user, lg_config_k).alias("_s"))
+    known = events.where(F.col(user).isNotNull())
+    per_day = known.groupBy(*by, day.alias("date")).agg(F.hll_sketch_agg(user, lg_config_k).alias("_s"))
     span = per_day.groupBy(*by).agg(F.min("date").alias("_lo"), F.max("date").alias("_hi"))
     cal = span.select(*by, F.explode(F.sequence("_lo", "_hi")).alias("date"))
     j = cal.join(per_day, [*by, "date"], "left")

@@ -16,10 +16,11 @@ from ..schemas import DAILY_SCHEMA, LEADS_SCHEMA, MONTHLY_SCHEMA, TARGETS_SCHEMA
 
 
 def typed_from_text(raw: DataFrame, schema: T.StructType, on_bad: str = "zero") -> DataFrame:
-    """Text columns -> ``schema``: dates with ``to_date``, numbers with
-    ``parse_number`` (bad -> 0 or NULL), strings as text where an empty cell
-    is the empty string (text tables have no NULL, as in a sheet). Columns
-    outside the schema (grouping keys such as a tenant) pass through first."""
+    """Text columns -> ``schema``: dates (bad -> NULL), numbers with
+    ``parse_number`` (bad, or beyond the column's range -> 0 or NULL), strings
+    as text where an empty cell is the empty string (text tables have no NULL,
+    as in a sheet). A bad cell never ends the scan. Columns outside the schema
+    (grouping keys such as a tenant) pass through first."""
     known = set(schema.fieldNames())
     out = [F.col(c) for c in raw.columns if c not in known]
     for f in schema.fields:
@@ -28,9 +29,10 @@ def typed_from_text(raw: DataFrame, schema: T.StructType, on_bad: str = "zero")
             continue
         c = F.col(f.name)
         if isinstance(f.dataType, T.DateType):
-            out.append(F.to_date(F.trim(c)).alias(f.name))
+            out.append(F.trim(c).try_cast("date").alias(f.name))
         elif isinstance(f.dataType, (T.LongType, T.IntegerType)):
-            out.append(parse_number(c, on_bad).cast(f.dataType).alias(f.name))
+            whole = parse_number(c, on_bad).try_cast(f.dataType)
+            out.append((F.coalesce(whole, F.lit(0).cast(f.dataType)) if on_bad == "zero" else whole).alias(f.name))
         elif isinstance(f.dataType, (T.DoubleType, T.FloatType)):
             out.append(parse_number(c, on_bad).cast(f.dataType).alias(f.name))
         elif isinstance(f.dataType, T.StringType):
@@ -63,9 +65,14 @@ def load_monthly(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
 
 
 def load_targets(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
-    """SRC-3: targets; ``target_yearly`` coerced with bad -> NULL (SCL-2)."""
+    """SRC-3: targets; ``target_yearly`` coerced with bad -> NULL (SCL-2).
+
+    ``row_pos`` (which row of a KPI is the first) is read from a column of that
+    name; a table without it, one small file, is numbered in file order.
+    """
     raw = read_text_table(spark, path, TARGETS_SCHEMA, fmt)
-    return raw.select("kpi", coerce_number("target_yearly").alias("target_yearly"), "unit", "category")
+    pos = F.col("row_pos").try_cast("bigint") if "row_pos" in raw.columns else F.monotonically_increasing_id() + 1
+    return raw.select(pos.alias("row_pos"), "kpi", coerce_number("target_yearly").alias("target_yearly"), "unit", "category")
 
 
 def load_leads(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
@@ -75,7 +82,3 @@ def load_leads(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
         return spark.createDataFrame([], LEADS_SCHEMA)
     return typed_from_text(read_text_table(spark, path, LEADS_SCHEMA, fmt), LEADS_SCHEMA, on_bad="null")
 
-
-def key_column(df: DataFrame, key: str = "date") -> DataFrame:
-    """SRC-5: the key column only (column pruning reaches the scan)."""
-    return df.select(key)

@@ -83,6 +83,6 @@ def test_scoreboard_first_target_wins_and_skips_missing(spark):
 def test_month_vs_target_mapping(spark):
     m = spark.createDataFrame([("2026-01", 120, 7)], "month string, ga_visitors_sum bigint, zoho_deals_new_end bigint")
     t = spark.createDataFrame([("ga_visitors", 1200.0), ("zoho_deals_new", 24.0), ("li_views", 12.0)],
-                              "kpi string, target_yearly double")
+                              "kpi string, target_yearly double").withColumn("row_pos", F.lit(1))
     out = {r["kpi"]: (r["actual"], r["target_month"]) for r in rows(targets.month_vs_target(m, t))}
     assert out == {"ga_visitors": (120.0, 100.0), "zoho_deals_new": (7.0, 2.0)}   # li_views: no column -> no rows
