@@ -34,20 +34,22 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def daily_from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """D: orders -> daily facts in the 16-KPI schema, plus ``seq``.
+def daily_from_orders(spark: SparkSession, sf_dir: str, tenants: bool = False) -> DataFrame:
+    """D: orders -> daily facts in the 16-KPI schema, plus ``seq``. With
+    ``tenants``, one row per customer (column ``tenant``) and order date.
 
     One partial+final hash aggregation on the order date; the distinct
     customer count is planned by Catalyst as a two-level aggregation on
     (date, customer), so a hot day is spread before its final merge.
     """
     o = read(spark, sf_dir, "orders").select(
-        F.col("o_orderdate").cast("date").alias("date"), "o_custkey", "o_orderstatus",
+        F.col("o_orderdate").cast("date").alias("date"), "o_custkey", F.col("o_custkey").alias("tenant"), "o_orderstatus",
         "o_totalprice", "o_orderpriority")
     st, pr = F.col("o_orderstatus"), F.col("o_orderpriority")
     price = F.col("o_totalprice").cast("decimal(18,2)")
     hi = pr.isin("1-URGENT", "2-HIGH")
-    a = o.groupBy("date").agg(
+    by = ["tenant"] if tenants else []
+    a = o.groupBy(*by, "date").agg(
         F.count(F.lit(1)).alias("n"),
         F.count_distinct("o_custkey").alias("cust"),
         F.count_if(pr == "5-LOW").alias("low"),
@@ -63,6 +65,7 @@ def daily_from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     day = F.dayofmonth("date")
     return a.select(
+        *by,
         "date",
         F.col("n").alias("ga_visitors"),
         F.col("cust").alias("ga_sessions"),
@@ -178,6 +181,40 @@ def upsert_inputs(daily: DataFrame) -> tuple[DataFrame, DataFrame]:
     return existing, u1.unionByName(u2)
 
 
+def tenant_upsert_inputs(daily: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``upsert_inputs`` per tenant: customers order on few days, so the plan
+    goes by tenant and day. existing: rows with (tenant + day) % 4 != 0, plus a
+    second copy (seq + 1e6, visitors + 1) where tenant % 7 == 0. updates: rows
+    with (tenant + day) % 2 == 0 (visitors x2, li_views NULL for even tenants,
+    seq + 2e6)."""
+    k = F.col("tenant") + F.dayofmonth("date")
+    keep = daily.where(k % 4 != 0)
+    dup = keep.where(F.col("tenant") % 7 == 0).withColumn("ga_visitors", F.col("ga_visitors") + 1) \
+        .withColumn("seq", F.col("seq") + 1_000_000)
+    upd = daily.where(k % 2 == 0).withColumn("ga_visitors", F.col("ga_visitors") * 2) \
+        .withColumn("li_views", F.when(F.col("tenant") % 2 == 0, F.lit(None).cast("bigint")).otherwise(F.col("li_views"))) \
+        .withColumn("seq", F.col("seq") + 2_000_000)
+    return keep.unionByName(dup), upd
+
+
+def as_text(df: DataFrame) -> DataFrame:
+    """Every cell as text, as a sheet holds it (NULL as an empty cell)."""
+    return df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in df.columns])
+
+
+def daily_text(daily: DataFrame) -> DataFrame:
+    """Daily facts as text with planted bad cells: an impossible date on day
+    11, a number beyond BIGINT on day 13, a word on day 17, an empty cell on day 19."""
+    day = F.dayofmonth("date")
+    t = as_text(daily.withColumn("_day", day))
+    d = F.col("_day").cast("int")
+    return t.withColumns({
+        "date": F.when(d == 11, F.lit("2024-13-45")).otherwise(F.col("date")),
+        "ga_visitors": F.when(d == 13, F.lit("99999999999999999999")).otherwise(F.col("ga_visitors")),
+        "li_views": F.when(d == 17, F.lit("n/a")).when(d == 19, F.lit("")).otherwise(F.col("li_views")),
+    }).drop("_day")
+
+
 def backfill_inputs(daily: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Existing table without day%3 == 0 days, and an analytics history for
     every day (visitors and sessions + 1000, bounce rate, date-based seq)."""

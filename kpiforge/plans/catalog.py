@@ -10,17 +10,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import functions as fx
-from ..functions.nested import PAGE_RESPONSE_SCHEMA
+from ..functions.nested import PAGE_RESPONSE_SCHEMA, PROPERTY_TYPE
 from ..functions.numbers import exact_sum
 from ..operators import facts, reports, rollup, targets, windows
 from ..operators import leads as leads_ops
 from ..operators import nested as nested_ops
-from ..schemas import DAILY_KPIS, LEADS_SCHEMA, WON_STAGES
+from ..schemas import DAILY_KPIS, DAILY_SCHEMA, LEADS_SCHEMA, WON_STAGES
 from ..session import ensure_runtime_conf, scratch_path
 from ..sources import events as ev
-from ..sources import landed, synth
+from ..sources import landed, tables
 from ..streaming import events as sev
 from ..streaming import refresh
 from . import base, documents
@@ -288,11 +289,18 @@ def q_monthly_active_users(spark, sf_dir):
 _DEC = "decimal(38,9)"
 
 
+def _read_pages(spark, docs, name, schema):
+    """Land the documents once, a JSON line each, and read the folder as the library does."""
+    path = scratch_path(spark, name)
+    docs.select("doc").write.text(path)
+    return landed.read_landed(spark, path, schema, multiline=False)
+
+
 @register("paged_json_scan")
 def q_paged_json_scan(spark, sf_dir):
     """SRC-6, SRC-7, SRC-8, SET-1, PRJ-5, SCL-18: CRM pages -> records, per
     pipeline plus an all-pages row counted without exploding."""
-    pages = landed.parse_landed(documents.crm_pages(spark, sf_dir), "doc", landed.CRM_PAGE_SCHEMA)
+    pages = _read_pages(spark, documents.crm_pages(spark, sf_dir), "crm", landed.CRM_PAGE_SCHEMA)
     recs = landed.crm_records(pages).select(F.col("Pipeline").alias("pipeline"), "Amount",
                                             fx.name_of("Account_Name").alias("company"))
     per = recs.groupBy("pipeline").agg(F.count(F.lit(1)).alias("n_records"), exact_sum("Amount", 2).alias("amount"),
@@ -306,7 +314,7 @@ def q_paged_json_scan(spark, sf_dir):
 
 
 def _lineitem_pages(spark, sf_dir):
-    resp = landed.parse_landed(documents.lineitem_page_responses(spark, sf_dir), "doc", PAGE_RESPONSE_SCHEMA)
+    resp = _read_pages(spark, documents.lineitem_page_responses(spark, sf_dir), "pages", PAGE_RESPONSE_SCHEMA)
     return landed.page_results(resp)
 
 
@@ -371,8 +379,8 @@ def q_stream_refresh(spark, sf_dir):
     root = scratch_path(spark, "stream_refresh")
     landing, facts_p, monthly_p, ckpt = (f"{root}/landing", f"{root}/facts", f"{root}/monthly", f"{root}/ckpt")
     # landed in date ranges, as daily files arrive; a later batch then touches only later months
-    base.daily_from_orders(spark, sf_dir).repartitionByRange(4, "date").write.mode("overwrite").parquet(landing)
-    q = refresh.start_refresh(spark, landing, facts_p, monthly_p, ckpt, max_files=2)
+    base.daily_from_orders(spark, sf_dir).repartitionByRange("date").write.mode("overwrite").parquet(landing)
+    q = refresh.start_refresh(spark, landing, facts_p, monthly_p, ckpt, max_files=8)
     q.awaitTermination()
     return refresh.read_monthly(spark, monthly_p)
 
@@ -380,25 +388,49 @@ def q_stream_refresh(spark, sf_dir):
 @register("load_health")
 def q_load_health(spark, sf_dir):
     """AGG-16: expected tables, presence and row counts."""
-    d = base.daily_from_orders(spark, sf_dir)
+    path = scratch_path(spark, "kpi_daily")
+    base.daily_from_orders(spark, sf_dir).write.parquet(path)       # counts are of persisted tables
+    d = spark.read.parquet(path)
     frames = {"kpi_daily": d, "kpi_monthly": rollup.monthly_rollup(d), "kpi_targets": base.targets_frame(spark),
               "zoho_leads": base.leads_from_orders(spark, sf_dir), "kpi_events": None}
     return reports.table_counts(frames, ["kpi_daily", "kpi_monthly", "kpi_targets", "zoho_leads", "kpi_events"])
 
 
-@register("synthetic_facts")
-def q_synthetic_facts(spark, sf_dir):
-    """SRC-15 (SRC-16 literal targets live in ``schemas.default_targets``):
-    90 synthetic days for every customer as a tenant."""
-    return synth.synthetic_daily(base.read(spark, sf_dir, "customer"), "c_custkey", 90)
-
-
 @register("tenant_monthly_rollup")
 def q_tenant_monthly_rollup(spark, sf_dir):
-    """AGG-6 + WIN-5 with grouping keys: the monthly rollup of synthetic daily
-    facts for every customer as a tenant (windows partitioned by tenant)."""
-    daily = synth.synthetic_daily(base.read(spark, sf_dir, "customer"), "c_custkey", 90)
-    return rollup.monthly_rollup(daily, by=["tenant"])
+    """AGG-6 + WIN-5 with grouping keys: the monthly rollup of daily facts of
+    every customer as a tenant (windows partitioned by tenant)."""
+    return rollup.monthly_rollup(base.daily_from_orders(spark, sf_dir, tenants=True), by=["tenant"])
+
+
+@register("tenant_ytd_values")
+def q_tenant_ytd_values(spark, sf_dir):
+    """AGG-14 with grouping keys: customers without orders in the year get 0."""
+    daily = base.daily_from_orders(spark, sf_dir, tenants=True)
+    return targets.ytd_values(daily, None, base.YTD_YEAR, ["ga_visitors", "notion_customers_total", "notion_provision_eur"], by=["tenant"])
+
+
+@register("tenant_stream_refresh")
+def q_tenant_stream_refresh(spark, sf_dir):
+    """STR-1, STR-3, SNK-1 with grouping keys: the refresh stream over the daily
+    facts of every customer as a tenant; returns the monthly table."""
+    root = scratch_path(spark, "tenant_refresh")
+    landing, facts_p, monthly_p, ckpt = (f"{root}/landing", f"{root}/facts", f"{root}/monthly", f"{root}/ckpt")
+    daily = base.daily_from_orders(spark, sf_dir, tenants=True)
+    daily.repartitionByRange("date").write.parquet(landing)
+    q = refresh.start_refresh(spark, landing, facts_p, monthly_p, ckpt, daily.schema, max_files=8, by=["tenant"])
+    q.awaitTermination()
+    return refresh.read_monthly(spark, monthly_p, daily.schema, ["tenant"])
+
+
+@register("upsert_replay")
+def q_upsert_replay(spark, sf_dir):
+    """STR-2, SNK-1: a batch with NULL values written twice; the second write changes nothing."""
+    path = f"{scratch_path(spark, 'upsert_replay')}/facts"
+    _, updates = base.upsert_inputs(base.daily_from_orders(spark, sf_dir))
+    for _ in range(2):
+        facts.upsert_table(spark, path, updates, schema=DAILY_SCHEMA)
+    return spark.read.schema(facts.schema_with_month(DAILY_SCHEMA)).parquet(path)
 
 
 @register("stream_event_windows")
@@ -407,35 +439,133 @@ def q_stream_event_windows(spark, sf_dir):
     tumbling windows in update mode, upserted by date per micro-batch."""
     root = scratch_path(spark, "stream_events")
     landing, table, ckpt = f"{root}/landing", f"{root}/daily_events", f"{root}/ckpt"
-    base.read(spark, sf_dir, "events").repartition(4).write.mode("overwrite").parquet(landing)
-    q = sev.start_event_windows(spark, landing, table, ckpt, max_files=2)
+    base.read(spark, sf_dir, "events").write.mode("overwrite").parquet(landing)   # files as the input's splits
+    q = sev.start_event_windows(spark, landing, table, ckpt, max_files=64)
     q.awaitTermination()
     return sev.read_daily_events(spark, table)
 
 
-def tenant_upsert_inputs(daily):
-    """Existing and update frames keyed by (tenant, date) with planted duplicates.
-
-    existing: day index (seq) % 4 != 0, plus a second copy (seq + 1000,
-    visitors + 1) of tenant % 7 == 0 and seq % 5 == 0 rows. updates: seq % 3
-    == 0 or seq % 4 == 0 with visitors x2 and li_views NULL for even tenants
-    (seq + 2000). Every generated row is in the existing table, the updates
-    or both.
-    """
-    keep = daily.where(F.col("seq") % 4 != 0)
-    dup = keep.where((F.col("tenant") % 7 == 0) & (F.col("seq") % 5 == 0)) \
-        .withColumn("ga_visitors", F.col("ga_visitors") + 1).withColumn("seq", F.col("seq") + 1000)
-    upd = daily.where((F.col("seq") % 3 == 0) | (F.col("seq") % 4 == 0)) \
-        .withColumn("ga_visitors", F.col("ga_visitors") * 2) \
-        .withColumn("li_views", F.when(F.col("tenant") % 2 == 0, F.lit(None).cast("bigint")).otherwise(F.col("li_views"))) \
-        .withColumn("seq", F.col("seq") + 2000)
-    return keep.unionByName(dup), upd
-
-
 @register("tenant_upsert")
 def q_tenant_upsert(spark, sf_dir):
-    """SNK-1, JON-5, SET-3, PRJ-4 with composite keys: keyed upsert of
-    synthetic daily facts of every customer as a tenant."""
-    daily = synth.synthetic_daily(base.read(spark, sf_dir, "customer"), "c_custkey", 90)
-    existing, updates = tenant_upsert_inputs(daily)
+    """SNK-1, JON-5, SET-3, PRJ-4 with composite keys: keyed upsert of daily
+    facts of every customer as a tenant."""
+    existing, updates = base.tenant_upsert_inputs(base.daily_from_orders(spark, sf_dir, tenants=True))
     return facts.upsert(existing, updates, ["tenant", "date"], "seq")
+
+
+# --- text tables, reports without a query of their own --------------------------------
+
+def _landed_text(spark, df, name):
+    path = scratch_path(spark, name)
+    df.write.option("header", True).csv(path)
+    return path
+
+
+@register("load_daily_text")
+def q_load_daily_text(spark, sf_dir):
+    """SRC-1, SNK-6, UDF-1: daily facts landed as text, with planted bad cells."""
+    text = base.daily_text(base.daily_from_orders(spark, sf_dir))
+    return tables.load_daily(spark, _landed_text(spark, text, "daily_text"))
+
+
+@register("load_monthly_text")
+def q_load_monthly_text(spark, sf_dir):
+    """SRC-2, SNK-6: monthly facts landed as text."""
+    text = base.as_text(rollup.monthly_rollup(base.daily_from_orders(spark, sf_dir)))
+    return tables.load_monthly(spark, _landed_text(spark, text, "monthly_text"))
+
+
+@register("load_targets_text")
+def q_load_targets_text(spark, sf_dir):
+    """SRC-3, SCL-2, SCL-10: a target per part as text (padded key; decimal
+    comma and words are bad), with its order column; first target per brand."""
+    p = base.read(spark, sf_dir, "part")
+    k = F.col("p_partkey")
+    price = F.format_string("%.2f", "p_retailprice")
+    value = F.when(k % 5 == 0, F.regexp_replace(price, r"\.", ",")).when(k % 7 == 0, F.lit("offen")).otherwise(price)
+    text = p.select(k.alias("row_pos"), F.concat(F.lit(" "), "p_brand", F.lit(" ")).alias("kpi"), value.alias("target_yearly"),
+                    F.lit("EUR").alias("unit"), F.col("p_type").alias("category"))
+    t = tables.load_targets(spark, _landed_text(spark, base.as_text(text), "targets_text"))
+    return targets.first_targets(t.withColumn("kpi", fx.clean_key("kpi")))
+
+
+@register("metric_report_by_kind")
+def q_metric_report_by_kind(spark, sf_dir):
+    """SRC-11 with grouping keys: sessions per event type; users visit several groups."""
+    return ev.daily_metrics(base.read(spark, sf_dir, "events"), by=["event_type"])
+
+
+@register("bounce_from_engagement")
+def q_bounce_from_engagement(spark, sf_dir):
+    """SRC-12: bounce rate, from the engagement rate on days whose bounce rate is missing."""
+    m = ev.daily_metrics(base.read(spark, sf_dir, "events"))
+    given = F.when(F.dayofmonth("date") % 2 == 0, F.col("bounce_rate"))
+    engaged = F.lit(100.0) - F.col("bounce_rate")
+    return m.select("date", given.alias("bounce"), fx.bounce_with_fallback(given, engaged).alias("bounce_rate"))
+
+
+@register("active_users_scalar")
+def q_active_users_scalar(spark, sf_dir):
+    """SRC-14 scalar form: active users on the report day beside each day's visitors."""
+    e = base.read(spark, sf_dir, "events")
+    return ev.daily_metrics(e).select("date", "visitors", ev.active_users_on(e, ev.EVENTS_AS_OF).alias("mau"))
+
+
+@register("trailing_series_long")
+def q_trailing_series_long(spark, sf_dir):
+    """FLT-1 then RPT-1: the chart series over the filtered window."""
+    window = windows.trailing_range(base.daily_from_orders(spark, sf_dir), 90, cols=["date", "ga_visitors", "ga_sessions"])
+    return reports.series_long(window, "date", ["ga_visitors", "ga_sessions"], TRAFFIC_LABELS)
+
+
+@register("won_stage_counts_created")
+def q_won_stage_counts_created(spark, sf_dir):
+    """AGG-15, FLT-7: won deals created in a range of days."""
+    return leads_ops.won_stage_counts(base.leads_from_orders(spark, sf_dir), WON_STAGES, "1997-01-01", "1998-06-30")
+
+
+@register("lead_funnel_without_leads")
+def q_lead_funnel_without_leads(spark, sf_dir):
+    """RPT-3: the funnel when there is no lead table, from the daily facts."""
+    return leads_ops.lead_funnel(None, base.daily_from_orders(spark, sf_dir))
+
+
+@register("kpis_collected")
+def q_kpis_collected(spark, sf_dir):
+    """AGG-16: KPIs with a value on each customer's latest day."""
+    daily = base.daily_from_orders(spark, sf_dir, tenants=True)
+    some = daily.withColumn("li_views", F.when(F.col("li_views") > 0, F.col("li_views")))
+    return reports.kpis_collected(some, ["ga_visitors", "li_views", "notion_provision_eur"], by=["tenant"])
+
+
+@register("gauge_edges")
+def q_gauge_edges(spark, sf_dir):
+    """SCL-21: attainment and gauge edges of each month against a fixed monthly target."""
+    m = rollup.monthly_rollup(base.daily_from_orders(spark, sf_dir))
+    target = F.lit(120.0)
+    pct = fx.attainment_pct("ga_visitors_sum", target)
+    return m.select("month", "ga_visitors_sum", pct.alias("pct"), fx.attainment_band(pct).alias("band"), *fx.gauge_edges(target))
+
+
+@register("tagged_values")
+def q_tagged_values(spark, sf_dir):
+    """SCL-16: readable values of properties of all nine tags, of computed ones that are no numbers, and of an unknown tag."""
+    t = documents.tagged_pages(spark, sf_dir)
+    props = F.from_json("doc", T.MapType(T.StringType(), PROPERTY_TYPE))
+    return t.select("o_orderkey", "kind", fx.prop_text(props.getItem("Value")).alias("value"))
+
+
+@register("stats_interval")
+def q_stats_interval(spark, sf_dir):
+    """SRC-13, AGG-11: statistics documents of an interval of days."""
+    docs = _read_pages(spark, documents.social_stat_docs(spark, sf_dir), "stats", landed.STATS_SCHEMA)
+    lo, hi = fx.day_start_ms(F.lit("2024-01-08").cast("date")), fx.day_start_ms(F.lit("2024-01-22").cast("date"))
+    inside = landed.stats_in_interval(docs, lo, hi)
+    return nested_ops.element_totals(inside, by=[fx.date_of_ms(F.col("timeRange.start")).alias("date")])
+
+
+@register("picklist_values")
+def q_picklist_values(spark, sf_dir):
+    """SRC-17: picklist values of wanted fields."""
+    docs = _read_pages(spark, documents.picklist_docs(spark, sf_dir), "picklists", landed.FIELDS_SCHEMA)
+    return landed.picklist_values(docs, ["Brand#11", "Brand#23", "Brand#45"])

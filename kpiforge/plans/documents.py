@@ -47,7 +47,8 @@ def crm_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.substring(core, F.lit(1), F.length(core) - 1), F.lit(',"Account_Name":'), acct, F.lit("}")))
     pages = deals.select((k / CRM_PAGE_SIZE).cast("bigint").alias("page"), rec.alias("rec"))
     g = pages.groupBy("page").agg(F.array_join(F.collect_list("rec"), ",").alias("recs"))
-    last = pages.agg(F.max("page").alias("m")).select("m").scalar()   # key column only, no documents
+    orders = base.read(spark, sf_dir, "orders").select("o_orderkey")
+    last = orders.agg(F.max((F.col("o_orderkey") / CRM_PAGE_SIZE).cast("bigint")).alias("m")).select("m").scalar()
     more = F.when(F.col("page") < last, F.lit("true")).otherwise(F.lit("false"))
     doc = F.concat(F.lit('{"data":['), F.col("recs"), F.lit('],"info":{"more_records":'), more,
                    F.lit(',"page":'), F.col("page").cast("string"), F.lit("}}"))
@@ -90,24 +91,24 @@ def _jobject(pairs: list[tuple[Column, Column]]) -> Column:
     return F.concat(F.lit("{"), *parts, F.lit("}"))
 
 
-def _by_page(df: DataFrame, group: Column) -> DataFrame:
+def _by_page(df: DataFrame, group: Column) -> tuple[DataFrame, Column]:
     """Hash-partition raw rows by their page key before documents are built.
 
     The page grouping needs this shuffle anyway; doing it on the narrow raw
     columns means the JSON text is built after the shuffle, in parallel, and
     the grouping below needs no second exchange. A fixed partition count keeps
-    adaptive execution from collapsing the build into one task.
+    adaptive execution from collapsing the build into one task. Also returns
+    the last page key, a scalar over the raw key column alone.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.withColumn("grp", group).repartition(n, "grp")
+    last = df.agg(F.max(group).alias("m")).select("m").scalar()
+    return df.withColumn("grp", group).repartition(n, "grp"), last
 
 
-def _text_responses(pages: DataFrame, group: Column) -> DataFrame:
+def _text_responses(pages: DataFrame, last: Column) -> DataFrame:
     """Cursor responses ``{"results": [...], "has_more", "next_cursor"}`` from
-    page JSON texts grouped by ``group`` (bounded group size)."""
-    keyed = pages.select(group.alias("grp"), "page") if "grp" not in pages.columns else pages.select("grp", "page")
-    g = keyed.groupBy("grp").agg(F.array_join(F.collect_list("page"), ",").alias("results"))
-    last = keyed.agg(F.max("grp").alias("m")).select("m").scalar()   # key column only, no documents
+    page JSON texts grouped by ``grp`` (bounded group size)."""
+    g = pages.groupBy("grp").agg(F.array_join(F.collect_list("page"), ",").alias("results"))
     more = F.col("grp") < last
     doc = F.concat(F.lit('{"results":['), F.col("results"), F.lit('],"has_more":'),
                    F.when(more, F.lit("true")).otherwise(F.lit("false")),
@@ -125,7 +126,7 @@ def lineitem_page_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     is much cheaper than serialising a generic tagged-union struct."""
     li = base.read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
                                                      "l_quantity", "l_extendedprice", "l_discount", "l_returnflag")
-    li = _by_page(li, (F.col("l_orderkey") / ORDERS_PER_RESPONSE).cast("bigint"))
+    li, last = _by_page(li, (F.col("l_orderkey") / ORDERS_PER_RESPONSE).cast("bigint"))
     ln, pk, sk = F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey")
     kwh = F.col("l_quantity") * 1000
     name1 = F.element_at(F.array(*[F.lit(_jkey(n)) for n in KWH_NAMES]), (ln % 4 + 1).cast("int"))
@@ -143,14 +144,14 @@ def lineitem_page_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     page_id = F.concat_ws("-", F.lit("p"), F.col("l_orderkey"), ln)
     page = F.concat(F.lit('{"id":'), _json_string(page_id), F.lit(',"properties":'), props, F.lit("}"))
     pages = li.select("grp", page.alias("page"))
-    return _text_responses(pages, F.col("grp"))
+    return _text_responses(pages, last)
 
 
 def order_customer_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page-database pages with a heterogeneous customer property
     (title, rich text, relation list, select, empty title) and a kWh number."""
     o = base.read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
-    o = _by_page(o, (F.col("o_orderkey") / CUSTOMER_PAGES_PER_RESPONSE).cast("bigint"))
+    o, last = _by_page(o, (F.col("o_orderkey") / CUSTOMER_PAGES_PER_RESPONSE).cast("bigint"))
     k, ck = F.col("o_orderkey"), F.col("o_custkey")
     name = F.concat(F.lit("cust-"), ck.cast("string"))
     t = k % 5
@@ -167,14 +168,14 @@ def order_customer_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     props = _jobject([(key, kunde), (F.lit(_jkey("kWh")), kwh), (F.lit(_jkey("Status")), status)])
     page = F.concat(F.lit('{"id":"o-'), k.cast("string"), F.lit('","properties":'), props, F.lit("}"))
     pages = o.select("grp", page.alias("page"))
-    return _text_responses(pages, F.col("grp"))
+    return _text_responses(pages, last)
 
 
 def social_stat_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Social statistics documents: per day and block of event ids, an
     ``elements[]`` array (missing counters absent) and an epoch-ms interval."""
     e = base.read(spark, sf_dir, "events").select("event_id", "ts", "event_type", "value")
-    e = _by_page(e, (F.col("event_id") / EVENTS_PER_DOC).cast("bigint"))
+    e, _ = _by_page(e, (F.col("event_id") / EVENTS_PER_DOC).cast("bigint"))
     et = F.col("event_type")
     el = F.struct(
         F.struct((F.col("event_id") % 50 + 1).alias("impressionCount"),
@@ -189,6 +190,37 @@ def social_stat_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select(doc.alias("doc"))
 
 
+def picklist_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CRM field metadata: per brand a document whose ``fields[]`` are the part
+    types of the brand, each with the sizes it comes in as a picklist."""
+    p = base.read(spark, sf_dir, "part").select("p_brand", "p_type", "p_size").distinct()
+    value = F.struct(F.concat(F.lit("Size "), F.col("p_size")).alias("display_value"), F.col("p_size").cast("string").alias("actual_value"))
+    f = p.groupBy("p_brand", "p_type").agg(F.collect_list(value).alias("pick_list_values"))
+    field = F.struct(F.col("p_brand").alias("api_name"), F.col("p_type").alias("display_label"), F.lit("picklist").alias("data_type"),
+                     "pick_list_values")
+    return f.groupBy("p_brand").agg(F.collect_list(field).alias("fields")).select(F.to_json(F.struct("fields")).alias("doc"))
+
+
+def tagged_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page per order with one property, of one of the nine tags or an unknown one; rollups and formulas also
+    hold texts, dates and lists."""
+    o = base.read(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus", "o_orderpriority")
+    k, price = F.col("o_orderkey"), F.col("o_totalprice")
+    text = F.concat(F.lit("t-"), k.cast("string"))
+    name = F.concat(F.lit('{"name":'), _json_string(F.col("o_orderpriority")), F.lit("}"))
+    inner = lambda tag, v: F.concat(F.lit('{"type":"' + tag + '","' + tag + '":'), v, F.lit("}"))
+    values = [_jnumber_prop(price), _jtext("title", text), _jtext("rich_text", text), _jtyped("select", name),
+              _jtyped("status", name), _jtyped_number("rollup", price), _jtyped_number("formula", price),
+              _jtyped("date", F.concat(F.lit('{"start":"2024-01-0'), (k % 9 + 1).cast("string"), F.lit('"}'))),
+              _jtyped("relation", F.when(k % 2 == 0, F.lit('[{"id":"a"},{"id":"b"}]')).otherwise(F.lit("[]"))),
+              _jtyped("formula", inner("string", _json_string(text))),
+              _jtyped("formula", inner("boolean", F.when(k % 2 == 0, F.lit("true")).otherwise(F.lit("false")))),
+              _jtyped("rollup", inner("date", F.lit('{"start":"2024-02-03"}'))), _jtyped("people")]
+    kind = (k % len(values)).cast("int")
+    prop = F.element_at(F.array(*values), kind + 1)
+    return o.select("o_orderkey", kind.alias("kind"), F.concat(F.lit('{"Value":'), prop, F.lit("}")).alias("doc"))
+
+
 def part_catalogs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page-database catalogs with ``data_sources[]`` whose first usable id
     sits in ``id`` or ``data_source_id`` or nowhere."""

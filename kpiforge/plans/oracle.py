@@ -554,48 +554,105 @@ SELECT e.table_name, e.pos, c.n IS NOT NULL AS present, CAST(COALESCE(c.n, 0) AS
 FROM e LEFT JOIN c ON e.table_name = c.table_name"""
 
 
-def _u(k: int) -> str:
-    return (f"(CAST((c_custkey * 7919 + i * 104729 + {(k + 42) * 15485863}) % 1000003 AS DOUBLE) "
-            f"/ CAST(1000003 AS DOUBLE))")
+# tenants: the daily facts of every customer
+TD_CTE = (D_CTE.replace("FROM o_ GROUP BY date", "FROM o_ GROUP BY o_custkey, date")
+          .replace("SELECT date, COUNT(*) AS n,", "SELECT o_custkey AS tenant, date, COUNT(*) AS n,")
+          .replace("SELECT date,\n", "SELECT tenant, date,\n").replace("\nd AS (", "\ntd AS ("))
+
+ORACLE["tenant_monthly_rollup"] = with_ctes(TD_CTE, monthly_cte("td", "tenant", "tm")) + "SELECT * FROM tm"
+ORACLE["tenant_stream_refresh"] = ORACLE["tenant_monthly_rollup"]
+
+ORACLE["tenant_ytd_values"] = with_ctes(TD_CTE, """
+yr AS (SELECT tenant, date, year(date) = 1998 AS inside, ga_visitors, notion_customers_total, notion_provision_eur, seq FROM td)""") + """
+SELECT tenant, 'ga_visitors' AS kpi, 'sum' AS kind, CAST(COALESCE(SUM(ga_visitors) FILTER (WHERE inside), 0) AS DOUBLE) AS ytd
+FROM yr GROUP BY 1
+UNION ALL SELECT tenant, 'notion_customers_total', 'snapshot',
+  CAST(COALESCE(arg_max(notion_customers_total, seq) FILTER (WHERE inside AND notion_customers_total > 0), 0) AS DOUBLE) FROM yr GROUP BY 1
+UNION ALL SELECT tenant, 'notion_provision_eur', 'sum',
+  CAST(COALESCE(SUM(CAST(notion_provision_eur AS DECIMAL(38,9))) FILTER (WHERE inside), 0) AS DOUBLE) FROM yr GROUP BY 1"""
+
+ORACLE["upsert_replay"] = UPSERT_CTE + "SELECT date, " + ", ".join(
+    f"COALESCE({k}, {_KPI_DEFAULT[k]}) AS {k}" for k in DAILY_KPIS) + ", seq, strftime(date, '%Y-%m') AS month FROM ul"
+
+_DAILY_TEXT = {"date": "CASE WHEN day(date) = 11 THEN NULL ELSE date END",
+               "ga_visitors": "CASE WHEN day(date) = 13 THEN 0 ELSE ga_visitors END",
+               "li_views": "CASE WHEN day(date) IN (17, 19) THEN 0 ELSE li_views END"}
+ORACLE["load_daily_text"] = with_ctes(D_CTE) + f"SELECT {_daily_select(_DAILY_TEXT)} FROM d"
+
+ORACLE["load_monthly_text"] = with_ctes(D_CTE, MONTHLY_CTE) + "SELECT * FROM m"
+
+ORACLE["load_targets_text"] = """
+WITH t AS (SELECT p_partkey AS row_pos, trim(p_brand) AS kpi,
+    CASE WHEN p_partkey % 5 = 0 OR p_partkey % 7 = 0 THEN NULL ELSE CAST(printf('%.2f', p_retailprice) AS DOUBLE) END AS target_yearly,
+    'EUR' AS unit, p_type AS category FROM part)
+SELECT row_pos, kpi, target_yearly, unit, category
+FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY kpi ORDER BY row_pos) AS rn FROM t) x WHERE rn = 1"""
+
+ORACLE["metric_report_by_kind"] = with_ctes(SESSIONS_CTE.replace("PARTITION BY user_id", "PARTITION BY event_type, user_id"), f"""
+x AS (SELECT event_type, CAST(ts AS DATE) AS date, {_METRICS_SQL} FROM fl GROUP BY 1, 2)""") + \
+    f"SELECT *, {_BOUNCE_SQL} AS bounce_rate FROM x"
 
+ORACLE["bounce_from_engagement"] = with_ctes(SESSIONS_CTE, f"""
+x AS (SELECT CAST(ts AS DATE) AS date, {_METRICS_SQL} FROM fl GROUP BY 1),
+y AS (SELECT date, {_BOUNCE_SQL} AS b FROM x)""") + """
+SELECT date, CASE WHEN day(date) % 2 = 0 THEN b END AS bounce,
+  CASE WHEN day(date) % 2 = 0 THEN b ELSE 100.0 - (100.0 - b) END AS bounce_rate FROM y"""
 
-_SYN_DATE = "CAST(DATE '2024-01-31' - 89 + CAST(i AS INTEGER) AS DATE)"
-_WF = f"(CASE WHEN isodow({_SYN_DATE}) >= 6 THEN 0.6::DOUBLE ELSE 1.0::DOUBLE END)"
-_GROWTH = "(1 + i * 0.003::DOUBLE)"
+ORACLE["active_users_scalar"] = """
+SELECT CAST(ts AS DATE) AS date, COUNT(DISTINCT user_id) AS visitors,
+  (SELECT COUNT(DISTINCT user_id) FROM events
+   WHERE CAST(ts AS DATE) > DATE '2024-01-31' - 30 AND CAST(ts AS DATE) <= DATE '2024-01-31') AS mau
+FROM events GROUP BY 1"""
 
-SYNTH_CTE = f"""
-b AS (SELECT c_custkey, CAST(r.i AS INTEGER) AS i FROM customer, range(0, 90) AS r(i)),
-x AS (
-  SELECT c_custkey AS tenant, {_SYN_DATE} AS date,
-    CAST(floor(250 * {_GROWTH} * {_WF} * (0.8::DOUBLE + 0.5::DOUBLE * {_u(1)})) AS BIGINT) AS ga_visitors,
-    CAST(round(CAST(35 + 20 * {_u(3)} AS DECIMAL(38,9)), 1) AS DOUBLE) AS ga_bounce_rate,
-    CAST(72 + i // 5 AS BIGINT) AS notion_customers_total,
-    CAST(round(CAST(1.2::DOUBLE + i * 0.015::DOUBLE + (-0.1::DOUBLE + 0.2::DOUBLE * {_u(4)}) AS DECIMAL(38,9)), 2)
-      AS DOUBLE) AS notion_yearly_consumption_gwh,
-    0.0::DOUBLE AS manual_license_revenue,
-    CAST(30 + i // 3 AS BIGINT) AS zoho_deals_total,
-    CAST(floor((2 + 13 * {_u(6)}) * {_WF}) AS BIGINT) AS zoho_deals_new,
-    CAST(NULL AS BIGINT) AS zoho_deals_active,
-    CAST(floor(4 * {_u(7)}) AS BIGINT) AS zoho_deals_won,
-    CAST(NULL AS BIGINT) AS zoho_deals_lost,
-    CAST(NULL AS BIGINT) AS zoho_deals_waiting,
-    CAST(floor(10 + i * 0.5::DOUBLE + (-2 + 4 * {_u(5)})) AS BIGINT) AS auth0_mau,
-    CAST(floor((800 + 1700 * {_u(8)}) * {_GROWTH}) AS BIGINT) AS li_impressions,
-    CAST(i AS BIGINT) AS seq, {_u(2)} AS u2, {_u(9)} AS u9
-  FROM b),
-sy AS (
-SELECT tenant, date, ga_visitors,
-  CAST(floor(ga_visitors * (1.2::DOUBLE + 0.6::DOUBLE * u2)) AS BIGINT) AS ga_sessions,
-  ga_bounce_rate, notion_customers_total, notion_yearly_consumption_gwh,
-  CAST(round(CAST(notion_yearly_consumption_gwh * 8000 AS DECIMAL(38,9)), 0) AS DOUBLE) AS notion_provision_eur,
-  manual_license_revenue, zoho_deals_total, zoho_deals_new, zoho_deals_active, zoho_deals_won, zoho_deals_lost,
-  zoho_deals_waiting, auth0_mau, li_impressions,
-  CAST(floor(li_impressions * (0.1::DOUBLE + 0.1::DOUBLE * u9)) AS BIGINT) AS li_views, seq
-FROM x)"""
-
-ORACLE["synthetic_facts"] = with_ctes(SYNTH_CTE) + "SELECT * FROM sy"
-
-ORACLE["tenant_monthly_rollup"] = with_ctes(SYNTH_CTE, monthly_cte("sy", "tenant", "tm")) + "SELECT * FROM tm"
+ORACLE["trailing_series_long"] = with_ctes(D_CTE, "w AS (SELECT * FROM d WHERE date >= (SELECT MAX(date) FROM d) - 90)") + """
+SELECT date, 'ga_visitors' AS series, 'Besucher' AS label, CAST(ga_visitors AS DOUBLE) AS value FROM w
+UNION ALL
+SELECT date, 'ga_sessions' AS series, 'Sessions' AS label, CAST(ga_sessions AS DOUBLE) AS value FROM w"""
+
+ORACLE["won_stage_counts_created"] = with_ctes(L_CTE) + f"""
+SELECT stage, COUNT(*) AS deals FROM l WHERE stage IN {_in(WON_STAGES)}
+  AND created_date BETWEEN DATE '1997-01-01' AND DATE '1998-06-30' GROUP BY ROLLUP (stage)"""
+
+ORACLE["lead_funnel_without_leads"] = with_ctes(D_CTE, """
+lc AS (SELECT CAST(COALESCE(arg_max(zoho_deals_total, seq) FILTER (WHERE zoho_deals_total > 0), 0) AS BIGINT) AS total,
+  CAST(0 AS BIGINT) AS "new", CAST(0 AS BIGINT) AS active, CAST(0 AS BIGINT) AS won, CAST(0 AS BIGINT) AS lost,
+  CAST(0 AS BIGINT) AS waiting FROM d)""", "s AS (" + " UNION ALL ".join(
+    f"SELECT {i + 1} AS pos, {_q(label)} AS stage, \"{src}\" AS value FROM lc"
+    for i, (label, src) in enumerate(FUNNEL_STAGES)) + ")") + """
+SELECT pos, stage, value,
+  CASE WHEN FIRST_VALUE(value) OVER (ORDER BY pos) > 0
+       THEN CAST(value AS DOUBLE) / CAST(FIRST_VALUE(value) OVER (ORDER BY pos) AS DOUBLE) * 100 END AS pct_of_first
+FROM s"""
+
+ORACLE["kpis_collected"] = with_ctes(TD_CTE) + """
+SELECT tenant, CAST(2 + CASE WHEN li_views > 0 THEN 1 ELSE 0 END AS INTEGER) AS kpis_collected
+FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY tenant ORDER BY date DESC, seq DESC) AS rn FROM td) x WHERE rn = 1"""
+
+ORACLE["gauge_edges"] = with_ctes(D_CTE, MONTHLY_CTE, """
+g AS (SELECT month, ga_visitors_sum, CAST(ga_visitors_sum AS DOUBLE) / 120.0::DOUBLE * 100 AS pct FROM m)""") + """
+SELECT month, ga_visitors_sum, pct, CASE WHEN pct >= 100 THEN 'success' WHEN pct >= 70 THEN 'warning' ELSE 'danger' END AS band,
+  120.0::DOUBLE * 0.7::DOUBLE AS edge_warning, 120.0::DOUBLE AS edge_success, 120.0::DOUBLE * 1.2::DOUBLE AS edge_max FROM g"""
+
+ORACLE["tagged_values"] = """
+WITH o AS (SELECT o_orderkey, CAST(o_orderkey % 13 AS INTEGER) AS kind, o_totalprice, o_orderpriority,
+             't-' || CAST(o_orderkey AS VARCHAR) AS t FROM orders)
+SELECT o_orderkey, kind, CASE
+  WHEN kind IN (1, 2) THEN t WHEN kind IN (3, 4) THEN o_orderpriority
+  WHEN kind IN (0, 5, 6) THEN CAST(o_totalprice AS VARCHAR)
+  WHEN kind = 7 THEN '2024-01-0' || CAST(o_orderkey % 9 + 1 AS VARCHAR)
+  WHEN kind = 8 THEN CASE WHEN o_orderkey % 2 = 0 THEN '2 Verknüpfung(en)' ELSE '0' END
+  WHEN kind = 9 THEN '{"type":"string","string":"' || t || '"}'
+  WHEN kind = 10 THEN '{"type":"boolean","boolean":' || CASE WHEN o_orderkey % 2 = 0 THEN 'true' ELSE 'false' END || '}'
+  WHEN kind = 11 THEN '{"type":"date","date":{"start":"2024-02-03"}}'
+  ELSE '(people)' END AS value FROM o"""
+
+ORACLE["stats_interval"] = ORACLE["nested_array_sum"].replace(
+    "FROM events", "FROM events WHERE CAST(ts AS DATE) >= DATE '2024-01-08' AND CAST(ts AS DATE) < DATE '2024-01-22'")
+
+ORACLE["picklist_values"] = """
+SELECT DISTINCT p_brand AS api_name, p_type AS display_label, 'picklist' AS data_type,
+  'Size ' || CAST(p_size AS VARCHAR) AS display_value, CAST(p_size AS VARCHAR) AS actual_value
+FROM part WHERE p_brand IN ('Brand#11', 'Brand#23', 'Brand#45')"""
 
 ORACLE["stream_event_windows"] = """
 SELECT CAST(ts AS DATE) AS date, COUNT(*) AS events, CAST(COUNT_IF(event_type = 'view') AS BIGINT) AS pageviews,
@@ -604,32 +661,21 @@ SELECT CAST(ts AS DATE) AS date, COUNT(*) AS events, CAST(COUNT_IF(event_type =
            0.0) AS purchase_value
 FROM events GROUP BY 1"""
 
-_SY_COLS = ["tenant", "date"] + list(DAILY_KPIS) + ["seq"]
-
-
-def _sy_select(overrides: dict) -> str:
-    return ", ".join(f"{overrides[c]} AS {c}" if c in overrides else c for c in _SY_COLS)
-
-
-_KPI_FILL = {k: ("0.0" if k in DOUBLE_KPIS else "0") for k in DAILY_KPIS}
-
-ORACLE["tenant_upsert"] = with_ctes(SYNTH_CTE, f"""
+_T_NULLED = "CASE WHEN tenant % 2 = 0 THEN NULL ELSE li_views END"
+ORACLE["tenant_upsert"] = with_ctes(TD_CTE, f"""
 ex AS (
-  SELECT {_sy_select({})} FROM sy WHERE seq % 4 <> 0
+  SELECT tenant, {_daily_select({})} FROM td WHERE (tenant + day(date)) % 4 <> 0
   UNION ALL
-  SELECT {_sy_select({'ga_visitors': 'ga_visitors + 1', 'seq': 'seq + 1000'})}
-  FROM sy WHERE seq % 4 <> 0 AND tenant % 7 = 0 AND seq % 5 = 0
+  SELECT tenant, {_daily_select({'ga_visitors': 'ga_visitors + 1', 'seq': 'seq + 1000000'})}
+  FROM td WHERE (tenant + day(date)) % 4 <> 0 AND tenant % 7 = 0
 ),
 up AS (
-  SELECT {_sy_select({'ga_visitors': 'ga_visitors * 2',
-                      'li_views': 'CASE WHEN tenant % 2 = 0 THEN NULL ELSE li_views END', 'seq': 'seq + 2000'})}
-  FROM sy WHERE seq % 3 = 0 OR seq % 4 = 0
+  SELECT tenant, {_daily_select({'ga_visitors': 'ga_visitors * 2', 'li_views': _T_NULLED, 'seq': 'seq + 2000000'})}
+  FROM td WHERE (tenant + day(date)) % 2 = 0
 ),
-ul AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY tenant, date ORDER BY seq DESC) AS rn FROM up) x
-       WHERE rn = 1),
 ef AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY tenant, date ORDER BY seq) AS rn FROM ex) x
-       WHERE rn = 1)""") + "SELECT ul.tenant, ul.date, " + ", ".join(
-    f"COALESCE(ul.{k}, ef.{k}, {_KPI_FILL[k]}) AS {k}" for k in DAILY_KPIS) + """, ul.seq
-FROM ul LEFT JOIN ef ON ul.tenant = ef.tenant AND ul.date = ef.date
+       WHERE rn = 1)""") + "SELECT up.tenant, up.date, " + ", ".join(
+    f"COALESCE(up.{k}, ef.{k}, {_KPI_DEFAULT[k]}) AS {k}" for k in DAILY_KPIS) + """, up.seq
+FROM up LEFT JOIN ef ON up.tenant = ef.tenant AND up.date = ef.date
 UNION ALL
 SELECT * FROM ex WHERE NOT EXISTS (SELECT 1 FROM up WHERE up.tenant = ex.tenant AND up.date = ex.date)"""
