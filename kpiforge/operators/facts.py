@@ -6,9 +6,10 @@ the ``*_table`` functions persist them:
 * keyed upsert into a month-partitioned Parquet table: only partitions
   between the batch's first and last month are read, and only touched months
   rewritten, with ``partitionOverwriteMode=dynamic`` set per write;
-* lineage is cut with a reliable ``checkpoint()`` (into the shared
-  ``spark.checkpoint.dir``) before a path that is being read is overwritten,
-  so a lost executor can never recompute from files that are being replaced.
+* lineage is cut with a table written below the shared
+  ``spark.checkpoint.dir`` before a path that is being read is overwritten,
+  so a lost executor can never recompute from files that are being replaced;
+  it is removed after the write.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.dates import month_key
-from ..session import checkpoint_root, ensure_runtime_conf
+from ..session import ensure_runtime_conf, remove_path, scratch_path
 from .windows import first_per_key, last_per_key
 
 
@@ -148,10 +149,12 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared ``spark.checkpoint.dir``."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+def staged(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``df`` written below the shared ``spark.checkpoint.dir`` and read back, and its path (to be removed after use)."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def write_partitioned(df: DataFrame, path: str, partition_col: str = "month", mode: str = "overwrite") -> None:
@@ -188,7 +191,7 @@ def upsert_table(spark: SparkSession, path: str, updates: DataFrame, keys: Seque
     """SNK-1 on a month-partitioned table; returns the touched months.
 
     Reads only partitions between the batch's first and last month (literal
-    bounds), of these the rows of touched months, merges, checkpoints and
+    bounds), of these the rows of touched months, merges, stages and
     rewrites the touched months. The first write is the same merge, with an
     empty table, so a replay of the batch changes nothing.
     """
@@ -206,8 +209,11 @@ def upsert_table(spark: SparkSession, path: str, updates: DataFrame, keys: Seque
     merged = merged.withColumn("month", month_key(F.col(date_col)))
     if _exists(spark, path):
         # the merge reads the partitions it is about to replace: cut lineage first
-        merged = cut_lineage(merged)
-    write_partitioned(merged, path, "month")
+        merged, stage = staged(merged, "upsert")
+        write_partitioned(merged, path, "month")
+        remove_path(spark, stage)
+    else:
+        write_partitioned(merged, path, "month")
     return touched
 
 

@@ -7,9 +7,165 @@ CTE fragments; each query appends its own CTEs and final SELECT.
 
 from __future__ import annotations
 
-from ..schemas import (DAILY_KPIS, DOUBLE_KPIS, FUNNEL_STAGES, KPI_META_ROWS, LEAD_COUNT_KPIS, LOST_STAGES,
-                       MONTHLY_COLUMN_MAP, MONTHLY_COLUMNS, SCOREBOARD_LAYOUT, SNAPSHOT_KPIS, TARGET_ROWS,
-                       WAITING_STAGES, WON_STAGES)
+# Fixed values, stated again here so that the oracle does not depend on the library's.
+DAILY_KPIS = [
+    "ga_visitors",
+    "ga_sessions",
+    "ga_bounce_rate",
+    "notion_customers_total",
+    "notion_yearly_consumption_gwh",
+    "notion_provision_eur",
+    "manual_license_revenue",
+    "zoho_deals_total",
+    "zoho_deals_new",
+    "zoho_deals_active",
+    "zoho_deals_won",
+    "zoho_deals_lost",
+    "zoho_deals_waiting",
+    "auth0_mau",
+    "li_impressions",
+    "li_views",
+]
+DOUBLE_KPIS = {
+    "ga_bounce_rate",
+    "notion_yearly_consumption_gwh",
+    "notion_provision_eur",
+    "manual_license_revenue",
+}
+FUNNEL_STAGES = [
+    ("Gesamt", "total"),
+    ("Aktiv", "active"),
+    ("Aktiv (Neu)", "new"),
+    ("Warteschleife", "waiting"),
+    ("Gewonnen", "won"),
+    ("Verloren", "lost"),
+]
+KPI_META_ROWS = [
+    ("ga_visitors", "Website Besucher"),
+    ("ga_sessions", "Sessions"),
+    ("ga_bounce_rate", "Absprungrate"),
+    ("notion_customers_total", "Kunden Gesamt"),
+    ("notion_yearly_consumption_gwh", "Yearly Consumption"),
+    ("notion_provision_eur", "Provision Energie"),
+    ("manual_license_revenue", "Lizenzumsatz"),
+    ("zoho_deals_new", "Neue Leads"),
+    ("zoho_deals_total", "Leads Gesamt"),
+    ("zoho_deals_won", "Leads gewonnen"),
+    ("zoho_deals_lost", "Leads verloren"),
+    ("zoho_deals_waiting", "Warteschleife"),
+    ("zoho_deals_active", "Leads aktiv"),
+    ("auth0_mau", "Active Users"),
+    ("li_impressions", "LinkedIn Impressions"),
+    ("li_views", "LinkedIn Views"),
+]
+LEAD_COUNT_KPIS = ["zoho_deals_new"]
+
+# Scoreboard layout: two groups of three KPIs, in display order.
+SCOREBOARD_LAYOUT = [
+    ("sales_energy", 1, "notion_customers_total"),
+    ("sales_energy", 2, "zoho_deals_new"),
+    ("sales_energy", 3, "notion_yearly_consumption_gwh"),
+    ("social_traffic", 1, "ga_visitors"),
+    ("social_traffic", 2, "li_impressions"),
+    ("social_traffic", 3, "li_views"),
+]
+LOST_STAGES = ["Abgeschlossen, verloren"]
+WAITING_STAGES = ["Warteschleife"]
+NEW_LEAD_DAYS = 14
+LEAD_STATUSES = ["new", "active", "won", "lost", "waiting"]
+
+# Funnel rows: label and the lead count feeding it.
+FUNNEL_STAGES = [
+    ("Gesamt", "total"),
+    ("Aktiv", "active"),
+    ("Aktiv (Neu)", "new"),
+    ("Warteschleife", "waiting"),
+    ("Gewonnen", "won"),
+    ("Verloren", "lost"),
+]
+MONTHLY_COLUMN_MAP = {
+    "ga_visitors": "ga_visitors_sum",
+    "notion_customers_total": "notion_customers_end",
+    "notion_yearly_consumption_gwh": "notion_yearly_consumption_gwh",
+    "zoho_deals_total": "zoho_deals_total_end",
+    "li_impressions": "li_impressions_sum",
+    "li_views": "li_views_sum",
+}
+MONTHLY_COLUMNS = [
+    "month",
+    "ga_visitors_sum",
+    "ga_visitors_avg",
+    "notion_customers_end",
+    "notion_customers_new",
+    "notion_yearly_consumption_gwh",
+    "notion_provision_eur",
+    "manual_license_revenue",
+    "zoho_deals_total_end",
+    "zoho_deals_new_end",
+    "zoho_deals_active_end",
+    "zoho_deals_won_end",
+    "zoho_deals_lost_end",
+    "zoho_deals_waiting_end",
+    "auth0_mau_end",
+    "li_impressions_sum",
+    "li_views_sum",
+]
+SCOREBOARD_LAYOUT = [
+    ("sales_energy", 1, "notion_customers_total"),
+    ("sales_energy", 2, "zoho_deals_new"),
+    ("sales_energy", 3, "notion_yearly_consumption_gwh"),
+    ("social_traffic", 1, "ga_visitors"),
+    ("social_traffic", 2, "li_impressions"),
+    ("social_traffic", 3, "li_views"),
+]
+SNAPSHOT_KPIS = ["notion_customers_total", "notion_yearly_consumption_gwh", "zoho_deals_total"]
+LEAD_COUNT_KPIS = ["zoho_deals_new"]
+
+# Scoreboard layout: two groups of three KPIs, in display order.
+SCOREBOARD_LAYOUT = [
+    ("sales_energy", 1, "notion_customers_total"),
+    ("sales_energy", 2, "zoho_deals_new"),
+    ("sales_energy", 3, "notion_yearly_consumption_gwh"),
+    ("social_traffic", 1, "ga_visitors"),
+    ("social_traffic", 2, "li_impressions"),
+    ("social_traffic", 3, "li_views"),
+]
+TARGET_ROWS = [
+    ("ga_visitors", 120000.0, "Besucher", "Website"),
+    ("notion_customers_total", 100.0, "Kunden", "Sales"),
+    ("notion_yearly_consumption_gwh", 10.0, "GWh", "Energy"),
+    ("zoho_deals_new", 500.0, "Leads", "Sales"),
+    ("li_impressions", 600000.0, "Impressions", "Social"),
+    ("li_views", 100000.0, "Views", "Social"),
+]
+WAITING_STAGES = ["Warteschleife"]
+NEW_LEAD_DAYS = 14
+LEAD_STATUSES = ["new", "active", "won", "lost", "waiting"]
+
+# Funnel rows: label and the lead count feeding it.
+FUNNEL_STAGES = [
+    ("Gesamt", "total"),
+    ("Aktiv", "active"),
+    ("Aktiv (Neu)", "new"),
+    ("Warteschleife", "waiting"),
+    ("Gewonnen", "won"),
+    ("Verloren", "lost"),
+]
+WON_STAGES = ["Gewonnen, Freigabe erhalten", "Abgeschlossen, gewonnen", "Abgewickelt, -> OPS"]
+LOST_STAGES = ["Abgeschlossen, verloren"]
+WAITING_STAGES = ["Warteschleife"]
+NEW_LEAD_DAYS = 14
+LEAD_STATUSES = ["new", "active", "won", "lost", "waiting"]
+
+# Funnel rows: label and the lead count feeding it.
+FUNNEL_STAGES = [
+    ("Gesamt", "total"),
+    ("Aktiv", "active"),
+    ("Aktiv (Neu)", "new"),
+    ("Warteschleife", "waiting"),
+    ("Gewonnen", "won"),
+    ("Verloren", "lost"),
+]
 
 
 def _q(s: str) -> str:
@@ -101,7 +257,7 @@ T_CTE = "t AS (SELECT * FROM (VALUES " + ", ".join(
 ) + ") v(row_pos, kpi, target_yearly, unit, category))"
 
 META_CTE = "meta AS (SELECT * FROM (VALUES " + ", ".join(
-    f"({_q(k)}, {_q(lbl)})" for k, lbl, _f, _c in KPI_META_ROWS) + ") v(kpi, label))"
+    f"({_q(k)}, {_q(lbl)})" for k, lbl in KPI_META_ROWS) + ") v(kpi, label))"
 
 LAYOUT_CTE = "layout AS (SELECT * FROM (VALUES " + ", ".join(
     f"({_q(g)}, {p}, {_q(k)})" for g, p, k in SCOREBOARD_LAYOUT) + ") v(grp, pos, kpi))"

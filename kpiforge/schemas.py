@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -68,24 +68,24 @@ TARGET_ROWS = [
     ("li_views", 100000.0, "Views", "Social"),
 ]
 
-# kpi, label, format, category
+# kpi, label
 KPI_META_ROWS = [
-    ("ga_visitors", "Website Besucher", "{:,.0f}", "Website"),
-    ("ga_sessions", "Sessions", "{:,.0f}", "Website"),
-    ("ga_bounce_rate", "Absprungrate", "{:.1f}%", "Website"),
-    ("notion_customers_total", "Kunden Gesamt", "{:,.0f}", "Sales"),
-    ("notion_yearly_consumption_gwh", "Yearly Consumption", "{:,.1f} GWh", "Energy"),
-    ("notion_provision_eur", "Provision Energie", "{:,.0f} €", "Revenue"),
-    ("manual_license_revenue", "Lizenzumsatz", "{:,.0f} €", "Revenue"),
-    ("zoho_deals_new", "Neue Leads", "{:,.0f}", "Sales"),
-    ("zoho_deals_total", "Leads Gesamt", "{:,.0f}", "Sales"),
-    ("zoho_deals_won", "Leads gewonnen", "{:,.0f}", "Sales"),
-    ("zoho_deals_lost", "Leads verloren", "{:,.0f}", "Sales"),
-    ("zoho_deals_waiting", "Warteschleife", "{:,.0f}", "Sales"),
-    ("zoho_deals_active", "Leads aktiv", "{:,.0f}", "Sales"),
-    ("auth0_mau", "Active Users", "{:,.0f}", "Product"),
-    ("li_impressions", "LinkedIn Impressions", "{:,.0f}", "Social"),
-    ("li_views", "LinkedIn Views", "{:,.0f}", "Social"),
+    ("ga_visitors", "Website Besucher"),
+    ("ga_sessions", "Sessions"),
+    ("ga_bounce_rate", "Absprungrate"),
+    ("notion_customers_total", "Kunden Gesamt"),
+    ("notion_yearly_consumption_gwh", "Yearly Consumption"),
+    ("notion_provision_eur", "Provision Energie"),
+    ("manual_license_revenue", "Lizenzumsatz"),
+    ("zoho_deals_new", "Neue Leads"),
+    ("zoho_deals_total", "Leads Gesamt"),
+    ("zoho_deals_won", "Leads gewonnen"),
+    ("zoho_deals_lost", "Leads verloren"),
+    ("zoho_deals_waiting", "Warteschleife"),
+    ("zoho_deals_active", "Leads aktiv"),
+    ("auth0_mau", "Active Users"),
+    ("li_impressions", "LinkedIn Impressions"),
+    ("li_views", "LinkedIn Views"),
 ]
 
 # Year-to-date kinds: snapshot KPIs take the last known value in the year,
@@ -175,8 +175,6 @@ LEADS_SCHEMA = T.StructType([
 KPI_META_SCHEMA = T.StructType([
     T.StructField("kpi", T.StringType()),
     T.StructField("label", T.StringType()),
-    T.StructField("format", T.StringType()),
-    T.StructField("category", T.StringType()),
 ])
 
 
@@ -211,11 +209,3 @@ def enforce_schema(df: DataFrame, schema: T.StructType, strict: bool = True) ->
         if missing or extra:
             raise ValueError(f"schema drift: missing={missing} extra={extra}")
     return df.to(schema)
-
-
-def col_or_default(df: DataFrame, name: str, default, dtype: T.DataType | None = None) -> Column:
-    """PRJ-4: the column if present and non-null, else ``default``."""
-    lit = F.lit(default) if dtype is None else F.lit(default).cast(dtype)
-    if name in df.columns:
-        return F.coalesce(F.col(name), lit)
-    return lit

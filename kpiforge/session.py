@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -76,18 +77,21 @@ def checkpoint_root(spark: SparkSession) -> str:
     if not sc.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir is not set; a shared folder is required on a cluster")
     root = tempfile.mkdtemp(prefix="kpiforge-ckpt-")
+    atexit.register(shutil.rmtree, root, ignore_errors=True)
     spark.conf.set("spark.checkpoint.dir", root)
     sc.setCheckpointDir(root)
     return root
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh, unique path below the shared checkpoint folder."""
-    root = checkpoint_root(spark)
-    path = f"{root}/kpiforge/{name}-{uuid.uuid4().hex[:12]}"
-    if "://" not in path:
-        os.makedirs(os.path.dirname(path), exist_ok=True)
-    return path
+    """A fresh, unique path below the shared checkpoint folder. Spark's writers make the folders."""
+    return f"{checkpoint_root(spark)}/kpiforge/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a scratch path through Spark's file system layer."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def size_partitions(spark: SparkSession, input_bytes: int, target_bytes: int = 128 * 1024 * 1024,

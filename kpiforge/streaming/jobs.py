@@ -20,9 +20,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.dates import month_key
-from ..operators.facts import (_exists, cut_lineage, fill_defaults, merge_sources, month_bounds, one_per_key,
-                               read_months)
+from ..operators.facts import (_exists, fill_defaults, merge_sources, month_bounds, one_per_key, read_months,
+                               staged)
 from ..schemas import DAILY_SCHEMA, with_missing
+from ..session import remove_path
 from .refresh import recompute_months, refresh_batch
 
 
@@ -45,7 +46,7 @@ def backfill_table(spark: SparkSession, facts_path: str, monthly_path: str, hist
     once (other KPIs get their defaults); returns the months that received rows.
 
     Only the key columns of the history's months are read for the check
-    (column and partition pruning). The new rows are checkpointed before they
+    (column and partition pruning). The new rows are staged before they
     are appended to the table they were checked against.
     """
     keys = [*by, "date"]
@@ -57,9 +58,11 @@ def backfill_table(spark: SparkSession, facts_path: str, monthly_path: str, hist
         there = read_months(spark, facts_path, *bounds, schema=schema).select(*keys).distinct()
         hist = hist.join(there, keys, "left_anti").select(*hist.columns)
     new = fill_defaults(hist, [f.name for f in schema.fields if f.name not in (*keys, "seq")])
-    new = cut_lineage(new)
+    new, stage = staged(new, "backfill")
     new.hint("rebalance", "month").write.mode("append").partitionBy("month").parquet(facts_path)
-    touched = new.select("month").distinct()
-    if not touched.isEmpty():
+    months = [(r["month"],) for r in new.select("month").distinct().collect()]     # one per calendar month at most
+    remove_path(spark, stage)
+    touched = spark.createDataFrame(months, "month string")
+    if months:
         recompute_months(spark, facts_path, monthly_path, touched, schema, by)
     return touched
