@@ -5,9 +5,9 @@ earlier (smaller id, or same document and earlier start); strings are judged
 on the input, overlaps count, and no string crosses documents.
 
 1. Anchors. Of the ``GRAM``-byte substrings of every ``LENGTH``-byte window the
-   one with the least hash is an anchor. Equal windows have equal anchors at
-   the same place, so all that can repeat lies around anchors that occur twice.
-   An anchor's context is the union of the windows that hold it.
+   one with the least hash (the leftmost of equals) is its anchor. Equal windows
+   have equal anchors at the same place, so all that can repeat lies around
+   anchors that occur twice. An anchor's context is the union of its windows.
 2. A shuffle by anchor finds equal contexts (64-bit anchor and 64-bit context
    hash): all but the first are repeats as a whole. An anchor with several
    different contexts needs their suffixes compared.
@@ -44,19 +44,19 @@ from kpiforge.llm.common import mix64, store, store_split, table
 LENGTH = 100
 GRAM = 32
 #: Bytes of a text that are hashed at a time, and of contexts that make a shard.
-SEGMENT, SHARD_BYTES = 1 << 20, 4 << 20
+SEGMENT, SHARD_BYTES = 1 << 20, 1 << 19
 #: Contexts of one anchor above which it is dealt over several shards.
-SPLIT = 20_000
+SPLIT = 12_000
 _BASE = np.uint64(0x9FB21C651E98DF25)
 _INVERSE = np.uint64(pow(0x9FB21C651E98DF25, -1, 1 << 64))
 
 
-def sliding(a: np.ndarray, width: int, op) -> np.ndarray:
-    """op (minimum or maximum) over every window of ``width``, by doubling."""
+def sliding_least(a: np.ndarray, width: int) -> np.ndarray:
+    """Least value of every window of ``width``, by doubling."""
     done, out = 1, a
     while done < width:
         step = min(done, width - done)
-        out = op(out[:-step], out[step:])
+        out = np.minimum(out[:-step], out[step:])
         done += step
     return out
 
@@ -74,24 +74,25 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
     return mix64((total[GRAM:] - total[:-GRAM]) * back[:len(data) - GRAM + 1])
 
 
-def anchors(text: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, place) of the anchors of a text."""
-    places, hashes = [], []
-    width = length - GRAM + 1
+def anchors(text: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, start, end) of a text's anchors: each window has one anchor, and ``start`` to ``end`` is the union of
+    the windows of an anchor."""
+    found = []
+    places = np.uint64(SEGMENT * 2 - 1)
     for a in range(0, max(1, len(text) - length + 1), SEGMENT):
         part = np.frombuffer(text, np.uint8)[a:a + SEGMENT + length - 1]    # windows that start in this segment
         if len(part) < length:
             continue
         h = gram_hashes(part)
-        least = sliding(h, width, np.minimum)
-        pad = np.zeros(width - 1, np.uint64)
-        at = np.flatnonzero(sliding(np.concatenate([pad, least, pad]), width, np.maximum) == h)
-        places.append(at + a)
-        hashes.append(h[at])
-    if not places:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    place, first = np.unique(np.concatenate(places), return_index=True)
-    return np.concatenate(hashes)[first], place
+        # of equal hashes (but for the low bits, which hold the place) the leftmost is the least
+        least = sliding_least(h & ~places | np.arange(len(h), dtype=np.uint64), length - GRAM + 1)
+        place = (least & places).astype(np.int64)
+        first = np.flatnonzero(np.diff(place, prepend=-1))
+        last = np.append(first[1:], len(place)) - 1
+        found.append((h[place[first]], first + a, last + a + length))
+    if not found:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip(*found))
 
 
 def context_rows(docs: DataFrame, length: int) -> DataFrame:
@@ -105,9 +106,7 @@ def context_rows(docs: DataFrame, length: int) -> DataFrame:
                 raw = text.encode("utf-8", "replace")
                 if len(raw) < length:
                     continue
-                h, place = anchors(raw, length)
-                start = np.maximum(0, place - (length - GRAM))
-                end = np.minimum(len(raw), place + length)
+                h, start, end = anchors(raw, length)
                 hs.append(h)
                 cs.append(np.array([xxhash.xxh3_64_intdigest(raw[x:y]) for x, y in zip(start.tolist(), end.tolist())], np.uint64))
                 ids.append(np.full(len(h), i, np.int64))
@@ -156,40 +155,49 @@ def sorted_out(contexts: DataFrame) -> DataFrame:
 
 
 def suffix_array(data: np.ndarray) -> np.ndarray:
-    """Suffixes of ``data`` in order, by Larsson-Sadakane refinement.
+    """Suffixes of ``data`` in order, by Larsson-Sadakane refinement: groups that tie on ``done`` bytes are sorted by
+    the ranks of what follows these bytes (two ranks where they fit in a key, so prefixes grow threefold).
 
     It goes on until no two suffixes tie: ``common_prefixes`` relies on the full order.
     """
     n = len(data)
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    padded = np.concatenate([data, np.zeros(7, np.uint8)])
     key = np.zeros(n, np.uint64)
-    for k in range(8):
+    for k in range(7):
         key = key << np.uint64(8) | padded[k:k + n].astype(np.uint64)
-    order = np.argsort(key, kind="stable")
+    key = key << np.uint64(8) | np.minimum(np.arange(n, 0, -1), 7).astype(np.uint64)     # the end is less than any byte
+    order = np.argsort(key)
     s = key[order]
     new = np.ones(n, bool)
     new[1:] = s[1:] != s[:-1]
+    del key, s
     group_start = np.flatnonzero(new)
     rank = np.empty(n, np.int64)
     rank[order] = group_start[np.cumsum(new) - 1]       # a group's number is where it starts
-    done = 8
+    done, bits = 7, n.bit_length()
+    ranks = 2 if 3 * (bits + 1) <= 63 else 1            # following ranks that fit in one key
+
+    def rank_at(place: np.ndarray) -> np.ndarray:
+        """Rank + 1 of the suffixes at these places; past the end of the text it is 0."""
+        return np.where(place < n, rank[np.minimum(place, n - 1)] + 1, 0)
+
     while True:
         unsorted = ~(new & np.append(new[1:], True))    # members of groups of two or more
         at = np.flatnonzero(unsorted)
         if not len(at):
             return order
         member = order[at]
-        ahead = member + done
-        # past the end of the text the shorter suffix comes first
-        own, following = rank[member], np.where(ahead < n, rank[np.minimum(ahead, n - 1)], n - 1 - ahead)
-        again = np.argsort(own * np.int64(n + done + 1) + following + done, kind="stable")
-        member, own, following = member[again], own[again], following[again]
+        key = rank[member]
+        for k in range(1, ranks + 1):
+            key = key << np.int64(bits + 1) | rank_at(member + k * done)
+        again = np.argsort(key)
+        member, key = member[again], key[again]
         order[at] = member
         split = np.ones(len(at), bool)
-        split[1:] = (own[1:] != own[:-1]) | (following[1:] != following[:-1])
+        split[1:] = key[1:] != key[:-1]
         new[at] = split
         rank[member] = at[np.flatnonzero(split)][np.cumsum(split) - 1]
-        done *= 2
+        done *= ranks + 1
 
 
 def common_prefixes(data: np.ndarray, order: np.ndarray, starts: np.ndarray, sizes: np.ndarray, limit: int) -> np.ndarray:
@@ -235,13 +243,17 @@ def repeats_in(ids: np.ndarray, starts: np.ndarray, contexts: list[bytes], lengt
     at = np.flatnonzero(offset + length <= sizes[context])
     context = context[at]
     doc, start, kind = ids[context], starts[context] + offset[at], kind[at]
-    by = np.lexsort((start, doc, kind))
-    k, d, s = kind[by], doc[by], start[by]
-    lead = np.ones(len(by), bool)
-    lead[1:] = k[1:] != k[:-1]
-    head = np.flatnonzero(lead)[np.cumsum(lead) - 1]
+    # in the order of the array, the least (document, start) of every class
+    number = np.unique(ids, return_inverse=True)[1]
+    name = number[context] << np.int64(32) | start
+    window = np.full(len(data), -1, np.int64)
+    window[at] = np.arange(len(at))
+    by = window[order]
+    by = by[by >= 0]
+    lead = np.flatnonzero(np.diff(kind[by], prepend=-1))
+    least = np.minimum.reduceat(name[by], lead) if len(by) else name
     first = np.empty(len(by), bool)
-    first[by] = (d == d[head]) & (s == s[head])
+    first[by] = name[by] == np.repeat(least, np.diff(np.append(lead, len(by))))
     return at, context, doc, start, kind, first
 
 
@@ -320,16 +332,17 @@ def compared_contexts(docs: DataFrame, spans: DataFrame, split: int) -> DataFram
     count = spans.groupBy("h").count().filter(F.col("count") > split)
     s = spans.join(count, "h", "left").withColumn("shards", F.ceil(F.coalesce(F.col("count") / split, F.lit(1))))
     s = s.select("h", "id", "span", F.pmod(F.xxhash64("id", "span"), F.col("shards")).alias("salt"), (F.col("shards") > 1).alias("dealt"))
-    by_doc = s.groupBy("id").agg(F.collect_list(F.struct("h", "salt", "dealt", "span")).alias("spans"))
+    by_doc = s.groupBy("id").agg(F.collect_list(F.struct("h", "salt", "dealt", "span")).alias("x")).select(
+        "id", *[F.col(f"x.{c}").alias(c) for c in ("h", "salt", "dealt", "span")])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for i, text, spans in zip(b["id"], b["text"], b["spans"]):
+            for i, text, *columns in zip(b["id"], b["text"], b["h"], b["salt"], b["dealt"], b["span"]):
                 raw = text.encode("utf-8", "replace")
-                for x in spans:
-                    start = x["span"] >> 8
-                    rows.append((x["h"], x["salt"], x["dealt"], i, start, raw[start:start + (x["span"] & 255)]))
+                for h, salt, dealt, span in zip(*[c.tolist() for c in columns]):
+                    start = span >> 8
+                    rows.append((h, salt, dealt, i, start, raw[start:start + (span & 255)]))
                 if len(rows) > 50_000:
                     yield pd.DataFrame(rows, columns=["h", "salt", "dealt", "id", "start", "bytes"])
                     rows = []
@@ -364,7 +377,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         raise ValueError("length must be above 32 and at most 140 bytes")
     d = docs.select(F.col(f"`{id_col}`").alias("id0"), F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
     ranges = repeated_ranges(d.filter("id IS NOT NULL AND text IS NOT NULL").select("id", "text"), length, shard_bytes, split)
-    ranges = ranges.groupBy("id").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
+    # a range is at most a few windows long: one number holds its start and length
+    ranges = ranges.groupBy("id").agg(F.collect_set(F.shiftleft("lo", 16).bitwiseOR(F.col("hi") - F.col("lo"))).alias("ranges"))
 
     @pandas_udf("n_bytes long, n_removed long, n_spans long, kept binary")
     def cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
@@ -375,7 +389,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
                 if r is None or not len(r):
                     rows.append((len(raw), 0, 0, raw))
                 else:
-                    kept, removed, spans = without_ranges(raw, np.array([x["lo"] for x in r]), np.array([x["hi"] for x in r]))
+                    kept, removed, spans = without_ranges(raw, r >> 16, (r >> 16) + (r & 0xFFFF))
                     rows.append((len(raw), removed, spans, kept))
             yield pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept"])
 
