@@ -457,6 +457,13 @@ FROM l ORDER BY created_date DESC, lead_id LIMIT 5"""
 # --- targets ---------------------------------------------------------------------------
 
 
+def _exact(x: str) -> str:
+    """Sum of a double through two decimals of nine digits each."""
+    head = f"CAST({x} AS DECIMAL(38,9))"
+    tail = f"CAST(({x} - CAST({head} AS DOUBLE)) * 1e18::DOUBLE AS DECIMAL(38,9))"
+    return f"(CAST(SUM({head}) AS DOUBLE) + CAST(SUM({tail}) AS DOUBLE) / 1e18::DOUBLE)"
+
+
 def _ytd_sql(kpis, y0: int) -> str:
     parts = []
     for k in kpis:
@@ -465,7 +472,7 @@ def _ytd_sql(kpis, y0: int) -> str:
         elif k in LEAD_COUNT_KPIS:
             v, kind = "(SELECT CAST(COUNT(*) AS DOUBLE) FROM l)", "lead_count"
         elif k in DOUBLE_KPIS:
-            v, kind = f"CAST(SUM(CAST({k} AS DECIMAL(38,9))) AS DOUBLE)", "sum"
+            v, kind = _exact(k), "sum"
         else:
             v, kind = f"CAST(SUM({k}) AS DOUBLE)", "sum"
         src = "" if kind == "lead_count" else " FROM yr"
