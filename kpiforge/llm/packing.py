@@ -36,13 +36,16 @@ GROUPS = 1024
 #: Rows of one length that one task ranks.
 RANK_ROWS = 50_000
 #: Words whose ids a worker keeps, in each of two generations.
-CACHED_WORDS = 250_000
+CACHED_WORDS = 500_000
 VOCABULARY = "word_bpe_49k.json"
+#: Punctuation at the edges of a word that the tokenizer splits off.
+_EDGES = b".,;:!?*$%&#|"
 
 
 class WordTokenizer:
-    """Ids of texts by a tokenizer that never joins what white space separates,
-    so that the ids of a word can be kept."""
+    """Ids of texts by a tokenizer that lower-cases, and never joins what white
+    space or a change between letters and punctuation separates, so that the
+    ids of a word can be kept."""
 
     def __init__(self, path: str, cached_words: int = CACHED_WORDS):
         from tokenizers import Tokenizer
@@ -53,24 +56,61 @@ class WordTokenizer:
         special = self.tokenizer.get_added_tokens_decoder()
         self.mark, token = max(special.items())
         self.mark_text = token.content
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.ends = np.zeros(max(self.tokenizer.get_vocab_size(), self.mark + 1), bool)
+        if suffix:
+            self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
+
+    def ids_of(self, words: list[str], marked: bool) -> list[bytes]:
+        """Ids of each word from one call for all: words end at end-of-word ids, or where special tokens stand."""
+        text = (self.mark_text if marked else " ").join(words)
+        ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+        raw = ids.tobytes()
+        cuts = np.flatnonzero(ids == self.mark) if marked else np.flatnonzero(self.ends[ids])
+        if marked:
+            starts, ends = [0, *(4 * (cuts + 1)).tolist()], [*(4 * cuts).tolist(), len(raw)]
+        elif len(cuts) == len(words):                       # every word ends once at least, so each ends once
+            ends = (4 * (cuts + 1)).tolist()
+            starts = [0, *ends[:-1]]
+        else:
+            return self.ids_of(words, True)
+        return [raw[a:b] for a, b in zip(starts, ends)]
 
     def learn(self, words: list[bytes]) -> None:
-        """Put the ids of new words in the young generation."""
-        plain = []
+        """Put the ids of new words in the young generation. A word of letters is tokenized without the punctuation
+        around it, which the tokenizer splits off."""
+        young, old = self.young, self.old
+        letters: dict[bytes, str] = {}
+        others: dict[bytes, str] = {}
+        parts = []
         for w in words:
-            text = w.decode("utf-8", "replace")
-            if "<|" in text:
-                self.young[w] = self.pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
-            else:
-                plain.append((w, text))
-        for i in range(0, len(plain), 500):                 # one call for many words, a special token between them
-            part = plain[i:i + 500]
-            ids = np.array(self.tokenizer.encode(self.mark_text.join([t for _, t in part]), add_special_tokens=False).ids, "<u4")
-            cuts = np.flatnonzero(ids == self.mark)
-            raw = ids.tobytes()
-            starts, ends = [0, *(4 * (cuts + 1)).tolist()], [*(4 * cuts).tolist(), len(raw)]
-            for (w, _), a, b in zip(part, starts, ends):
-                self.young[w] = raw[a:b]
+            bare = w.strip(_EDGES)
+            text = bare.decode("utf-8", "replace")
+            if not text.isalpha():
+                others[w] = w.decode("utf-8", "replace")
+                continue
+            if bare not in young:
+                if bare in old:
+                    young[bare] = old[bare]
+                else:
+                    letters[bare] = text
+            if bare != w:
+                at = w.index(bare)
+                edges = w[:at], w[at + len(bare):]
+                parts.append((w, edges[0], bare, edges[1]))
+                for e in edges:
+                    if e and e not in young:
+                        others[e] = e.decode()
+        special = {w: t for w, t in others.items() if "<|" in t}
+        for w, t in special.items():
+            young[w] = self.pack(self.tokenizer.encode(t, add_special_tokens=False).ids)
+        for some, marked in ((letters, False), ({w: t for w, t in others.items() if w not in special}, True)):
+            keys, texts = list(some), list(some.values())
+            for i in range(0, len(keys), 500):
+                young.update(zip(keys[i:i + 500], self.ids_of(texts[i:i + 500], marked)))
+        young[b""] = b""
+        for w, before, bare, after in parts:
+            young[w] = young[before] + young[bare] + young[after]
 
     @staticmethod
     def pack(ids: list[int]) -> bytes:
@@ -78,23 +118,19 @@ class WordTokenizer:
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         """Little-endian 32-bit ids of each text."""
-        for a, b in blocks(texts, 1 << 20):
-            split = [t.split() for t in texts[a:b]]
+        for a, b in blocks(texts, 1 << 21):
+            # the tokenizer lower-cases; done first, it leaves fewer words to know (special strings keep their case)
+            split = [(t if b"<|" in t else t.lower()).split() for t in texts[a:b]]
             if len(self.young) > self.limit:
                 self.young, self.old = {}, self.young
-            young, old, new = self.young, self.old, set()
-            for words in split:
-                new.update(words)
-            fresh = []
-            for w in new:
-                if w not in young:
-                    if w in old:
-                        young[w] = old[w]
-                    else:
-                        fresh.append(w)
-            self.learn(fresh)
+            young, old = self.young, self.old
+            fresh = set().union(*split).difference(young)
+            known = fresh.intersection(old)
+            for w in known:
+                young[w] = old[w]
+            self.learn(list(fresh - known))
             for words in split:
-                yield b"".join([young[w] for w in words])
+                yield b"".join(map(young.__getitem__, words))
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
@@ -125,7 +161,7 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text: str = "text", vo
         tail, step = WordTokenizer.pack([END_ID]), 4 * capacity
         for s in batches:
             out = []
-            for raw in tok.encode([t.encode("utf-8", "replace") for t in s.fillna("")]):
+            for raw in tok.encode(s.tolist()):
                 raw += tail
                 rows = []
                 for k, a in enumerate(range(0, len(raw), step)):
@@ -135,7 +171,8 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text: str = "text", vo
                 out.append(rows)
             yield pd.Series(out, dtype=object)
 
-    return docs.select(F.col(f"`{id_col}`"), F.explode(cut(F.col(f"`{text}`"))).alias("p")).select(f"`{id_col}`", "p.*")
+    raw = F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")
+    return docs.select(F.col(f"`{id_col}`"), F.explode(cut(raw)).alias("p")).select(f"`{id_col}`", "p.*")
 
 
 def configurations(sizes: list[int], demand: list[int], capacity: int) -> list[tuple[int, list[int]]]:
