@@ -126,8 +126,10 @@ def q_lead_funnel(spark, sf_dir):
 
 @register("lead_lists")
 def q_lead_lists(spark, sf_dir):
-    """RPT-4, PRJ-1, FLT-5."""
-    return leads_ops.lead_lists(base.leads_from_orders(spark, sf_dir))
+    """RPT-4, PRJ-1, FLT-5: from the persisted lead snapshot, as lists and sizes both read it."""
+    path = scratch_path(spark, "leads")
+    facts.write_snapshot(base.leads_from_orders(spark, sf_dir), path)
+    return leads_ops.lead_lists(spark.read.parquet(path))
 
 
 @register("won_stage_counts")
