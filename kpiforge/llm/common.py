@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -59,11 +61,21 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the cleaner remove the shuffle files of finished steps now: it acts on what the driver's garbage
+    collection finds unused, which may otherwise come after many more steps. Python hands back its references
+    to the JVM in the background, hence the short wait."""
+    for _ in range(2):
+        gc.collect()
+        time.sleep(0.7)
+        spark.sparkContext._jvm.System.gc()
+
+
 def store_split(df: DataFrame, name: str, column: str, values: list[str]) -> list[DataFrame]:
     """Write ``df`` once, in a folder per value of ``column``; one table per value, to be discarded on its own."""
     spark = df.sparkSession
     path = f"{shared_root(spark)}/llm/{name}-{uuid.uuid4().hex}"
-    df.write.partitionBy(column).option("compression", "zstd").parquet(path)
+    df.write.partitionBy(column).parquet(path)
     kind = df.drop(column).schema
     made = {f.split(f"{column}=")[-1] for f in _folders(spark, path)}
     return [spark.read.schema(kind).parquet(f"{path}/{column}={v}") if v in made else spark.createDataFrame([], kind) for v in values]

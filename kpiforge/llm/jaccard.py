@@ -10,7 +10,8 @@ lower-cased words). Two documents link when 100 * common >= 75 * union.
    shingles of its prefix, with set size and position. Classes that meet on a
    shingle are candidates if length and position allow enough overlap.
 3. Candidates are verified once per pair: a suffix filter bounds the overlap
-   by counts in ranges of the hash, then the sets are intersected.
+   by counts in ranges of the hash, then the sets (48 bits of each hash) are
+   intersected.
 
 Links are wanted for the classes they join. So hot shingles are first checked
 against one class each (a star); after that only candidates that are still in
@@ -25,6 +26,7 @@ text; other columns are ignored (the pipeline stage keeps them).
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -33,17 +35,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from kpiforge.llm.common import blocks, discard, mix64, store, table
+from kpiforge.llm.common import UPPER, blocks, discard, mix64, release, store, table
 from kpiforge.llm.components import components
 
 SHINGLE = 5
 PERCENT = 75
-#: Counters of the frequency sketch (4 bytes each, whatever the input's size), sent in parts.
-SKETCH_BITS, SKETCH_PARTS = 20, 64
+#: Counters of the frequency sketch, whatever the input's size. Tasks send one byte for each (255: at least 255), in parts.
+SKETCH_BITS, SKETCH_PARTS = 22, 64
+#: Bits of the filter that picks the documents whose sets are wanted.
+FILTER_BITS = 25
 #: Classes whose prefixes a task remembers having sent.
 SENT_CLASSES = 100_000
-#: Candidate rows up to which all open pairs are listed; above, one more star round comes first.
-OPEN_ROWS, STAR_ROUNDS = 50_000_000, 4
+#: Open candidate rows, per row of their groups, up to which all open pairs are listed; above, another star round
+#: comes first, up to so many.
+OPEN_SHARE, STAR_ROUNDS = 200, 4
 SUFFIX_RANGES = 32
 
 _BASE = np.uint64(0x9FB21C651E98DF25)
@@ -91,6 +96,18 @@ def raw(texts: pd.Series) -> list[bytes]:
     return [t.encode("utf-8", "replace") if t is not None else b"" for t in texts]
 
 
+def pack_set(s: np.ndarray) -> bytes:
+    """A set for verification: the upper 48 bits of its sorted hashes, as differences, all first bytes first."""
+    d = np.diff(s >> np.uint64(16), prepend=np.uint64(0))
+    return np.ascontiguousarray(d.view(np.uint8).reshape(-1, 8)[:, :6].T).tobytes()
+
+
+def unpack_set(b: bytes) -> np.ndarray:
+    d = np.zeros((len(b) // 6, 8), np.uint8)
+    d[:, :6] = np.frombuffer(b, np.uint8).reshape(6, -1).T
+    return np.cumsum(d.reshape(-1).view(np.uint64), dtype=np.uint64) << np.uint64(16)
+
+
 def survey(docs: DataFrame) -> DataFrame:
     """(id, n, cls) of every document, and with a null id the parts of each task's sketch (part, counts)."""
 
@@ -105,20 +122,20 @@ def survey(docs: DataFrame) -> DataFrame:
                 at = (np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
                 sketch += np.bincount(at, minlength=len(sketch)).astype(np.uint32)
             yield pd.DataFrame({"id": b["id"], "n": n, "cls": pd.array(cls, "Int64"), "part": None, "counts": None})
-        parts = np.split(sketch, SKETCH_PARTS)
+        parts = np.split(np.minimum(sketch, 255).astype(np.uint8), SKETCH_PARTS)
         yield pd.DataFrame({"id": None, "n": 0, "cls": None, "part": range(SKETCH_PARTS), "counts": [p.tobytes() for p in parts]})
 
     return docs.mapInPandas(run, "id long, n long, cls long, part int, counts binary")
 
 
 def merged_sketch(surveyed: DataFrame) -> np.ndarray:
-    """Sum of the tasks' sketches: 4 MB, whatever the input's size."""
+    """Sum of the tasks' sketches: 16 MB, whatever the input's size."""
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[int, np.ndarray] = {}
         for b in batches:
             for part, counts in zip(b["part"], b["counts"]):
-                c = np.frombuffer(counts, np.uint32)
+                c = np.frombuffer(counts, np.uint8).astype(np.uint32)
                 total[part] = total[part] + c if part in total else c
         yield pd.DataFrame({"part": list(total), "counts": [c.tobytes() for c in total.values()]})
 
@@ -221,25 +238,59 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     @pandas_udf("boolean")
     def links(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([common_at_least(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(a, b)], dtype=bool)
+        return pd.Series([common_at_least(unpack_set(x), unpack_set(y), percent) for x, y in zip(a, b)], dtype=bool)
 
     p = pairs.join(sets.select(F.col("cls").alias("a"), F.col("items").alias("x")), "a")
     p = p.join(sets.select(F.col("cls").alias("b"), F.col("items").alias("y")), "b")
-    return p.filter(links("x", "y")).select("a", "b")
+    return p.filter(links("x", "y")).select("a", "b").distinct()
+
+
+def id_filter(ids: DataFrame) -> np.ndarray:
+    """Bit per hash value of the ids (one column): 2 ** FILTER_BITS bits, whatever their number."""
+    size = (1 << FILTER_BITS) // 8
 
+    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen = np.zeros(1 << FILTER_BITS, bool)
+        for b in batches:
+            seen[filter_place(b["id"].to_numpy())] = True
+        yield pd.DataFrame({"part": range(SKETCH_PARTS), "bits": [x.tobytes() for x in np.split(np.packbits(seen), SKETCH_PARTS)]})
+
+    def union(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for part, bits in zip(b["part"], b["bits"]):
+                x = np.frombuffer(bits, np.uint8)
+                total[part] = total[part] | x if part in total else x
+        yield pd.DataFrame({"part": list(total), "bits": [x.tobytes() for x in total.values()]})
+
+    kind = "part int, bits binary"
+    out = np.zeros((SKETCH_PARTS, size // SKETCH_PARTS), np.uint8)
+    for r in ids.mapInPandas(mark, kind).repartition("part").mapInPandas(union, kind).collect():
+        out[r["part"]] = np.frombuffer(r["bits"], np.uint8)
+    return out.ravel()
 
-def sets_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(cls, items): the set of each class (id, cls), from the text of one document."""
+
+def filter_place(ids: np.ndarray) -> np.ndarray:
+    return (mix64(ids.astype(np.int64).view(np.uint64)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+
+
+def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(cls, items): the sets of the documents with these ids (one column ``id``), and of a few others.
+
+    The texts stay where they are: a filter of fixed size goes to them, which
+    lets all wanted ids pass.
+    """
+    bits = docs.sparkSession.sparkContext.broadcast(id_filter(ids))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            texts = raw(b["text"])
+            at = filter_place(b["id"].to_numpy())
+            texts = raw(b["text"][(bits.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)])
             for i, j in blocks(texts):
                 sets = shingle_sets(texts[i:j])
-                yield pd.DataFrame({"cls": [set_class(s) if len(s) else 0 for s in sets], "items": [s.tobytes() for s in sets]})
+                yield pd.DataFrame({"cls": [set_class(s) if len(s) else 0 for s in sets], "items": [pack_set(s) for s in sets]})
 
-    got = docs.join(classes, "id").select("text").mapInPandas(run, "cls long, items binary")
-    return got.dropDuplicates(["cls"])
+    return docs.mapInPandas(run, "cls long, items binary")
 
 
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -249,43 +300,55 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     smallest id reachable by links; ``n_links``: verified links of the class to
     other classes (links inside a component need not all be verified).
     """
+    spark = docs.sparkSession
     d = docs.filter(F.col(f"`{id_col}`").isNotNull()).select(
         F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
     surveyed = store(survey(d), "survey")
     every = surveyed.filter("part IS NULL").select("id", "n", "cls")
     shared = store(shared_rows(prefix_rows(d, merged_sketch(surveyed), percent)), "shared")
-    wanted = shared.select("cls").distinct()
-    reps = store(every.filter("cls IS NOT NULL").groupBy("cls").agg(F.min("id").alias("id")).join(wanted, "cls"), "reps")
-    sets = store(sets_of(d, reps.select("id").distinct()), "sets")
-    edges = tested = None
-    comps = reps.select("cls", F.col("id").alias("comp"))
+    release(spark)
+    first = every.filter("cls IS NOT NULL").groupBy("cls").agg(F.min("id").alias("class_id"))
+    comps = store(first.join(shared.select("cls").distinct(), "cls").withColumn("comp", F.col("class_id")), "classes")
+    edges = []
     for k in range(STAR_ROUNDS + 1):
-        rows = shared.join(comps, "cls")
-        hub = rows.groupBy("h").agg(F.min(F.struct("cls", "n", "pos", "comp")).alias("hub"))
+        rows = store(shared.join(comps, "cls"), "rows")
+        # the smallest id of a group is its hub: more often than others what the rest are copies of
+        hub = rows.groupBy("h").agg(F.min(F.struct("class_id", "cls", "n", "pos", "comp")).alias("hub"))
+        last = False
         if k == 0:
             todo = pairs_of(rows, hub.select("h", "hub.*"), percent)
         else:
             outside = rows.join(hub.select("h", F.col("hub.comp").alias("hub_comp")), "h").filter("comp <> hub_comp").drop("hub_comp")
             outside = store(outside, "outside")
             size = rows.groupBy("h").count().join(outside.groupBy("h").agg(F.count(F.lit(1)).alias("out")), "h")
-            open_rows = size.agg(F.coalesce(F.sum(F.col("count") * F.col("out")), F.lit(0))).first()[0]
+            open_rows, n_rows = size.agg(F.coalesce(F.sum(F.col("count") * F.col("out")), F.lit(0)), F.sum("count")).first()
             if not open_rows:
                 break
-            last = open_rows <= OPEN_ROWS or k == STAR_ROUNDS
-            second = outside.groupBy("h").agg(F.min(F.struct("cls", "n", "pos", "comp")).alias("hub")).select("h", "hub.*")
-            todo = pairs_of(rows, outside if last else second, percent).join(tested, ["a", "b"], "left_anti")
+            last = open_rows <= OPEN_SHARE * n_rows or k == STAR_ROUNDS
+            second = outside.groupBy("h").agg(F.min(F.struct("class_id", "cls", "n", "pos", "comp")).alias("hub")).select("h", "hub.*")
+            todo = pairs_of(rows, outside if last else second, percent)
+            for t in tested:
+                todo = todo.join(t, ["a", "b"], "left_anti")
         todo = store(todo, "pairs")
+        tested = [todo] if k == 0 else [*tested, todo]
+        met = todo.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+        sets = store(sets_of(d, comps.join(met, "cls").select(F.col("class_id").alias("id")).distinct()), "sets")
+        release(spark)
         found = store(verified(todo, sets, percent), "verified")
-        tested = todo if tested is None else tested.unionByName(todo)
-        edges = found if edges is None else edges.unionByName(found)
-        one, two = reps.select(F.col("cls").alias("a"), F.col("id").alias("i")), reps.select(F.col("cls").alias("b"), F.col("id").alias("j"))
-        graph = components(edges.join(one, "a").join(two, "b").select(F.col("i").alias("a"), F.col("j").alias("b")))
-        comps = reps.join(graph, "id", "left").select("cls", F.coalesce("component", "id").alias("comp"))
-        if k and last:
+        discard(sets)
+        release(spark)
+        edges.append(found)
+        one, two = comps.select(F.col("cls").alias("a"), F.col("comp").alias("i")), comps.select(F.col("cls").alias("b"), F.col("comp").alias("j"))
+        discard(rows)
+        graph = components(found.join(one, "a").join(two, "b").select(F.col("i").alias("a"), F.col("j").alias("b")))
+        joined = comps.join(graph.withColumnRenamed("id", "comp"), "comp", "left")
+        comps = store(joined.select("cls", "class_id", F.coalesce("component", "comp").alias("comp")), "classes")
+        release(spark)
+        if last:
             break
+    edges = reduce(DataFrame.unionByName, edges)
     degree = edges.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count(F.lit(1)).alias("links"))
-    first = every.filter("cls IS NOT NULL").groupBy("cls").agg(F.min("id").alias("class_id"))
-    by_class = first.join(comps, "cls", "left").join(degree, "cls", "left")
+    by_class = first.join(comps.select("cls", "comp"), "cls", "left").join(degree, "cls", "left")
     e = every.join(by_class, "cls", "left")
     out = e.select("id", "n", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("comp", "class_id", "id").alias("component_id"),
                    F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
@@ -299,4 +362,23 @@ def stage_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_classes(table(spark, sf_dir, "documents"))
+    return jaccard_classes(table(spark, sf_dir, "documents")).drop("n_links")
+
+
+#: The result of ``op3_ngram_jaccard_join`` in DuckDB SQL (all pairs that share a shingle, so for small tables).
+ORACLE_SQL = rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'),
+    '[\x20\x09-\x0D]+'), lambda x: x <> '') AS a FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(a) >= 5 THEN list_transform(generate_series(1, len(a) - 4), lambda i: array_to_string(a[i:i + 4], ' '))
+        WHEN len(a) > 0 THEN [array_to_string(a, ' ')] ELSE [] END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n, md5(string_agg(g, '|' ORDER BY g)) AS m FROM s GROUP BY 1),
+c AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY m) AS class_id FROM n),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT x, y FROM p JOIN n u ON u.doc_id = x JOIN n v ON v.doc_id = y WHERE 100 * c >= 75 * (u.n + v.n - c)),
+b AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+r AS (SELECT doc_id, doc_id AS seen FROM documents UNION SELECT r.doc_id, b.y FROM r JOIN b ON r.seen = b.x),
+k AS (SELECT doc_id, min(seen) AS component_id FROM r GROUP BY 1)
+SELECT k.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, coalesce(class_id, k.doc_id) AS class_id, component_id
+FROM k LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)
+"""

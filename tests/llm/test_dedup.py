@@ -57,9 +57,9 @@ def test_jaccard_matches_brute_force(spark, sf_small):
     assert got == brute_components(given)
 
 
-@pytest.mark.parametrize("open_rows", [jaccard.OPEN_ROWS, 0])
-def test_jaccard_chains_and_star_rounds(spark, monkeypatch, open_rows):
-    monkeypatch.setattr(jaccard, "OPEN_ROWS", open_rows)      # 0: all star rounds come before the open pairs
+@pytest.mark.parametrize("open_share", [jaccard.OPEN_SHARE, 0])
+def test_jaccard_chains_and_star_rounds(spark, monkeypatch, open_share):
+    monkeypatch.setattr(jaccard, "OPEN_SHARE", open_share)    # 0: all star rounds come before the open pairs
     texts = [t for s in range(4) for t in near_copies(prose(s, 90), 9)] + [prose(50, 40)] * 5 + [prose(51, 7) + " " + prose(52, 9)]
     given = dict(enumerate(texts))
     got = jaccard.jaccard_classes(spark.createDataFrame(list(given.items()), "doc_id long, text string")).collect()
@@ -79,6 +79,12 @@ def test_jaccard_odd_documents(spark):
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [0, 1, 2, 3, 4, 6, 7, 8, 9, 9, 10]
 
 
+def test_packed_sets_round_trip():
+    x = np.unique(np.random.default_rng(7).integers(0, 1 << 63, 500, dtype=np.uint64)) << np.uint64(1)
+    for s in (x, x[:1], x[:0]):
+        assert (jaccard.unpack_set(jaccard.pack_set(s)) == s >> np.uint64(16) << np.uint64(16)).all()
+
+
 def test_filters_never_refuse_a_link():
     rng = np.random.default_rng(1)
     for _ in range(300):
