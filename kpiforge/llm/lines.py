@@ -102,3 +102,29 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), out="d")
     return d.select("doc_id", "d.n_lines", "d.n_removed", "d.n_spans",
                     F.length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
+
+
+#: The result of ``op10_line_dedup`` in DuckDB SQL.
+ORACLE_SQL = r"""
+WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents),
+x AS (SELECT doc_id, unnest(a) AS line, generate_subscripts(a, 1) AS i FROM l),
+t AS (SELECT *, regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS s FROM x),
+f AS (SELECT doc_id, i, s, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS pos FROM t WHERE s <> ''),
+w AS (SELECT doc_id, pos, s, lead(s, 1) OVER d AS s1, lead(s, 2) OVER d AS s2 FROM f
+      WINDOW d AS (PARTITION BY doc_id ORDER BY pos)),
+later AS (SELECT doc_id, pos FROM (SELECT *, row_number() OVER (PARTITION BY s, s1, s2 ORDER BY doc_id, pos) AS nth
+                                   FROM w WHERE s2 IS NOT NULL) WHERE nth > 1),
+gone AS (SELECT DISTINCT doc_id, pos + k AS pos FROM later, (VALUES (0), (1), (2)) v(k)),
+g AS (SELECT f.doc_id, f.i, f.pos, gone.pos IS NOT NULL AS cut FROM f LEFT JOIN gone USING (doc_id, pos)),
+h AS (SELECT *, coalesce(lag(cut) OVER (PARTITION BY doc_id ORDER BY pos), false) AS before FROM g),
+n AS (SELECT doc_id, count_if(cut) AS n_removed, count_if(cut AND NOT before) AS n_spans FROM h GROUP BY 1),
+y AS (SELECT x.doc_id, x.line, x.i,
+        last_value(h.cut IGNORE NULLS) OVER (PARTITION BY x.doc_id ORDER BY x.i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS up,
+        first_value(h.cut IGNORE NULLS) OVER (PARTITION BY x.doc_id ORDER BY x.i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS down
+      FROM x LEFT JOIN h USING (doc_id, i)),
+k AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS kept FROM y WHERE NOT (coalesce(up, false) AND coalesce(down, false)) GROUP BY 1)
+SELECT l.doc_id, CAST(len(a) AS BIGINT) AS n_lines, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+  CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, CAST(length(coalesce(kept, '')) AS BIGINT) AS kept_chars,
+  sha256(coalesce(kept, '')) AS kept_sha256
+FROM l LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id)
+"""

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from kpiforge.llm.chat import op2_chat_formatting
 from kpiforge.llm.decontaminate import op9_benchmark_decontamination
+from kpiforge.llm.jaccard import ORACLE_SQL as JACCARD_SQL
 from kpiforge.llm.jaccard import op3_ngram_jaccard_join
 from kpiforge.llm.langid import op1_language_id
 from kpiforge.llm.licenses import ORACLE_SQL as LICENSES_SQL
 from kpiforge.llm.licenses import op8_license_scans
+from kpiforge.llm.lines import ORACLE_SQL as LINES_SQL
 from kpiforge.llm.lines import op10_line_dedup
 from kpiforge.llm.ngram_lm import op5_lm_scoring
 from kpiforge.llm.packing import op6_best_fit_packing
@@ -27,4 +29,8 @@ QUERIES = {
     "op10_line_dedup": op10_line_dedup,
 }
 
-ORACLE: dict[str, str] = {"op8_license_scans": LICENSES_SQL}
+ORACLE: dict[str, str] = {
+    "op3_ngram_jaccard_join": JACCARD_SQL,
+    "op8_license_scans": LICENSES_SQL,
+    "op10_line_dedup": LINES_SQL,
+}
