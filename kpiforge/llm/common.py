@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker handles as one numpy block.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 
 #: Words are runs of anything but these six ASCII characters.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -98,8 +98,8 @@ def discard(*stored: DataFrame) -> None:
                 path.getFileSystem(conf).delete(path, True)
 
 
-def blocks(texts: list[bytes], limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
-    """Ranges of consecutive texts of about ``limit`` bytes (one text at least)."""
+def blocks(texts: list, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of consecutive texts of about ``limit`` bytes or characters (one text at least)."""
     start = size = 0
     for i, t in enumerate(texts):
         if i > start and size + len(t) > limit:

@@ -29,15 +29,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kpiforge.llm.common import discard, mix64, segment_sums, store, store_split, table
+from kpiforge.llm.common import mix64, release, segment_sums, store_split, table
 
-CHUNK_TOKENS = 1_500_000
+CHUNK_TOKENS = 800_000
 #: Characters of text for one bucket of counts, and most buckets.
-BUCKET_CHARS, MAX_BUCKETS = 8 << 20, 1 << 14
+BUCKET_CHARS, MAX_BUCKETS = 4 << 20, 1 << 14
 HELD_OUT_CHUNKS = 10        # one chunk of so many is held out for the weights
 CONTEXT_BUCKETS = 32
 QUANTA = 8                  # bins per factor of two in the histogram of estimates
@@ -52,12 +53,13 @@ CHUNK_NAMES = [c.split()[0] for c in CHUNK.split(", ")]
 
 
 def planes(a: np.ndarray) -> bytes:
-    """The bytes of an array, all first bytes first: zero planes compress to nothing."""
-    return np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes()
+    """The bytes of an array, all first bytes first (zero planes then shrink to nothing), compressed."""
+    raw = np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(raw)
 
 
 def unplanes(b: bytes, kind: type) -> np.ndarray:
-    size = np.dtype(kind).itemsize
+    size, b = np.dtype(kind).itemsize, zstandard.ZstdDecompressor().decompress(b)
     return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(size, -1).T).reshape(-1).view(kind)
 
 
@@ -147,21 +149,32 @@ def added(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray,
     return every, total, total[place]
 
 
-def answers(asked: DataFrame) -> DataFrame:
-    """(chunk, bucket, counts1, counts2, n, v): corpus counts in the order asked; with a null chunk a bucket's share of N and V."""
+ANSWER = ("kind string, chunk string, bucket int, ids array<long>, lens array<int>, train array<boolean>, tokens binary, "
+          "vocab binary, counts1 binary, counts2 binary, n long, v long")
+ANSWER_NAMES = [c.split()[0] for c in ANSWER.split(", ")]
 
-    def add(g: pd.DataFrame) -> pd.DataFrame:
-        k1, k2 = [undeltas(x) for x in g["keys1"]], [undeltas(x) for x in g["keys2"]]
-        every, total, for1 = added(k1, [unplanes(x, np.uint32) for x in g["counts1"]])
-        _, _, for2 = added(k2, [unplanes(x, np.uint32) for x in g["counts2"]])
-        word = every != _BEGIN_HASH
-        cut1, cut2 = np.cumsum([len(k) for k in k1])[:-1], np.cumsum([len(k) for k in k2])[:-1]
-        out = pd.DataFrame({"chunk": g["chunk"], "bucket": g["bucket"], "counts1": [planes(x) for x in np.split(for1, cut1)],
-                            "counts2": [planes(x) for x in np.split(for2, cut2)], "n": 0, "v": 0})
-        return pd.concat([out, pd.DataFrame({"chunk": [None], "bucket": [0], "counts1": [b""], "counts2": [b""],
-                                             "n": [int(total[word].sum())], "v": [int((total[word] > 0).sum())]})])
 
-    return asked.groupBy("bucket").applyInPandas(add, "chunk string, bucket int, counts1 binary, counts2 binary, n long, v long")
+def answers(rows: DataFrame, buckets: int) -> DataFrame:
+    """Rows of ANSWER: ``chunk`` rows as they came, ``answer`` rows with the corpus counts in the order asked, and
+    ``total`` rows with a bucket's share of N and V."""
+
+    def add(g: pd.DataFrame) -> pd.DataFrame:
+        asked, out = g[g["kind"] == "ask"], [g[g["kind"] == "chunk"].reindex(columns=ANSWER_NAMES)]
+        if len(asked):
+            k1, k2 = [undeltas(x) for x in asked["keys1"]], [undeltas(x) for x in asked["keys2"]]
+            every, total, for1 = added(k1, [unplanes(x, np.uint32) for x in asked["counts1"]])
+            _, _, for2 = added(k2, [unplanes(x, np.uint32) for x in asked["counts2"]])
+            word = every != _BEGIN_HASH
+            cut1, cut2 = np.cumsum([len(k) for k in k1])[:-1], np.cumsum([len(k) for k in k2])[:-1]
+            out.append(pd.DataFrame({"kind": "answer", "chunk": asked["chunk"].to_numpy(), "bucket": asked["bucket"].to_numpy(),
+                                     "counts1": [planes(x) for x in np.split(for1, cut1)],
+                                     "counts2": [planes(x) for x in np.split(for2, cut2)]}).reindex(columns=ANSWER_NAMES))
+            out.append(pd.DataFrame({"kind": ["total"], "n": [int(total[word].sum())], "v": [int((total[word] > 0).sum())]}).reindex(columns=ANSWER_NAMES))
+        done = pd.concat(out, ignore_index=True)
+        return done.astype({"bucket": "Int32", "n": "Int64", "v": "Int64"}).replace({float("nan"): None})
+
+    home = F.coalesce("bucket", F.pmod(F.xxhash64("chunk"), F.lit(buckets)).cast("int"))
+    return rows.groupBy(home).applyInPandas(add, ANSWER)
 
 
 def with_counts(row, given: pd.DataFrame, buckets: int) -> tuple[Chunk, np.ndarray, np.ndarray, np.ndarray]:
@@ -258,15 +271,16 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text: str = "text", train
     the log10 probability of the whole text, ``base_score`` that of the
     add-one unigram model.
     """
+    spark = docs.sparkSession
     d = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"),
                     F.coalesce(F.col(f"`{train}`"), F.lit(False)).alias("train"))
     chars = d.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     buckets = int(min(MAX_BUCKETS, max(4, -(-chars // BUCKET_CHARS))))
-    chunks, asked = store_split(chunk_rows(d, buckets), "chunks", "kind", ["chunk", "ask"])
-    given = store(answers(asked.select("chunk", "bucket", "keys1", "counts1", "keys2", "counts2")), "answers")
-    discard(asked)
-    n, v = given.filter("chunk IS NULL").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
-    given = given.filter("chunk IS NOT NULL").select("chunk", "bucket", "counts1", "counts2")
+    kinds = ["chunk", "answer", "total"]
+    chunks, given, total = store_split(answers(chunk_rows(d, buckets), buckets), "counts", "kind", kinds)
+    release(spark)
+    n, v = total.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
+    given = given.select("chunk", "bucket", "counts1", "counts2")
     chunks = chunks.select("chunk", "ids", "lens", "train", "tokens", "vocab")
     weights = np.tile([0.0, 0.0, 1.0], (CONTEXT_BUCKETS, 1))
     if n:
@@ -274,6 +288,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text: str = "text", train
         some = chunks.filter(held).filter(F.exists("train", lambda t: t)).limit(1).count() > 0
         part = [x.filter(held) for x in (chunks, given)] if some else [chunks, given]
         weights = learn_weights(held_out_histogram(*part, n, buckets), v)
+        release(spark)
     done = scores(chunks, given, n, v, weights, buckets)
     return done.select(F.col("id").alias(id_col), "train", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"),
                        "base_score", "score")
