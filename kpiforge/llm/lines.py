@@ -84,7 +84,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", out:
     t = F.col(f"`{text}`")
     n_lines = F.when(t.isNull(), 0).otherwise(F.size(F.split(t, "\n", -1))).cast("long")
     joined = docs.join(spots, F.col(f"`{id_col}`") == F.col("_spots_id"), "left")
-    done = joined.withColumn("_cut", F.when(F.col("_spots").isNotNull(), apply(t, F.col("_spots"))))
+    touched = F.col("_spots").isNotNull()
+    done = joined.withColumn("_cut", F.when(touched, apply(F.when(touched, t), F.col("_spots"))))   # other texts stay in the JVM
     info = F.struct(n_lines.alias("n_lines"), F.coalesce("_cut.n_removed", F.lit(0)).cast("long").alias("n_removed"),
                     F.coalesce("_cut.n_spans", F.lit(0)).cast("long").alias("n_spans"))
     done = done.withColumn(out, info).withColumn(text, F.when(F.col("_cut").isNull(), t).otherwise(F.col("_cut.text")))

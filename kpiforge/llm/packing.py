@@ -36,7 +36,7 @@ GROUPS = 1024
 #: Rows of one length that one task ranks.
 RANK_ROWS = 50_000
 #: Words whose ids a worker keeps, in each of two generations.
-CACHED_WORDS = 500_000
+CACHED_WORDS, PIPELINE_CACHED_WORDS = 400_000, 60_000
 VOCABULARY = "word_bpe_49k.json"
 #: Punctuation at the edges of a word that the tokenizer splits off.
 _EDGES = b".,;:!?*$%&#|"
@@ -136,10 +136,11 @@ class WordTokenizer:
 _TOKENIZERS: dict[str, WordTokenizer] = {}
 
 
-def tokenizer_at(path: str) -> WordTokenizer:
+def tokenizer_at(path: str, cached_words: int = CACHED_WORDS) -> WordTokenizer:
     """One tokenizer, with its cache, per Python worker."""
     if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = WordTokenizer(path)
+        _TOKENIZERS[path] = WordTokenizer(path, cached_words)
+    _TOKENIZERS[path].limit = cached_words
     return _TOKENIZERS[path]
 
 
@@ -150,14 +151,14 @@ def vocabulary_path(name: str) -> str:
 
 
 def token_pieces(docs: DataFrame, id_col: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY,
-                 capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
+                 capacity: int = CAPACITY, keep_ids: bool = False, cached_words: int = CACHED_WORDS) -> DataFrame:
     """(id_col, piece, start, length, ids_crc32[, ids]) of every document: its ids, then ``END_ID``, cut
     only where a document is longer than ``capacity``. ``vocabulary`` names an installed file or gives a path."""
     kind = "struct<piece int, start long, length long, ids_crc32 long" + (", ids array<int>>" if keep_ids else ">")
 
     @pandas_udf(f"array<{kind}>")
     def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        tok = tokenizer_at(vocabulary if "/" in vocabulary else vocabulary_path(vocabulary))
+        tok = tokenizer_at(vocabulary if "/" in vocabulary else vocabulary_path(vocabulary), cached_words)
         tail, step = WordTokenizer.pack([END_ID]), 4 * capacity
         for s in batches:
             out = []
@@ -348,15 +349,16 @@ def pack(pieces: DataFrame, keys: list[str], capacity: int = CAPACITY, groups: i
 
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY,
-                   capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
+                   capacity: int = CAPACITY, keep_ids: bool = False, cached_words: int = CACHED_WORDS) -> DataFrame:
     """Token pieces of all documents with their place; texts are tokenized once and kept in the shared folder."""
-    pieces = store(token_pieces(docs, id_col, text, vocabulary, capacity, keep_ids), "pieces")
+    pieces = store(token_pieces(docs, id_col, text, vocabulary, capacity, keep_ids, cached_words), "pieces")
     return pack(pieces, [id_col, "piece", "start"], capacity)
 
 
 def stage_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: a row per token piece with its sequence and offset."""
-    return pack_documents(docs)
+    """Pipeline stage: a row per token piece with its sequence and offset. Workers live on after it, so they keep
+    fewer words than in a run of its own."""
+    return pack_documents(docs, cached_words=PIPELINE_CACHED_WORDS)
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -122,7 +122,7 @@ def repetition_measures(text: Column, lengths: list[int] | None = None) -> Colum
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in batches:
             texts = s.fillna("").tolist()
-            parts = [pd.DataFrame(measure(texts[a:b], lengths)) for a, b in blocks([t.encode() for t in texts])]
+            parts = [pd.DataFrame(measure(texts[a:b], lengths)) for a, b in blocks(texts)]
             names = [c.split()[0] for c in RESULT.split(", ")]
             yield pd.concat(parts, ignore_index=True)[names] if parts else pd.DataFrame(columns=names)
 
