@@ -1,17 +1,25 @@
 """License scan by canonical digest.
 
-A text is brought to a canonical form (lower case, no copyright lines, no
-punctuation, one spelling for equivalent ones), digested whole, and the digest
-is hash-joined to the digests of known licences. Column functions only.
+A text is brought to a canonical form (lower case, no copyright notices at its
+head, no punctuation, one spelling for equivalent ones), digested whole, and the
+digest is hash-joined to the digests of known licences. Column functions only.
+
+A notice is 'copyright' followed by (c), a year or a holder, or a (c) sign with
+a year. Only those at the head of a text go, each up to the end of its line or
+to the first words of a known licence, so the form of a licence's body does not
+depend on where its lines break. A licence's title goes if its first words
+follow. 'All rights reserved' goes at the head and at the end of a text.
 
 Special input: a null text has no digest and no licence; an empty text, or one
-of copyright lines only, has zero words and never matches; repeated rows are
+of notices only, has zero words and never matches; repeated rows are
 looked up each; when several known licences share a canonical text, the
 smallest name is reported; other columns pass through.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,8 +28,8 @@ from kpiforge.llm.common import UPPER, table
 #: Distinct known digests that are broadcast (some 100 bytes each); more are joined by shuffle.
 BROADCAST_DIGESTS = 100_000
 
-# Punctuation outside ASCII that becomes a space, lines that name
-# a copyright holder, and spellings that mean the same in a licence text.
+# Punctuation outside ASCII that becomes a space, lines that the SQL
+# takes for notices, and spellings that mean the same in a licence text.
 WIDE_PUNCTUATION = "“”‘’„«»–—‐‑…©®™·• "
 COPYRIGHT_LINE = r"(?m)^[^0-9a-z\n]*(copyright|\(c\)|©|all rights reserved|portions copyright)[^\n]*$"
 PUNCTUATION = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -102,11 +110,35 @@ KNOWN_LICENSES = {
     "GPL-3.0 line": "This work is licensed under the GNU General Public License, version 3.",
 }
 
+# The start of a notice (the holder of one without a sign or a year begins with a capital and is none of
+# the words that follow 'copyright' in running text), titles, and the first words of the known texts. A notice that no
+# known text follows is at most one line of 200 characters; repetitions are bounded or possessive.
+_NO_HOLDER = (r"(?i:holders?|owners?|notices?|laws?|acts?|licen[cs]es?|licensing|and|or|in|is|of|for|as|on|to|the above|infringements?|"
+              r"protections?|protected|statements?|claims?|policy|terms|office|status|information|disclaimer|rights?|"
+              r"reform|permissions?|assignments?|issues?|material)\b")
+_SIGNED = (r"(?:(?i:(?:portions\s{1,9})?copyright)[\s:,]{0,9}(?:(?i:\(c\))|©|(?:19|20)\d\d\b)"
+           r"|(?i:\(c\))\s{0,9}(?:19|20)\d\d\b|©\s{0,9}(?:(?:19|20)\d\d\b|(?i:copyright)\b|\p{Lu}))")
+_HELD = rf"(?:(?i:(?:portions\s{{1,9}})?copyright)\s{{1,9}}(?:(?i:by)\s{{1,9}})?(?!{_NO_HOLDER})\p{{Lu}})"
+_RESERVED = r"(?i:all\s{1,9}rights\s{1,9}reserved)"
+_TITLE = (r"(?i:(?:the\s+)?(?:mit|isc|zlib|(?:(?:new|modified|simplified|revised)\s+)?bsd(?:[\s-]+[23][\s-]+clause)?|"
+          r"[23][\s-]+clause\s+bsd|apache)(?:/[a-z]{1,9})?\s+licen[cs]e(?:\s+\([^)]{1,30}\))?[\s.:]+)")
+_OPENINGS = "|".join(sorted({r"[^\p{L}\p{N}]+".join(re.findall(r"\w+", x)[:4]) for x in KNOWN_LICENSES.values()}))
+_OPENING = rf"[^\p{{L}}\p{{N}}]{{0,40}}(?i:{_OPENINGS})\b"
+_NEXT = rf"\s{{0,9}}(?:{_SIGNED}|{_HELD}|{_RESERVED}|{_OPENING}|\n[ \t]{{0,40}}\n)"
+#: Title and notices before a known text; notice lines before any other; a closing 'all rights reserved'.
+HEAD_OF_KNOWN = (rf"\A[^\p{{L}}\p{{N}}©(]*+{_TITLE}?(?:[^\p{{L}}\p{{N}}©(]*+(?>{_RESERVED}|(?:{_SIGNED}|{_HELD})"
+                 rf"(?:(?!\n[ \t]{{0,40}}\n)[\s\S]){{0,200}}?(?={_NEXT}))){{0,50}}+(?={_OPENING})")
+HEAD_LINES = (rf"\A(?:[^\p{{L}}\p{{N}}©(]*+(?:{_SIGNED}[^\n]{{0,200}}+(?:\n|\z)|{_HELD}[^\n]{{0,80}}+\n(?=\s*+\S)|"
+              rf"{_RESERVED}[^\p{{L}}\p{{N}}\n]{{0,40}}+(?:\n|\z))){{1,50}}+")
+CLOSING = rf"(?:\A|[\n.!?][ \t]{{0,40}}){_RESERVED}[.!\s]*+\z"
+
 
 def canonical(text: Column) -> Column:
     """Canonical form: words between single spaces, with a space at both ends."""
-    t = F.translate(text, UPPER + "\r", UPPER.lower() + "\n")
-    t = F.regexp_replace(t, COPYRIGHT_LINE, "")
+    t = F.translate(text, "\r", "\n")
+    for notices in (HEAD_OF_KNOWN, HEAD_LINES, CLOSING):
+        t = F.regexp_replace(t, notices, "")
+    t = F.translate(t, UPPER, UPPER.lower())
     t = F.translate(t, WIDE_PUNCTUATION, " " * len(WIDE_PUNCTUATION))
     t = F.concat(F.lit(" "), F.regexp_replace(t, PUNCTUATION, " "), F.lit(" "))
     t = F.regexp_replace(t, " +", " ")
@@ -150,7 +182,7 @@ def _sql_text(s: str) -> str:
 
 
 def _sql_canonical(text: str) -> str:
-    """The same canonical form in DuckDB SQL."""
+    """The canonical form in DuckDB SQL, which has no look-around: every line that begins like a notice goes."""
     t = f"translate({text}, {_sql_text(UPPER)} || chr(13), {_sql_text(UPPER.lower())} || chr(10))"
     t = f"regexp_replace({t}, {_sql_text(COPYRIGHT_LINE)}, '', 'g')"
     t = f"translate({t}, {_sql_text(WIDE_PUNCTUATION)}, {_sql_text(' ' * len(WIDE_PUNCTUATION))})"

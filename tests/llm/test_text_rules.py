@@ -1,6 +1,7 @@
 """Operators on single texts: quality rules, licence scan, language id."""
 import collections
 import re
+import textwrap
 
 import duckdb
 import numpy as np
@@ -75,6 +76,34 @@ def test_license_variants(spark):
     assert got[4].digest is None and got[5].n_words == got[6].n_words == 0
 
 
+def test_license_scan_does_not_depend_on_wrapping(spark):
+    heads = ["", "Copyright (c) 2024 Someone\n\n", "Copyright 2019-2024 The Regents of the University.\nAll rights reserved.\n\n",
+             "COPYRIGHT SOMEONE\n", "© Someone\r\n(c) 2020 Other, Inc.\r\n"]
+    titles = {"MIT": "The MIT License (MIT)\n\n", "ISC": "ISC License\n\n", "BSD-2-Clause": "BSD 2-Clause License\n",
+              "BSD-3-Clause": "BSD 3-Clause License\n\n", "Zlib": "zlib License\n\n"}
+    texts = []
+    for name, known in licenses.KNOWN_LICENSES.items():
+        for width in (20, 33, 47, 64, 72, 76, 78, 80, 100, 1_000_000):
+            body = textwrap.fill(known, width, break_long_words=False, break_on_hyphens=False)
+            texts += [(name, titles.get(name, "") + h + body) for h in heads]
+        texts.append((name, f"{titles.get(name, '')}Copyright (c) 2024 Some One {known}".replace("\n", " ")))
+        texts.append((name, f"{titles.get(name, '')}Copyright (c) 2024 The Some\nOne Foundation\n{known}"))
+    df = spark.createDataFrame([(i, n, t) for i, (n, t) in enumerate(texts)], "doc_id long, name string, text string")
+    rows = licenses.license_scan(df, licenses.known_licenses(spark)).collect()
+    assert [r.text for r in rows if r.scan.license != r.name] == [] and len(rows) == len(texts)
+    assert len({(r.scan.digest, r.scan.n_words) for r in rows}) == len(licenses.KNOWN_LICENSES)
+
+
+def test_license_scan_keeps_words_after_copyright(spark):
+    texts = {"Copyright law protects authors.": 4, "COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM": 7, "One line.\ncopyright is another": 5,
+             "Copyright Law in Europe\nis old": 6, "(c) the licensee pays": 4, "MIT License": 2, "\n" * 20000 + "a\nb": 2, "MIT License\nis a name": 5,
+             "Copyright (c) 2024 Someone " + "word " * 100: 104, "Copyright (c) 2024 Someone\nand a poem": 3, "All rights reserved.\nTwo words": 2,
+             "Two words\nAll rights reserved.": 2, "Copyright (c) 2024 Someone": 0, "Copyright (c) 1 " * 3000: 9000, "\n(c) 2024 A" * 3000: 8850}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.text: r.scan.n_words for r in licenses.license_scan(df, licenses.known_licenses(spark)).collect()}
+    assert got == texts
+
+
 def test_license_scan_has_no_python(spark, sf_small):
     plan = licenses.op8_license_scans(spark, sf_small)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow|ExistingRDD", plan)
