@@ -3,8 +3,8 @@
 P(w | v) mixes three estimates: the bigram's c(v,w)/c(v), the unigram's c(w)/N
 and a uniform 1/(V+1). The weights depend on the bucket of the context's count
 (powers of two) and are learned by expectation-maximisation on held-out counts:
-each token of one in ten chunks is held out of the counts in turn (its own
-occurrence is deleted from them).
+each training token is held out of the counts in turn (its own occurrence is
+deleted from them).
 
 How counts reach the texts without a row per token: a task turns documents
 into chunks of some ``CHUNK_TOKENS`` tokens (word numbers, word hashes) and
@@ -39,7 +39,6 @@ from kpiforge.llm.common import mix64, release, segment_sums, store_split, table
 CHUNK_TOKENS = 800_000
 #: Characters of text for one bucket of counts, and most buckets.
 BUCKET_CHARS, MAX_BUCKETS = 4 << 20, 1 << 14
-HELD_OUT_CHUNKS = 10        # one chunk of so many is held out for the weights
 CONTEXT_BUCKETS = 32
 QUANTA = 8                  # bins per factor of two in the histogram of estimates
 EM_ROUNDS = 60
@@ -238,7 +237,7 @@ def learn_weights(histogram: list, v: int) -> np.ndarray:
         w = np.maximum(w, [0, 0, 1e-9])                     # the uniform part keeps unknown words possible
         weights[b] = w / w.sum()
     known = np.flatnonzero(~np.isnan(weights[:, 0]))
-    for b in np.flatnonzero(np.isnan(weights[:, 0])):       # a bucket without held-out tokens takes its neighbour's
+    for b in np.flatnonzero(np.isnan(weights[:, 0])):       # a bucket without training tokens takes its neighbour's
         weights[b] = weights[known[np.abs(known - b).argmin()]] if len(known) else [0, 0, 1]
     if len(known):
         weights[0] = [0, *(weights[0][1:] / weights[0][1:].sum())]
@@ -284,10 +283,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text: str = "text", train
     chunks = chunks.select("chunk", "ids", "lens", "train", "tokens", "vocab")
     weights = np.tile([0.0, 0.0, 1.0], (CONTEXT_BUCKETS, 1))
     if n:
-        held = F.pmod(F.xxhash64("chunk"), F.lit(HELD_OUT_CHUNKS)) == 0
-        some = chunks.filter(held).filter(F.exists("train", lambda t: t)).limit(1).count() > 0
-        part = [x.filter(held) for x in (chunks, given)] if some else [chunks, given]
-        weights = learn_weights(held_out_histogram(*part, n, buckets), v)
+        weights = learn_weights(held_out_histogram(chunks, given, n, buckets), v)
         release(spark)
     done = scores(chunks, given, n, v, weights, buckets)
     return done.select(F.col("id").alias(id_col), "train", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"),

@@ -169,6 +169,22 @@ def test_lm_weights_recover_a_mixture():
     assert abs(got - w).max() < 0.03 and len(odds) == 3
 
 
+def test_lm_weights_do_not_depend_on_chunks(spark, sf_small, monkeypatch):
+    """Every training token is held out in turn, however the documents are dealt over tasks and chunks."""
+    found, learn = [], ngram_lm.learn_weights
+    monkeypatch.setattr(ngram_lm, "learn_weights", lambda h, v: found.append((h, learn(h, v))) or found[-1][1])
+    monkeypatch.setattr(ngram_lm, "CHUNK_TOKENS", 2000)
+    docs = documents(spark, sf_small).withColumn("train", F.col("doc_id") % 5 != 0)
+    scores = []
+    for tasks in (1, 7):
+        rows = ngram_lm.lm_scores(docs.repartition(tasks)).collect()
+        scores.append({r.doc_id: r.score for r in rows})
+        tokens = sum(r.n_tokens for r in rows if r.train)
+        assert sum(h["count"] for h in found[-1][0]) == tokens
+    assert np.allclose(found[0][1], found[1][1], atol=1e-9) and scores[0].keys() == scores[1].keys()
+    assert all(abs(scores[0][i] - scores[1][i]) <= 1e-9 * abs(scores[0][i]) for i in scores[0])
+
+
 def test_lm_odd_documents(spark):
     rows = ngram_lm.lm_scores(odd_documents(spark).withColumn("train", F.col("doc_id") < 8)).collect()
     assert len(rows) == 13
