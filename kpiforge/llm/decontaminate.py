@@ -1,16 +1,17 @@
-"""Benchmark decontamination by SimHash over item-sized windows.
+"""Benchmark decontamination over item-sized windows.
 
 Column functions only. Words (lower case A-Z, without ASCII punctuation) form
 five-word shingles. A window of a document is as long as the item that it is
-held against. Its 64-bit SimHash, in which a repeated shingle weighs as often
-as it occurs, is split into blocks; items are listed under every block value
-within ``RADIUS // BLOCKS`` bits, so by the pigeonhole principle the block join
-meets every fingerprint within ``RADIUS`` bits. The exact weighted Jaccard
-similarity over the shingles then decides.
+held against. A window is compared with the items of its length that share one
+of their rarest shingles with it, as many as every similar window must meet;
+the exact weighted Jaccard similarity over the shingles then decides. The
+64-bit SimHash of window and item, in which a repeated shingle weighs as often
+as it occurs, gives the reported distance and refuses nothing: at similarity
+0.75 the distance varies too much for a radius that loses no pair.
 
-Fingerprints are taken only of windows in which enough shingles occur in some
-item of that length: two windows of s shingles that are similar to degree t
-share at least 2ts/(1+t) of them, so this loses no result.
+Only windows are taken in which enough shingles occur in some item of that
+length: two windows of s shingles that are similar to degree t share at least
+2ts/(1+t) of them, so neither step loses a result.
 
 Special input: a null or empty text and a text shorter than an item have no
 match with it; an item with fewer words than a shingle matches nothing; rows
@@ -30,6 +31,7 @@ from kpiforge.llm.common import SPACES, UPPER, store, table
 
 SHINGLE = 5
 SIMILARITY = 0.75
+#: Layout of ``probes``, which lists fingerprints within a radius; ``contaminated`` has no radius.
 RADIUS = 14
 BLOCKS = 5
 #: Benchmarks with at most this many shingles are broadcast (16 bytes each); larger ones are shuffled.
@@ -106,9 +108,21 @@ def probes(items: DataFrame, radius: int, blocks: int) -> DataFrame:
         "size", "p.block", "p.value", "item", "item_sig")
 
 
+def rare_shingles(items: DataFrame, similarity: float) -> DataFrame:
+    """(size, h, item, item_sig): the shingles of each item of which every window similar to it holds one.
+
+    Of an item's s shingles such a window holds ts at least, so one of any s - ceil(ts) + 1; the rarest are taken.
+    """
+    every = items.select("size", "item", "item_sig", "item_shingles", F.explode("item_shingles").alias("h"))
+    held = every.groupBy("size", "h").agg(F.count("*").alias("n"))
+    ranked = every.join(held, ["size", "h"]).groupBy("size", "item", "item_sig", "item_shingles").agg(
+        F.array_sort(F.collect_list(F.struct("n", "h"))).alias("r"))
+    most = F.col("size") - F.ceil(F.lit(similarity) * F.col("size") - F.lit(1e-9)).cast("int") + 1
+    return ranked.select("size", F.explode(F.array_distinct(F.slice("r.h", F.lit(1), most))).alias("h"), "item", "item_sig")
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text",
-                 item_col: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY,
-                 radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
+                 item_col: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """A row per document and item that it holds: (id_col, item_col, start, n_words, similarity, distance) of the best window."""
     items = store(benchmark_items(benchmark, item_col, item_text), "items")
     small = items.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0] <= BROADCAST_SHINGLES
@@ -118,15 +132,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     windows = again.select("doc", "size", F.explode(F.transform("starts", lambda s: F.struct(
         s.alias("start"), F.slice("doc_shingles", s + 1, F.col("size")).alias("w")))).alias("x")).select(
         "doc", "size", "x.start", "x.w").filter(F.size("w") == F.col("size"))
-    keys = F.array(*[F.struct(F.lit(k).alias("block"), F.shiftrightunsigned("sig", shift).bitwiseAND(
-        F.lit((1 << width) - 1)).alias("value")) for k, (shift, width) in enumerate(block_layout(blocks))])
     windows = windows.withColumn("sig", simhash("w"))
-    near = probes(items, radius, blocks)
-    met = windows.withColumn("k", F.explode(keys)).select("doc", "size", "start", "w", "sig", "k.block", "k.value").join(
-        F.broadcast(near) if small else near, ["size", "block", "value"])
+    listed = rare_shingles(items, similarity)
+    met = windows.withColumn("h", F.explode(F.array_distinct("w"))).join(F.broadcast(listed) if small else listed, ["size", "h"])
     distance = F.bit_count(F.col("sig").bitwiseXOR(F.col("item_sig")))
-    met = met.withColumn("distance", distance).filter(F.col("distance") <= radius)
-    met = met.dropDuplicates(["doc", "start", "item", "sig"])
+    met = met.withColumn("distance", distance).drop("h").dropDuplicates(["doc", "start", "item", "item_sig", "sig"])
     what = items.select("item", "item_sig", "item_shingles")
     scored = met.join(F.broadcast(what) if small else what, ["item", "item_sig"]).withColumn(
         "similarity", weighted_jaccard("w", "item_shingles")).filter(F.col("similarity") >= similarity)

@@ -237,6 +237,23 @@ def test_decontamination_matches_brute_force(spark, sf_small):
         assert abs(r.similarity - want[k]) < 1e-12 and r.distance <= decontaminate.RADIUS
 
 
+def test_decontamination_misses_no_pair(spark):
+    """Windows just above the least similarity, many of them beyond 14 bits."""
+    items = {k: prose(k + 1000, 24 + k % 30) for k in range(60)}
+    docs = {}
+    for k, t in items.items():
+        w = t.split()
+        for cut in range(1, 8):                                # words changed at either edge
+            docs[len(docs)] = f"{prose(k, 20)} {' '.join(w[cut:])} {prose(k + 90, 20)}"
+            docs[len(docs)] = f"{prose(k, 20)} {' '.join(w[cut // 2:len(w) - cut + cut // 2])} {prose(k + 90, 20)}"
+    d = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    b = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.contaminated(d, b).collect()}
+    want = brute_contaminated(docs, items)
+    assert len(want) > 300 and set(got) == set(want) and all(abs(got[k].similarity - want[k]) < 1e-12 for k in want)
+    assert any(r.distance > 14 for r in got.values())
+
+
 def test_block_probes_meet_all_fingerprints_in_radius(spark):
     rng = np.random.default_rng(5)
     a = rng.integers(-(1 << 63), (1 << 63) - 1, 40)
