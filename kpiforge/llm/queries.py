@@ -11,8 +11,11 @@ from kpiforge.llm.licenses import ORACLE_SQL as LICENSES_SQL
 from kpiforge.llm.licenses import op8_license_scans
 from kpiforge.llm.lines import ORACLE_SQL as LINES_SQL
 from kpiforge.llm.lines import op10_line_dedup
+from kpiforge.llm.merkle import ORACLE_SQL as MERKLE_SQL
+from kpiforge.llm.merkle import op11_merkle_manifest
 from kpiforge.llm.ngram_lm import op5_lm_scoring
 from kpiforge.llm.packing import op6_best_fit_packing
+from kpiforge.llm.pieces import op12_sentencepiece_codec
 from kpiforge.llm.repetition import op7_quality_rules
 from kpiforge.llm.suffixes import op4_suffix_array_dedup
 
@@ -27,10 +30,13 @@ QUERIES = {
     "op8_license_scans": op8_license_scans,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_line_dedup": op10_line_dedup,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_sentencepiece_codec": op12_sentencepiece_codec,
 }
 
 ORACLE: dict[str, str] = {
     "op3_ngram_jaccard_join": JACCARD_SQL,
     "op8_license_scans": LICENSES_SQL,
     "op10_line_dedup": LINES_SQL,
+    "op11_merkle_manifest": MERKLE_SQL,
 }
