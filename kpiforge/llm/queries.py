@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from kpiforge.llm.chat import op2_chat_formatting
+from kpiforge.llm.collocations import op13_phrase_collocations
 from kpiforge.llm.decontaminate import op9_benchmark_decontamination
 from kpiforge.llm.jaccard import ORACLE_SQL as JACCARD_SQL
 from kpiforge.llm.jaccard import op3_ngram_jaccard_join
@@ -32,6 +33,7 @@ QUERIES = {
     "op10_line_dedup": op10_line_dedup,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op12_sentencepiece_codec": op12_sentencepiece_codec,
+    "op13_phrase_collocations": op13_phrase_collocations,
 }
 
 ORACLE: dict[str, str] = {
