@@ -41,7 +41,9 @@ MIN_COUNT, LONGEST, BEST = 30, 4, 2000
 #: A candidate inside a longer one with at least this share of its count (per cent) is dropped.
 INSIDE = 80
 #: Words and phrases that are broadcast at a time; numbers of a block.
-MAX_WORDS, MAX_PHRASES, BLOCK = 1_000_000, 1_000_000, 1 << 20
+MAX_WORDS, MAX_PHRASES, BLOCK = 1_000_000, 1_000_000, 1 << 19
+#: Distinct words that a task counts before it sends them, and shares in which a language is ranked first.
+COUNTED, RANK_SHARES = 250_000, 64
 #: A word number is two digits of DIGIT bits in the trie.
 DIGIT = 12
 #: Words of more bytes are known by their digest in what is broadcast.
@@ -74,7 +76,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
         for b in batches:
             for lang, text in zip(b["lang"], b["text"]):
                 found.setdefault(lang, Counter()).update(tokens(text))
-                if sum(map(len, found.values())) > 400_000:
+                if sum(map(len, found.values())) > COUNTED:
                     yield rows(found)
                     found = {}
         yield rows(found)
@@ -357,8 +359,10 @@ def collocations(docs: DataFrame, lang: str = "lang", text: str = "text", least:
     spelt = kept.select("row", F.posexplode("ids").alias("pos", "id")).join(words.select("id", "lang", "word"), "id").groupBy("row").agg(
         F.first("lang").alias("lang"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda x: x["word"]), " ").alias("phrase"))
     done = kept.join(spelt, "row")
-    w = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = done.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= best)      # limited before the shuffle
+    order = [F.desc("score"), F.desc("a"), "phrase"]
+    share = F.pmod(F.xxhash64("phrase"), F.lit(RANK_SHARES))                # so no task gets a whole language
+    first = done.withColumn("rank", F.row_number().over(Window.partitionBy("lang", share).orderBy(*order))).filter(F.col("rank") <= best)
+    ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).filter(F.col("rank") <= best)
     return ranked.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
