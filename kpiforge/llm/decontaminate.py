@@ -2,22 +2,26 @@
 
 Column functions only. Words (lower case A-Z, without ASCII punctuation) form
 five-word shingles. A window of a document is as long as the item that it is
-held against. A window is compared with the items of its length that share one
-of their rarest shingles with it, as many as every similar window must meet;
-the exact weighted Jaccard similarity over the shingles then decides. The
-64-bit SimHash of window and item, in which a repeated shingle weighs as often
-as it occurs, gives the reported distance and refuses nothing: at similarity
-0.75 the distance varies too much for a radius that loses no pair.
-
-Only windows are taken in which enough shingles occur in some item of that
-length: two windows of s shingles that are similar to degree t share at least
-2ts/(1+t) of them, so neither step loses a result.
-
-Special input: a null or empty text and a text shorter than an item have no
-match with it; an item with fewer words than a shingle matches nothing; rows
-with a null document or item id are left out; rows that repeat an id are one
-document (matched if any of them is); among equally similar windows the first
-is reported; an empty table on either side gives no rows.
+held against; of a document shorter than the item it is the whole document.
+
+1. Windows are taken where enough shingles occur in some item of that length:
+   windows of m and s shingles that are similar to degree t share at least
+   t (m + s) / (1 + t) of them, so this step loses nothing.
+2. The 64-bit SimHash of a window, in which a repeated shingle weighs as often
+   as it occurs, is cut into ``BLOCKS`` blocks. Fingerprints within ``RADIUS``
+   bits have a block with at most RADIUS // BLOCKS differing bits, so a lookup of
+   all such block values of the items meets every fingerprint within the radius;
+   a pair that several blocks meet is taken in the first of them.
+3. The exact weighted Jaccard similarity over the shingles decides.
+
+At similarity 0.75 the distance is about 11 bits with a deviation of 3, so a
+radius of 23 lies four deviations off; the tests measure the recall.
+
+Special input: a null or empty text has no match; an item with fewer words than
+a shingle matches nothing; rows with a null document or item id are left out;
+rows that repeat an id are one document (matched if any of them is); among
+equally similar windows the nearest, then the first is reported; an empty table
+on either side gives no rows.
 """
 
 from __future__ import annotations
@@ -31,11 +35,10 @@ from kpiforge.llm.common import SPACES, UPPER, store, table
 
 SHINGLE = 5
 SIMILARITY = 0.75
-#: Layout of ``probes``, which lists fingerprints within a radius; ``contaminated`` has no radius.
-RADIUS = 14
-BLOCKS = 5
-#: Benchmarks with at most this many shingles are broadcast (16 bytes each); larger ones are shuffled.
-BROADCAST_SHINGLES = 500_000
+RADIUS, BLOCKS = 23, 6
+#: Benchmarks with at most this many shingles (16 bytes each) and items (some 1,300 block values each) are broadcast;
+#: larger ones are shuffled.
+BROADCAST_SHINGLES, BROADCAST_ITEMS = 500_000, 1_500
 #: ASCII punctuation, which is left out of words.
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -83,16 +86,18 @@ def benchmark_items(benchmark: DataFrame, id_col: str, text: str) -> DataFrame:
 def candidate_starts(docs: DataFrame, items: DataFrame, similarity: float, small: bool) -> DataFrame:
     """(doc, size, starts): window starts, by size, that hold enough shingles of items of that size."""
     of_items = items.select(F.explode("item_shingles").alias("h"), "size").distinct()
-    found = docs.select("doc", F.posexplode("doc_shingles").alias("pos", "h")).join(
+    found = docs.select("doc", F.size("doc_shingles").alias("n"), F.posexplode("doc_shingles").alias("pos", "h")).join(
         F.broadcast(of_items) if small else of_items, "h")
-    at = found.groupBy("doc", "size").agg(F.array_sort(F.collect_set("pos")).alias("at"))
-    at = at.withColumn("need", F.ceil(F.lit(2 * similarity / (1 + similarity)) * F.col("size") - F.lit(1e-9)).cast("int"))
+    # the longest of the texts that share an id bounds the starts; windows beyond a shorter one's end are cut there
+    at = found.groupBy("doc", "size").agg(F.array_sort(F.collect_set("pos")).alias("at"), F.max("n").alias("n"), F.min("n").alias("m"))
+    share = F.lit(similarity / (1 + similarity))
+    at = at.withColumn("need", F.greatest(F.lit(1), F.ceil(share * (F.least("m", "size") + F.col("size")) - F.lit(1e-9)).cast("int")))
     # the window that starts in (previous hit, this hit] holds `need` hits if it reaches the need-th hit from here
     starts = F.expr("""flatten(transform(sequence(1, size(at) - need + 1), i ->
-        transform(filter(array(struct(
+        coalesce(get(transform(filter(array(struct(
             greatest(IF(i = 1, 0, element_at(at, IF(i = 1, 1, i - 1)) + 1), element_at(at, i + need - 1) - size + 1) AS lo,
-            element_at(at, i) AS hi)), r -> r.lo <= r.hi), r -> sequence(r.lo, r.hi))[0]))""")
-    return at.filter("size(at) >= need").select("doc", "size", F.filter(starts, lambda s: s.isNotNull()).alias("starts"))
+            element_at(at, i) AS hi)), r -> r.lo <= r.hi), r -> sequence(r.lo, r.hi)), 0), CAST(array() AS array<int>))))""")
+    return at.filter("size(at) >= need").select("doc", "size", starts.alias("starts"))
 
 
 def probes(items: DataFrame, radius: int, blocks: int) -> DataFrame:
@@ -108,17 +113,23 @@ def probes(items: DataFrame, radius: int, blocks: int) -> DataFrame:
         "size", "p.block", "p.value", "item", "item_sig")
 
 
-def rare_shingles(items: DataFrame, similarity: float) -> DataFrame:
-    """(size, h, item, item_sig): the shingles of each item of which every window similar to it holds one.
+def met_within(windows: DataFrame, items: DataFrame, radius: int, blocks: int, small: bool) -> DataFrame:
+    """Windows with (item, item_sig, distance) of each item of their size whose fingerprint is within the radius."""
+    layout = block_layout(blocks)
+    values = F.array(*[F.struct(F.lit(k).alias("block"), F.shiftrightunsigned("sig", shift).bitwiseAND(F.lit((1 << width) - 1)).alias("value"))
+                       for k, (shift, width) in enumerate(layout)])
+    listed = probes(items, radius, blocks)
+    cut = windows.select("*", F.explode(values).alias("x")).select("*", "x.block", "x.value").drop("x")
+    pairs = cut.join(F.broadcast(listed) if small else listed, ["size", "block", "value"])
+    differs = F.col("sig").bitwiseXOR(F.col("item_sig"))
+    first = F.coalesce(*[F.when(F.bit_count(differs.bitwiseAND(F.lit(_signed((1 << width) - 1 << shift)))) <= radius // blocks, k)
+                         for k, (shift, width) in enumerate(layout)])
+    met = pairs.filter((F.bit_count(differs) <= radius) & (F.col("block") == first))
+    return met.withColumn("distance", F.bit_count(differs)).drop("block", "value")
 
-    Of an item's s shingles such a window holds ts at least, so one of any s - ceil(ts) + 1; the rarest are taken.
-    """
-    every = items.select("size", "item", "item_sig", "item_shingles", F.explode("item_shingles").alias("h"))
-    held = every.groupBy("size", "h").agg(F.count("*").alias("n"))
-    ranked = every.join(held, ["size", "h"]).groupBy("size", "item", "item_sig", "item_shingles").agg(
-        F.array_sort(F.collect_list(F.struct("n", "h"))).alias("r"))
-    most = F.col("size") - F.ceil(F.lit(similarity) * F.col("size") - F.lit(1e-9)).cast("int") + 1
-    return ranked.select("size", F.explode(F.array_distinct(F.slice("r.h", F.lit(1), most))).alias("h"), "item", "item_sig")
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text",
@@ -129,21 +140,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     d = docs.filter(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").alias("doc"), F.col(f"`{text}`").alias("t"))
     places = store(candidate_starts(d.select("doc", shingles(F.col("t")).alias("doc_shingles")), items, similarity, small), "places")
     again = places.join(d, "doc").select("doc", "size", "starts", shingles(F.col("t")).alias("doc_shingles"))
-    windows = again.select("doc", "size", F.explode(F.transform("starts", lambda s: F.struct(
+    last = F.greatest(F.lit(0), F.size("doc_shingles") - F.col("size"))
+    starts = F.array_distinct(F.transform("starts", lambda s: F.least(s, last)))
+    windows = again.select("doc", "size", F.explode(F.transform(starts, lambda s: F.struct(
         s.alias("start"), F.slice("doc_shingles", s + 1, F.col("size")).alias("w")))).alias("x")).select(
-        "doc", "size", "x.start", "x.w").filter(F.size("w") == F.col("size"))
-    windows = windows.withColumn("sig", simhash("w"))
-    listed = rare_shingles(items, similarity)
-    met = windows.withColumn("h", F.explode(F.array_distinct("w"))).join(F.broadcast(listed) if small else listed, ["size", "h"])
-    distance = F.bit_count(F.col("sig").bitwiseXOR(F.col("item_sig")))
-    met = met.withColumn("distance", distance).drop("h").dropDuplicates(["doc", "start", "item", "item_sig", "sig"])
+        "doc", "size", "x.start", "x.w").filter(F.size("w") > 0)
+    few = small and items.count() <= BROADCAST_ITEMS
+    met = met_within(windows.withColumn("sig", simhash("w")), items, RADIUS, BLOCKS, few)
     what = items.select("item", "item_sig", "item_shingles")
     scored = met.join(F.broadcast(what) if small else what, ["item", "item_sig"]).withColumn(
         "similarity", weighted_jaccard("w", "item_shingles")).filter(F.col("similarity") >= similarity)
     best = scored.groupBy("doc", "item").agg(F.max(F.struct(
-        "similarity", (-F.col("distance")).alias("near"), (-F.col("start")).alias("early"), "size")).alias("b"))
+        "similarity", (-F.col("distance")).alias("near"), (-F.col("start")).alias("early"), F.size("w").alias("held"))).alias("b"))
     return best.select(F.col("doc").alias(id_col), F.col("item").alias(item_col), (-F.col("b.early")).cast("long").alias("start"),
-                       (F.col("b.size") + (SHINGLE - 1)).cast("long").alias("n_words"),
+                       (F.col("b.held") + (SHINGLE - 1)).cast("long").alias("n_words"),
                        F.col("b.similarity").alias("similarity"), (-F.col("b.near")).cast("int").alias("distance"))
 
 
