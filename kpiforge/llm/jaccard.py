@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from kpiforge.llm.common import UPPER, blocks, discard, mix64, release, store, table
+from kpiforge.llm.common import UPPER, blocks, discard, fresh, mix64, release, store, table
 from kpiforge.llm.components import components
 
 SHINGLE = 5
@@ -356,9 +356,24 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
 
 def stage_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group of linked documents the one with the smallest id stays."""
-    keep = jaccard_classes(docs).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    """Pipeline stage: of each group of linked documents the one with the smallest id stays.
+
+    If ids repeat, every text of an id counts as a document of its own (in order
+    of text hashes), so none is lost with another one of its id; rows that
+    repeat id and text are one document and stay or go together.
+    """
+    key, columns = "doc_id", docs.columns
+    known = docs.filter("doc_id IS NOT NULL")
+    if not known.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        key, version = fresh(docs, "row", "version")
+        docs = docs.withColumn(version, F.xxhash64("text"))
+        pairs = docs.filter("doc_id IS NOT NULL").select("doc_id", version).distinct()
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        ranged = pairs.repartitionByRange(parts, "doc_id", version).sortWithinPartitions("doc_id", version)
+        numbers = store(ranged.withColumn(key, F.monotonically_increasing_id()), "numbers")
+        docs = store(docs.join(numbers, ["doc_id", version], "left"), "numbered")
+    keep = jaccard_classes(docs, key).filter(F.col(key) != F.col("component_id")).select(key).distinct()
+    return docs.join(keep, key, "left_anti").select(*[f"`{c}`" for c in columns])
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,8 @@ removed, overlapping ones merged.
 Special input: null and empty texts, and texts with fewer lines than a
 window, stay as they are; rows with a null id are neither compared nor
 changed; rows that repeat id and text count as one document, so they keep
-the same lines; blank lines are skipped in windows, and go only when the
+the same lines; texts that share an id are documents of their own, in order of
+their hashes; blank lines are skipped in windows, and go only when the
 lines on both sides go; other columns pass through.
 """
 
@@ -22,17 +23,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from kpiforge.llm.common import table
+from kpiforge.llm.common import fresh, table
 
 WINDOW = 3
 BLANKS = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
 
 
 def line_windows(docs: DataFrame, id_col: str, text: str, size: int) -> DataFrame:
-    """(id, pos, h1, h2): each window of ``size`` lines with a word; ``pos`` counts those lines from 0."""
+    """(id, version, pos, h1, h2): each window of ``size`` lines with a word; ``pos`` counts those lines from 0, and
+    ``version`` is a hash of the text."""
     lines = F.filter(F.transform(F.split(F.col(f"`{text}`"), "\n", -1), lambda x: F.regexp_replace(x, BLANKS, "")),
                      lambda x: x != "")
-    w = docs.select(F.col(f"`{id_col}`").alias("id"), lines.alias("lines")).filter(
+    w = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text}`")).alias("version"), lines.alias("lines")).filter(
         F.col("id").isNotNull() & (F.size("lines") >= size))
     at = F.sequence(F.lit(0), F.size("lines") - size)
 
@@ -40,15 +42,16 @@ def line_windows(docs: DataFrame, id_col: str, text: str, size: int) -> DataFram
         run = [F.element_at(F.col("lines"), i + k + 1) for k in range(size)]
         return F.struct(F.xxhash64(*run).alias("h1"), F.xxhash64(F.lit("second"), *run[::-1]).alias("h2"))
 
-    return w.select("id", F.posexplode(F.transform(at, digest)).alias("pos", "h")).select("id", "pos", "h.h1", "h.h2")
+    return w.select("id", "version", F.posexplode(F.transform(at, digest)).alias("pos", "h")).select("id", "version", "pos", "h.h1", "h.h2")
 
 
 def repeated_occurrences(windows: DataFrame) -> DataFrame:
-    """(id, pos) of every window that occurs earlier, in id and place order."""
-    seen = windows.groupBy("h1", "h2").agg(F.min(F.struct("id", "pos")).alias("first"), F.max(F.struct("id", "pos")).alias("last"))
+    """(id, version, pos) of every window that occurs earlier, in id and place order."""
+    place = F.struct("id", "version", "pos")
+    seen = windows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"))
     seen = seen.filter(F.col("first") < F.col("last")).select("h1", "h2", "first")
-    later = windows.join(seen, ["h1", "h2"]).filter(F.struct("id", "pos") > F.col("first"))
-    return later.select("id", "pos")
+    later = windows.join(seen, ["h1", "h2"]).filter(place > F.col("first"))
+    return later.select("id", "version", "pos")
 
 
 def without_lines(text: str, places: np.ndarray, size: int) -> tuple[str, int, int]:
@@ -73,7 +76,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", out:
                size: int = WINDOW) -> DataFrame:
     """Replace ``text`` by what stays; add struct ``out`` (n_lines, n_removed, n_spans)."""
     later = repeated_occurrences(line_windows(docs, id_col, text, size))
-    spots = later.groupBy(F.col("id").alias("_spots_id")).agg(F.collect_set("pos").alias("_spots"))
+    key, version, spots_col, cut = fresh(docs, "id", "version", "spots", "cut")
+    spots = later.groupBy(F.col("id").alias(key), F.col("version").alias(version)).agg(F.collect_set("pos").alias(spots_col))
 
     @pandas_udf("text string, n_removed long, n_spans long")
     def apply(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
@@ -83,20 +87,21 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", out:
 
     t = F.col(f"`{text}`")
     n_lines = F.when(t.isNull(), 0).otherwise(F.size(F.split(t, "\n", -1))).cast("long")
-    joined = docs.join(spots, F.col(f"`{id_col}`") == F.col("_spots_id"), "left")
-    touched = F.col("_spots").isNotNull()
-    done = joined.withColumn("_cut", F.when(touched, apply(F.when(touched, t), F.col("_spots"))))   # other texts stay in the JVM
-    info = F.struct(n_lines.alias("n_lines"), F.coalesce("_cut.n_removed", F.lit(0)).cast("long").alias("n_removed"),
-                    F.coalesce("_cut.n_spans", F.lit(0)).cast("long").alias("n_spans"))
-    done = done.withColumn(out, info).withColumn(text, F.when(F.col("_cut").isNull(), t).otherwise(F.col("_cut.text")))
-    return done.drop("_spots_id", "_spots", "_cut")
+    joined = docs.join(spots, (F.col(f"`{id_col}`") == F.col(key)) & (F.xxhash64(t) == F.col(version)), "left")
+    touched = F.col(spots_col).isNotNull()
+    done = joined.withColumn(cut, F.when(touched, apply(F.when(touched, t), F.col(spots_col))))   # other texts stay in the JVM
+    info = F.struct(n_lines.alias("n_lines"), F.coalesce(f"{cut}.n_removed", F.lit(0)).cast("long").alias("n_removed"),
+                    F.coalesce(f"{cut}.n_spans", F.lit(0)).cast("long").alias("n_spans"))
+    done = done.withColumn(out, info).withColumn(text, F.when(F.col(cut).isNull(), t).otherwise(F.col(cut)["text"]))
+    return done.drop(key, version, spots_col, cut)
 
 
 def stage_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: repeated line windows go; so does a document of which nothing is left."""
-    cut = line_dedup(docs, out="_line_dedup").filter((F.col("_line_dedup.n_removed") == 0) | (F.trim("text") != ""))
-    return cut.withColumn("n_chars", F.when(F.col("_line_dedup.n_removed") > 0, F.length("text").cast("long"))
-                          .otherwise(F.col("n_chars"))).drop("_line_dedup")
+    (out,) = fresh(docs, "line_dedup")
+    cut = line_dedup(docs, out=out).filter((F.col(out)["n_removed"] == 0) | (F.trim("text") != ""))
+    return cut.withColumn("n_chars", F.when(F.col(out)["n_removed"] > 0, F.length("text").cast("long"))
+                          .otherwise(F.col("n_chars"))).drop(out)
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from kpiforge.llm.common import blocks, mix64, segment_sums, table
+from kpiforge.llm.common import blocks, fresh, mix64, segment_sums, table
 
 #: Largest share of word characters inside n-grams that occur twice or more, by n.
 MAX_NGRAM_COVERAGE = {5: 0.30, 6: 0.28, 7: 0.26, 8: 0.24, 9: 0.22, 10: 0.20}
@@ -150,7 +150,8 @@ def quality_rules(docs: DataFrame, text: str = "text", out: str = "quality",
 
 def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that the rules reject go."""
-    return quality_rules(docs, out="_quality").filter("_quality.kept").drop("_quality")
+    (out,) = fresh(docs, "quality")
+    return quality_rules(docs, out=out).filter(F.col(out)["kept"]).drop(out)
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -295,3 +295,24 @@ def test_decontamination_odd_input(spark):
 def test_decontamination_has_no_python(spark, sf_small):
     plan = decontaminate.op9_benchmark_decontamination(spark, sf_small)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow|ExistingRDD", plan)
+
+
+def test_texts_that_share_an_id(spark):
+    """Lines are cut from, and groups are formed by, a text and not by whatever else has its id."""
+    lines_ = "\n".join(prose(k, 8) for k in range(6))
+    other = "\n".join(prose(k, 8) for k in range(50, 53))
+    rows = [(0, lines_), (1, lines_), (1, other), (2, lines_ + "\n" + other), (None, lines_), (3, None)]
+    names = ["cut", "spots", "version", "id", "_cut", "_spots", "line_dedup", "row", "quality"]
+    d = spark.createDataFrame(rows, "doc_id long, text string").select(
+        "doc_id", "text", F.lit(1).cast("long").alias("n_chars"), *[F.lit(c).alias(c) for c in names])
+    got = lines.line_dedup(d, out="done")
+    assert got.columns == [*d.columns, "done"]
+    kept = sorted(((r.doc_id, r.text) for r in got.collect()), key=repr)
+    want = [(0, lines_), (1, ""), (1, other), (2, ""), (None, lines_), (3, None)]
+    assert kept == sorted(want, key=repr) and all(r[c] == c for r in got.collect() for c in names)
+    assert lines.stage_lines(spark, d, None).columns == d.columns
+    x, y = prose(1, 60), prose(2, 60)
+    d = spark.createDataFrame([(0, x), (1, x), (1, y), (1, y), (2, y), (None, x)], "doc_id long, text string").withColumn("row", F.lit(0))
+    left = jaccard.stage_jaccard(spark, d, None)
+    assert left.columns == d.columns
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=repr) == sorted([(0, x), (1, y), (1, y), (None, x)], key=repr)
