@@ -229,3 +229,14 @@ def lineitem_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = read(spark, sf_dir, "lineitem").select(F.col("l_shipdate").cast("date").alias("date"), "l_returnflag")
     return li.groupBy("date").agg(F.count(F.lit(1)).alias("li_impressions"),
                                   F.count_if(F.col("l_returnflag") == "R").alias("li_views"))
+
+
+def event_landings(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """Events as three landings of about eleven days. Of a landing's last day, events with id % 7 = 0 come with the
+    next landing, and the others come again with it."""
+    e = read(spark, sf_dir, "events")
+    start = e.agg(F.min(F.col("ts").cast("date")).alias("d")).select("d").scalar()
+    age = F.datediff(F.col("ts").cast("date"), start)
+    own = F.least(F.lit(2), F.floor(age / 11))
+    edge, late = age.isin(10, 21), F.col("event_id") % 7 == 0
+    return [e.where(((own == k) & ~(edge & late)) | (edge & (own == k - 1))) for k in range(3)]

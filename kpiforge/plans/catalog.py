@@ -21,9 +21,10 @@ from ..operators import nested as nested_ops
 from ..schemas import DAILY_KPIS, DAILY_SCHEMA, LEADS_SCHEMA, WON_STAGES
 from ..session import ensure_runtime_conf, scratch_path
 from ..sources import events as ev
-from ..sources import landed, tables
+from ..sources import chains, landed, tables
 from ..streaming import events as sev
 from ..streaming import refresh
+from ..streaming import sessions as ss
 from . import base, documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -571,3 +572,78 @@ def q_picklist_values(spark, sf_dir):
     """SRC-17: picklist values of wanted fields."""
     docs = _read_pages(spark, documents.picklist_docs(spark, sf_dir), "picklists", landed.FIELDS_SCHEMA)
     return landed.picklist_values(docs, ["Brand#11", "Brand#23", "Brand#45"])
+
+
+# --- streams with state, landed page chains ---------------------------------------------
+
+def _landed_events(spark, sf_dir, name, streams):
+    """Land the events in three turns with late and repeated ones; after each turn the streams take up what is new."""
+    root = scratch_path(spark, name)
+    for part in base.event_landings(spark, sf_dir):
+        part.write.mode("append").parquet(f"{root}/in")
+        for start, kind in streams:
+            start(spark, f"{root}/in", f"{root}/{kind}", f"{root}/ck-{kind}").awaitTermination()
+    return root
+
+
+@register("stream_sessions")
+def q_stream_sessions(spark, sf_dir):
+    """SRC-10, SRC-11, STR-1, STR-3: daily metrics of sessions and activity streams over late and repeated files."""
+    root = _landed_events(spark, sf_dir, "stream_sessions", [(ss.start_sessions, "sessions"), (ss.start_activity, "activity")])
+    return ss.read_daily_metrics(spark, f"{root}/sessions", f"{root}/ck-sessions", f"{root}/activity")
+
+
+@register("stream_unique_events")
+def q_stream_unique_events(spark, sf_dir):
+    """STR-3: daily event counts of a stream in which files are late and land twice."""
+    root = _landed_events(spark, sf_dir, "stream_unique", [(ss.start_activity, "activity")])
+    return ss.read_daily_events(spark, f"{root}/activity")
+
+
+def _crm_chain(spark, sf_dir):
+    pages = _read_pages(spark, documents.landed_crm_pages(spark, sf_dir), "crm_chain", landed.CRM_PAGE_SCHEMA)
+    return chains.numbered_chain(pages, F.col("info.page"), F.col("info.more_records"), first=0)
+
+
+@register("crm_chain_records")
+def q_crm_chain_records(spark, sf_dir):
+    """SRC-6: records per pipeline of a landing with repeated, missing and trailing pages."""
+    kept, _ = _crm_chain(spark, sf_dir)
+    return landed.crm_records(kept).groupBy(F.col("Pipeline").alias("pipeline")).agg(
+        F.count(F.lit(1)).alias("n_records"), exact_sum("Amount", 2).alias("amount"))
+
+
+@register("crm_chain_report")
+def q_crm_chain_report(spark, sf_dir):
+    """SRC-6, SRC-7: what of the landing counts, and the number of its records."""
+    kept, report = _crm_chain(spark, sf_dir)
+    counted = landed.crm_record_count(kept)
+    return report.crossJoin(F.broadcast(counted))          # one row each
+
+
+@register("crm_missing_pages")
+def q_crm_missing_pages(spark, sf_dir):
+    """SRC-6: runs of missing pages."""
+    pages = _read_pages(spark, documents.landed_crm_pages(spark, sf_dir), "crm_gaps", landed.CRM_PAGE_SCHEMA)
+    return chains.missing_pages(pages, F.col("info.page"), F.col("info.more_records"), first=0)
+
+
+@register("cursor_chain_report")
+def q_cursor_chain_report(spark, sf_dir):
+    """SRC-8: two fetches of cursor responses, one with strays and repeats, one with breaks; the results that count."""
+    pages = _read_pages(spark, documents.landed_page_responses(spark, sf_dir), "cursor_chain", documents.LANDED_RESPONSE_SCHEMA)
+    kept, report = chains.cursor_chain(pages, F.col("start_cursor"), F.col("next_cursor"), F.col("has_more"), by=["run"])
+    counts = kept.groupBy("run").agg(F.sum(F.size("results")).cast("bigint").alias("results"))
+    return report.join(counts, "run")
+
+
+@register("load_leads_text")
+def q_load_leads_text(spark, sf_dir):
+    """SRC-4, SNK-6: the lead snapshot landed as text, with planted bad amounts and dates; counts per status and month."""
+    leads = base.as_text(base.leads_from_orders(spark, sf_dir))
+    k = F.col("lead_id").cast("bigint")
+    bad = leads.withColumns({"amount": F.when(k % 11 == 0, F.lit("n/a")).otherwise(F.col("amount")),
+                             "closing_date": F.when(k % 13 == 0, F.lit("soon")).otherwise(F.col("closing_date"))}).drop("lead_id")
+    got = tables.load_leads(spark, _landed_text(spark, bad, "leads_text"))
+    return got.groupBy("status", fx.month_key("closing_date").alias("month")).agg(
+        F.count(F.lit(1)).alias("n"), F.count("amount").alias("with_amount"), exact_sum("amount", 2).alias("amount"))

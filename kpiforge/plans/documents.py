@@ -13,8 +13,10 @@ import json
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.dates import day_end_ms, day_start_ms
+from ..functions.nested import PAGE_RESPONSE_SCHEMA
 from . import base
 
 CRM_PAGE_SIZE = 200
@@ -238,3 +240,47 @@ def part_catalogs(spark: SparkSession, sf_dir: str) -> DataFrame:
            .otherwise(F.array().cast("array<struct<id:string,data_source_id:string>>")))
     return p.select(F.to_json(F.struct(F.concat(F.lit("db-"), pk).alias("id"), arr.alias("data_sources")))
                     .alias("doc"))
+
+
+# --- landings with repeated, missing and trailing pages -------------------------------
+
+#: A landed cursor response carries what it was asked for with, and the fetch that it is of.
+LANDED_RESPONSE_SCHEMA = T.StructType(PAGE_RESPONSE_SCHEMA.fields + [
+    T.StructField("run", T.StringType()), T.StructField("start_cursor", T.StringType())])
+
+
+def landed_crm_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``crm_pages`` as a faulty landing: pages with number % 7 = 3 (but the last) are missing, pages with number
+    % 5 = 0 landed twice, and pages 0 to 2 landed once more behind the end."""
+    pages = crm_pages(spark, sf_dir)
+    p = F.col("page")
+    ends = F.col("doc").contains('"more_records":false')
+    kept = pages.where((p % 7 != 3) | ends)
+    last = base.read(spark, sf_dir, "orders").agg(F.max((F.col("o_orderkey") / CRM_PAGE_SIZE).cast("bigint")).alias("m")).select("m").scalar()
+    info = F.concat(F.lit('"info":{"more_records":true,"page":'), (last + 1 + p).cast("string"), F.lit("}}"))
+    behind = pages.where(p < 3).select((last + 1 + p).alias("page"), F.concat(F.substring_index("doc", '"info":', 1), info).alias("doc"))
+    return kept.unionByName(kept.where(p % 5 == 0)).unionByName(behind).select("doc")
+
+
+def landed_page_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``lineitem_page_responses`` as two fetches. ``a``: the first half, ended regularly, with responses of group
+    % 9 = 4 landed twice and three responses that nothing leads to. ``b``: the rest without those of group % 11 = 5
+    (but its first and last)."""
+    r = lineitem_page_responses(spark, sf_dir)
+    top = base.read(spark, sf_dir, "lineitem").agg(F.max((F.col("l_orderkey") / ORDERS_PER_RESPONSE).cast("bigint")).alias("m")).select("m").scalar()
+    mid, g = F.floor(top / 2), F.col("grp")
+    body = r.select("grp", F.regexp_replace("doc", r',"has_more":(true|false)(,"next_cursor":"c\d+")?\}$', "").alias("body"))
+
+    def told(run: str, cursor: Column, following: Column) -> Column:
+        """The response with its fetch, its cursor (or null) and the next one's (or none)."""
+        head = F.concat(F.lit('{"run":"' + run + '","start_cursor":'), F.coalesce(F.concat(F.lit('"'), cursor, F.lit('"')), F.lit("null")), F.lit(","))
+        tail = F.coalesce(F.concat(F.lit(',"has_more":true,"next_cursor":"'), following, F.lit('"}')), F.lit(',"has_more":false}'))
+        return F.concat(head, F.substring("body", F.lit(2), F.length("body")), tail).alias("doc")
+
+    name = lambda k, c: F.concat(F.lit(c), k.cast("string"))
+    a = body.where(g <= mid)
+    first = a.select("grp", told("a", F.when(g > 0, name(g, "c")), F.when(g < mid, name(g + 1, "c"))))
+    stray = a.where(g < 3).select("grp", told("a", name(g, "t"), F.when(g < 2, name(g + 1, "t"))))
+    b = body.where((g > mid) & ((g % 11 != 5) | (g == mid + 1) | (g == top)))
+    second = b.select("grp", told("b", F.when(g > mid + 1, name(g, "c")), F.when(g < top, name(g + 1, "c"))))
+    return first.unionByName(first.where(g % 9 == 4)).unionByName(stray).unionByName(second).select("doc")

@@ -842,3 +842,48 @@ ef AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY tenant, date ORD
 FROM up LEFT JOIN ef ON up.tenant = ef.tenant AND up.date = ef.date
 UNION ALL
 SELECT * FROM ex WHERE NOT EXISTS (SELECT 1 FROM up WHERE up.tenant = ex.tenant AND up.date = ex.date)"""
+
+# --- streams with state, landed page chains -------------------------------------------------
+
+ORACLE["stream_sessions"] = ORACLE["metric_report_daily"]
+ORACLE["stream_unique_events"] = ORACLE["stream_event_windows"]
+
+CRM_CHAIN_CTE = with_ctes("""
+x AS (SELECT o_orderkey // 200 AS page, c_mktsegment AS pipeline, o_totalprice AS amount FROM orders JOIN customer ON o_custkey = c_custkey),
+m AS (SELECT MAX(o_orderkey // 200) AS m FROM orders),
+p AS (SELECT DISTINCT page FROM x),
+k AS (SELECT page FROM p, m WHERE page % 7 <> 3 OR page = m)""")
+
+ORACLE["crm_chain_records"] = CRM_CHAIN_CTE + """
+SELECT pipeline, COUNT(*) AS n_records, CAST(round(SUM(CAST(amount AS DECIMAL(38,9))), 2) AS DOUBLE) AS amount
+FROM x WHERE page IN (SELECT page FROM k) GROUP BY 1"""
+
+ORACLE["crm_chain_report"] = CRM_CHAIN_CTE + """
+SELECT CAST((SELECT COUNT(*) + COUNT_IF(page % 5 = 0) FROM k) + (SELECT COUNT(*) FROM p WHERE page < 3) AS BIGINT) AS landed,
+  (SELECT CAST(COUNT_IF(page % 5 = 0) AS BIGINT) FROM k) AS repeated,
+  (SELECT COUNT(*) FROM p WHERE page < 3) AS after_end,
+  (SELECT m + 1 - (SELECT COUNT(*) FROM k) FROM m) AS missing,
+  (SELECT m + 1 = (SELECT COUNT(*) FROM k) FROM m) AS complete,
+  (SELECT COUNT(*) FROM x WHERE page IN (SELECT page FROM k)) AS records, (SELECT COUNT(*) FROM k) AS pages"""
+
+ORACLE["crm_missing_pages"] = CRM_CHAIN_CTE + """,
+g AS (SELECT page, page - row_number() OVER (ORDER BY page) AS island
+      FROM (SELECT unnest(generate_series(0, (SELECT m FROM m))) AS page) s WHERE page NOT IN (SELECT page FROM k))
+SELECT MIN(page) AS from_page, MAX(page) AS to_page FROM g GROUP BY island"""
+
+ORACLE["cursor_chain_report"] = """
+WITH l AS (SELECT l_orderkey // 25 AS grp, COUNT(*) AS n FROM lineitem GROUP BY 1),
+t AS (SELECT MAX(grp) AS top, MAX(grp) // 2 AS mid FROM l),
+r AS (SELECT 'a' AS run, grp, n FROM l, t WHERE grp <= mid
+      UNION ALL SELECT 'b', grp, n FROM l, t WHERE grp > mid AND (grp % 11 <> 5 OR grp = mid + 1 OR grp = top)),
+f AS (SELECT r.*, top, mid, lead(grp) OVER (PARTITION BY run ORDER BY grp) AS following FROM r, t),
+c AS (SELECT run, COUNT(*) AS n, COUNT_IF(grp % 9 = 4 AND run = 'a') AS twice, COUNT_IF(grp < 3 AND run = 'a') AS stray,
+        COUNT_IF(following > grp + 1) AS breaks, SUM(n) AS results FROM f GROUP BY run)
+SELECT run, CAST(n + twice + stray AS BIGINT) AS landed, CAST(twice AS BIGINT) AS repeated, CAST(stray AS BIGINT) AS after_end,
+  CAST(breaks AS BIGINT) AS missing, breaks = 0 AS complete, CAST(results AS BIGINT) AS results FROM c"""
+
+ORACLE["load_leads_text"] = with_ctes(L_CTE) + """
+SELECT status, CASE WHEN lead_id % 13 = 0 THEN NULL ELSE strftime(closing_date, '%Y-%m') END AS month, COUNT(*) AS n,
+  CAST(COUNT_IF(lead_id % 11 <> 0) AS BIGINT) AS with_amount,
+  CAST(round(SUM(CASE WHEN lead_id % 11 <> 0 THEN CAST(amount AS DECIMAL(38,9)) END), 2) AS DOUBLE) AS amount
+FROM l GROUP BY 1, 2"""

@@ -74,7 +74,7 @@ def _metric_aggs() -> list[Column]:
     ]
 
 
-def _rates(df: DataFrame) -> DataFrame:
+def rates(df: DataFrame) -> DataFrame:
     s = F.col("sessions").cast("double")
     bounce = F.when(s > 0, F.col("bounces").cast("double") * 100 / s).otherwise(F.lit(0.0))
     return df.select("*", bounce.alias("bounce_rate"))
@@ -84,7 +84,7 @@ def daily_metrics(events: DataFrame, user: str = "user_id", ts: str = "ts", kind
                   pageview: str = "view", gap_minutes: int = 30, by: Sequence[str] = ()) -> DataFrame:
     """SRC-11: one metric row per day (sessions counted on their start day)."""
     b = session_buckets(events, user, ts, kind, pageview, gap_minutes, by)
-    return _rates(b.groupBy(*by, "date").agg(*_metric_aggs()))
+    return rates(b.groupBy(*by, "date").agg(*_metric_aggs()))
 
 
 def range_metrics(events: DataFrame, as_of, ranges: Sequence[tuple[str, int, int]], user: str = "user_id",
@@ -119,7 +119,7 @@ def range_metrics(events: DataFrame, as_of, ranges: Sequence[tuple[str, int, int
                                                "label string, pos int"))
     j = labels.join(agg, "label", "left")
     zero = ["visitors", "sessions", "bounces", "pageviews", "events"]
-    return _rates(j.select("label", "pos", *[F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c) for c in zero]))
+    return rates(j.select("label", "pos", *[F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c) for c in zero]))
 
 
 def monthly_active_users(events: DataFrame, user: str = "user_id", ts: str = "ts", window_days: int = 30,
