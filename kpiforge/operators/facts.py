@@ -57,12 +57,15 @@ def merge_sources(frames: Sequence[DataFrame], key: str | Sequence[str] = "date"
     if not frames:
         raise ValueError("no sources")
     keys = [key] if isinstance(key, str) else list(key)
-    union = None
+    union, holds = None, {}
     for rank, f in enumerate(frames):
+        for c in f.columns:
+            holds.setdefault(c, []).append(rank)
         f = f.withColumn("_rank", F.lit(rank))
         union = f if union is None else union.unionByName(f, allowMissingColumns=True)
     cols = [c for c in union.columns if c not in (*keys, "_rank")]
-    last = [F.max(F.when(F.col(c).isNotNull(), F.struct("_rank", c))).getField(c).alias(c) for c in cols]
+    # a maximum per source that has the column, not one over (source, value) pairs: the former is a hash aggregation
+    last = [F.coalesce(*[F.max(F.when(F.col("_rank") == r, F.col(c))) for r in reversed(holds[c])]).alias(c) for c in cols]
     merged = union.groupBy(*keys).agg(*last) if last else union.select(*keys).distinct()
     return fill_defaults(merged, cols, defaults) if fill else merged
 

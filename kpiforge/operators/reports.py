@@ -123,6 +123,5 @@ def kpis_collected(daily: DataFrame, kpis: Sequence[str], date_col: str = "date"
                    by: Sequence[str] = ()) -> DataFrame:
     """AGG-16: number of non-NULL KPI values on the latest row of each group."""
     o = order_key(daily, date_col)
-    last = daily.groupBy(*by).agg(F.max_by(F.struct(*kpis), o).alias("_l"))
-    n = sum((F.col("_l").getField(k).isNotNull().cast("int") for k in kpis), F.lit(0))
-    return last.select(*by, n.alias("kpis_collected"))
+    n = sum((F.col(k).isNotNull().cast("int") for k in kpis), F.lit(0))
+    return daily.groupBy(*by).agg(F.max_by(n, o).alias("kpis_collected"))

@@ -4,30 +4,51 @@ Everything is one ``groupBy(by + month).agg(...)`` with filtered
 ``max_by``/``min_by`` aggregates: they combine map-side (partial
 aggregation), so a month or tenant holding a third of all rows is reduced
 before the shuffle. No global sort is needed for "last row" semantics: the
-order key ``(date, seq)`` is carried inside the aggregate.
+order key ``(date, seq)`` is carried inside the aggregate, packed into one number so
+that these are hash aggregations.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.dates import month_key
 from ..functions.numbers import exact_sum, round_half_up
 from ..schemas import DAILY_SCHEMA, with_missing
 
 
+#: Deal counts by status in the daily facts, in display order.
+DEAL_STATES = ("new", "active", "won", "lost", "waiting")
+
+
 def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
 def order_key(df: DataFrame, date_col: str = "date", seq_col: str = "seq") -> Column:
-    """ORD-1: the row order used for "last" semantics: ``(date, seq)``."""
-    if seq_col in df.columns:
-        return F.struct(F.col(date_col), F.col(seq_col))
-    return F.struct(F.col(date_col))
+    """ORD-1: the row order used for "last" semantics: ``(date, seq)``, NULL first.
+
+    Dates with whole-number ``seq`` are packed into one DECIMAL, which a hash
+    aggregation can hold in place; a struct would make every "last row" a sort
+    on both sides of the shuffle. Other types keep the struct.
+    """
+    types = {f.name: f.dataType for f in df.schema.fields}
+    whole = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+    dated, seq = isinstance(types.get(date_col), T.DateType), types.get(seq_col)
+    if not dated or not isinstance(seq, (*whole, type(None))):
+        return F.struct(F.col(date_col), F.col(seq_col)) if seq is not None else F.struct(F.col(date_col))
+    # both parts start at 1, so 0 is left for NULL; a day is worth more than any seq
+    day = F.coalesce(F.unix_date(F.col(date_col)).cast("decimal(11,0)") + F.lit(Decimal(1 + (1 << 31))), F.lit(0))
+    key = (day.cast("decimal(11,0)") * F.lit(Decimal(1 << 65))).cast("decimal(33,0)")
+    if seq is None:
+        return key
+    part = F.coalesce(F.col(seq_col).cast("decimal(20,0)") + F.lit(Decimal(1 + (1 << 63))), F.lit(0))
+    return (key + part.cast("decimal(21,0)")).cast("decimal(34,0)")
 
 
 def last_known(x, order: Column, known: Column | None = None) -> Column:
@@ -74,20 +95,12 @@ def new_since_previous(end_col: str, by: Sequence[str], order_col: str) -> Colum
             .otherwise(F.greatest(F.lit(0), end - prev))).cast("bigint")
 
 
-def monthly_rollup(daily: DataFrame, by: Sequence[str] = (), date_col: str = "date",
-                   month: str | None = None, known=None, seed: DataFrame | None = None) -> DataFrame:
-    """AGG-6: daily facts -> one row per month (and per ``by`` group).
+def month_partials(daily: DataFrame, by: Sequence[str] = (), date_col: str = "date", known=None) -> DataFrame:
+    """AGG-6 without what depends on other months: one row per (``by``, month).
 
-    Sums (visitors, impressions, views), truncated mean of visitors, last
-    known snapshot values (``> 0``), gwh and provision gated by the last row
-    with customers, license revenue sum, max of MAU and new customers against
-    the last known earlier month. ``month='yyyy-MM'`` restricts the output
-    to one month (the reference's current-month behaviour); new customers
-    still look at every earlier month.
-
-    ``seed`` (columns ``by..., month, notion_customers_end``) supplies known
-    month ends from before the daily rows, e.g. the stored monthly table, so
-    an incremental recompute does not need to re-read older daily history.
+    Sums and counts, the last known value of each snapshot KPI and the largest
+    MAU, all from the month's own rows. Stored, these rows let a late day be
+    applied by rewriting its own month's row (``streaming.refresh``).
     """
     by = list(by)
     d = with_missing(daily, DAILY_SCHEMA).withColumn("month", month_key(F.col(date_col)))
@@ -98,47 +111,67 @@ def monthly_rollup(daily: DataFrame, by: Sequence[str] = (), date_col: str = "da
     def end(c):
         return last_known(c, o, known(c))
 
-    agg = d.groupBy(*by, "month").agg(
-        F.sum("ga_visitors").cast("bigint").alias("ga_visitors_sum"),
-        trunc_mean("ga_visitors").alias("ga_visitors_avg"),
-        end("notion_customers_total").alias("_cust_end"),
-        round_half_up(gated_last("notion_yearly_consumption_gwh", cust, o), 2).alias("_gwh"),
-        round_half_up(gated_last("notion_provision_eur", cust, o), 2).alias("_prov"),
-        exact_sum("manual_license_revenue", 2).alias("_lic"),
-        end("zoho_deals_total").alias("_total_end"),
-        *[end(f"zoho_deals_{s}").alias(f"_{s}_end") for s in ("new", "active", "won", "lost", "waiting")],
-        F.max("auth0_mau").cast("bigint").alias("_mau"),
-        F.sum("li_impressions").cast("bigint").alias("li_impressions_sum"),
-        F.sum("li_views").cast("bigint").alias("li_views_sum"),
+    return d.groupBy(*by, "month").agg(
+        F.sum("ga_visitors").cast("bigint").alias("visitors_sum"),
+        trunc_mean("ga_visitors").alias("visitors_avg"),
+        end("notion_customers_total").cast("bigint").alias("customers_end"),
+        round_half_up(gated_last("notion_yearly_consumption_gwh", cust, o), 2).alias("gwh"),
+        round_half_up(gated_last("notion_provision_eur", cust, o), 2).alias("provision"),
+        exact_sum("manual_license_revenue", 2).alias("licenses"),
+        end("zoho_deals_total").cast("bigint").alias("total_end"),
+        *[end(f"zoho_deals_{s}").cast("bigint").alias(f"{s}_end") for s in DEAL_STATES],
+        F.max("auth0_mau").cast("bigint").alias("mau"),
+        F.sum("li_impressions").cast("bigint").alias("impressions_sum"),
+        F.sum("li_views").cast("bigint").alias("views_sum"),
     )
-    if seed is not None:
-        seeded = seed.where(F.col("notion_customers_end") > 0).select(
-            *by, "month", F.col("notion_customers_end").cast("bigint").alias("_cust_end"),
-            F.lit(True).alias("_seed"))
-        agg = agg.withColumn("_seed", F.lit(False)).unionByName(seeded, allowMissingColumns=True)
-    out = agg.select(
+
+
+def monthly_from_partials(partials: DataFrame, by: Sequence[str] = (), keep: Sequence[str] = ()) -> DataFrame:
+    """AGG-6 from ``month_partials``: new customers against the last known earlier month (WIN-5) and defaults.
+    ``keep``: further columns of the partials that pass through."""
+    by = list(by)
+    return partials.select(
         *by,
         "month",
-        *(["_seed"] if seed is not None else []),
-        "ga_visitors_sum",
-        "ga_visitors_avg",
-        F.coalesce("_cust_end", F.lit(0)).cast("bigint").alias("notion_customers_end"),
-        new_since_previous("_cust_end", by, "month").alias("notion_customers_new"),
-        F.coalesce("_gwh", F.lit(0.0)).alias("notion_yearly_consumption_gwh"),
-        F.coalesce("_prov", F.lit(0.0)).alias("notion_provision_eur"),
-        F.coalesce("_lic", F.lit(0.0)).alias("manual_license_revenue"),
-        F.coalesce("_total_end", F.lit(0)).cast("bigint").alias("zoho_deals_total_end"),
-        *[F.coalesce(f"_{s}_end", F.lit(0)).cast("bigint").alias(f"zoho_deals_{s}_end")
-          for s in ("new", "active", "won", "lost", "waiting")],
-        F.coalesce("_mau", F.lit(0)).cast("bigint").alias("auth0_mau_end"),
-        F.coalesce("li_impressions_sum", F.lit(0)).alias("li_impressions_sum"),
-        F.coalesce("li_views_sum", F.lit(0)).alias("li_views_sum"),
+        *keep,
+        F.col("visitors_sum").alias("ga_visitors_sum"),
+        F.col("visitors_avg").alias("ga_visitors_avg"),
+        F.coalesce("customers_end", F.lit(0)).cast("bigint").alias("notion_customers_end"),
+        new_since_previous("customers_end", by, "month").alias("notion_customers_new"),
+        F.coalesce("gwh", F.lit(0.0)).alias("notion_yearly_consumption_gwh"),
+        F.coalesce("provision", F.lit(0.0)).alias("notion_provision_eur"),
+        F.coalesce("licenses", F.lit(0.0)).alias("manual_license_revenue"),
+        F.coalesce("total_end", F.lit(0)).cast("bigint").alias("zoho_deals_total_end"),
+        *[F.coalesce(f"{s}_end", F.lit(0)).cast("bigint").alias(f"zoho_deals_{s}_end") for s in DEAL_STATES],
+        F.coalesce("mau", F.lit(0)).cast("bigint").alias("auth0_mau_end"),
+        F.coalesce("impressions_sum", F.lit(0)).alias("li_impressions_sum"),
+        F.coalesce("views_sum", F.lit(0)).alias("li_views_sum"),
     )
-    if seed is not None:
-        out = out.where(~F.col("_seed")).drop("_seed")
-    if month is not None:
-        out = out.where(F.col("month") == month)
-    return out
+
+
+def monthly_rollup(daily: DataFrame, by: Sequence[str] = (), date_col: str = "date",
+                   month: str | None = None, known=None, seed: DataFrame | None = None) -> DataFrame:
+    """AGG-6: daily facts -> one row per month (and per ``by`` group).
+
+    Sums (visitors, impressions, views), truncated mean of visitors, last
+    known snapshot values (``> 0``), gwh and provision gated by the last row
+    with customers, license revenue sum, max of MAU and new customers against
+    the last known earlier month. ``month='yyyy-MM'`` restricts the output
+    to one month (the reference's current-month behaviour); new customers
+    still look at every earlier month.
+
+    ``seed`` (columns ``by..., month, notion_customers_end``) supplies known
+    month ends from before the daily rows, e.g. of a stored monthly table.
+    """
+    partials = month_partials(daily, by, date_col, known)
+    if seed is None:
+        out = monthly_from_partials(partials, by)
+    else:
+        ends = seed.where(F.col("notion_customers_end") > 0).select(
+            *by, "month", F.col("notion_customers_end").cast("bigint").alias("customers_end"), F.lit(True).alias("_seed"))
+        both = partials.withColumn("_seed", F.lit(False)).unionByName(ends, allowMissingColumns=True)
+        out = monthly_from_partials(both, by, ["_seed"]).where(~F.col("_seed")).drop("_seed")
+    return out.where(F.col("month") == month) if month is not None else out
 
 
 def monthly_rollup_variant(daily: DataFrame, by: Sequence[str] = (), date_col: str = "date") -> DataFrame:

@@ -10,9 +10,11 @@ daily facts first.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.numbers import pct_change
 
@@ -123,32 +125,48 @@ def trailing_range(daily: DataFrame, days: int, by: Sequence[str] = (), date_col
     return j.where(F.col(date_col) >= F.date_sub("last_update", days)).select(*by, *keep, "last_update", "n_days")
 
 
-def _null_first(order: str | Column) -> Column:
+#: Types whose values an aggregation buffer can replace in place, as a hash aggregation needs.
+FIXED_WIDTH = (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType, T.BooleanType)
+
+
+def _null_first(df: DataFrame, order: str | Column) -> Column:
     """An order that is never NULL: rows with a NULL ``order`` come first. (``min_by`` and ``max_by``
     skip rows whose order is NULL, which would lose a key that has no other row.)"""
     o = F.col(order) if isinstance(order, str) else order
+    if isinstance(order, str) and isinstance(df.schema[order].dataType, T.IntegralType):
+        return F.coalesce(o.cast("decimal(20,0)") + F.lit(Decimal(1 + (1 << 63))), F.lit(0))    # from 1 on
     return F.struct(o.isNotNull(), o)
 
 
+def _one_per_key(df: DataFrame, keys: Sequence[str], order: str | Column, pick) -> DataFrame:
+    """The row per key that ``pick`` (``min_by`` or ``max_by``) chooses.
+
+    With columns of fixed width and a whole-number order every column is picked
+    on its own, all by the same comparisons, in one hash aggregation; otherwise
+    the row is picked as a struct.
+    """
+    keys = list(keys)
+    rest, key = [c for c in df.columns if c not in keys], _null_first(df, order)
+    types = [df.schema[c].dataType for c in rest]
+    whole = isinstance(order, str) and isinstance(df.schema[order].dataType, T.IntegralType)
+    if rest and whole and all(isinstance(t, FIXED_WIDTH) for t in types):
+        return df.groupBy(*keys).agg(*[pick(F.col(c), key).alias(c) for c in rest])
+    picked = df.groupBy(*keys).agg(pick(F.struct(*rest), key).alias("_row"))
+    return picked.select(*keys, *[F.col("_row").getField(c).alias(c) for c in rest])
+
+
 def first_per_key(df: DataFrame, keys: Sequence[str], order: str | Column) -> DataFrame:
     """WIN-7 / SET-3: the first row per key by ``order`` (NULL first).
 
-    Written as ``min_by(struct(*), order)`` so it partially aggregates: a key
-    with a third of all rows is reduced map-side instead of landing in one
-    window partition.
+    An aggregation, so a key with a third of all rows is reduced map-side
+    instead of landing in one window partition.
     """
-    keys = list(keys)
-    rest = [c for c in df.columns if c not in keys]
-    picked = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), _null_first(order)).alias("_first"))
-    return picked.select(*keys, *[F.col("_first").getField(c).alias(c) for c in rest])
+    return _one_per_key(df, keys, order, F.min_by)
 
 
 def last_per_key(df: DataFrame, keys: Sequence[str], order: str | Column) -> DataFrame:
     """Counterpart of ``first_per_key``: the last row per key (NULL first, so a NULL order loses to any other)."""
-    keys = list(keys)
-    rest = [c for c in df.columns if c not in keys]
-    picked = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), _null_first(order)).alias("_last"))
-    return picked.select(*keys, *[F.col("_last").getField(c).alias(c) for c in rest])
+    return _one_per_key(df, keys, order, F.max_by)
 
 
 def pct_of_first(value: str, order: str, by: Sequence[str] = ()) -> Column:

@@ -647,3 +647,26 @@ def q_load_leads_text(spark, sf_dir):
     got = tables.load_leads(spark, _landed_text(spark, bad, "leads_text"))
     return got.groupBy("status", fx.month_key("closing_date").alias("month")).agg(
         F.count(F.lit(1)).alias("n"), F.count("amount").alias("with_amount"), exact_sum("amount", 2).alias("amount"))
+
+
+def _with_late_days(spark, sf_dir, name, tenants):
+    """The refresh in two batches: all days but every seventeenth, then those, far behind the rest; the monthly table."""
+    root = scratch_path(spark, name)
+    daily = base.daily_from_orders(spark, sf_dir, tenants=tenants)
+    by = ["tenant"] if tenants else []
+    late = F.dayofmonth("date") == 17
+    for part in (daily.where(~late), daily.where(late)):
+        refresh.refresh_batch(part, f"{root}/facts", f"{root}/monthly", daily.schema, by)
+    return refresh.read_monthly(spark, f"{root}/monthly", daily.schema, by)
+
+
+@register("late_days_rollup")
+def q_late_days_rollup(spark, sf_dir):
+    """AGG-6, STR-3: late days applied through stored partial aggregates."""
+    return _with_late_days(spark, sf_dir, "late_days", False)
+
+
+@register("tenant_late_days_rollup")
+def q_tenant_late_days_rollup(spark, sf_dir):
+    """AGG-6, STR-3 with grouping keys: late days of every customer."""
+    return _with_late_days(spark, sf_dir, "tenant_late_days", True)

@@ -887,3 +887,6 @@ SELECT status, CASE WHEN lead_id % 13 = 0 THEN NULL ELSE strftime(closing_date,
   CAST(COUNT_IF(lead_id % 11 <> 0) AS BIGINT) AS with_amount,
   CAST(round(SUM(CASE WHEN lead_id % 11 <> 0 THEN CAST(amount AS DECIMAL(38,9)) END), 2) AS DOUBLE) AS amount
 FROM l GROUP BY 1, 2"""
+
+ORACLE["late_days_rollup"] = ORACLE["monthly_rollup"]
+ORACLE["tenant_late_days_rollup"] = ORACLE["tenant_monthly_rollup"]

@@ -2,9 +2,11 @@
 
 The reference re-runs a fetch-and-write job on a timer. Here landed daily
 fact files are a file-source stream; each micro-batch is upserted into the
-month-partitioned daily table (keyed on date, idempotent on replay) and the
-monthly table is recomputed only from the earliest touched month onward
-(later months depend on earlier ones through new-customer counts).
+month-partitioned daily table (keyed on date, idempotent on replay). The
+touched months' stored partial aggregates are rewritten from their own daily
+rows, and the monthly table is derived from the partials from the earliest
+touched month onward (later months depend on earlier ones through new-customer
+counts).
 
 ``trigger='availableNow'`` processes everything landed so far in bounded
 batches and stops (the daily cron form); ``trigger='1 day'`` or any
@@ -19,30 +21,53 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.facts import _exists, read_months, upsert_table, write_partitioned
-from ..operators.rollup import monthly_rollup
+from ..operators.facts import _exists, schema_with_month, upsert_table, write_partitioned
+from ..operators.rollup import DEAL_STATES, month_partials, monthly_from_partials
 from ..schemas import DAILY_SCHEMA, MONTHLY_SCHEMA
 
 
+def partials_path(monthly_path: str) -> str:
+    """Where the partial aggregates of the monthly table at ``monthly_path`` are kept."""
+    return f"{monthly_path.rstrip('/')}_partials"
+
+
+def partials_schema(schema: T.StructType = DAILY_SCHEMA, by: Sequence[str] = ()) -> T.StructType:
+    double = {"visitors_avg": T.LongType(), "gwh": T.DoubleType(), "provision": T.DoubleType(), "licenses": T.DoubleType()}
+    names = ["visitors_sum", "visitors_avg", "customers_end", "gwh", "provision", "licenses", "total_end",
+             *[f"{s}_end" for s in DEAL_STATES], "mau", "impressions_sum", "views_sum"]
+    return T.StructType([schema[b] for b in by] + [T.StructField(n, double.get(n, T.LongType())) for n in names]
+                        + [T.StructField("month", T.StringType())])
+
+
+def partials_of_months(spark: SparkSession, facts_path: str, months: Sequence[str], schema: T.StructType = DAILY_SCHEMA,
+                       by: Sequence[str] = ()) -> DataFrame:
+    """Partial aggregates of some months from these months' fact partitions alone (literal list, so the scan prunes)."""
+    facts = spark.read.schema(schema_with_month(schema)).parquet(facts_path).where(F.col("month").isin(*months))
+    return month_partials(facts.drop("month"), by)
+
+
 def recompute_months(spark: SparkSession, facts_path: str, monthly_path: str, touched: DataFrame,
                      schema: T.StructType = DAILY_SCHEMA, by: Sequence[str] = ()) -> None:
-    """STR-3: rewrite monthly rows from the earliest touched month onward.
-
-    Only fact partitions from that month on are read (partition pruning);
-    new-customer counts of the first recomputed month are seeded with the
-    known month ends already stored for earlier months, so the work does not
-    grow with the length of the history.
+    """STR-3: apply changed daily rows to the monthly table.
+
+    The touched months' partial aggregates are rewritten from these months'
+    daily rows; no other daily row is read, however far back a late day lies.
+    Later months depend on earlier ones through new-customer counts only, and
+    those are recomputed from the stored partials (one row per month and
+    group). A monthly table without stored partials gets them once from all
+    facts.
     """
-    first = touched.agg(F.min("month").alias("m")).first()["m"]   # one scalar, drives partition pruning
-    if first is None:
+    months = sorted(r["month"] for r in touched.distinct().collect())      # one per calendar month at most
+    if not months:
         return
-    by = list(by)
-    facts = read_months(spark, facts_path, first, schema=schema).drop("month")
-    seed = None
-    if _exists(spark, monthly_path):
-        seed = (spark.read.schema(monthly_schema(schema, by)).parquet(monthly_path)
-                .where(F.col("month") < F.lit(first)).select(*by, "month", "notion_customers_end"))
-    monthly = monthly_rollup(facts, by=by, seed=seed)
+    by, stored = list(by), partials_path(monthly_path)
+    if _exists(spark, monthly_path) and not _exists(spark, stored):
+        every = spark.read.schema(schema_with_month(schema)).parquet(facts_path).drop("month")
+        write_partitioned(month_partials(every, by), stored, "month")
+    else:
+        write_partitioned(partials_of_months(spark, facts_path, months, schema, by), stored, "month")
+    partials = spark.read.schema(partials_schema(schema, by)).parquet(stored)
+    monthly = monthly_from_partials(partials, by).where(F.col("month") >= F.lit(months[0]))
     write_partitioned(monthly, monthly_path, "month")
 
 
