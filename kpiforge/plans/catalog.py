@@ -8,14 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import functions as fx
 from ..functions.nested import PAGE_RESPONSE_SCHEMA, PROPERTY_TYPE
 from ..functions.numbers import exact_sum
-from ..operators import facts, reports, rollup, targets, windows
+from ..operators import bucketed, facts, reports, rollup, targets, windows
 from ..operators import leads as leads_ops
 from ..operators import nested as nested_ops
 from ..schemas import DAILY_KPIS, DAILY_SCHEMA, LEADS_SCHEMA, WON_STAGES
@@ -23,6 +23,7 @@ from ..session import ensure_runtime_conf, scratch_path
 from ..sources import events as ev
 from ..sources import chains, landed, tables
 from ..streaming import events as sev
+from ..streaming import leads as sl
 from ..streaming import refresh
 from ..streaming import sessions as ss
 from . import base, documents
@@ -670,3 +671,36 @@ def q_late_days_rollup(spark, sf_dir):
 def q_tenant_late_days_rollup(spark, sf_dir):
     """AGG-6, STR-3 with grouping keys: late days of every customer."""
     return _with_late_days(spark, sf_dir, "tenant_late_days", True)
+
+
+@register("stream_lead_status")
+def q_stream_lead_status(spark, sf_dir):
+    """AGG-8, AGG-9, FLT-8, STR-1: status counts of a stream of lead changes. Two thirds of the leads are seen open first
+    and move to their stage with a later file, every tenth is taken out and comes back, and older changes come late."""
+    root = scratch_path(spark, "stream_leads")
+    leads = base.leads_from_orders(spark, sf_dir)
+    k = F.col("lead_id")
+
+    def change(rows, stage, seq):
+        return rows.select("lead_id", F.lit(stage).cast("string").alias("stage") if not isinstance(stage, Column) else stage.alias("stage"),
+                           "created_date", F.lit(seq).cast("bigint").alias("seq"))
+
+    landings = [change(leads.where(k % 3 != 0), base.OPEN_STAGE_P, 1),
+                change(leads.where(k % 10 == 0), None, 3).unionByName(change(leads.where(k % 10 != 0), F.col("stage"), 2)),
+                change(leads.where(k % 10 == 0), F.col("stage"), 4).unionByName(change(leads.where(k % 7 == 0), base.OPEN_STAGE_O, 0))]
+    for part in landings:
+        part.write.mode("append").parquet(f"{root}/in")
+        sl.start_lead_status(spark, f"{root}/in", f"{root}/state", f"{root}/counts", f"{root}/ck").awaitTermination()
+    return sl.read_status_counts(spark, f"{root}/counts", base.LEADS_AS_OF)
+
+
+@register("bucketed_upsert")
+def q_bucketed_upsert(spark, sf_dir):
+    """SNK-1, JON-5: the upsert of ``tenant_upsert`` on a stored table bucketed by tenant."""
+    existing, updates = base.tenant_upsert_inputs(base.daily_from_orders(spark, sf_dir, tenants=True))
+    path = scratch_path(spark, "bucketed")
+    name = bucketed.fact_table(spark, f"facts_{path.rsplit('-', 1)[1]}", path, existing.schema, ["tenant"], 16)
+    first = windows.last_per_key(existing, ["tenant", "date"], "seq")
+    bucketed.upsert_bucketed(spark, name, first, ["tenant", "date"])
+    bucketed.upsert_bucketed(spark, name, updates, ["tenant", "date"])
+    return spark.table(name).drop("month", "bucket")

@@ -890,3 +890,17 @@ FROM l GROUP BY 1, 2"""
 
 ORACLE["late_days_rollup"] = ORACLE["monthly_rollup"]
 ORACLE["tenant_late_days_rollup"] = ORACLE["tenant_monthly_rollup"]
+
+ORACLE["stream_lead_status"] = ORACLE["lead_status_counts"]
+
+_EX_LAST = "(tenant % 7 = 0)"      # the stored copy of these tenants is the later one
+ORACLE["bucketed_upsert"] = with_ctes(TD_CTE, f"""
+ex AS (SELECT tenant, {_daily_select({'ga_visitors': f'ga_visitors + CASE WHEN {_EX_LAST} THEN 1 ELSE 0 END',
+                                      'seq': f'seq + CASE WHEN {_EX_LAST} THEN 1000000 ELSE 0 END'})}
+       FROM td WHERE (tenant + day(date)) % 4 <> 0),
+up AS (SELECT tenant, {_daily_select({'ga_visitors': 'ga_visitors * 2', 'li_views': _T_NULLED, 'seq': 'seq + 2000000'})}
+       FROM td WHERE (tenant + day(date)) % 2 = 0)""") + "SELECT up.tenant, up.date, " + ", ".join(
+    f"COALESCE(up.{k}, ex.{k}, {_KPI_DEFAULT[k]}) AS {k}" for k in DAILY_KPIS) + """, up.seq
+FROM up LEFT JOIN ex ON up.tenant = ex.tenant AND up.date = ex.date
+UNION ALL
+SELECT * FROM ex WHERE NOT EXISTS (SELECT 1 FROM up WHERE up.tenant = ex.tenant AND up.date = ex.date)"""
