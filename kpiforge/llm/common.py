@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import time
 import uuid
 from collections.abc import Iterator
+from functools import wraps
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -110,6 +113,25 @@ def discard(*stored: DataFrame) -> None:
                 path.getFileSystem(conf).delete(path, True)
 
 
+def trimmed(run):
+    """Wrap a function over a task's batches: at its end, freed memory goes back to the system.
+
+    Python workers live on from task to task and from operator to operator, and
+    would otherwise keep the most that any of them ever needed.
+    """
+    @wraps(run)
+    def out(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):      # another C library
+                pass
+    return out
+
+
 def blocks(texts: list, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive texts of about ``limit`` bytes or characters (one text at least)."""
     start = size = 0

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from kpiforge.llm.common import UPPER, blocks, discard, fresh, mix64, release, store, table
+from kpiforge.llm.common import UPPER, blocks, discard, fresh, mix64, release, store, table, trimmed
 from kpiforge.llm.components import components
 
 SHINGLE = 5
@@ -125,7 +125,7 @@ def survey(docs: DataFrame) -> DataFrame:
         parts = np.split(np.minimum(sketch, 255).astype(np.uint8), SKETCH_PARTS)
         yield pd.DataFrame({"id": None, "n": 0, "cls": None, "part": range(SKETCH_PARTS), "counts": [p.tobytes() for p in parts]})
 
-    return docs.mapInPandas(run, "id long, n long, cls long, part int, counts binary")
+    return docs.mapInPandas(trimmed(run), "id long, n long, cls long, part int, counts binary")
 
 
 def merged_sketch(surveyed: DataFrame) -> np.ndarray:
@@ -140,7 +140,7 @@ def merged_sketch(surveyed: DataFrame) -> np.ndarray:
         yield pd.DataFrame({"part": list(total), "counts": [c.tobytes() for c in total.values()]})
 
     parts = surveyed.filter("part IS NOT NULL").select("part", "counts")
-    rows = parts.repartition("part").mapInPandas(add, "part int, counts binary").collect()
+    rows = parts.repartition("part").mapInPandas(trimmed(add), "part int, counts binary").collect()
     out = np.zeros((SKETCH_PARTS, (1 << SKETCH_BITS) // SKETCH_PARTS), np.uint32)
     for r in rows:
         out[r["part"]] = np.frombuffer(r["counts"], np.uint32)
@@ -176,7 +176,7 @@ def prefix_rows(docs: DataFrame, sketch: np.ndarray, percent: int) -> DataFrame:
                     yield pd.DataFrame({"h": np.concatenate(hs).view(np.int64), "cls": np.concatenate(cs),
                                         "n": np.concatenate(ns), "pos": np.concatenate(ps)})
 
-    return docs.mapInPandas(run, "h long, cls long, n int, pos int")
+    return docs.mapInPandas(trimmed(run), "h long, cls long, n int, pos int")
 
 
 def shared_rows(prefixes: DataFrame) -> DataFrame:
@@ -204,7 +204,7 @@ def shared_rows(prefixes: DataFrame) -> DataFrame:
         return
 
     rows = prefixes.repartition("h").sortWithinPartitions("h", "cls")
-    return rows.mapInPandas(run, "h long, cls long, n int, pos int")
+    return rows.mapInPandas(trimmed(run), "h long, cls long, n int, pos int")
 
 
 def may_link(percent: int):
@@ -265,7 +265,7 @@ def id_filter(ids: DataFrame) -> np.ndarray:
 
     kind = "part int, bits binary"
     out = np.zeros((SKETCH_PARTS, size // SKETCH_PARTS), np.uint8)
-    for r in ids.mapInPandas(mark, kind).repartition("part").mapInPandas(union, kind).collect():
+    for r in ids.mapInPandas(trimmed(mark), kind).repartition("part").mapInPandas(trimmed(union), kind).collect():
         out[r["part"]] = np.frombuffer(r["bits"], np.uint8)
     return out.ravel()
 
@@ -290,7 +290,7 @@ def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
                 sets = shingle_sets(texts[i:j])
                 yield pd.DataFrame({"cls": [set_class(s) if len(s) else 0 for s in sets], "items": [pack_set(s) for s in sets]})
 
-    return docs.mapInPandas(run, "cls long, items binary")
+    return docs.mapInPandas(trimmed(run), "cls long, items binary")
 
 
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:

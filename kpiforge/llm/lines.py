@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from kpiforge.llm.common import fresh, table
+from kpiforge.llm.common import fresh, table, trimmed
 
 WINDOW = 3
 BLANKS = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
@@ -80,6 +80,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", out:
     spots = later.groupBy(F.col("id").alias(key), F.col("version").alias(version)).agg(F.collect_set("pos").alias(spots_col))
 
     @pandas_udf("text string, n_removed long, n_spans long")
+    @trimmed
     def apply(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for texts, places in batches:
             yield pd.DataFrame([(t, 0, 0) if p is None or t is None else without_lines(t, np.asarray(p), size)

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from kpiforge.llm.common import blocks, fresh, mix64, segment_sums, table
+from kpiforge.llm.common import blocks, fresh, mix64, segment_sums, table, trimmed
 
 #: Largest share of word characters inside n-grams that occur twice or more, by n.
 MAX_NGRAM_COVERAGE = {5: 0.30, 6: 0.28, 7: 0.26, 8: 0.24, 9: 0.22, 10: 0.20}
@@ -119,6 +119,7 @@ def repetition_measures(text: Column, lengths: list[int] | None = None) -> Colum
     lengths = sorted(lengths or MAX_NGRAM_COVERAGE)
 
     @pandas_udf(RESULT)
+    @trimmed
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in batches:
             texts = s.fillna("").tolist()
