@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kpiforge.llm.common import discard, store, table
+from kpiforge.llm.common import UPPER, discard, store, table, trimmed
 
 MIN_COUNT, LONGEST, BEST = 30, 4, 2000
 #: A candidate inside a longer one with at least this share of its count (per cent) is dropped.
@@ -81,7 +81,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
                     found = {}
         yield rows(found)
 
-    partial = docs.mapInPandas(run, "lang string, word string, f long")
+    partial = docs.mapInPandas(trimmed(run), "lang string, word string, f long")
     return partial.groupBy("lang", "word").agg(F.sum("f").alias("f"))
 
 
@@ -158,7 +158,7 @@ def with_numbers(docs: DataFrame, words: DataFrame, count: int) -> DataFrame:
         if size:
             yield pd.DataFrame({"ids": [np.concatenate(held).tobytes()]})
 
-    return store(docs.mapInPandas(run, "ids binary"), "numbers")
+    return store(docs.mapInPandas(trimmed(run), "ids binary"), "numbers")
 
 
 class Trie:
@@ -368,3 +368,26 @@ def collocations(docs: DataFrame, lang: str = "lang", text: str = "text", least:
 
 def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"))
+
+
+#: The result of ``op13_phrase_collocations`` in DuckDB SQL (all word runs are listed, so for small tables).
+ORACLE_SQL = rf"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}') AS t FROM documents),
+p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS a FROM p),
+g AS (SELECT lang, k, unnest(list_transform(generate_series(1, len(a) - k + 1), lambda i: a[i:i + k - 1])) AS g
+      FROM w, (VALUES (1), (2), (3), (4)) v(k) WHERE len(a) >= k),
+f AS (SELECT lang, k, g, count(*) AS f FROM g GROUP BY lang, k, g),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT * FROM f WHERE k > 1 AND f >= 30),
+cut AS (SELECT lang, g, f AS a, j, g[1:j] AS head, g[j + 1:k] AS tail FROM c, (VALUES (1), (2), (3)) v(j) WHERE j < k),
+s AS (SELECT cut.lang, cut.g, a, j, h.f AS l, t.f AS r, CAST((CAST(2000000 AS HUGEINT) * a) // (h.f + t.f) AS BIGINT) AS score
+      FROM cut JOIN f h ON h.lang = cut.lang AND h.g = head JOIN f t ON t.lang = cut.lang AND t.g = tail),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, g ORDER BY score, j) AS nth FROM s) WHERE nth = 1),
+i AS (SELECT lang, f, g[x:x + m - 1] AS g FROM c, (VALUES (2), (3)) v(m), (VALUES (1), (2), (3)) u(x) WHERE m < k AND x + m - 1 <= k),
+o AS (SELECT lang, g, max(f) AS longer FROM i GROUP BY lang, g),
+x AS (SELECT b.*, array_to_string(b.g, ' ') AS phrase FROM b LEFT JOIN o ON o.lang = b.lang AND o.g = b.g
+      WHERE longer IS NULL OR 100 * longer < 80 * a),
+z AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM x)
+SELECT z.lang, rank, phrase, a, l, r, n, score FROM z JOIN n ON n.lang = z.lang WHERE rank <= 2000
+"""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from kpiforge.llm.chat import op2_chat_formatting
+from kpiforge.llm.collocations import ORACLE_SQL as COLLOCATIONS_SQL
 from kpiforge.llm.collocations import op13_phrase_collocations
 from kpiforge.llm.decontaminate import op9_benchmark_decontamination
 from kpiforge.llm.jaccard import ORACLE_SQL as JACCARD_SQL
@@ -41,4 +42,5 @@ ORACLE: dict[str, str] = {
     "op8_license_scans": LICENSES_SQL,
     "op10_line_dedup": LINES_SQL,
     "op11_merkle_manifest": MERKLE_SQL,
+    "op13_phrase_collocations": COLLOCATIONS_SQL,
 }

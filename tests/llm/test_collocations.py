@@ -2,6 +2,7 @@
 import collections
 import re
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -45,6 +46,12 @@ def test_query_matches_brute_force(spark, sf_small):
     assert got == brute(documents(spark, sf_small).collect(), 30, 2000) and got
 
 
+def test_sql_matches_brute_force(spark, sf_small):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf_small}/documents.parquet')")
+    assert sorted(con.execute(co.ORACLE_SQL).fetchall()) == brute(documents(spark, sf_small).collect(), 30, 2000)
+
+
 @pytest.mark.parametrize("words,phrases,block", [(1 << 20, 1 << 20, 1 << 20), (40, 1 << 20, 100), (1 << 20, 60, 5000)])
 def test_shares_and_small_blocks(spark, sf_small, monkeypatch, words, phrases, block):
     monkeypatch.setattr(co, "MAX_WORDS", words)
