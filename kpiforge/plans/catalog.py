@@ -699,7 +699,7 @@ def q_bucketed_upsert(spark, sf_dir):
     """SNK-1, JON-5: the upsert of ``tenant_upsert`` on a stored table bucketed by tenant."""
     existing, updates = base.tenant_upsert_inputs(base.daily_from_orders(spark, sf_dir, tenants=True))
     path = scratch_path(spark, "bucketed")
-    name = bucketed.fact_table(spark, f"facts_{path.rsplit('-', 1)[1]}", path, existing.schema, ["tenant"], 16)
+    name = bucketed.fact_table(spark, f"facts_{path.rsplit('-', 1)[1]}", path, existing.schema, ["tenant"], 8)
     first = windows.last_per_key(existing, ["tenant", "date"], "seq")
     bucketed.upsert_bucketed(spark, name, first, ["tenant", "date"])
     bucketed.upsert_bucketed(spark, name, updates, ["tenant", "date"])

@@ -78,7 +78,6 @@ def checkpoint_root(spark: SparkSession) -> str:
         raise RuntimeError("spark.checkpoint.dir is not set; a shared folder is required on a cluster")
     root = tempfile.mkdtemp(prefix="kpiforge-ckpt-")
     atexit.register(shutil.rmtree, root, ignore_errors=True)
-    spark.conf.set("spark.checkpoint.dir", root)
     sc.setCheckpointDir(root)
     return root
 

@@ -23,7 +23,6 @@ def spark():
     s.sparkContext.setLogLevel("ERROR")
     if not (s.conf.get("spark.checkpoint.dir", None) or s.sparkContext.getCheckpointDir()):
         d = tempfile.mkdtemp(prefix="kpiforge-test-ckpt-")
-        s.conf.set("spark.checkpoint.dir", d)
         s.sparkContext.setCheckpointDir(d)
     yield s
 
