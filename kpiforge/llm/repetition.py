@@ -22,10 +22,11 @@ from pyspark.sql.functions import pandas_udf
 
 from kpiforge.llm.common import blocks, fresh, mix64, segment_sums, table, trimmed
 
-#: Largest share of word characters inside n-grams that occur twice or more, by n.
-MAX_NGRAM_COVERAGE = {5: 0.30, 6: 0.28, 7: 0.26, 8: 0.24, 9: 0.22, 10: 0.20}
+#: Largest share of word characters inside n-grams that occur twice or more, by n: from the
+#: base rule's share at five words down to half of it at ten, as long repeats are seldom chance.
+MAX_NGRAM_COVERAGE = {5: 0.20, 6: 0.18, 7: 0.16, 8: 0.14, 9: 0.12, 10: 0.10}
 #: Largest share of a text's characters inside lines that repeat an earlier line.
-MAX_LINE_COVERAGE = 0.30
+MAX_LINE_COVERAGE = 0.20
 MIN_WORDS = 10
 #: Base rule: words in repeated windows of BASE_N words, in per cent of all words.
 BASE_N, MAX_REPEAT_PERCENT = 5, 20

@@ -58,6 +58,51 @@ def test_coverage_of_each_length():
     assert np.allclose(m["ngram_coverage"][0], [share, share, 0]) and not m["ngram_coverage"][1].any()
 
 
+def brute_coverages(text):
+    """Shares of word characters inside repeated n-grams for n = 5..10, and of characters inside repeated lines."""
+    w = words(text)
+    shares = []
+    for n in range(5, 11):
+        places = collections.defaultdict(list)
+        for i in range(len(w) - n + 1):
+            places[tuple(w[i:i + n])].append(i)
+        inside = {j for at in places.values() if len(at) > 1 for i in at for j in range(i, i + n)}
+        shares.append(sum(len(w[j]) for j in inside) / max(1, sum(map(len, w))))
+    seen, chars = set(), 0
+    for line in (text or "").split("\n"):
+        if words(line):
+            chars += len(line) if line in seen else 0
+            seen.add(line)
+    return shares, chars / max(1, len(text or ""))
+
+
+def test_quality_verdict_matches_brute_force(spark, sf_small):
+    """The documents, and texts with a passage of 3 to 12 words or a line twice among 60 others."""
+    made = [(10_000 + k, f"{prose(3 * k, 30)}{sep}{passage}{sep}{prose(3 * k + 1, 30)}{sep}{passage}")
+            for k in range(40) for passage in [prose(3 * k + 2, k % 10 + 3)] for sep in [" ", "\n"][k % 2]]
+    df = documents(spark, sf_small).select("doc_id", "text").unionByName(
+        spark.createDataFrame(made, "doc_id long, text string"))
+    only_method = []
+    for r in repetition.quality_rules(df, out="q").collect():
+        shares, lines = brute_coverages(r.text)
+        assert np.allclose(r.q.ngram_coverage, shares) and np.isclose(r.q.line_coverage, lines)
+        over = lines > 0.20 or any(s > 0.20 - 0.02 * k + 1e-12 for k, s in enumerate(shares))
+        assert r.q.kept == (not brute_quality(r.text)[-1] and not over)
+        if over and not r.q.base_failed:
+            only_method.append(r.doc_id)
+    assert {i for i in only_method if i >= 10_000}
+
+
+def test_short_repeated_lines_are_rejected_by_line_coverage_alone(spark):
+    """Four words between other words: no five-word window repeats, but the line does."""
+    text = "\n".join(f"{prose(k, 8)}\nleave a comment below" for k in range(30))
+    few = "\n".join(f"{prose(k, 8)}\n{'leave a comment below' if k < 5 else k}" for k in range(30))
+    df = spark.createDataFrame([(1, text), (2, few)], "doc_id long, text string")
+    q = {r.doc_id: r.q for r in repetition.quality_rules(df, out="q").collect()}
+    assert not any(q[1].ngram_coverage) and not q[1].base_failed and q[1].line_coverage > 0.20 and not q[1].kept
+    assert q[2].n_dup_lines == 4 and q[2].kept
+
+
 def test_license_scan_matches_sql(spark, sf_small):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf_small}/documents.parquet')")
