@@ -95,8 +95,9 @@ def test_quality_verdict_matches_brute_force(spark, sf_small):
 
 def test_short_repeated_lines_are_rejected_by_line_coverage_alone(spark):
     """Four words between other words: no five-word window repeats, but the line does."""
-    text = "\n".join(f"{prose(k, 8)}\nleave a comment below" for k in range(30))
-    few = "\n".join(f"{prose(k, 8)}\n{'leave a comment below' if k < 5 else k}" for k in range(30))
+    own = [" ".join(f"word{k}x{i}" for i in range(6)) for k in range(30)]
+    text = "\n".join(f"{line}\nleave a comment below" for line in own)
+    few = "\n".join(f"{line}\n{'leave a comment below' if k < 5 else k}" for k, line in enumerate(own))
     df = spark.createDataFrame([(1, text), (2, few)], "doc_id long, text string")
     q = {r.doc_id: r.q for r in repetition.quality_rules(df, out="q").collect()}
     assert not any(q[1].ngram_coverage) and not q[1].base_failed and q[1].line_coverage > 0.20 and not q[1].kept
