@@ -21,7 +21,7 @@ from ..operators import nested as nested_ops
 from ..schemas import DAILY_KPIS, DAILY_SCHEMA, LEADS_SCHEMA, WON_STAGES
 from ..session import ensure_runtime_conf, scratch_path
 from ..sources import events as ev
-from ..sources import chains, landed, tables
+from ..sources import chains, footers, landed, tables
 from ..streaming import events as sev
 from ..streaming import leads as sl
 from ..streaming import refresh
@@ -704,3 +704,49 @@ def q_bucketed_upsert(spark, sf_dir):
     bucketed.upsert_bucketed(spark, name, first, ["tenant", "date"])
     bucketed.upsert_bucketed(spark, name, updates, ["tenant", "date"])
     return spark.table(name).drop("month", "bucket")
+
+
+# --- footers of stored tables ------------------------------------------------------------
+
+@register("source_health")
+def q_source_health(spark, sf_dir):
+    """AGG-16, AGG-9: rows, values and key bounds of given tables, from their footers alone."""
+    keys = {"orders": "o_orderkey", "customer": "c_custkey", "lineitem": "l_orderkey", "events": "event_id"}
+    parts = [footers.table_stats(spark, f"{sf_dir.rstrip('/')}/{t}.parquet", [k], [v]).toDF("n_rows", "key_min", "key_max", "n_values")
+             .select(F.lit(t).alias("table_name"), "*")
+             for (t, k), v in zip(keys.items(), ["o_totalprice", "c_mktsegment", "l_shipdate", "user_id"])]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+def _stored_daily(spark, sf_dir, name, tenants=False):
+    path = scratch_path(spark, name)
+    daily = base.daily_from_orders(spark, sf_dir, tenants=tenants)
+    facts.write_partitioned(daily.withColumn("month", fx.month_key(F.col("date"))), path)
+    return path
+
+
+@register("stored_health")
+def q_stored_health(spark, sf_dir):
+    """AGG-16, AGG-13: stored tables with their rows, first and last day from footers; one table is missing."""
+    leads = scratch_path(spark, "health_leads")
+    facts.write_snapshot(base.leads_from_orders(spark, sf_dir), leads)
+    stored = {"kpi_daily": (_stored_daily(spark, sf_dir, "health_daily"), "date"), "zoho_leads": (leads, None),
+              "kpi_events": (f"{leads}-none", "date")}
+    return footers.stored_health(spark, stored, ["kpi_daily", "zoho_leads", "kpi_events"])
+
+
+@register("tenant_month_stats")
+def q_tenant_month_stats(spark, sf_dir):
+    """AGG-16 per month: rows, first and last day and values of the facts of every customer, from footers."""
+    path = _stored_daily(spark, sf_dir, "tenant_stats", tenants=True)
+    return footers.table_stats(spark, path, ["date"], ["ga_visitors", "notion_provision_eur"], by=["month"]).withColumn(
+        "month", F.col("month").cast("string"))
+
+
+@register("months_with_gaps")
+def q_months_with_gaps(spark, sf_dir):
+    """SRC-5: months that lack days, where every eleventh day of the daily facts was removed in odd months."""
+    path = scratch_path(spark, "gap_months")
+    daily = base.daily_from_orders(spark, sf_dir).where((F.dayofmonth("date") % 11 != 0) | (F.month("date") % 2 == 0))
+    facts.write_partitioned(daily.withColumn("month", fx.month_key(F.col("date"))), path)
+    return footers.months_with_gaps(spark, path)

@@ -904,3 +904,27 @@ up AS (SELECT tenant, {_daily_select({'ga_visitors': 'ga_visitors * 2', 'li_view
 FROM up LEFT JOIN ex ON up.tenant = ex.tenant AND up.date = ex.date
 UNION ALL
 SELECT * FROM ex WHERE NOT EXISTS (SELECT 1 FROM up WHERE up.tenant = ex.tenant AND up.date = ex.date)"""
+
+# --- footers of stored tables ------------------------------------------------------------
+
+ORACLE["source_health"] = " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, COUNT(*) AS n_rows, MIN({k}) AS key_min, MAX({k}) AS key_max, COUNT({v}) AS n_values FROM {t}"
+    for t, k, v in [("orders", "o_orderkey", "o_totalprice"), ("customer", "c_custkey", "c_mktsegment"),
+                    ("lineitem", "l_orderkey", "l_shipdate"), ("events", "event_id", "user_id")])
+
+ORACLE["stored_health"] = with_ctes(D_CTE, L_CTE) + """
+SELECT 'kpi_daily' AS table_name, 1 AS pos, TRUE AS present, COUNT(*) AS n_rows, MIN(date) AS first_date, MAX(date) AS last_date FROM d
+UNION ALL SELECT 'zoho_leads', 2, TRUE, COUNT(*), NULL, NULL FROM l
+UNION ALL SELECT 'kpi_events', 3, FALSE, 0, NULL, NULL"""
+
+ORACLE["tenant_month_stats"] = with_ctes(TD_CTE) + """
+SELECT strftime(date, '%Y-%m') AS month, COUNT(*) AS n_rows, MIN(date) AS date_min, MAX(date) AS date_max,
+  COUNT(ga_visitors) AS ga_visitors_n, COUNT(notion_provision_eur) AS notion_provision_eur_n
+FROM td GROUP BY 1"""
+
+ORACLE["months_with_gaps"] = """
+WITH d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS date FROM orders WHERE day(o_orderdate) % 11 <> 0 OR month(o_orderdate) % 2 = 0),
+c AS (SELECT CAST(unnest(generate_series(date_trunc('month', MIN(date)), MAX(date), INTERVAL 1 MONTH)) AS DATE) AS first FROM d),
+n AS (SELECT first, (SELECT COUNT(*) FROM d WHERE date_trunc('month', d.date) = c.first) AS days FROM c)
+SELECT strftime(first, '%Y-%m') AS month, days, day(last_day(first)) - days AS missing
+FROM n WHERE day(last_day(first)) > days"""

@@ -24,9 +24,11 @@ DEFAULT_CONF = {
     # different partition counts ("Can't zip RDDs with unequal numbers of
     # partitions"). Upserts join unions of fact rows on the key, so it is off.
     "spark.sql.unionOutputPartitioning": "false",
+    # counts and bounds from Parquet footers where a table is read for them (sources/footers.py)
+    "spark.sql.parquet.aggregatePushdown": "true",
 }
 
-RUNTIME_CONF = {"spark.sql.unionOutputPartitioning": "false"}
+RUNTIME_CONF = {k: DEFAULT_CONF[k] for k in ("spark.sql.unionOutputPartitioning", "spark.sql.parquet.aggregatePushdown")}
 
 
 def ensure_runtime_conf(spark: SparkSession) -> None:
