@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from .. import functions as fx
 from ..functions.nested import PAGE_RESPONSE_SCHEMA, PROPERTY_TYPE
 from ..functions.numbers import exact_sum
-from ..operators import bucketed, facts, reports, rollup, targets, windows
+from ..operators import bucketed, facts, reports, rollup, sketches, targets, windows
 from ..operators import leads as leads_ops
 from ..operators import nested as nested_ops
 from ..schemas import DAILY_KPIS, DAILY_SCHEMA, LEADS_SCHEMA, WON_STAGES
@@ -750,3 +750,46 @@ def q_months_with_gaps(spark, sf_dir):
     daily = base.daily_from_orders(spark, sf_dir).where((F.dayofmonth("date") % 11 != 0) | (F.month("date") % 2 == 0))
     facts.write_partitioned(daily.withColumn("month", fx.month_key(F.col("date"))), path)
     return footers.months_with_gaps(spark, path)
+
+
+# --- stored distinct-count sketches ------------------------------------------------------
+
+def _event_sketches(spark, sf_dir, name, by=()):
+    """Sketches of daily users, merged landing by landing; some events are late and some land twice."""
+    path = scratch_path(spark, name)
+    for part in base.event_landings(spark, sf_dir):
+        known = part.where(F.col("user_id").isNotNull())
+        sketches.merge_sketches(spark, path, sketches.daily_sketches(known, "user_id", "ts", by), by)
+    return sketches.read_sketches(spark, path)
+
+
+@register("approx_monthly_active_users")
+def q_approx_monthly_active_users(spark, sf_dir):
+    """SRC-14 at scale: exact active users, and whether the estimate from stored daily sketches is within its bound."""
+    approx = sketches.trailing_distinct(_event_sketches(spark, sf_dir, "user_sketches"), out="mau_approx")
+    exact = ev.monthly_active_users(base.read(spark, sf_dir, "events"))
+    return sketches.compare(exact, approx, ["date"], "mau", "mau_approx").select("date", "mau", "within_bound")
+
+
+@register("approx_active_users_by_kind")
+def q_approx_active_users_by_kind(spark, sf_dir):
+    """SRC-14 at scale with grouping keys: weekly active users of each event type."""
+    by = ["event_type"]
+    approx = sketches.trailing_distinct(_event_sketches(spark, sf_dir, "kind_sketches", by), 7, by, "wau_approx")
+    exact = ev.monthly_active_users(base.read(spark, sf_dir, "events"), window_days=7, by=by).withColumnRenamed("mau", "wau")
+    return sketches.compare(exact, approx, ["event_type", "date"], "wau", "wau_approx").select("event_type", "date", "wau", "within_bound")
+
+
+@register("approx_customers_by_month")
+def q_approx_customers_by_month(spark, sf_dir):
+    """AGG-12 at scale: distinct customers per order status and month from daily sketches, stored in two batches that overlap."""
+    orders, path = base.read(spark, sf_dir, "orders"), scratch_path(spark, "customer_sketches")
+    k = F.col("o_orderkey") % 3
+    for part in (orders.where(k < 2), orders.where(k > 0)):
+        merged = sketches.daily_sketches(part, "o_custkey", "o_orderdate", ["o_orderstatus"])
+        sketches.merge_sketches(spark, path, merged, ["o_orderstatus"])
+    approx = sketches.distinct_by_month(sketches.read_sketches(spark, path), ["o_orderstatus"], "approx")
+    exact = orders.groupBy("o_orderstatus", fx.month_key(F.col("o_orderdate").cast("date")).alias("month")).agg(
+        F.count_distinct("o_custkey").alias("n_customers"))
+    done = sketches.compare(exact, approx, ["o_orderstatus", "month"], "n_customers", "approx")
+    return done.select(F.col("o_orderstatus").alias("status"), "month", "n_customers", "within_bound")

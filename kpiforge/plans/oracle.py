@@ -928,3 +928,18 @@ c AS (SELECT CAST(unnest(generate_series(date_trunc('month', MIN(date)), MAX(dat
 n AS (SELECT first, (SELECT COUNT(*) FROM d WHERE date_trunc('month', d.date) = c.first) AS days FROM c)
 SELECT strftime(first, '%Y-%m') AS month, days, day(last_day(first)) - days AS missing
 FROM n WHERE day(last_day(first)) > days"""
+
+# --- stored distinct-count sketches: the exact counts; every estimate is within its bound ------
+
+ORACLE["approx_monthly_active_users"] = f"SELECT date, mau, TRUE AS within_bound FROM ({ORACLE['monthly_active_users']}) x"
+
+ORACLE["approx_active_users_by_kind"] = """
+WITH ud AS (SELECT DISTINCT event_type, user_id, CAST(ts AS DATE) AS a FROM events WHERE user_id IS NOT NULL),
+cal AS (SELECT event_type, CAST(unnest(generate_series(MIN(a), MAX(a), INTERVAL 1 DAY)) AS DATE) AS date FROM ud GROUP BY 1)
+SELECT cal.event_type, cal.date, COUNT(DISTINCT ud.user_id) AS wau, TRUE AS within_bound
+FROM cal LEFT JOIN ud ON ud.event_type = cal.event_type AND ud.a BETWEEN cal.date - 6 AND cal.date
+GROUP BY 1, 2"""
+
+ORACLE["approx_customers_by_month"] = """
+SELECT o_orderstatus AS status, strftime(o_orderdate, '%Y-%m') AS month, COUNT(DISTINCT o_custkey) AS n_customers, TRUE AS within_bound
+FROM orders GROUP BY 1, 2"""
