@@ -5,10 +5,11 @@ Sparse multinomial logistic regression on TF-IDF of character n-grams hashed to
 penalties, then calibrated by one temperature.
 
 Document frequencies come from all training rows. The regression and the
-temperature are fitted on a bounded sample: ``per_lang`` rows per language in
-expectation, chosen by a hash of the id. Prediction reads every whole text; a
+temperature are fitted on a bounded sample: ``per_lang`` rows per language and
+``SAMPLE_ROWS`` rows in all in expectation, chosen by a hash of the id. Prediction reads every whole text; a
 text's term frequencies are shares of its n-grams, so a logit is the mean over
-positions of one table, looked up in numpy without a vector per document.
+positions of one table, looked up in numpy without a vector per document and in
+slices of bounded size, so a very long text needs memory for its code points only.
 
 Special input: a null text, or one without a letter, is ``und`` with score 0;
 rows with a null language are not learned from; without training rows all texts
@@ -32,7 +33,9 @@ from kpiforge.llm.common import blocks, table
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 15
 PER_LANG = 400          # rows per language for the fit (documented bound)
+SAMPLE_ROWS = 20_000    # rows for the fit in all (documented bound); above 50 languages each has fewer than PER_LANG
 MAX_LANGS = 1000        # the model's table has a column for each
+SLICE_VALUES = 1 << 20  # table values looked up at a time
 CALIBRATION = 5         # one of so many sampled rows is kept for the temperature
 BLOCK_BYTES = 1 << 20
 UNDEFINED = "und"
@@ -111,6 +114,7 @@ def training_rows(train: DataFrame, id_col: str, lang: str, per_lang: int) -> Da
         raise ValueError(f"more than {MAX_LANGS} languages")
     if not counts:
         return train.limit(0)
+    per_lang = min(per_lang, max(1, SAMPLE_ROWS // len(counts)))
     shares = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(1.0, per_lang / r["count"]))])
     draw = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("langid")), F.lit(1 << 20)) / F.lit(float(1 << 20))
     return train.filter(draw < shares[F.col(lang)])
@@ -204,19 +208,28 @@ def fit(train: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str
 
 
 def predict_block(texts: list[str], model: Model) -> tuple[list[str], np.ndarray]:
-    """Language and score of each text; all have a letter."""
+    """Language and score of each text; all have a letter. Positions are looked up
+    slice by slice, so memory beyond the texts' code points does not grow with
+    their length or with the number of languages."""
     codes = [codes_of(t) for t in texts]
     ends = np.cumsum([len(c) for c in codes])
     starts = np.concatenate([[0], ends[:-1]])
+    codes = np.concatenate(codes)
     logits = np.zeros((len(texts), len(model.langs)))
-    grams = np.zeros(len(texts))
-    for n, h in zip(ORDERS, ngram_buckets(np.concatenate(codes))):
-        sizes = np.maximum(0, ends - starts - n + 1)        # n-grams inside the text
-        total = np.zeros((len(h) + 1, len(model.langs)))
-        np.cumsum(model.table[h], axis=0, out=total[1:])
-        to = np.minimum(starts + sizes, len(h))
-        logits += total[to] - total[np.minimum(starts, len(h))]
-        grams += sizes
+    step = max(1, SLICE_VALUES // len(model.langs))
+    for a in range(0, len(codes), step):
+        b = min(a + step, len(codes))
+        first, last = np.searchsorted(ends, [a, b - 1], "right")        # texts that the slice meets
+        at = slice(first, last + 1)
+        for n, h in zip(ORDERS, ngram_buckets(codes[a:b + max(ORDERS) - 1])):
+            h = h[:b - a]                                               # n-grams that begin in the slice
+            total = np.zeros((len(h) + 1, len(model.langs)))
+            np.cumsum(model.table[h], axis=0, out=total[1:])
+            lo = np.minimum(np.maximum(starts[at], a) - a, len(h))
+            hi = np.minimum(np.maximum(ends[at] - n + 1, a) - a, len(h))   # inside their text
+            logits[at] += total[np.maximum(lo, hi)] - total[lo]
+    sizes = ends - starts
+    grams = sum(np.maximum(0, sizes - n + 1) for n in ORDERS)
     p = softmax((logits / grams[:, None] + model.bias) / model.temperature)
     best = p.argmax(axis=1)
     return [model.langs[i] for i in best], p[np.arange(len(texts)), best]

@@ -186,6 +186,25 @@ def test_language_logits_are_the_vector_product():
         assert abs(p.max() - s) < 1e-5
 
 
+def test_language_prediction_in_slices(monkeypatch):
+    """Slices of any size, shorter than an n-gram or across several texts, give the same scores."""
+    rng = np.random.default_rng(4)
+    model = langid.Model(["a", "b", "c"], rng.normal(size=(langid.BUCKETS, 3)).astype(np.float32), np.zeros(3))
+    texts = ["x", "Hello there", "yz", "Größe und Maß " * 30, "中"]
+    want = langid.predict_block(texts, model)
+    for values in (1, 3, 6, 9, 21, 64, 333):
+        monkeypatch.setattr(langid, "SLICE_VALUES", values)
+        got = langid.predict_block(texts, model)
+        assert got[0] == want[0] and np.allclose(got[1], want[1])
+
+
+def test_language_sample_is_bounded_in_all(spark, monkeypatch):
+    df = spark.createDataFrame([(i, f"text {i}", f"l{i % 10}") for i in range(2000)], "doc_id long, text string, lang string")
+    monkeypatch.setattr(langid, "SAMPLE_ROWS", 100)
+    n = langid.training_rows(df, "doc_id", "lang", 400).count()
+    assert 50 < n < 160
+
+
 def test_ftrl_is_sparse_and_temperature_sharpens():
     rows = [("a", np.array([1, 2]), np.array([0.5, 0.5])), ("b", np.array([3, 2]), np.array([0.5, 0.5]))] * 40
     w, _ = langid.fit_ftrl(rows, ["a", "b"], np.ones(langid.BUCKETS), langid.Settings())
