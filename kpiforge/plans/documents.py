@@ -107,22 +107,26 @@ def _by_page(df: DataFrame, group: Column) -> tuple[DataFrame, Column]:
     return df.withColumn("grp", group).repartition(n, "grp"), last
 
 
+def _bodies(pages: DataFrame) -> DataFrame:
+    """(grp, results): page JSON texts grouped by ``grp`` (bounded group size)."""
+    return pages.groupBy("grp").agg(F.array_join(F.collect_list("page"), ",").alias("results"))
+
+
 def _text_responses(pages: DataFrame, last: Column) -> DataFrame:
     """Cursor responses ``{"results": [...], "has_more", "next_cursor"}`` from
-    page JSON texts grouped by ``grp`` (bounded group size)."""
-    g = pages.groupBy("grp").agg(F.array_join(F.collect_list("page"), ",").alias("results"))
+    page JSON texts grouped by ``grp``."""
     more = F.col("grp") < last
     doc = F.concat(F.lit('{"results":['), F.col("results"), F.lit('],"has_more":'),
                    F.when(more, F.lit("true")).otherwise(F.lit("false")),
                    F.when(more, F.concat(F.lit(',"next_cursor":"c'), (F.col("grp") + 1).cast("string"), F.lit('"')))
                    .otherwise(F.lit("")), F.lit("}"))
-    return g.select("grp", doc.alias("doc"))
+    return _bodies(pages).select("grp", doc.alias("doc"))
 
 
-def lineitem_page_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Page-database cursor pages: one page per line item with a kWh
-    property under one of four names and tags (number, formula, rollup,
-    text, negative), a provision formula, a status select and a decoy.
+def _lineitem_pages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Column]:
+    """One page per line item with a kWh property under one of four names and
+    tags (number, formula, rollup, text, negative), a provision formula, a
+    status select and a decoy; also the last ``grp``.
 
     Pages are written as JSON text directly (the shape an API returns), which
     is much cheaper than serialising a generic tagged-union struct."""
@@ -145,8 +149,12 @@ def lineitem_page_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
                       (F.lit(_jkey("Status")), p3), (decoy_k, decoy_v)])
     page_id = F.concat_ws("-", F.lit("p"), F.col("l_orderkey"), ln)
     page = F.concat(F.lit('{"id":'), _json_string(page_id), F.lit(',"properties":'), props, F.lit("}"))
-    pages = li.select("grp", page.alias("page"))
-    return _text_responses(pages, last)
+    return li.select("grp", page.alias("page")), last
+
+
+def lineitem_page_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page-database cursor pages over the line items."""
+    return _text_responses(*_lineitem_pages(spark, sf_dir))
 
 
 def order_customer_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -244,8 +252,11 @@ def part_catalogs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- landings with repeated, missing and trailing pages -------------------------------
 
-#: A landed cursor response carries what it was asked for with, and the fetch that it is of.
-LANDED_RESPONSE_SCHEMA = T.StructType(PAGE_RESPONSE_SCHEMA.fields + [
+#: A landed cursor response carries what it was asked for with, and the fetch that it is of. Which responses count
+#: is decided without their pages, which stay JSON texts here.
+LANDED_RESPONSE_SCHEMA = T.StructType([
+    T.StructField("results", T.ArrayType(T.StringType())),
+    *[PAGE_RESPONSE_SCHEMA[c] for c in ("has_more", "next_cursor")],
     T.StructField("run", T.StringType()), T.StructField("start_cursor", T.StringType())])
 
 
@@ -266,21 +277,21 @@ def landed_page_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``lineitem_page_responses`` as two fetches. ``a``: the first half, ended regularly, with responses of group
     % 9 = 4 landed twice and three responses that nothing leads to. ``b``: the rest without those of group % 11 = 5
     (but its first and last)."""
-    r = lineitem_page_responses(spark, sf_dir)
-    top = base.read(spark, sf_dir, "lineitem").agg(F.max((F.col("l_orderkey") / ORDERS_PER_RESPONSE).cast("bigint")).alias("m")).select("m").scalar()
+    pages, top = _lineitem_pages(spark, sf_dir)
     mid, g = F.floor(top / 2), F.col("grp")
-    body = r.select("grp", F.regexp_replace("doc", r',"has_more":(true|false)(,"next_cursor":"c\d+")?\}$', "").alias("body"))
 
     def told(run: str, cursor: Column, following: Column) -> Column:
         """The response with its fetch, its cursor (or null) and the next one's (or none)."""
         head = F.concat(F.lit('{"run":"' + run + '","start_cursor":'), F.coalesce(F.concat(F.lit('"'), cursor, F.lit('"')), F.lit("null")), F.lit(","))
         tail = F.coalesce(F.concat(F.lit(',"has_more":true,"next_cursor":"'), following, F.lit('"}')), F.lit(',"has_more":false}'))
-        return F.concat(head, F.substring("body", F.lit(2), F.length("body")), tail).alias("doc")
+        return F.concat(head, F.lit('"results":['), F.col("results"), F.lit("]"), tail)
 
     name = lambda k, c: F.concat(F.lit(c), k.cast("string"))
-    a = body.where(g <= mid)
-    first = a.select("grp", told("a", F.when(g > 0, name(g, "c")), F.when(g < mid, name(g + 1, "c"))))
-    stray = a.where(g < 3).select("grp", told("a", name(g, "t"), F.when(g < 2, name(g + 1, "t"))))
-    b = body.where((g > mid) & ((g % 11 != 5) | (g == mid + 1) | (g == top)))
-    second = b.select("grp", told("b", F.when(g > mid + 1, name(g, "c")), F.when(g < top, name(g + 1, "c"))))
-    return first.unionByName(first.where(g % 9 == 4)).unionByName(stray).unionByName(second).select("doc")
+    first = told("a", F.when(g > 0, name(g, "c")), F.when(g < mid, name(g + 1, "c")))
+    stray = told("a", name(g, "t"), F.when(g < 2, name(g + 1, "t")))
+    second = told("b", F.when(g > mid + 1, name(g, "c")), F.when(g < top, name(g + 1, "c")))
+    kept = (g % 11 != 5) | (g == mid + 1) | (g == top)
+    # every body is built once and gives the responses that it is in
+    docs = F.array(F.when(g <= mid, first), F.when((g <= mid) & (g % 9 == 4), first), F.when((g <= mid) & (g < 3), stray),
+                   F.when((g > mid) & kept, second))
+    return _bodies(pages).select(F.explode(F.array_compact(docs)).alias("doc"))

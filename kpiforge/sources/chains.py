@@ -19,6 +19,8 @@ row per page. Chains may be as long as they like: no task holds a whole one.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -88,13 +90,17 @@ def cursor_chain(responses: DataFrame, cursor: Column, next_cursor: Column, more
     (``missing``). Responses that no other leads to belong to the chain if it
     has a break (they follow it), and are ``after_end`` if it ends regularly.
     Starts are found by pointer doubling, in rounds logarithmic in the chain's
-    length.
+    length. Cursors are compared without the contents; these are compared and
+    stored of repeated responses alone, and the rest is read where it is wanted.
     """
     by = list(by)
     given = responses.select("*", cursor.alias("_cursor"), F.when(F.coalesce(more, F.lit(False)), next_cursor).alias("_next"),
                              F.coalesce(more, F.lit(False)).alias("_more"))
-    once, _ = staged(one_per_page(given, [*by, "_cursor"], [F.col(c) for c in order]), "responses")
-    links = once.select(*by, F.col("_cursor").alias("node"), "_next", "_more", "_rows")
+    keys, seen = [*by, "_cursor"], F.count(F.lit(1)).alias("_rows")
+    told, _ = staged(given.groupBy(*keys).agg(F.min("_next").alias("_next"), F.max("_more").alias("_more"), seen), "told")
+    again, _ = staged(told.where(F.col("_rows") > 1).select(*keys), "again")
+    picked, _ = staged(one_per_page(_matching(given, again, keys, "left_semi"), keys, [F.col(c) for c in order]), "responses")
+    links, _ = staged(told.where(F.col("_rows") == 1).unionByName(picked.select(*told.columns)).withColumnRenamed("_cursor", "node"), "links")
     led = links.where(F.col("_next").isNotNull()).select(*by, F.col("_next").alias("node"), F.coalesce("node", F.lit("")).alias("up")).dropDuplicates([*by, "node"])
     # the empty name stands for the first response, which has no cursor
     jump = links.select(*by, F.coalesce("node", F.lit("")).alias("node")).join(led, [*by, "node"], "left")
@@ -117,12 +123,22 @@ def cursor_chain(responses: DataFrame, cursor: Column, next_cursor: Column, more
         # without a first response the chain lacks its start
         (F.count_if(F.col("_in") & F.col("_break")) + F.when(F.max("_head"), 0).otherwise(1)).alias("missing"),
         (F.max("_ended") & F.max("_head")).alias("_ok"))
-    kept = once.withColumn("_node", F.coalesce("_cursor", F.lit(""))).join(
-        state.where("_in").select(*by, F.col("node").alias("_node")), [*by, "_node"], "left_semi").select(*responses.columns)
+    # what does not count is mostly little, so that the contents need not move
+    out, _ = staged(state.where(~F.col("_in")).select(*by, F.col("node").alias("_node")), "out")
+    once = _matching(given, again, keys, "left_anti").select(*responses.columns, "_cursor").unionByName(
+        picked.select(*responses.columns, "_cursor"))
+    of_chain = reduce(and_, [F.col(c).isNotNull() for c in by], F.lit(True))
+    kept = once.where(of_chain).withColumn("_node", F.coalesce("_cursor", F.lit(""))).join(out, [*by, "_node"], "left_anti").select(*responses.columns)
     return kept, report.select(*by, "landed", "repeated", "after_end", F.col("missing").cast("long").alias("missing"),
                                (F.col("_ok") & (F.col("missing") == 0)).alias("complete"))
 
 
+def _matching(rows: DataFrame, names: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """Rows with (``left_semi``) or without (``left_anti``) their keys among the names; null matches null."""
+    n = names.select(*[F.col(k).alias(f"_{i}") for i, k in enumerate(keys)])
+    return rows.join(n, reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{i}")) for i, k in enumerate(keys)]), how)
+
+
 def _with(rows: DataFrame, per_chain: DataFrame, by: list[str]) -> DataFrame:
     """Rows with the columns of their chain; without ``by`` there is one chain."""
     return rows.join(per_chain, by) if by else rows.crossJoin(F.broadcast(per_chain))      # one row by construction

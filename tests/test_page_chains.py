@@ -68,3 +68,27 @@ def test_cursor_chains_side_by_side(spark):
     kept, report = chains.cursor_chain(df, F.col("cursor"), F.col("next"), F.col("more"), by=["run"])
     assert kept.count() == 5
     assert sorted(tuple(r) for r in report.collect()) == [("a", 2, 0, 0, 0, True), ("b", 2, 0, 0, 1, False), ("c", 1, 0, 0, 1, False)]
+
+
+def test_only_repeated_responses_are_stored(spark, monkeypatch):
+    """Contents of a chain move where a response is repeated, and stay where they are otherwise."""
+    stored = []
+
+    def noted(df, name):
+        got, path = staged(df, name)
+        if "data" in got.columns:
+            stored.append(got.count())
+        return got, path
+
+    staged = chains.staged
+    monkeypatch.setattr(chains, "staged", noted)
+    rows = [("a", f"c{k}" if k else None, f"c{k + 1}", k < 39, f"page {k}") for k in range(40)]
+    rows += [rows[3], rows[7], rows[7], ("a", "t1", None, False, "stray"), (None, "c5", "c6", True, "of no run")]
+    rows += [("b", None, "x", True, "old"), ("b", None, None, False, "new"), ("b", "x", None, False, "end")]
+    df = spark.createDataFrame(rows, "run string, cursor string, next string, more boolean, data string")
+    kept, report = chains.cursor_chain(df, F.col("cursor"), F.col("next"), F.col("more"), by=["run"])
+    assert stored == [3]                                                  # c3 and c7 of a, the first of b
+    got = sorted((r.run, r.data) for r in kept.collect())
+    assert [d for r, d in got if r == "a"] == sorted(f"page {k}" for k in range(40))
+    assert len([r for r, _ in got if r == "b"]) in (1, 2) and {r for r, _ in got} == {"a", "b"}
+    assert tuple(report.where("run = 'a'").collect()[0]) == ("a", 44, 3, 1, 0, True)
