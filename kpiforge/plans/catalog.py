@@ -293,10 +293,14 @@ def q_monthly_active_users(spark, sf_dir):
 _DEC = "decimal(38,9)"
 
 
+#: Documents of one landed file. A compressed file is read by one task, so its size has a bound.
+LANDED_DOCS = 10_000
+
+
 def _read_pages(spark, docs, name, schema):
-    """Land the documents once, a JSON line each, and read the folder as the library does."""
+    """Land the documents once, a JSON line each in compressed files, and read the folder as the library does."""
     path = scratch_path(spark, name)
-    docs.select("doc").write.text(path)
+    docs.select("doc").write.option("maxRecordsPerFile", LANDED_DOCS).text(path, compression="snappy")
     return landed.read_landed(spark, path, schema, multiline=False)
 
 

@@ -1,4 +1,5 @@
 """Landed page chains with repeated, missing and trailing pages."""
+import os
 import random
 
 import pytest
@@ -92,3 +93,17 @@ def test_only_repeated_responses_are_stored(spark, monkeypatch):
     assert [d for r, d in got if r == "a"] == sorted(f"page {k}" for k in range(40))
     assert len([r for r, _ in got if r == "b"]) in (1, 2) and {r for r, _ in got} == {"a", "b"}
     assert tuple(report.where("run = 'a'").collect()[0]) == ("a", 44, 3, 1, 0, True)
+
+
+def test_landed_pages_are_compressed(spark):
+    """Landed documents take less room than their text, and no file holds more than a task should read."""
+    from kpiforge.plans import catalog
+
+    docs = spark.range(3 * catalog.LANDED_DOCS).coalesce(1).select(
+        F.concat(F.lit('{"id":"property page number '), "id", F.lit('"}')).alias("doc"))
+    got = catalog._read_pages(spark, docs, "landing", "id string")
+    files = got.inputFiles()
+    assert got.count() == 3 * catalog.LANDED_DOCS and got.select("id").distinct().count() == 3 * catalog.LANDED_DOCS
+    assert len(files) == 3 and all(f.endswith(".snappy") for f in files)
+    size = sum(os.path.getsize(f.removeprefix("file://").removeprefix("file:")) for f in files)
+    assert 2 * size < docs.agg(F.sum(F.length("doc") + 1)).first()[0]
