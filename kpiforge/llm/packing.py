@@ -119,18 +119,27 @@ class WordTokenizer:
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         """Little-endian 32-bit ids of each text."""
         for a, b in blocks(texts, 1 << 21):
-            # the tokenizer lower-cases; done first, it leaves fewer words to know (special strings keep their case)
-            split = [(t if b"<|" in t else t.lower()).split() for t in texts[a:b]]
             if len(self.young) > self.limit:
                 self.young, self.old = {}, self.young
             young, old = self.young, self.old
-            fresh = set().union(*split).difference(young)
-            known = fresh.intersection(old)
+            fresh: set[bytes] = set()
+            found = []                                      # per text: ids of its words, places and words without
+            for t in texts[a:b]:
+                # the tokenizer lower-cases; done first, it leaves fewer words to know (special strings keep their case)
+                words = (t if b"<|" in t else t.lower()).split()
+                ids = list(map(young.get, words))
+                gaps = [i for i, x in enumerate(ids) if x is None] if None in ids else []
+                names = [words[i] for i in gaps]
+                fresh.update(names)
+                found.append((ids, gaps, names))
+            known = old.keys() & fresh
             for w in known:
                 young[w] = old[w]
             self.learn(list(fresh - known))
-            for words in split:
-                yield b"".join(map(young.__getitem__, words))
+            for ids, gaps, names in found:
+                for i, w in zip(gaps, names):
+                    ids[i] = young[w]
+                yield b"".join(ids)
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}

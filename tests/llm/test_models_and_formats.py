@@ -114,6 +114,19 @@ def test_word_tokenizer_forgets_and_knows_special_strings():
     assert got == [plain.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_word_tokenizer_visits_old_words_by_need():
+    """A block looks up its new words among the old ones, not the old ones among its words."""
+    class Old(dict):
+        def __iter__(self):
+            raise AssertionError("went through all words")
+
+    mine = packing.WordTokenizer(packing.vocabulary_path(packing.VOCABULARY))
+    first = list(mine.encode([b"one two three", b"", b"two, Four <|x"]))
+    mine.young, mine.old = {}, Old(mine.young)
+    assert list(mine.encode([b"one two three", b"", b"two, Four <|x"])) == first
+    assert {b"one", b"two", b"three"} <= mine.young.keys()
+
+
 def test_packing_odd_documents(spark, monkeypatch):
     monkeypatch.setattr(packing, "RANK_ROWS", 2)              # ranks come from salted groups
     rows = packing.pack_documents(odd_documents(spark), keep_ids=True).collect()
