@@ -7,7 +7,7 @@ lower-cased words). Two documents link when 100 * common >= 75 * union.
    its class: the documents with the same set.
 2. Shingles are ordered rare first (sketch count, then hash: the same total
    order everywhere, whatever the sketch's error), and each class sends the
-   shingles of its prefix, with set size and position. Classes that meet on a
+   shingles of its prefix, with their position. Classes that meet on a
    shingle are candidates if length and position allow enough overlap.
 3. Candidates are verified once per pair: a suffix filter bounds the overlap
    by counts in ranges of the hash, then the sets (48 bits of each hash) are
@@ -50,6 +50,8 @@ SENT_CLASSES = 100_000
 #: comes first, up to so many.
 OPEN_SHARE, STAR_ROUNDS = 200, 4
 SUFFIX_RANGES = 32
+#: Prefix rows that a task packs for the shuffle at a time, and the bytes of one of them.
+LOT_ROWS, ROW_BYTES = 1 << 19, 18
 
 _BASE = np.uint64(0x9FB21C651E98DF25)
 
@@ -147,17 +149,44 @@ def merged_sketch(surveyed: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
+def pack_rows(h: np.ndarray, cls: np.ndarray, pos: np.ndarray) -> bytes:
+    """Prefix rows for the shuffle, in the order of their hashes: upper 48 bits as differences, class and position; numbers by bytes as in ``pack_set``."""
+    at = np.argsort(h, kind="stable")
+    where = np.ascontiguousarray(pos[at].astype(np.uint32).view(np.uint8).reshape(-1, 4).T)
+    return pack_set(h[at]) + cls[at].astype(np.int64).tobytes() + where.tobytes()
+
+
+def unpack_rows(b: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    k = len(b) // ROW_BYTES
+    h = (unpack_set(b[:6 * k]) >> np.uint64(16)).astype(np.int64)
+    pos = np.ascontiguousarray(np.frombuffer(b, np.uint8, 4 * k, 14 * k).reshape(4, -1).T).view(np.uint32).ravel()
+    return h, np.frombuffer(b, np.int64, k, 6 * k), pos.astype(np.int32)
+
+
 def prefix_rows(docs: DataFrame, sketch: np.ndarray, percent: int) -> DataFrame:
-    """(h, cls, n, pos): the rare-first prefix of every class, once per task at least."""
+    """(h, cls, pos): the rare-first prefix of every class, once per task at least, dealt by h.
+
+    They are dealt in packed lots of up to ``LOT_ROWS``, by ranges of the hash, as
+    most of them meet no other. Of a hash 48 bits go on: shingles that agree in
+    them make a candidate more, which the sets refuse.
+    """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(sketch)       # fixed size
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def lots(hs: list, cs: list, ps: list) -> pd.DataFrame:
+        h, c, p = np.concatenate(hs), np.concatenate(cs), np.concatenate(ps)
+        part = ((h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
+        at = np.argsort(part, kind="stable")
+        found, first = np.unique(part[at], return_index=True)
+        return pd.DataFrame({"part": found, "lot": [pack_rows(h[i], c[i], p[i]) for i in np.split(at, first[1:])]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts, sent = shared.value, set()
+        hs, cs, ps, rows = [], [], [], 0
         for b in batches:
             texts = raw(b["text"])
             for i, j in blocks(texts):
-                hs, cs, ns, ps = [], [], [], []
                 for s in shingle_sets(texts[i:j]):
                     n = len(s)
                     c = set_class(s) if n else None
@@ -170,17 +199,26 @@ def prefix_rows(docs: DataFrame, sketch: np.ndarray, percent: int) -> DataFrame:
                     first = s[np.argsort(np.minimum(often, 0xFFFFF) << np.uint64(44) | s & np.uint64((1 << 44) - 1), kind="stable")[:p]]
                     hs.append(first)
                     cs.append(np.full(p, c, np.int64))
-                    ns.append(np.full(p, n, np.int32))
                     ps.append(np.arange(p, dtype=np.int32))
-                if hs:
-                    yield pd.DataFrame({"h": np.concatenate(hs).view(np.int64), "cls": np.concatenate(cs),
-                                        "n": np.concatenate(ns), "pos": np.concatenate(ps)})
+                    rows += p
+                    if rows >= LOT_ROWS:
+                        yield lots(hs, cs, ps)
+                        hs, cs, ps, rows = [], [], [], 0
+        if rows:
+            yield lots(hs, cs, ps)
+
+    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for lot in b["lot"]:
+                h, c, p = unpack_rows(lot)
+                yield pd.DataFrame({"h": h, "cls": c, "pos": p})
 
-    return docs.mapInPandas(trimmed(run), "h long, cls long, n int, pos int")
+    dealt = docs.mapInPandas(trimmed(run), "part int, lot binary").repartitionById(parts, "part")
+    return dealt.mapInPandas(trimmed(unpack), "h long, cls long, pos int")
 
 
 def shared_rows(prefixes: DataFrame) -> DataFrame:
-    """The prefix rows whose shingle more than one class sends, each once."""
+    """Of prefix rows that are dealt by h those whose shingle more than one class sends, each once."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last = last_kept = None                          # the row before, not sent yet unless last_kept
@@ -203,8 +241,9 @@ def shared_rows(prefixes: DataFrame) -> DataFrame:
             last, last_kept = b.iloc[at[-1:]], known
         return
 
-    rows = prefixes.repartition("h").sortWithinPartitions("h", "cls")
-    return rows.mapInPandas(trimmed(run), "h long, cls long, n int, pos int")
+    # of shingles of a class with one hash the first counts: it lets the most candidates pass
+    rows = prefixes.sortWithinPartitions("h", "cls", "pos")
+    return rows.mapInPandas(trimmed(run), "h long, cls long, pos int")
 
 
 def may_link(percent: int):
@@ -304,11 +343,15 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     d = docs.filter(F.col(f"`{id_col}`").isNotNull()).select(
         F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
     surveyed = store(survey(d), "survey")
-    every = surveyed.filter("part IS NULL").select("id", "n", "cls")
-    shared = store(shared_rows(prefix_rows(d, merged_sketch(surveyed), percent)), "shared")
+    every = store(surveyed.filter("part IS NULL").select("id", "n", "cls"), "every")
+    sketch = merged_sketch(surveyed)
+    discard(surveyed)
+    release(spark)
+    shared = store(shared_rows(prefix_rows(d, sketch, percent)), "shared")
     release(spark)
     first = every.filter("cls IS NOT NULL").groupBy("cls").agg(F.min("id").alias("class_id"))
-    comps = store(first.join(shared.select("cls").distinct(), "cls").withColumn("comp", F.col("class_id")), "classes")
+    sizes = every.filter("cls IS NOT NULL").groupBy("cls").agg(F.min("id").alias("class_id"), F.min("n").cast("int").alias("n"))
+    comps = store(sizes.join(shared.select("cls").distinct(), "cls").withColumn("comp", F.col("class_id")), "classes")
     edges = []
     for k in range(STAR_ROUNDS + 1):
         rows = store(shared.join(comps, "cls"), "rows")
@@ -342,7 +385,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         discard(rows)
         graph = components(found.join(one, "a").join(two, "b").select(F.col("i").alias("a"), F.col("j").alias("b")))
         joined = comps.join(graph.withColumnRenamed("id", "comp"), "comp", "left")
-        comps = store(joined.select("cls", "class_id", F.coalesce("component", "comp").alias("comp")), "classes")
+        comps = store(joined.select("cls", "class_id", "n", F.coalesce("component", "comp").alias("comp")), "classes")
         release(spark)
         if last:
             break

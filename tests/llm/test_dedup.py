@@ -1,6 +1,7 @@
 """Operators that compare documents, against brute force."""
 import collections
 import hashlib
+import os
 import re
 
 import numpy as np
@@ -85,6 +86,52 @@ def test_packed_sets_round_trip():
         assert (jaccard.unpack_set(jaccard.pack_set(s)) == s >> np.uint64(16) << np.uint64(16)).all()
 
 
+def test_prefix_rows_travel_packed():
+    rng = np.random.default_rng(3)
+    h, c = rng.integers(0, 1 << 64, 5000, dtype=np.uint64), rng.integers(-(1 << 63), (1 << 63) - 1, 5000)
+    pos = rng.integers(0, 1 << 20, 5000).astype(np.int32)
+    for k in (5000, 1, 0):
+        lot = jaccard.pack_rows(h[:k], c[:k], pos[:k])
+        assert len(lot) == jaccard.ROW_BYTES * k
+        got = [x.tolist() for x in jaccard.unpack_rows(lot)]
+        assert sorted(zip(*got)) == sorted(zip((h[:k] >> np.uint64(16)).tolist(), c[:k].tolist(), pos[:k].tolist()))
+
+
+@pytest.mark.parametrize("lot_rows", [jaccard.LOT_ROWS, 50])
+def test_shared_rows_of_lots_match_brute_force(spark, monkeypatch, lot_rows):
+    monkeypatch.setattr(jaccard, "LOT_ROWS", lot_rows)
+    texts = [t for s in range(3) for t in near_copies(prose(s, 90), 6)] + [prose(7, 60)] * 3 + [None, "", prose(8, 3)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(3)
+    sketch = np.zeros(1 << jaccard.SKETCH_BITS, np.uint32)
+    rows = [tuple(r) for r in jaccard.prefix_rows(docs, sketch, 75).select("h", "cls", "pos").collect()]
+    sets = {jaccard.set_class(s): s for s in jaccard.shingle_sets(jaccard.raw(texts)) if len(s)}
+    low = {c: sorted((int(x) & (1 << 44) - 1, int(x) >> 16) for x in s)[:len(s) - -(-75 * len(s) // 100) + 1] for c, s in sets.items()}
+    assert set(rows) == {(x, c, k) for c, v in low.items() for k, (_, x) in enumerate(v)}
+    meets = collections.Counter(h for h, _, _ in set(rows))
+    got = [tuple(r) for r in jaccard.shared_rows(jaccard.prefix_rows(docs, sketch, 75)).select("h", "cls", "pos").collect()]
+    assert got and sorted(got) == sorted(x for x in set(rows) if meets[x[0]] > 1)
+
+
+def test_shingles_with_one_hash_keep_the_first_place(spark):
+    rows = spark.createDataFrame([(1, 10, 5), (1, 10, 2), (1, 11, 4), (2, 10, 0), (2, 10, 1)], "h long, cls long, pos int").coalesce(1)
+    got = sorted((r.h, r.cls, r.pos) for r in jaccard.shared_rows(rows).collect())
+    assert got == [(1, 10, 2), (1, 11, 4)]
+
+
+def test_jaccard_drops_the_sketches_before_the_prefixes(spark, monkeypatch):
+    """The parts of the tasks' sketches are off the shared disk when prefix rows are made."""
+    at, made = [], jaccard.prefix_rows
+    monkeypatch.setattr(jaccard, "store", lambda df, name, f=jaccard.store: at.append((name, f(df, name))) or at[-1][1])
+
+    def prefixes(*given):
+        at.append(("there", [n for n, t in at if t.inputFiles() and os.path.exists(t.inputFiles()[0].removeprefix("file:"))]))
+        return made(*given)
+
+    monkeypatch.setattr(jaccard, "prefix_rows", prefixes)
+    jaccard.jaccard_classes(spark.createDataFrame([(0, prose(1, 30)), (1, prose(1, 30))], "doc_id long, text string"))
+    assert dict(at)["there"] == ["every"]
+
+
 def test_filters_never_refuse_a_link():
     rng = np.random.default_rng(1)
     for _ in range(300):
